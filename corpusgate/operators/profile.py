@@ -13,8 +13,9 @@ Scale notes
 * The duplicate key is a 128-bit hash of the 200-character prefix (two
   independent xxhash64), not the prefix: 16 bytes instead of up to 800 per
   distinct row through the shuffle. `exact=True` keys on the prefix itself.
-* The exact median (`percentile`) keeps a map of distinct lengths per
-  group, bounded by the longest text, and merges partial maps.
+* The exact median is taken from a (key, length) histogram, so the object
+  buffer of `percentile` only ever sees distinct lengths, never one buffer
+  per distinct prefix (which would force sort-based aggregation).
 * `first_n` and `eval_gate` are `row_number` filters that Spark turns into
   WindowGroupLimit (a map-side top-n before the exchange), so a hot group
   sends at most n rows per map task.
@@ -54,22 +55,42 @@ def over_window(text, sequence_length) -> Column:
     return F.coalesce(F.length(t) > seq * K.CHARS_PER_TOKEN, F.lit(False))
 
 
+def median_length(texts: DataFrame, keys: list[str], length: Column) -> DataFrame:
+    """AG2: exact median length per key, truncated, from a length histogram.
+
+    `groupBy(keys, length).count()` is a fixed-width HashAggregate whose
+    map-side combine leaves one row per distinct length; the exact
+    `percentile(length, 0.5, frequency)` then runs over that small histogram,
+    never over raw rows."""
+    hist = texts.groupBy(*keys, length.alias("__len")).agg(F.count(F.lit(1)).alias("__freq"))
+    return hist.groupBy(*keys).agg(
+        F.floor(F.percentile(F.col("__len"), F.lit(0.5), F.col("__freq"))).cast("bigint").alias("median_chars"))
+
+
 def row_stats(texts: DataFrame, keys: list[str], text: str = "text", sequence_length=K.DEFAULT_SEQUENCE_LENGTH,
               exact: bool = False) -> DataFrame:
     """AG6: rows, median_chars, short_share, dup_share, long_share per key.
 
     `texts` holds rendered text (string; null counts as length 0).
     `sequence_length` is an int or the name of a column constant per key.
+    Counts and distinct prefixes come from one codegen HashAggregate; the
+    median from a length histogram; the two per-key results are joined.
     """
+    if not keys:  # one group: key it by a constant so the two halves join on it
+        out = row_stats(texts.withColumn("__all", F.lit(0)), ["__all"], text, sequence_length, exact)
+        return out.drop("__all")
     length = F.coalesce(F.length(F.col(text)), F.lit(0))
     ok = usable(text)
-    stats = texts.groupBy(*keys).agg(
+    counts = texts.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
-        F.floor(F.percentile(length, F.lit(0.5))).cast("bigint").alias("median_chars"),
         F.count_if(ok).alias("usable_rows"),
         F.count_distinct(F.when(ok, prefix_key(text, exact))).alias("distinct_prefixes"),
         F.count_if(over_window(text, sequence_length)).alias("long_rows"),
     )
+    med = median_length(texts, keys, length)
+    med = med.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "median_chars")
+    cond = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]  # null source is a key too
+    stats = counts.join(med, cond, "left")
     return stats.select(
         *keys, "rows", "median_chars",
         # operand order as in the definition: 1 - usable / rows
