@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-PLAN_MODULES = ("corpus",)
+PLAN_MODULES = ("corpus", "manifests")
 
 
 def _modules():
