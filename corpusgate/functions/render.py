@@ -95,15 +95,15 @@ def columns_used(text_column, text_template) -> Column:
     return F.when(tc.isNotNull(), F.array(tc)).otherwise(template_columns(text_template))
 
 
-def template_is_valid(template) -> Column:
+def template_is_valid(template, cols: Column | None = None) -> Column:
     """MV8: `str.format(**{c: '' for c in template_columns})` would succeed.
 
     Plain `{name}` fields, `{{` and `}}` only, every name one of the template
-    columns and not a positional index."""
+    columns (`cols`, computed here when not given) and not a positional index."""
     t = col(template)
     shape_ok = t.rlike(K.TEMPLATE_VALID_PATTERN)
     fields = F.filter(F.regexp_extract_all(t, F.lit(K.TEMPLATE_TOKEN_PATTERN), 1), lambda n: n != "")
-    cols = template_columns(t)
+    cols = template_columns(t) if cols is None else cols
     names_ok = F.forall(fields, lambda n: F.array_contains(cols, n) & ~n.rlike(r"^[0-9]+$"))
     return shape_ok & names_ok
 

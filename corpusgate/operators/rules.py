@@ -52,11 +52,11 @@ def hub_path_error(path: Column) -> Column:
     return value_error(F.concat(quoted(path), F.lit(" is not a HuggingFace dataset id like 'org/name'")))
 
 
-def template_error_detail(t: Column) -> Column:
+def template_error_detail(t: Column, cols: Column | None = None) -> Column:
     """The text of the exception `str.format` raises for an invalid template
     (first offending token from the left)."""
     tokens = F.regexp_extract_all(t, F.lit(r"\{\{|\}\}|\{[^{}]*\}|\{|\}|[^{}]+"), 0)
-    cols = template_columns(t)
+    cols = template_columns(t) if cols is None else cols
     n = F.size(tokens)
 
     def detail(tok: Column, i: Column) -> Column:
@@ -79,9 +79,18 @@ def template_error_detail(t: Column) -> Column:
     return F.coalesce(F.get(found, 0), F.lit("invalid format string"))
 
 
+def prepare_sources(sources: Column) -> Column:
+    """Each source plus its template columns (`tcols`) and whether the
+    template formats (`tvalid`), computed once per source."""
+    with_cols = F.transform(sources, lambda s: s.withField("tcols", template_columns(s["text_template"])))
+    return F.transform(with_cols, lambda s: s.withField(
+        "tvalid", F.coalesce(template_is_valid(s["text_template"], s["tcols"]), F.lit(True))))
+
+
 def source_errors(s: Column, i: Column) -> Column:
-    """Errors of the source at index `i` (0-based): field rules, then — only
-    when they all pass — the rendering rule (MV6–MV8)."""
+    """Errors of the source at index `i` (0-based, from `prepare_sources`):
+    field rules, then — only when they all pass — the rendering rule
+    (MV6–MV8)."""
     base = F.concat(F.lit("data.dataset_sources."), i.cast("string"))
     path_bad = s["path"].isNull() | ~s["path"].rlike(K.HUB_PATH_PATTERN)
     w = s["weight"]
@@ -94,12 +103,12 @@ def source_errors(s: Column, i: Column) -> Column:
         F.when(tc == tt, F.concat(s["path"], F.lit(": set either `text_column` (the column is the text) or "
                                                    "`text_template` (several columns rendered into one), "
                                                    "not both and not neither")))
-        .when(tt & (F.size(template_columns(s["text_template"])) == 0),
+        .when(tt & (F.size(s["tcols"]) == 0),
               F.concat(s["path"], F.lit(": text_template has no {column} placeholder — "
                                         "use text_column if the text is one column")))
-        .when(tt & ~template_is_valid(s["text_template"]),
+        .when(tt & ~s["tvalid"],
               F.concat(s["path"], F.lit(": text_template is not a valid format string ("),
-                       template_error_detail(s["text_template"]), F.lit(")")))
+                       template_error_detail(s["text_template"], s["tcols"]), F.lit(")")))
     )
     return errors(
         err(s["path"].isNull(), SEC["data"], i, 1, F.concat(base, F.lit(".path")), K.MSG_REQUIRED),
@@ -145,7 +154,7 @@ def data_errors(m: Column, n_sources: Column) -> Column:
     — when all of those pass — the weight sum (MV11), then repeats (MV12)."""
     sources = m["data"]["dataset_sources"]
     list_ok = (n_sources >= 1) & (n_sources <= K.MAX_SOURCES)
-    items = F.when(list_ok, F.flatten(F.transform(sources, lambda s, i: source_errors(s, i)))).otherwise(NO_ERRORS)
+    items = F.when(list_ok, F.flatten(F.transform(prepare_sources(sources), source_errors))).otherwise(NO_ERRORS)
     seq = m["data"]["sequence_length"]
     seq_err = err(~seq.isin(*K.SEQUENCE_LENGTHS), SEC["data"], 1000, 0, "data.sequence_length",
                   value_error(F.lit(K.MSG_SEQ_LEN)))
@@ -313,3 +322,46 @@ def problems(m: Column, n_sources: Column, n_benchmarks: Column, folder: Column,
     lab = label(folder, file_stem)
     return F.transform(all_errs, lambda e: F.when(e["sec"] == SEC["file"], e["msg"])
                        .otherwise(F.concat(lab, F.lit(": "), e["loc"], F.lit(": "), e["msg"])))
+
+
+# --- cached builders over canonical columns -----------------------------------
+# `m` is the manifest struct column; `n_sources` / `n_benchmarks` the list
+# lengths; `folder` / `file_stem` the file identity.
+
+from corpusgate.functions.cache import session_cached  # noqa: E402
+
+
+@session_cached
+def c_data_errors(m: str = "m", n_sources: str = "n_sources") -> Column:
+    return data_errors(F.col(m), F.col(n_sources))
+
+
+@session_cached
+def c_benchmark_errors(m: str = "m", n_benchmarks: str = "n_benchmarks") -> Column:
+    return benchmark_errors(F.col(m), F.col(n_benchmarks))
+
+
+@session_cached
+def c_field_errors(m: str = "m") -> Column:
+    return field_errors(F.col(m))
+
+
+@session_cached
+def c_names_repeat(m: str = "m") -> Column:
+    return benchmark_names_repeat(F.col(m))
+
+
+@session_cached
+def c_file_errors(m: str = "m", folder: str = "folder", file_stem: str = "file_stem") -> Column:
+    return file_errors(F.col(m), F.col(folder), F.col(file_stem))
+
+
+@session_cached
+def c_validation_errors(m: str = "m", n_sources: str = "n_sources", n_benchmarks: str = "n_benchmarks") -> Column:
+    return validation_errors(F.col(m), F.col(n_sources), F.col(n_benchmarks))
+
+
+@session_cached
+def c_problems(m: str = "m", n_sources: str = "n_sources", n_benchmarks: str = "n_benchmarks",
+               folder: str = "folder", file_stem: str = "file_stem") -> Column:
+    return problems(F.col(m), F.col(n_sources), F.col(n_benchmarks), F.col(folder), F.col(file_stem))

@@ -12,7 +12,10 @@ from corpusgate.sources.manifests import fixture_manifests
 
 
 def _nested(spark, sf_dir):
-    return fixture_manifests(spark, sf_dir)
+    """Nested manifests with the whole manifest as one struct column `m`."""
+    n = fixture_manifests(spark, sf_dir)
+    return n.select("manifest_id", "folder", "file_stem", "n_sources", "n_benchmarks",
+                    F.struct(*[F.col(c) for c in n.columns]).alias("m"))
 
 
 def _explode_errors(df, errs, *extra):
@@ -23,9 +26,8 @@ def _explode_errors(df, errs, *extra):
 def q_source_rules(spark, sf_dir):
     """MV3–MV9: list length, per-source field rules and rendering rules."""
     m = _nested(spark, sf_dir)
-    row = F.struct(*[F.col(c) for c in m.columns])
-    errs = F.filter(R.data_errors(row, F.col("n_sources")), lambda e: e["item"] < 1000)
-    out = m.select("manifest_id", "data", F.explode(errs).alias("e"))
+    errs = F.filter(R.c_data_errors(), lambda e: e["item"] < 1000)
+    out = m.select("manifest_id", F.col("m.data").alias("data"), F.explode(errs).alias("e"))
     src = F.get(F.col("data.dataset_sources"), F.col("e.item"))
     subject = F.when(F.col("e.loc") != "data.dataset_sources",
                      source_subject(src["path"], src["name"], src["split"]))
@@ -52,18 +54,16 @@ def q_duplicate_sources(spark, sf_dir):
 def q_manifest_rules(spark, sf_dir):
     """MV10, MV18–MV22: sequence length and the proposal's own fields."""
     m = _nested(spark, sf_dir)
-    row = F.struct(*[F.col(c) for c in m.columns])
-    seq = F.filter(R.data_errors(row, F.col("n_sources")), lambda e: e["item"] == 1000)
-    return _explode_errors(m, F.concat(R.field_errors(row), seq))
+    seq = F.filter(R.c_data_errors(), lambda e: e["item"] == 1000)
+    return _explode_errors(m, F.concat(R.c_field_errors(), seq))
 
 
 def q_benchmark_rules(spark, sf_dir):
     """MV13–MV17 per benchmark and list, plus MV23 (names unique)."""
     m = _nested(spark, sf_dir)
-    row = F.struct(*[F.col(c) for c in m.columns])
-    unique = R.errors(R.err(R.benchmark_names_repeat(row), R.SEC["top"], 0, 0, "(top level)",
+    unique = R.errors(R.err(R.c_names_repeat(), R.SEC["top"], 0, 0, "(top level)",
                             R.value_error(F.lit("benchmark names must be unique"))))
-    return _explode_errors(m, F.concat(R.benchmark_errors(row, F.col("n_benchmarks")), unique))
+    return _explode_errors(m, F.concat(R.c_benchmark_errors(), unique))
 
 
 def q_heldout_violations(spark, sf_dir):
@@ -86,8 +86,7 @@ def q_heldout_violations(spark, sf_dir):
 def q_file_identity(spark, sf_dir):
     """MV25, MV26 on every file (not gated here)."""
     m = _nested(spark, sf_dir)
-    row = F.struct(*[F.col(c) for c in m.columns])
-    errs = R.file_errors(row, F.col("folder"), F.col("file_stem"))
+    errs = R.c_file_errors()
     return m.select("manifest_id", F.explode(errs).alias("e")).select("manifest_id",
                                                                        F.col("e.msg").alias("message"))
 
@@ -102,8 +101,7 @@ def q_all_problems(spark, sf_dir):
     """MV28 / MV29: every problem of the tree — per file in path order, then
     task names used in more than one folder."""
     m = _nested(spark, sf_dir)
-    row = F.struct(*[F.col(c) for c in m.columns])
-    probs = R.problems(row, F.col("n_sources"), F.col("n_benchmarks"), F.col("folder"), F.col("file_stem"))
+    probs = R.c_problems()
     per_file = m.select(F.lit(2).alias("phase"), "manifest_id",
                         F.posexplode(probs).alias("seq", "problem")).select(
         "phase", "manifest_id", (F.col("seq") + 1).alias("seq"), "problem")
