@@ -55,29 +55,35 @@ def compile_template(template: str, schema: T.StructType | None = None) -> Colum
 
 
 def render_by_template_column(template: Column, values: Column) -> Column:
-    """PR2 for a per-row template: `values` is a MAP<STRING,STRING> of the
-    row's columns already printed as text (null → 'None'). `{{` / `}}` become
-    braces; a field absent from the map renders the whole row as ''."""
+    """PR2 for a per-row template. `values` is a MAP<STRING,STRING> of the
+    row's columns printed as text (`row_values_map`; null stays null).
+    `{{` / `}}` become braces, a null value prints 'None', and a field
+    naming no column renders the whole row as '' (as a failed format does)."""
     tokens = F.regexp_extract_all(template, F.lit(r"\{\{|\}\}|\{[^{}]+\}|[^{}]+|[{}]"), 0)
-    pieces = F.transform(
-        tokens,
-        lambda t: F.when(t == "{{", F.lit("{"))
-        .when(t == "}}", F.lit("}"))
-        .when(t.startswith("{") & t.endswith("}") & (F.length(t) > 2),
-              values[t.substr(F.lit(2), F.length(t) - 2)])
-        .otherwise(t),
-    )
+
+    def piece(t: Column) -> Column:
+        name = t.substr(F.lit(2), F.length(t) - 2)
+        return (F.when(t == "{{", F.lit("{")).when(t == "}}", F.lit("}"))
+                .when(t.startswith("{") & t.endswith("}") & (F.length(t) > 2),
+                      F.when(F.map_contains_key(values, name), F.coalesce(values[name], F.lit("None"))))
+                .otherwise(t))
+    pieces = F.transform(tokens, piece)
     return F.when(F.exists(pieces, lambda p: p.isNull()), F.lit("")).otherwise(F.array_join(pieces, ""))
 
 
-def row_values_map(df_columns: list[str], schema: T.StructType) -> Column:
-    """MAP<column name, printed value> for `render_by_template_column`."""
-    types = {f.name: f.dataType for f in schema.fields}
+def row_values_map(schema: T.StructType, columns: list[str] | None = None) -> Column:
+    """MAP<column name, value as text> of a row; booleans print True/False,
+    nulls stay null. Nested columns are left out (they cannot be text)."""
     entries = []
-    for c in df_columns:
-        if isinstance(types.get(c), (T.ArrayType, T.MapType, T.StructType)):
+    for f in schema.fields:
+        if columns is not None and f.name not in columns:
+            continue
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
             continue
-        entries += [F.lit(c), _value_text(F.col(f"`{c}`"), types.get(c))]
+        c = F.col(f"`{f.name}`")
+        text = F.when(c, F.lit("True")).when(~c, F.lit("False")) if isinstance(f.dataType, T.BooleanType) \
+            else c.cast("string")
+        entries += [F.lit(f.name), text]
     return F.create_map(*entries) if entries else F.create_map().cast("map<string,string>")
 
 

@@ -20,7 +20,10 @@ from corpusgate.functions.render import template_columns, template_is_valid
 from corpusgate.functions.text import fmt_g, quoted, truthy, ustrip
 
 ERROR_TYPE = "struct<sec:int,item:int,sub:int,loc:string,msg:string>"
-NO_ERRORS = F.array().cast(f"array<{ERROR_TYPE}>")
+
+
+def no_errors() -> Column:
+    return F.array().cast(f"array<{ERROR_TYPE}>")
 
 SEC = {"name": 1, "title": 2, "proposer": 3, "description": 4, "data": 5, "benchmarks": 6,
        "hypothesis": 7, "evidence": 8, "suggested_training": 9, "contamination": 10, "top": 11, "file": 12}
@@ -154,7 +157,7 @@ def data_errors(m: Column, n_sources: Column) -> Column:
     — when all of those pass — the weight sum (MV11), then repeats (MV12)."""
     sources = m["data"]["dataset_sources"]
     list_ok = (n_sources >= 1) & (n_sources <= K.MAX_SOURCES)
-    items = F.when(list_ok, F.flatten(F.transform(prepare_sources(sources), source_errors))).otherwise(NO_ERRORS)
+    items = F.when(list_ok, F.flatten(F.transform(prepare_sources(sources), source_errors))).otherwise(no_errors())
     seq = m["data"]["sequence_length"]
     seq_err = err(~seq.isin(*K.SEQUENCE_LENGTHS), SEC["data"], 1000, 0, "data.sequence_length",
                   value_error(F.lit(K.MSG_SEQ_LEN)))
@@ -213,7 +216,7 @@ def benchmark_errors_one(b: Column, i: Column) -> Column:
 
 def benchmark_errors(m: Column, n_benchmarks: Column) -> Column:
     list_ok = (n_benchmarks >= 1) & (n_benchmarks <= K.MAX_BENCHMARKS)
-    items = F.when(list_ok, F.flatten(F.transform(m["benchmarks"], benchmark_errors_one))).otherwise(NO_ERRORS)
+    items = F.when(list_ok, F.flatten(F.transform(m["benchmarks"], benchmark_errors_one))).otherwise(no_errors())
     return F.concat(errors(list_length_error(n_benchmarks, SEC["benchmarks"], "benchmarks", K.MAX_BENCHMARKS)),
                     items)
 
@@ -294,7 +297,7 @@ def proposal_errors(m: Column) -> Column:
 def validation_errors(m: Column, n_sources: Column, n_benchmarks: Column) -> Column:
     """All library-level errors of one manifest, gated and in report order."""
     fields = F.concat(field_errors(m), data_errors(m, n_sources), benchmark_errors(m, n_benchmarks))
-    return F.array_sort(F.concat(fields, F.when(F.size(fields) == 0, proposal_errors(m)).otherwise(NO_ERRORS)))
+    return F.array_sort(F.concat(fields, F.when(F.size(fields) == 0, proposal_errors(m)).otherwise(no_errors())))
 
 
 def label(folder: Column, file_stem: Column) -> Column:
@@ -318,7 +321,7 @@ def file_errors(m: Column, folder: Column, file_stem: Column) -> Column:
 def problems(m: Column, n_sources: Column, n_benchmarks: Column, folder: Column, file_stem: Column) -> Column:
     """MV28/MV29 for one file: labelled problem strings in report order."""
     v = validation_errors(m, n_sources, n_benchmarks)
-    all_errs = F.concat(v, F.when(F.size(v) == 0, file_errors(m, folder, file_stem)).otherwise(NO_ERRORS))
+    all_errs = F.concat(v, F.when(F.size(v) == 0, file_errors(m, folder, file_stem)).otherwise(no_errors()))
     lab = label(folder, file_stem)
     return F.transform(all_errs, lambda e: F.when(e["sec"] == SEC["file"], e["msg"])
                        .otherwise(F.concat(lab, F.lit(": "), e["loc"], F.lit(": "), e["msg"])))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-PLAN_MODULES = ("corpus", "manifests")
+PLAN_MODULES = ("corpus", "manifests", "datacheck")
 
 
 def _modules():
