@@ -12,7 +12,7 @@ All of it is per-row work on one nested row: no shuffle, no driver loop.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgate import constants as K
@@ -152,26 +152,28 @@ def first_repeated_source(sources: Column) -> Column:
     return F.get(repeated, 0)
 
 
-def data_errors(m: Column, n_sources: Column) -> Column:
-    """Section `data`: list length or per-source errors, sequence length, and
-    — when all of those pass — the weight sum (MV11), then repeats (MV12)."""
+def data_field_errors(m: Column, n_sources: Column) -> Column:
+    """Section `data` below its own rule: list length or per-source errors,
+    and the sequence length."""
     sources = m["data"]["dataset_sources"]
     list_ok = (n_sources >= 1) & (n_sources <= K.MAX_SOURCES)
     items = F.when(list_ok, F.flatten(F.transform(prepare_sources(sources), source_errors))).otherwise(no_errors())
     seq = m["data"]["sequence_length"]
     seq_err = err(~seq.isin(*K.SEQUENCE_LENGTHS), SEC["data"], 1000, 0, "data.sequence_length",
                   value_error(F.lit(K.MSG_SEQ_LEN)))
-    field_errs = F.concat(errors(list_length_error(n_sources, SEC["data"], "data.dataset_sources",
-                                                   K.MAX_SOURCES), seq_err), items)
-    total = weight_total(sources)
-    rep = first_repeated_source(sources)
+    return F.concat(errors(list_length_error(n_sources, SEC["data"], "data.dataset_sources", K.MAX_SOURCES),
+                           seq_err), items)
+
+
+def data_after_error(total: Column, rep: Column) -> Column:
+    """MV11, then MV12 — the `data` rule, given the weight total and the
+    first repeated source (both precomputed columns)."""
     after = F.when(F.abs(total - 1.0) > K.WEIGHT_TOLERANCE,
                    value_error(F.concat(F.lit("dataset_sources weights must sum to 1.0 (they sum to "),
                                         fmt_g(total), F.lit(")")))) \
         .when(rep.isNotNull(), value_error(F.concat(F.lit("dataset source "), source_key_repr(rep),
                                                     F.lit(" is listed twice"))))
-    after_err = errors(err((F.size(field_errs) == 0) & after.isNotNull(), SEC["data"], 1001, 0, "data", after))
-    return F.concat(field_errs, after_err)
+    return errors(err(after.isNotNull(), SEC["data"], 1001, 0, "data", after))
 
 
 # --- benchmarks -----------------------------------------------------------------
@@ -287,19 +289,13 @@ def held_out_message(b: Column) -> Column:
                     F.lit(", which is also a training source — the expert would be graded on data it trained on"))
 
 
-def proposal_errors(m: Column) -> Column:
-    """L3: benchmark names unique, then held-out splits."""
-    v = first_held_out_violation(m)
+def proposal_errors(m: Column, v: Column) -> Column:
+    """L3: benchmark names unique, then held-out splits (`v`: the first
+    held-out violation, a precomputed column)."""
     msg = F.when(benchmark_names_repeat(m), F.lit(K.MSG_BENCH_UNIQUE)).when(v.isNotNull(), held_out_message(v))
     return errors(err(msg.isNotNull(), SEC["top"], 0, 0, "(top level)", value_error(msg)))
 
 
-def validation_errors(m: Column, n_sources: Column, n_benchmarks: Column) -> Column:
-    """All library-level errors of one manifest, gated and in report order."""
-    fields = F.concat(field_errors(m), data_errors(m, n_sources), benchmark_errors(m, n_benchmarks))
-    return F.array_sort(F.concat(fields, F.when(F.size(fields) == 0, proposal_errors(m)).otherwise(no_errors())))
-
-
 def label(folder: Column, file_stem: Column) -> Column:
     return F.concat(folder, F.lit("/"), file_stem, F.lit(".yaml"))
 
@@ -318,15 +314,44 @@ def file_errors(m: Column, folder: Column, file_stem: Column) -> Column:
     )
 
 
-def problems(m: Column, n_sources: Column, n_benchmarks: Column, folder: Column, file_stem: Column) -> Column:
-    """MV28/MV29 for one file: labelled problem strings in report order."""
-    v = validation_errors(m, n_sources, n_benchmarks)
-    all_errs = F.concat(v, F.when(F.size(v) == 0, file_errors(m, folder, file_stem)).otherwise(no_errors()))
+def labelled(errs: Column, folder: Column, file_stem: Column) -> Column:
+    """MV29: `<folder>/<file>: <loc>: <msg>`; file-level messages carry
+    their own label."""
     lab = label(folder, file_stem)
-    return F.transform(all_errs, lambda e: F.when(e["sec"] == SEC["file"], e["msg"])
+    return F.transform(errs, lambda e: F.when(e["sec"] == SEC["file"], e["msg"])
                        .otherwise(F.concat(lab, F.lit(": "), e["loc"], F.lit(": "), e["msg"])))
 
 
+def with_rule_columns(df: DataFrame, m: str = "m", n_sources: str = "n_sources",
+                      n_benchmarks: str = "n_benchmarks", folder: str = "folder",
+                      file_stem: str = "file_stem") -> DataFrame:
+    """Evaluate every manifest rule, one stage per column, so that each
+    intermediate array is computed once (a value used by two later rules is
+    a column, not a repeated sub-expression):
+
+    _e_data_f  data fields and sources      _e_data   + weights / repeats (L2)
+    _e_bench   benchmarks                   _e_fields proposal fields
+    _e_valid   all library errors, sorted (+ L3 when nothing below failed)
+    problems   labelled strings, + file rules (L4) when valid
+    """
+    mc = F.col(m)
+    sources = mc["data"]["dataset_sources"]
+    df = (df.withColumn("_total", weight_total(sources))
+          .withColumn("_rep", first_repeated_source(sources))
+          .withColumn("_held", first_held_out_violation(mc))
+          .withColumn("_e_data_f", c_data_field_errors(m, n_sources)))
+    df = df.withColumn("_e_data", F.concat(F.col("_e_data_f"), F.when(
+        F.size("_e_data_f") == 0, data_after_error(F.col("_total"), F.col("_rep"))).otherwise(no_errors())))
+    df = df.withColumn("_e_bench", c_benchmark_errors(m, n_benchmarks)).withColumn("_e_fields", c_field_errors(m))
+    lower = F.concat(F.col("_e_fields"), F.col("_e_data"), F.col("_e_bench"))
+    df = df.withColumn("_e_lower", lower)
+    df = df.withColumn("_e_valid", F.array_sort(F.concat(F.col("_e_lower"), F.when(
+        F.size("_e_lower") == 0, proposal_errors(mc, F.col("_held"))).otherwise(no_errors()))))
+    all_errs = F.concat(F.col("_e_valid"), F.when(F.size("_e_valid") == 0, file_errors(
+        mc, F.col(folder), F.col(file_stem))).otherwise(no_errors()))
+    return df.withColumn("problems", labelled(all_errs, F.col(folder), F.col(file_stem)))
+
+
 # --- cached builders over canonical columns -----------------------------------
 # `m` is the manifest struct column; `n_sources` / `n_benchmarks` the list
 # lengths; `folder` / `file_stem` the file identity.
@@ -335,8 +360,8 @@ from corpusgate.functions.cache import session_cached  # noqa: E402
 
 
 @session_cached
-def c_data_errors(m: str = "m", n_sources: str = "n_sources") -> Column:
-    return data_errors(F.col(m), F.col(n_sources))
+def c_data_field_errors(m: str = "m", n_sources: str = "n_sources") -> Column:
+    return data_field_errors(F.col(m), F.col(n_sources))
 
 
 @session_cached
@@ -357,14 +382,3 @@ def c_names_repeat(m: str = "m") -> Column:
 @session_cached
 def c_file_errors(m: str = "m", folder: str = "folder", file_stem: str = "file_stem") -> Column:
     return file_errors(F.col(m), F.col(folder), F.col(file_stem))
-
-
-@session_cached
-def c_validation_errors(m: str = "m", n_sources: str = "n_sources", n_benchmarks: str = "n_benchmarks") -> Column:
-    return validation_errors(F.col(m), F.col(n_sources), F.col(n_benchmarks))
-
-
-@session_cached
-def c_problems(m: str = "m", n_sources: str = "n_sources", n_benchmarks: str = "n_benchmarks",
-               folder: str = "folder", file_stem: str = "file_stem") -> Column:
-    return problems(F.col(m), F.col(n_sources), F.col(n_benchmarks), F.col(folder), F.col(file_stem))

@@ -15,8 +15,7 @@ from corpusgate.functions.joins import null_safe_join
 from corpusgate.operators import catalog as C
 from corpusgate.operators import datacheck as D
 from corpusgate.operators import report as RP
-from corpusgate.operators.rules import c_problems
-from corpusgate.plans.manifests import _nested
+from corpusgate.plans.manifests import _ruled
 from corpusgate.session import checkpoint_dir
 from corpusgate.sources.fixtures import fixture
 from corpusgate.sources.tables import table
@@ -120,8 +119,8 @@ def valid_manifests(spark, sf_dir) -> DataFrame:
     session's checkpoint folder) once: the rule pass does not rerun and the
     lineage is cut."""
     checkpoint_dir(spark)
-    m = _nested(spark, sf_dir)
-    return m.where(F.size(c_problems()) == 0).select("manifest_id", F.col("m.name").alias("name")).checkpoint()
+    m = _ruled(spark, sf_dir)
+    return m.where(F.size("problems") == 0).select("manifest_id", F.col("m.name").alias("name")).checkpoint()
 
 
 def proposal_findings(spark, sf_dir) -> DataFrame:

@@ -18,6 +18,11 @@ def _nested(spark, sf_dir):
                     F.struct(*[F.col(c) for c in n.columns]).alias("m"))
 
 
+def _ruled(spark, sf_dir):
+    """Nested manifests with every rule evaluated (`with_rule_columns`)."""
+    return R.with_rule_columns(_nested(spark, sf_dir))
+
+
 def _explode_errors(df, errs, *extra):
     return df.select("manifest_id", *extra, F.explode(errs).alias("e")).select(
         "manifest_id", *extra, F.col("e.loc").alias("loc"), F.col("e.msg").alias("message"))
@@ -25,8 +30,8 @@ def _explode_errors(df, errs, *extra):
 
 def q_source_rules(spark, sf_dir):
     """MV3–MV9: list length, per-source field rules and rendering rules."""
-    m = _nested(spark, sf_dir)
-    errs = F.filter(R.c_data_errors(), lambda e: e["item"] < 1000)
+    m = _ruled(spark, sf_dir)
+    errs = F.filter(F.col("_e_data"), lambda e: e["item"] < 1000)
     out = m.select("manifest_id", F.col("m.data").alias("data"), F.explode(errs).alias("e"))
     src = F.get(F.col("data.dataset_sources"), F.col("e.item"))
     subject = F.when(F.col("e.loc") != "data.dataset_sources",
@@ -53,8 +58,8 @@ def q_duplicate_sources(spark, sf_dir):
 
 def q_manifest_rules(spark, sf_dir):
     """MV10, MV18–MV22: sequence length and the proposal's own fields."""
-    m = _nested(spark, sf_dir)
-    seq = F.filter(R.c_data_errors(), lambda e: e["item"] == 1000)
+    m = _nested(spark, sf_dir).withColumn("_e_data_f", R.c_data_field_errors())
+    seq = F.filter(F.col("_e_data_f"), lambda e: e["item"] == 1000)
     return _explode_errors(m, F.concat(R.c_field_errors(), seq))
 
 
@@ -100,8 +105,8 @@ def q_taken_and_duplicate_names(spark, sf_dir):
 def q_all_problems(spark, sf_dir):
     """MV28 / MV29: every problem of the tree — per file in path order, then
     task names used in more than one folder."""
-    m = _nested(spark, sf_dir)
-    probs = R.c_problems()
+    m = _ruled(spark, sf_dir)
+    probs = F.col("problems")
     per_file = m.select(F.lit(2).alias("phase"), "manifest_id",
                         F.posexplode(probs).alias("seq", "problem")).select(
         "phase", "manifest_id", (F.col("seq") + 1).alias("seq"), "problem")
