@@ -1,6 +1,7 @@
 """Join helpers."""
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -8,10 +9,13 @@ from pyspark.sql import functions as F
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast `df` only when its counted size is within `max_rows`.
 
-    The count is one small job over an already-reduced table (requests,
-    catalog rows, registries). Past the bound the frame is returned as is
-    and the join shuffles on its keys; AQE may still broadcast it when the
-    shuffled size turns out small."""
+    `df` is an already-reduced table (requests, anchors, candidates,
+    registries). It is persisted (memory, spilling to disk; recomputable
+    from lineage if an executor is lost) and counted, so the count and the
+    join that follows read it once. Past the bound the frame is returned
+    as is and the join shuffles on its keys; AQE may still broadcast it
+    when the shuffled size turns out small."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = df.count()
     return F.broadcast(df) if n <= max_rows else df
 

@@ -5,14 +5,16 @@ Exact containment, found without comparing every item with every row:
 
 * Split texts into tokens on whitespace. If item t = w1 … wk occurs inside
   row d, every *interior* token w2 … w(k-1) is a whole token of d (it has
-  whitespace on both sides), and they are consecutive. So for k ≥ 3 the
-  anchor (w2 … w(n+1)), n = min(8, k-2), is a token n-gram of d.
-* Rows emit the hashes of their token n-grams (only for the few n the items
-  use) and keep those that hit an anchor — a left-semi join against the
-  anchor table, broadcast when its counted size allows (benchmarks are
-  small), else a shuffle join on the hash. Nothing but (row, hash) hits
-  leaves the scan.
-* Each candidate pair is verified with `contains` on the full texts.
+  whitespace on both sides). So each item with k ≥ 3 needs only rows that
+  hold one chosen interior token — its anchor.
+* The anchor is the item's interior token that the fewest rows contain.
+  Pass 1 explodes row tokens (a codegen'd generator, deduplicated per row),
+  keeps those in the items' interior vocabulary (a broadcast semi-join;
+  benchmarks are small, size-checked) and counts rows per token — an
+  aggregate whose output is the vocabulary. Pass 2 keeps rows holding an
+  anchor token: (row, item) candidates.
+* Each candidate pair is verified with `contains` on the full texts, so the
+  anchor choice changes only the work, never the answer.
 * Items of one or two tokens have no interior token; they are matched by
   `contains` against every row, joined with the (size-checked) broadcast of
   those few items.
@@ -24,7 +26,6 @@ from pyspark.sql import functions as F
 
 from corpusgate.functions.joins import broadcast_if_small
 
-MAX_ANCHOR = 8
 TOKEN_SPLIT = r"\s+"
 
 
@@ -32,38 +33,35 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, TOKEN_SPLIT), lambda t: t != "")
 
 
-def _token_hashes(text: Column) -> Column:
-    return F.transform(tokens(text), lambda t: F.xxhash64(t))
+def _row_tokens(rows: DataFrame, row_id: str, row_text: str) -> DataFrame:
+    return rows.select(F.col(row_id).alias("row_id"),
+                       F.explode(F.array_distinct(F.split(F.col(row_text), TOKEN_SPLIT))).alias("token"))
 
 
 def contamination(items: DataFrame, rows: DataFrame, item_id: str = "item_id", item_text: str = "text",
                   row_id: str = "doc_id", row_text: str = "text", max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """(item_id, row_id) for every row whose text contains the item's text."""
     it = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item_text"))
-    it = it.withColumn("th", _token_hashes(F.col("item_text"))).withColumn("k", F.size("th"))
-    long_items = it.where(F.col("k") >= 3).withColumn("n", F.least(F.lit(MAX_ANCHOR), F.col("k") - 2))
-    anchors = long_items.select("item_id", "n", F.xxhash64(F.slice("th", 2, F.col("n"))).alias("h"))
+    it = it.withColumn("tk", tokens(F.col("item_text"))).withColumn("k", F.size("tk"))
+    interior = (it.where(F.col("k") >= 3)
+                .select("item_id", F.explode(F.slice("tk", 2, F.col("k") - 2)).alias("token")).distinct())
+    vocab = broadcast_if_small(interior.select("token").distinct(), max_broadcast_rows)
+    # pass 1: rows per interior token
+    freq = (_row_tokens(rows, row_id, row_text).join(vocab, "token", "left_semi")
+            .groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+    scored = interior.join(freq, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    anchors = (scored.groupBy("item_id").agg(F.min(F.struct("df", "token")).alias("a"))
+               .select("item_id", F.col("a.token").alias("token")))
     anchors = broadcast_if_small(anchors, max_broadcast_rows)
-    sizes = sorted(r["n"] for r in anchors.select("n").distinct().collect())  # at most MAX_ANCHOR values
-    hits = None
-    for n in sizes:
-        grams = rows.select(F.col(row_id).alias("row_id"), _token_hashes(F.col(row_text)).alias("rh"))
-        starts = F.when(F.size("rh") >= n, F.sequence(F.lit(1), F.size("rh") - n + 1)) \
-            .otherwise(F.array().cast("array<int>"))
-        grams = grams.select("row_id", F.explode(F.transform(
-            starts, lambda i: F.xxhash64(F.slice(F.col("rh"), i, n)))).alias("h"))
-        found = grams.join(anchors.where(F.col("n") == n).select("h", "item_id"), "h").select("row_id", "item_id")
-        hits = found if hits is None else hits.unionByName(found)
-    candidates = hits.distinct() if hits is not None else None
+    # pass 2: rows holding an anchor token
+    candidates = (_row_tokens(rows, row_id, row_text).join(anchors, "token")
+                  .select("row_id", "item_id").distinct())
     text_rows = rows.select(F.col(row_id).alias("row_id"), F.col(row_text).alias("row_text"))
-    out = None
-    if candidates is not None:
-        cand = broadcast_if_small(candidates, max_broadcast_rows)
-        verified = (text_rows.join(cand, "row_id").join(it.select("item_id", "item_text"), "item_id")
-                    .where(F.col("row_text").contains(F.col("item_text"))).select("item_id", "row_id"))
-        out = verified
+    cand = broadcast_if_small(candidates, max_broadcast_rows)
+    verified = (text_rows.join(cand, "row_id").join(F.broadcast(it.select("item_id", "item_text")), "item_id")
+                .where(F.col("row_text").contains(F.col("item_text"))).select("item_id", "row_id"))
     short_items = broadcast_if_small(it.where(F.col("k") < 3).select("item_id", "item_text"), max_broadcast_rows)
     short = (text_rows.join(short_items, F.col("row_text").contains(F.col("item_text")))
              .select("item_id", "row_id"))
-    out = short if out is None else out.unionByName(short)
+    out = verified.unionByName(short)
     return out.select(F.col("item_id").alias(item_id), F.col("row_id").alias(row_id))

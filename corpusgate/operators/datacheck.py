@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusgate import constants as K
+from corpusgate.functions.cache import session_cached
 from corpusgate.functions.joins import broadcast_if_small, null_safe_join
 from corpusgate.functions.render import columns_used, render_by_template_column, row_values_map, template_columns
 from corpusgate.functions.text import percent, quoted, truthy
@@ -84,6 +85,16 @@ def _fd(ord_: int, level: Column | str, msg: Column, cond: Column) -> Column:
     return F.when(cond, F.struct(F.lit(ord_).alias("ord"), level.alias("level"), msg.alias("message")))
 
 
+@session_cached
+def c_profile_wanted(corpus_columns: tuple) -> Column:
+    """Sources worth profiling: the catalog lets them proceed, the load
+    succeeded and the corpus has every column they read."""
+    _, proceed = C.hub_entry(F.col("path"), F.col("revision"), True, F.col("c_found"), F.col("c_http_status"),
+                             F.col("c_disabled"), F.col("c_gated"), F.col("c_siblings"))
+    return (proceed & (F.coalesce(F.col("l_status"), F.lit("ok")) == "ok")
+            & (F.size(missing_columns(F.col("text_column"), F.col("text_template"), list(corpus_columns))) == 0))
+
+
 def source_findings(df: DataFrame, corpus_columns: list[str], sample_rows: int = K.DEFAULT_SAMPLE_ROWS,
                     timeout: float = 60.0) -> DataFrame:
     """CL4 in order, stopping at the first that applies: hub entry (CL1),
@@ -95,6 +106,13 @@ def source_findings(df: DataFrame, corpus_columns: list[str], sample_rows: int =
     the catalog columns (`with_catalog`), the load columns (`with_loads`) and
     the request statistics (nullable). Returns the input keys plus
     `findings ARRAY<STRUCT<ord, level, message>>` and `stats_ok`."""
+    findings, stats_ok = _source_findings_cols(tuple(corpus_columns), sample_rows, timeout)
+    return df.withColumn("findings", findings).withColumn("stats_ok", stats_ok)
+
+
+@session_cached
+def _source_findings_cols(corpus_columns: tuple, sample_rows: int, timeout: float):
+    corpus_columns = list(corpus_columns)
     hub, proceed = C.hub_entry(F.col("path"), F.col("revision"), True, F.col("c_found"), F.col("c_http_status"),
                                F.col("c_disabled"), F.col("c_gated"), F.col("c_siblings"))
     status = F.coalesce(F.col("l_status"), F.lit("ok"))
@@ -144,10 +162,15 @@ def source_findings(df: DataFrame, corpus_columns: list[str], sample_rows: int =
         _fd(7, "ok", F.concat(ok_msg, rows.cast("string"), F.lit(" rows sampled)")),
             stats_ok & ~(short > K.SHORT_ERROR_SHARE) & ~(dup > K.DUP_ERROR_SHARE)),
     ), lambda x: x.isNotNull()))
-    return df.withColumn("findings", findings).withColumn("stats_ok", stats_ok)
+    return findings, stats_ok
 
 
 def benchmark_findings(df: DataFrame, has_registry: bool, sample_timeout: float = 60.0) -> DataFrame:
+    return df.withColumn("findings", _benchmark_findings_col(has_registry, sample_timeout))
+
+
+@session_cached
+def _benchmark_findings_col(has_registry: bool, sample_timeout: float) -> Column:
     """CL5: hub entry (benchmark rules: no revision, gated only warns); load
     timeout → warning and continue, error → stop, zero rows → stop; then
     the harness: lm_eval task known / missing / unverified, eval_loss ok.
@@ -188,4 +211,4 @@ def benchmark_findings(df: DataFrame, has_registry: bool, sample_timeout: float
         *lm_find,
         _fd(6, "ok", F.concat(where, F.lit(" is readable for a held-out loss")), go & ~lm),
     ), lambda x: x.isNotNull()))
-    return df.withColumn("findings", findings)
+    return findings

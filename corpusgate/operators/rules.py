@@ -322,9 +322,19 @@ def labelled(errs: Column, folder: Column, file_stem: Column) -> Column:
                        .otherwise(F.concat(lab, F.lit(": "), e["loc"], F.lit(": "), e["msg"])))
 
 
+def _merge_extras(errs: Column, extras: Column, sec: int, n: Column, limit: int) -> Column:
+    """Add unknown-key errors of section `sec` to its field errors; an item
+    with one loses its "after" rule (sub 9); a list over its limit reports
+    nothing but its length."""
+    mine = F.filter(extras, lambda x: (x["sec"] == sec) & ((x["item"] >= 1000) | ((n >= 1) & (n <= limit))))
+    kept = F.filter(errs, lambda e: ~((e["sub"] == 9) & F.exists(mine, lambda x: (x["item"] == e["item"])
+                                                                  & (x["item"] < 1000))))
+    return F.concat(kept, mine)
+
+
 def with_rule_columns(df: DataFrame, m: str = "m", n_sources: str = "n_sources",
                       n_benchmarks: str = "n_benchmarks", folder: str = "folder",
-                      file_stem: str = "file_stem") -> DataFrame:
+                      file_stem: str = "file_stem", extra: str | None = None) -> DataFrame:
     """Evaluate every manifest rule, one stage per column, so that each
     intermediate array is computed once (a value used by two later rules is
     a column, not a repeated sub-expression):
@@ -340,9 +350,17 @@ def with_rule_columns(df: DataFrame, m: str = "m", n_sources: str = "n_sources",
           .withColumn("_rep", first_repeated_source(sources))
           .withColumn("_held", first_held_out_violation(mc))
           .withColumn("_e_data_f", c_data_field_errors(m, n_sources)))
+    if extra is not None:  # MV1 errors found on the raw document
+        df = df.withColumn("_e_data_f", _merge_extras(F.col("_e_data_f"), F.col(extra), SEC["data"],
+                                                        F.col(n_sources), K.MAX_SOURCES))
     df = df.withColumn("_e_data", F.concat(F.col("_e_data_f"), F.when(
         F.size("_e_data_f") == 0, data_after_error(F.col("_total"), F.col("_rep"))).otherwise(no_errors())))
     df = df.withColumn("_e_bench", c_benchmark_errors(m, n_benchmarks)).withColumn("_e_fields", c_field_errors(m))
+    if extra is not None:
+        df = df.withColumn("_e_bench", _merge_extras(F.col("_e_bench"), F.col(extra), SEC["benchmarks"],
+                                                       F.col(n_benchmarks), K.MAX_BENCHMARKS))
+        other = F.filter(F.col(extra), lambda x: ~x["sec"].isin(SEC["data"], SEC["benchmarks"]))
+        df = df.withColumn("_e_fields", F.concat(F.col("_e_fields"), other))
     lower = F.concat(F.col("_e_fields"), F.col("_e_data"), F.col("_e_bench"))
     df = df.withColumn("_e_lower", lower)
     df = df.withColumn("_e_valid", F.array_sort(F.concat(F.col("_e_lower"), F.when(

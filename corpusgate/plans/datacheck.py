@@ -6,6 +6,7 @@ of source `src<k mod 20>`, ordinal `doc_id`. Benchmarks read the same store.
 """
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,22 +74,34 @@ def q_load_error_findings(spark, sf_dir):
                                              msg.alias("message"))
 
 
+SPEC = ["path", "name", "split", "revision", "text_column", "text_template", "seq_len"]
+
+
 def checked_sources(spark, sf_dir, sources: DataFrame | None = None) -> DataFrame:
-    """CL4 for every source: the cheap checks, then one profiling request per
-    distinct (path, rendering, sequence length) that survives them."""
+    """CL4 for every source.
+
+    A verdict depends only on the source's spec (dataset, config, split,
+    revision, rendering, sequence length), and many manifests name the same
+    corpora, so verdicts are computed once per distinct spec and joined back
+    to the sources (a size-checked broadcast of the spec verdicts). Within
+    the specs, the cheap checks run first and one profiling request per
+    distinct (path, rendering, sequence length) survives them."""
     docs = table(spark, sf_dir, "documents")
     columns = sorted(docs.columns)
-    src = _with_catalog_and_loads(spark, sf_dir, sources if sources is not None else _sources(spark, sf_dir), "path")
-    _, proceed = C.hub_entry(F.col("path"), F.col("revision"), True, F.col("c_found"), F.col("c_http_status"),
-                             F.col("c_disabled"), F.col("c_gated"), F.col("c_siblings"))
-    wanted = (proceed & (F.coalesce(F.col("l_status"), F.lit("ok")) == "ok")
-              & (F.size(D.missing_columns(F.col("text_column"), F.col("text_template"), columns)) == 0))
-    requests = (src.where(wanted)
+    # the source table feeds the spec list, two size checks and the final
+    # join: persist it once (recomputable from lineage if an executor is lost)
+    src = (sources if sources is not None else _sources(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+    specs = _with_catalog_and_loads(spark, sf_dir, src.select(*SPEC).distinct(), "path")
+    requests = (specs.where(D.c_profile_wanted(tuple(columns)))
                 .select("path", corpus_key(F.col("path")).alias("corpus_key"), "text_column", "text_template",
                         "seq_len").distinct())
     stats = D.profile_requests(requests, docs, "source", docs.schema, "doc_id")
-    src = null_safe_join(src, stats, ["path", "text_column", "text_template", "seq_len"], "left")
-    return D.source_findings(src, columns, SAMPLE_ROWS, TIMEOUT)
+    specs = null_safe_join(specs, stats, ["path", "text_column", "text_template", "seq_len"], "left")
+    verdicts = D.source_findings(specs, columns, SAMPLE_ROWS, TIMEOUT).select(
+        *SPEC, "findings", "stats_ok", "rows", "median_chars", "short_share", "dup_share", "long_share")
+    # both sides are manifest-scale: AQE sizes this join from the materialized
+    # verdict stage and broadcasts it when small
+    return null_safe_join(src, verdicts, SPEC, "left")
 
 
 def q_source_findings(spark, sf_dir):

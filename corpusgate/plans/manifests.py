@@ -116,7 +116,29 @@ def q_all_problems(spark, sf_dir):
     return per_file.unionByName(dup)
 
 
+def q_manifest_scan(spark, sf_dir):
+    """SC6 + MV1 + MV28: the fixture manifests written out as documents,
+    decoded again and checked from the raw text — the same problems as the
+    nested path must come out."""
+    from corpusgate.sources.manifests import fixture_documents, manifest_problems
+
+    probs = manifest_problems(fixture_documents(spark, sf_dir))
+    return probs.select("manifest_id", F.posexplode("problems").alias("seq", "problem")).select(
+        "manifest_id", (F.col("seq") + 1).alias("seq"), "problem")
+
+
+def q_find_manifest(spark, sf_dir):
+    """SO3: a task name resolves to the first file with that stem in path
+    order across the proposal roots."""
+    man = fixture(spark, sf_dir, "fx_manifests")
+    paths = man.select("file_stem", F.concat(F.lit("proposals/"), "folder", F.lit("/"), "file_stem",
+                                             F.lit(".yaml")).alias("path"))
+    return paths.groupBy(F.col("file_stem").alias("name")).agg(F.min("path").alias("path"))
+
+
 QUERIES = {
+    "manifest_scan": q_manifest_scan,
+    "find_manifest": q_find_manifest,
     "source_rules": q_source_rules,
     "weight_sum": q_weight_sum,
     "duplicate_sources": q_duplicate_sources,

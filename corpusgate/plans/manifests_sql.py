@@ -235,3 +235,17 @@ from per_file p join m using (manifest_id)
 union all
 select 3, cast(null as bigint), 1, msg from dup_names""",
 }
+
+ORACLES["manifest_scan"] = BASE + """,
+allv as (select * from lower_err union all select * from top_err),
+per_file as (
+  select * from allv
+  union all select f.* from file_err f where not exists (select 1 from allv a where a.manifest_id = f.manifest_id))
+select p.manifest_id,
+  cast(row_number() over (partition by p.manifest_id order by sec, item, sub, loc, msg) as integer) as seq,
+  case when sec = 12 then msg else m.folder || '/' || m.file_stem || '.yaml: ' || loc || ': ' || msg end as problem
+from per_file p join m using (manifest_id)"""
+
+ORACLES["find_manifest"] = cte("fx_manifests") + """
+select file_stem as name, min('proposals/' || folder || '/' || file_stem || '.yaml') as path
+from fx_manifests group by file_stem"""

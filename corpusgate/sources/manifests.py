@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgate import constants as K
@@ -118,36 +118,170 @@ def scan_manifest_files(spark: SparkSession, roots: list[str]) -> DataFrame:
     return out.where(~F.col("folder").startswith("."))
 
 
+# Keys each level of a manifest may carry (unknown keys are errors, MV1).
+ALLOWED_KEYS = {
+    "": ("name", "title", "proposer", "description", "data", "benchmarks", "hypothesis", "evidence",
+         "suggested_training", "contamination"),
+    "proposer": ("github", "contact"),
+    "data": ("dataset_sources", "sequence_length"),
+    "source": ("path", "name", "split", "weight", "text_column", "text_template", "revision", "license"),
+    "benchmark": ("name", "harness", "task", "num_fewshot", "metric", "higher_is_better", "dataset", "why"),
+    "dataset": ("path", "name", "split"),
+    "suggested_training": ("steps", "batch_size"),
+}
+
+
 def _yaml_to_json(batches):
-    """Per-row helper: YAML text → JSON text, or the parse error."""
+    """Per-row helper (the only Python in the manifest path): YAML text →
+    JSON text, or the parse error. Typing and every rule stay in Spark."""
     import pandas as pd
     import yaml
 
+    fast = getattr(yaml, "CSafeLoader", yaml.SafeLoader)  # libyaml: same safe rules, C speed
+
     def one(text):
         try:
-            data = yaml.safe_load(text)
-        except yaml.YAMLError as exc:
-            return None, f"not valid YAML — {exc}", None
+            data = yaml.load(text, Loader=fast)
+        except yaml.YAMLError:
+            try:  # the pure loader gives the exact error text
+                data = yaml.safe_load(text)
+            except yaml.YAMLError as exc:
+                return None, f"not valid YAML — {exc}", False
         if not isinstance(data, dict):
-            return None, None, "not a mapping"
-        return json.dumps(data, default=str), None, None
+            return None, None, True
+        return json.dumps(data, default=str), None, False
 
     for pdf in batches:
         res = [one(t) for t in pdf["text"]]
-        yield pd.DataFrame({
-            "path": pdf["path"],
-            "json": [r[0] for r in res],
-            "yaml_error": [r[1] for r in res],
-            "shape_error": [r[2] for r in res],
-        })
+        out = pdf.drop(columns=["text"])
+        out["json"] = [r[0] for r in res]
+        out["yaml_error"] = [r[1] for r in res]
+        out["not_mapping"] = [r[2] for r in res]
+        yield out
 
 
 def decode_manifests(files: DataFrame) -> DataFrame:
-    """SC6: YAML → JSON in a `mapInPandas` helper, then typed by Spark.
-
-    Output keeps `json` (raw text, for the unknown-key and type rules), the
-    parse errors, and `manifest` parsed with the target schema."""
-    decoded = files.select("path", "text").mapInPandas(
-        _yaml_to_json, "path string, json string, yaml_error string, shape_error string")
-    return (files.join(decoded, "path")
-            .withColumn("manifest", F.from_json(F.col("json"), MANIFEST_DDL)))
+    """SC6: files(path, folder, file_stem, text) → the nested manifest shape
+    plus `load_problems` (YAML errors, non-mapping documents) and `json`.
+
+    YAML → JSON in `mapInPandas`; then `from_json` with the target schema,
+    defaults (split 'train', sequence_length 4096) and list positions."""
+    keep = [c for c in files.columns if c != "text"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields if f.name != "text")
+    # decoding is Python work: spread it over every core (a shuffle of the
+    # small file table), not over however many partitions the listing made
+    parts = files.sparkSession.sparkContext.defaultParallelism
+    decoded = files.repartition(parts).mapInPandas(
+        _yaml_to_json, f"{schema}, json string, yaml_error string, not_mapping boolean")
+    m = F.from_json(F.col("json"), MANIFEST_DDL)
+    srcs = F.transform(m["data"]["dataset_sources"], lambda s, i: s.withField("pos", i + 1).withField(
+        "split", F.coalesce(s["split"], F.lit(K.DEFAULT_SPLIT))))
+    bench = F.transform(m["benchmarks"], lambda b, i: b.withField("pos", i + 1))
+    data = F.struct(F.coalesce(srcs, F.array().cast(f"array<{SOURCE_TYPE}>")).alias("dataset_sources"),
+                    F.coalesce(m["data"]["sequence_length"], F.lit(K.DEFAULT_SEQUENCE_LENGTH)).alias("sequence_length"))
+    label = F.concat(F.col("folder"), F.lit("/"), F.col("file_stem"), F.lit(".yaml"))
+    load_problems = (F.when(F.col("yaml_error").isNotNull(), F.array(F.concat(label, F.lit(": "), F.col("yaml_error"))))
+                     .when(F.col("not_mapping"), F.array(F.concat(label, F.lit(": "), F.col("file_stem"),
+                                                                  F.lit(".yaml: expected a mapping at the top level"))))
+                     .otherwise(F.array().cast("array<string>")))
+    n_src = F.coalesce(F.json_array_length(F.get_json_object("json", "$.data.dataset_sources")), F.lit(0))
+    n_bench = F.coalesce(F.json_array_length(F.get_json_object("json", "$.benchmarks")), F.lit(0))
+    mid = [] if "manifest_id" in keep else [F.xxhash64("path").alias("manifest_id")]
+    return decoded.select(
+        *keep, *mid, "json", load_problems.alias("load_problems"),
+        n_src.alias("n_sources"), n_bench.alias("n_benchmarks"),
+        m.withField("data", data).withField("benchmarks", F.coalesce(bench, F.array().cast(f"array<{BENCHMARK_TYPE}>")))
+        .alias("m"))
+
+
+def unknown_key_errors(json_col: str = "json") -> Column:
+    """MV1: `Extra inputs are not permitted` for every key a level does not
+    declare, located like the library does (`data.dataset_sources.0.x`).
+    Reported after the declared fields of the same level."""
+    from corpusgate.operators.rules import SEC, err, errors
+
+    j = F.col(json_col)
+
+    def extras(obj_json: Column, allowed) -> Column:
+        keys = F.coalesce(F.json_object_keys(obj_json), F.array().cast("array<string>"))
+        return F.array_except(keys, F.array(*[F.lit(k) for k in allowed]))
+
+    def level(obj_path: str, allowed, sec: int, item, sub: int, prefix: Column) -> Column:
+        ks = extras(F.get_json_object(j, obj_path), allowed)
+        return F.transform(ks, lambda k: err(F.lit(True), sec, item, sub, F.concat(prefix, k), K.MSG_EXTRA))
+
+    def items(arr_path: str, allowed, sec: int, prefix: str, sub: int, inner: str | None = None,
+              inner_allowed=None) -> Column:
+        arr = F.from_json(F.get_json_object(j, arr_path), "array<string>")
+        maps = F.coalesce(arr, F.array().cast("array<string>"))
+        per = F.transform(maps, lambda o, i: F.concat(
+            F.transform(F.array_except(F.coalesce(F.json_object_keys(o), F.array().cast("array<string>")),
+                                       F.array(*[F.lit(k) for k in allowed])),
+                        lambda k: err(F.lit(True), sec, i, sub, F.concat(F.lit(prefix), i.cast("string"),
+                                                                          F.lit("."), k), K.MSG_EXTRA)),
+            F.transform(F.array_except(F.coalesce(F.json_object_keys(F.get_json_object(o, f"$.{inner}")),
+                                                  F.array().cast("array<string>")),
+                                       F.array(*[F.lit(k) for k in (inner_allowed or ())])),
+                        lambda k: err(F.lit(True), sec, i, sub - 1, F.concat(F.lit(prefix), i.cast("string"),
+                                                                              F.lit(f".{inner}."), k), K.MSG_EXTRA))
+            if inner else F.array().cast("array<struct<sec:int,item:int,sub:int,loc:string,msg:string>>")))
+        return F.flatten(per)
+
+    parts = [
+        level("$", ALLOWED_KEYS[""], SEC["contamination"], 1, 0, F.lit("")),
+        level("$.proposer", ALLOWED_KEYS["proposer"], SEC["proposer"], 0, 2, F.lit("proposer.")),
+        level("$.data", ALLOWED_KEYS["data"], SEC["data"], 1000, 1, F.lit("data.")),
+        items("$.data.dataset_sources", ALLOWED_KEYS["source"], SEC["data"], "data.dataset_sources.", 8),
+        items("$.benchmarks", ALLOWED_KEYS["benchmark"], SEC["benchmarks"], "benchmarks.", 8, "dataset",
+              ALLOWED_KEYS["dataset"]),
+        level("$.suggested_training", ALLOWED_KEYS["suggested_training"], SEC["suggested_training"], 0, 3,
+              F.lit("suggested_training.")),
+    ]
+    return errors(*[]) if not parts else F.filter(F.flatten(F.array(*parts)), lambda e: e.isNotNull())
+
+
+def manifest_problems(files: DataFrame) -> DataFrame:
+    """MV28 for files: decode, evaluate every rule, and label the problems.
+    A file that does not load reports only its load problem."""
+    from corpusgate.operators.rules import with_rule_columns
+
+    d = decode_manifests(files).withColumn("_e_extra", unknown_key_errors())
+    d = with_rule_columns(d, extra="_e_extra")
+    return d.withColumn("problems", F.when(F.size("load_problems") > 0, F.col("load_problems"))
+                        .otherwise(F.col("problems")))
+
+
+def files_from_texts(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
+    """(folder, file_stem, text) triples as a files table (tests, fixtures)."""
+    df = spark.createDataFrame(rows, "folder string, file_stem string, text string")
+    return df.withColumn("path", F.concat(F.col("folder"), F.lit("/"), F.col("file_stem"), F.lit(".yaml")))
+
+
+def fixture_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture manifests as manifest documents (JSON, which is YAML):
+    one row per manifest with every source and benchmark it names."""
+    src = fixture(spark, sf_dir, "fx_sources")
+    bench = fixture(spark, sf_dir, "fx_benchmarks")
+    s = src.groupBy("manifest_id").agg(F.array_sort(F.collect_list(F.struct(
+        "pos", "path", "name", "split", "weight", "text_column", "text_template", "revision"))).alias("s"))
+    b = bench.groupBy("manifest_id").agg(F.array_sort(F.collect_list(F.struct(
+        "pos", "name", "harness", "task", "num_fewshot", "metric", "higher_is_better", "ds_path", "ds_name",
+        "ds_split"))).alias("b"))
+    m = fixture(spark, sf_dir, "fx_manifests").join(s, "manifest_id", "left").join(b, "manifest_id", "left")
+    doc = F.struct(
+        "name", "title", F.struct("github").alias("proposer"), "description",
+        F.struct(F.transform(F.coalesce("s", F.array()), lambda x: x.dropFields("pos")).alias("dataset_sources"),
+                 "sequence_length").alias("data"),
+        F.transform(F.coalesce("b", F.array()), lambda x: F.struct(
+            x["name"].alias("name"), x["harness"].alias("harness"), x["task"].alias("task"),
+            x["num_fewshot"].alias("num_fewshot"), x["metric"].alias("metric"),
+            x["higher_is_better"].alias("higher_is_better"),
+            F.struct(x["ds_path"].alias("path"), x["ds_name"].alias("name"), x["ds_split"].alias("split"))
+            .alias("dataset"))).alias("benchmarks"),
+        "hypothesis", "evidence",
+        F.when(F.col("steps").isNotNull() | F.col("batch_size").isNotNull(),
+               F.struct("steps", "batch_size")).alias("suggested_training"),
+        "contamination")
+    return m.select("manifest_id", "folder", "file_stem",
+                    F.concat("folder", F.lit("/"), "file_stem", F.lit(".yaml")).alias("path"),
+                    F.to_json(doc).alias("text"))
