@@ -41,7 +41,7 @@ def profile_requests(requests: DataFrame, corpus: DataFrame, corpus_key: str, co
     The request table is broadcast only when its counted size is within
     `max_broadcast_rows`; beyond that it is a shuffle join on the key.
     """
-    data_cols = [f.name for f in corpus_schema.fields if f.name not in (corpus_key,)]
+    data_cols = [f.name for f in corpus_schema.fields]  # every column of a row, the key included
     string_cols = [f.name for f in corpus_schema.fields if isinstance(f.dataType, T.StringType)]
     req = requests.select(
         F.col("path").alias("r_path"), F.col("corpus_key").alias("r_key"),
@@ -119,8 +119,8 @@ def _source_findings_cols(corpus_columns: tuple, sample_rows: int, timeout: floa
     timed_out = proceed & (status == "timeout")
     failed = proceed & (status == "error")
     loaded = proceed & (status == "ok")
-    rows = F.coalesce(F.col("rows"), F.lit(0))
-    zero = loaded & (rows == 0)
+    rows = F.coalesce(F.col("rows"), F.col("corpus_rows"), F.lit(0))
+    zero = loaded & (F.coalesce(F.col("corpus_rows"), F.lit(0)) == 0)
     miss = missing_columns(F.col("text_column"), F.col("text_template"), corpus_columns)
     has_missing = loaded & ~zero & (F.size(miss) > 0)
     non_text = F.coalesce(F.col("non_text"), F.lit(0))
@@ -212,3 +212,52 @@ def _benchmark_findings_col(has_registry: bool, sample_timeout: float) -> Column
         _fd(6, "ok", F.concat(where, F.lit(" is readable for a held-out loss")), go & ~lm),
     ), lambda x: x.isNotNull()))
     return findings
+
+
+SPEC = ["path", "name", "split", "revision", "text_column", "text_template", "seq_len"]
+
+
+def check_sources(sources: DataFrame, catalog: DataFrame, loads: DataFrame, splits: DataFrame | None,
+                  corpus: DataFrame, corpus_key, corpus_key_col: str, order: str,
+                  sample_rows: int | None = None, timeout: float = 60.0) -> DataFrame:
+    """CL4 for every source (with subject and the SPEC columns).
+
+    A verdict depends only on the source's spec, and many manifests name
+    the same corpora, so verdicts are computed once per distinct spec and
+    joined back to the sources (AQE sizes that join). Within the specs the
+    cheap checks run first and only one profiling request per distinct
+    (path, rendering, sequence length) that survives them reads the corpus.
+    `corpus_key(path_column)` maps a dataset path to the corpus key."""
+    columns = sorted(c for c in corpus.columns)
+    specs = C.with_loads(C.with_catalog(sources.select(*SPEC).distinct(), "path", catalog), "path", loads, splits)
+    requests = (specs.where(c_profile_wanted(tuple(columns)))
+                .select("path", corpus_key(F.col("path")).alias("corpus_key"), "text_column", "text_template",
+                        "seq_len").distinct())
+    stats = profile_requests(requests, corpus, corpus_key_col, corpus.schema, order, sample_rows)
+    specs = null_safe_join(specs, stats, ["path", "text_column", "text_template", "seq_len"], "left")
+    # FI5 needs the row count of every corpus, profiled or not (one small aggregate)
+    counts = corpus.groupBy(F.col(corpus_key_col).alias("__k")).agg(F.count(F.lit(1)).alias("corpus_rows"))
+    if sample_rows is not None:
+        counts = counts.withColumn("corpus_rows", F.least(F.col("corpus_rows"), F.lit(sample_rows)))
+    specs = specs.join(counts, corpus_key(F.col("path")) == counts["__k"], "left").drop("__k")
+    verdicts = source_findings(specs, columns, sample_rows or K.DEFAULT_SAMPLE_ROWS, timeout).select(
+        *SPEC, "findings", "stats_ok", "rows", "median_chars", "short_share", "dup_share", "long_share")
+    return null_safe_join(sources, verdicts, SPEC, "left")
+
+
+def check_benchmarks(benchmarks: DataFrame, catalog: DataFrame, loads: DataFrame, splits: DataFrame | None,
+                     corpus_counts: DataFrame, corpus_key, tasks: DataFrame | None, timeout: float = 60.0) -> DataFrame:
+    """CL5 for every benchmark (name, harness, task, ds_path, ds_name, ds_split).
+    `corpus_counts(k, corpus_rows)`; `tasks(task)` is the registry or None
+    when no registry is installed."""
+    from corpusgate.functions.render import benchmark_subject
+
+    bench = benchmarks.withColumn("subject", benchmark_subject(F.col("name")))
+    bench = C.with_loads(C.with_catalog(bench, "ds_path", catalog), "ds_path", loads, splits)
+    bench = bench.join(corpus_counts, corpus_key(F.col("ds_path")) == corpus_counts.k, "left").drop("k")
+    if tasks is not None:
+        t = tasks.select(F.col("task").alias("t_task"), F.lit(True).alias("task_known")).distinct()
+        bench = bench.join(t, bench.task == t.t_task, "left").drop("t_task")
+    else:
+        bench = bench.withColumn("task_known", F.lit(None).cast("boolean"))
+    return benchmark_findings(bench, has_registry=tasks is not None, sample_timeout=timeout)

@@ -74,34 +74,14 @@ def q_load_error_findings(spark, sf_dir):
                                              msg.alias("message"))
 
 
-SPEC = ["path", "name", "split", "revision", "text_column", "text_template", "seq_len"]
-
-
 def checked_sources(spark, sf_dir, sources: DataFrame | None = None) -> DataFrame:
-    """CL4 for every source.
-
-    A verdict depends only on the source's spec (dataset, config, split,
-    revision, rendering, sequence length), and many manifests name the same
-    corpora, so verdicts are computed once per distinct spec and joined back
-    to the sources (a size-checked broadcast of the spec verdicts). Within
-    the specs, the cheap checks run first and one profiling request per
-    distinct (path, rendering, sequence length) survives them."""
-    docs = table(spark, sf_dir, "documents")
-    columns = sorted(docs.columns)
-    # the source table feeds the spec list, two size checks and the final
-    # join: persist it once (recomputable from lineage if an executor is lost)
+    """CL4 for the fixture sources against the fixture corpus store. The
+    source table feeds the spec list and the final join, so it is persisted
+    once (recomputable from lineage if an executor is lost)."""
     src = (sources if sources is not None else _sources(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
-    specs = _with_catalog_and_loads(spark, sf_dir, src.select(*SPEC).distinct(), "path")
-    requests = (specs.where(D.c_profile_wanted(tuple(columns)))
-                .select("path", corpus_key(F.col("path")).alias("corpus_key"), "text_column", "text_template",
-                        "seq_len").distinct())
-    stats = D.profile_requests(requests, docs, "source", docs.schema, "doc_id")
-    specs = null_safe_join(specs, stats, ["path", "text_column", "text_template", "seq_len"], "left")
-    verdicts = D.source_findings(specs, columns, SAMPLE_ROWS, TIMEOUT).select(
-        *SPEC, "findings", "stats_ok", "rows", "median_chars", "short_share", "dup_share", "long_share")
-    # both sides are manifest-scale: AQE sizes this join from the materialized
-    # verdict stage and broadcasts it when small
-    return null_safe_join(src, verdicts, SPEC, "left")
+    return D.check_sources(src, catalog(spark, sf_dir), fixture(spark, sf_dir, "fx_loads"),
+                           fixture(spark, sf_dir, "fx_splits"), table(spark, sf_dir, "documents"), corpus_key,
+                           "source", "doc_id", None, TIMEOUT)
 
 
 def q_source_findings(spark, sf_dir):
@@ -111,14 +91,11 @@ def q_source_findings(spark, sf_dir):
 def checked_benchmarks(spark, sf_dir, benchmarks: DataFrame | None = None) -> DataFrame:
     """CL5 for every benchmark: catalog, one-row readability, task registry."""
     bench = benchmarks if benchmarks is not None else fixture(spark, sf_dir, "fx_benchmarks")
-    bench = bench.withColumn("subject", benchmark_subject(F.col("name")))
-    bench = _with_catalog_and_loads(spark, sf_dir, bench, "ds_path")
     counts = (table(spark, sf_dir, "documents").groupBy(F.col("source").alias("k"))
               .agg(F.count(F.lit(1)).alias("corpus_rows")))
-    bench = bench.join(counts, corpus_key(F.col("ds_path")) == counts.k, "left").drop("k")
-    tasks = fixture(spark, sf_dir, "fx_tasks").select(F.col("task").alias("t_task"), F.lit(True).alias("task_known"))
-    bench = bench.join(tasks, bench.task == tasks.t_task, "left").drop("t_task")
-    return D.benchmark_findings(bench, has_registry=True, sample_timeout=TIMEOUT)
+    return D.check_benchmarks(bench, catalog(spark, sf_dir), fixture(spark, sf_dir, "fx_loads"),
+                              fixture(spark, sf_dir, "fx_splits"), counts, corpus_key,
+                              fixture(spark, sf_dir, "fx_tasks"), TIMEOUT)
 
 
 def q_benchmark_verdicts(spark, sf_dir):

@@ -129,12 +129,13 @@ req_stats as (
     count(*) filter (where length(txt) > seq_len * 4) / count(*) as long_share
   from req_rows group by path, text_column, text_template, seq_len),
 src_x as (
-  select m.*, coalesce(st.rows, 0) as n_rows, coalesce(st.non_text, 0) as n_non_text, st.median_chars,
-         st.short_share, st.dup_share, st.long_share
+  select m.*, coalesce(st.rows, cn.corpus_rows, 0) as n_rows, coalesce(cn.corpus_rows, 0) as c_rows,
+         coalesce(st.non_text, 0) as n_non_text, st.median_chars, st.short_share, st.dup_share, st.long_share
   from src_m m left join req_stats st on st.path = m.path and st.text_column is not distinct from m.text_column
-    and st.text_template is not distinct from m.text_template and st.seq_len = m.seq_len),
+    and st.text_template is not distinct from m.text_template and st.seq_len = m.seq_len
+  left join counts cn on cn.key = {corpus_key("m.path")}),
 src_s as (
-  select x.*, proceed and status = 'ok' and n_rows > 0 and len(missing) = 0
+  select x.*, proceed and status = 'ok' and c_rows > 0 and len(missing) = 0
            and not (coalesce(text_column, '') <> '' and n_non_text > 0) as stats_ok
   from src_x x),
 src_find as (
@@ -148,18 +149,18 @@ src_find as (
   where proceed and status = 'error'
   union all
   select manifest_id, pos, subject, 4, 'error', 'split ' || {q("split")} || ' streamed zero rows' from src_s
-  where proceed and status = 'ok' and n_rows = 0
+  where proceed and status = 'ok' and c_rows = 0
   union all
   select manifest_id, pos, subject, 4, 'error',
     case when len(missing) = 1 then 'no column ' else 'no columns ' end
     || array_to_string(list_transform(missing, lambda c: '''' || c || ''''), ', ')
     || '; the columns are {COLUMNS_TEXT.replace("'", "''")}' from src_s
-  where proceed and status = 'ok' and n_rows > 0 and len(missing) > 0
+  where proceed and status = 'ok' and c_rows > 0 and len(missing) > 0
   union all
   select manifest_id, pos, subject, 4, 'error', {q("text_column")} || ' is not text in '
     || cast(n_non_text as varchar) || ' of ' || cast(n_rows as varchar)
     || ' rows; use a text column, or a text_template that renders one' from src_s
-  where proceed and status = 'ok' and n_rows > 0 and len(missing) = 0 and coalesce(text_column, '') <> ''
+  where proceed and status = 'ok' and c_rows > 0 and len(missing) = 0 and coalesce(text_column, '') <> ''
     and n_non_text > 0
   union all
   select manifest_id, pos, subject, 5, case when short_share > 0.5 then 'error' else 'warning' end,
