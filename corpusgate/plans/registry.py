@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-PLAN_MODULES = ("corpus", "manifests", "datacheck", "changes", "export")
+PLAN_MODULES = ("corpus", "manifests", "datacheck", "changes", "export", "streams")
 
 
 def _modules():
