@@ -133,7 +133,22 @@ def q_proposal_report(spark, sf_dir):
     return RP.dataset_reports(proposal_findings(spark, sf_dir))
 
 
+def q_check_outcome(spark, sf_dir):
+    """AG11 + AG12: findings per level over every checked proposal, and
+    whether anything failed."""
+    return RP.overall_outcome(q_proposal_report(spark, sf_dir))
+
+
+def q_console_lines(spark, sf_dir):
+    """RE4: the console line of every source finding."""
+    f = checked_sources(spark, sf_dir).select("manifest_id", "pos", "subject", F.inline("findings"))
+    return f.select("manifest_id", "pos", "ord", RP.console_line(F.col("level"), F.col("subject"),
+                                                                 F.col("message")).alias("line"))
+
+
 QUERIES = {
+    "check_outcome": q_check_outcome,
+    "console_lines": q_console_lines,
     "hub_entry_findings": q_hub_entry_findings,
     "load_error_findings": q_load_error_findings,
     "source_findings": q_source_findings,

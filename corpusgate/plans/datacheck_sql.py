@@ -279,3 +279,11 @@ select v.manifest_id, v.name, coalesce(a.errors, 0) = 0 as passed, cast(coalesce
   || chr(10) as markdown
 from valid v left join agg a using (manifest_id) left join st using (manifest_id)"""
 )
+
+ORACLES["check_outcome"] = ("with r as (" + ORACLES["proposal_report"] + """)
+select bool_or(not passed) as failed, count(*) as manifests, sum(errors) as errors, sum(warnings) as warnings
+from r""")
+
+ORACLES["console_lines"] = (f"with {FX_ALL}, {COMMON}, {SRC_ALL}, {_source_chain('src_all')}\n"
+    "select manifest_id, pos, ord, '  ' || case level when 'error' then '✗' when 'warning' then '!' else '✓' end"
+    " || ' ' || subject || ': ' || message as line from src_find")

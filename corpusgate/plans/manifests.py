@@ -136,7 +136,16 @@ def q_find_manifest(spark, sf_dir):
     return paths.groupBy(F.col("file_stem").alias("name")).agg(F.min("path").alias("path"))
 
 
+def q_problem_reports(spark, sf_dir):
+    """RE3: the offline-check Markdown of every file that has problems."""
+    from corpusgate.operators.report import problems_report
+
+    m = _ruled(spark, sf_dir)
+    return m.where(F.size("problems") > 0).select("manifest_id", problems_report(F.col("problems")).alias("markdown"))
+
+
 QUERIES = {
+    "problem_reports": q_problem_reports,
     "manifest_scan": q_manifest_scan,
     "find_manifest": q_find_manifest,
     "source_rules": q_source_rules,

@@ -249,3 +249,16 @@ from per_file p join m using (manifest_id)"""
 ORACLES["find_manifest"] = cte("fx_manifests") + """
 select file_stem as name, min('proposals/' || folder || '/' || file_stem || '.yaml') as path
 from fx_manifests group by file_stem"""
+
+ORACLES["problem_reports"] = BASE + """,
+allv as (select * from lower_err union all select * from top_err),
+per_file as (
+  select * from allv
+  union all select f.* from file_err f where not exists (select 1 from allv a where a.manifest_id = f.manifest_id)),
+lines as (
+  select p.manifest_id, sec, item, sub, loc, msg,
+    case when sec = 12 then msg else m.folder || '/' || m.file_stem || '.yaml: ' || loc || ': ' || msg end as problem
+  from per_file p join m using (manifest_id))
+select manifest_id, '### Proposal file check' || chr(10) || chr(10) || '❌ **The proposal file has problems:**'
+  || chr(10) || chr(10) || string_agg('- ' || problem, chr(10) order by sec, item, sub, loc, msg) || chr(10) as markdown
+from lines group by manifest_id"""
