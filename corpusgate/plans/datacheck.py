@@ -103,21 +103,33 @@ def q_benchmark_verdicts(spark, sf_dir):
 
 
 def valid_manifests(spark, sf_dir) -> DataFrame:
-    """Manifests with no offline problem — only these get a data check.
+    """Manifests with no offline problem — only these get a data check —
+    with their nested manifest struct.
 
-    Used three times downstream, so it is checkpointed (written to the
+    Used several times downstream, so it is checkpointed (written to the
     session's checkpoint folder) once: the rule pass does not rerun and the
     lineage is cut."""
     checkpoint_dir(spark)
     m = _ruled(spark, sf_dir)
-    return m.where(F.size("problems") == 0).select("manifest_id", F.col("m.name").alias("name")).checkpoint()
+    return m.where(F.size("problems") == 0).select(
+        "manifest_id", F.col("m.name").alias("name"), "m").checkpoint()
 
 
 def proposal_findings(spark, sf_dir) -> DataFrame:
-    """CL6: sources in order, then benchmarks in order, per valid manifest."""
+    """CL6: sources in order, then benchmarks in order, per valid manifest.
+
+    A valid manifest holds at most 4 sources and 5 benchmarks inside its
+    nested struct, so the check tables come from exploding those arrays —
+    no second pass over the fixture tables."""
     valid = valid_manifests(spark, sf_dir)
-    src = _sources(spark, sf_dir).join(valid.select("manifest_id"), "manifest_id", "left_semi")
-    bench = fixture(spark, sf_dir, "fx_benchmarks").join(valid.select("manifest_id"), "manifest_id", "left_semi")
+    src = valid.select("manifest_id", F.col("m.data.sequence_length").alias("seq_len"),
+                       F.inline("m.data.dataset_sources")).select(
+        "manifest_id", "pos", "path", "name", "split", "weight", "text_column", "text_template", "revision",
+        "seq_len", source_subject(F.col("path"), F.col("name"), F.col("split")).alias("subject"))
+    bench = valid.select("manifest_id", F.inline("m.benchmarks")).select(
+        "manifest_id", "pos", "name", "harness", "task", "num_fewshot", "metric", "higher_is_better",
+        F.col("dataset.path").alias("ds_path"), F.col("dataset.name").alias("ds_name"),
+        F.col("dataset.split").alias("ds_split"))
     s = checked_sources(spark, sf_dir, src).select(
         "manifest_id", F.lit(0).alias("kind"), "pos", "subject", "findings", "stats_ok",
         "rows", "median_chars", "short_share", "dup_share", "long_share")
@@ -126,7 +138,7 @@ def proposal_findings(spark, sf_dir) -> DataFrame:
         *[F.lit(None).cast(t).alias(c) for c, t in (("rows", "bigint"), ("median_chars", "bigint"),
                                                      ("short_share", "double"), ("dup_share", "double"),
                                                      ("long_share", "double"))])
-    return s.unionByName(b).join(valid, "manifest_id")
+    return s.unionByName(b).join(valid.select("manifest_id", "name"), "manifest_id")
 
 
 def q_proposal_report(spark, sf_dir):

@@ -9,7 +9,6 @@ from corpusgate.operators.contamination import contamination
 from corpusgate.operators.mixture import weighted_mixture
 from corpusgate.plans.datacheck import valid_manifests
 from corpusgate.plans.datacheck_sql import _VALID
-from corpusgate.plans.manifests import _nested
 from corpusgate.plans.manifests_sql import BASE as MANIFEST_BASE
 from corpusgate.sources.tables import table
 
@@ -19,8 +18,7 @@ MIX_SEED = "7"
 
 
 def _valid_nested(spark, sf_dir):
-    return _nested(spark, sf_dir).join(valid_manifests(spark, sf_dir).select("manifest_id"), "manifest_id",
-                                       "left_semi")
+    return valid_manifests(spark, sf_dir).select("manifest_id", "m")
 
 
 def q_task_config(spark, sf_dir):
