@@ -3,19 +3,19 @@ window estimate (AG1–AG6, WI1–WI2, SE3, RA2).
 
 Scale notes
 -----------
-* `row_stats` is one `groupBy(keys)` with a single distinct aggregate. Spark
-  plans it as partial aggregate on (keys, prefix key) → exchange on
-  (keys, prefix key) → merge → partial on keys → exchange on keys → final.
-  The first exchange spreads a hot source over all reducers, and map-side
-  partial aggregation collapses repeated prefixes before anything moves, so
-  a source (or a prefix) holding a third of the rows does not land in one
-  task. The second exchange carries one row per (source, task).
+* `row_stats` reads the text once: rows collapse map-side into
+  (key, length, prefix key, n) and are exchanged on all of those, so a hot
+  source spreads over every reducer and repeated prefixes never move twice.
+  From that one shuffle output (a reused exchange) come the counts with the
+  single distinct aggregate (exchange on (key, prefix), then on key) and
+  the length histogram. Later exchanges carry distinct keys, not rows.
 * The duplicate key is a 128-bit hash of the 200-character prefix (two
   independent xxhash64), not the prefix: 16 bytes instead of up to 800 per
   distinct row through the shuffle. `exact=True` keys on the prefix itself.
-* The exact median is taken from a (key, length) histogram, so the object
-  buffer of `percentile` only ever sees distinct lengths, never one buffer
-  per distinct prefix (which would force sort-based aggregation).
+* The exact median is `percentile(length, 0.5, frequency)` over the
+  (key, length) histogram, so its object buffer only ever sees distinct
+  lengths, never one buffer per distinct prefix (which would force
+  sort-based aggregation).
 * `first_n` and `eval_gate` are `row_number` filters that Spark turns into
   WindowGroupLimit (a map-side top-n before the exchange), so a hot group
   sends at most n rows per map task.
@@ -55,44 +55,42 @@ def over_window(text, sequence_length) -> Column:
     return F.coalesce(F.length(t) > seq * K.CHARS_PER_TOKEN, F.lit(False))
 
 
-def median_length(texts: DataFrame, keys: list[str], length: Column) -> DataFrame:
-    """AG2: exact median length per key, truncated, from a length histogram.
-
-    `groupBy(keys, length).count()` is a fixed-width HashAggregate whose
-    map-side combine leaves one row per distinct length; the exact
-    `percentile(length, 0.5, frequency)` then runs over that small histogram,
-    never over raw rows."""
-    hist = texts.groupBy(*keys, length.alias("__len")).agg(F.count(F.lit(1)).alias("__freq"))
-    return hist.groupBy(*keys).agg(
-        F.floor(F.percentile(F.col("__len"), F.lit(0.5), F.col("__freq"))).cast("bigint").alias("median_chars"))
-
-
 def row_stats(texts: DataFrame, keys: list[str], text: str = "text", sequence_length=K.DEFAULT_SEQUENCE_LENGTH,
               exact: bool = False) -> DataFrame:
     """AG6: rows, median_chars, short_share, dup_share, long_share per key.
 
     `texts` holds rendered text (string; null counts as length 0).
     `sequence_length` is an int or the name of a column constant per key.
-    Counts and distinct prefixes come from one codegen HashAggregate; the
-    median from a length histogram; the two per-key results are joined.
+
+    One scan: the rows collapse map-side into (key, length, prefix key, n)
+    — the only exchange that carries row-level volume. Both the counts
+    (with the distinct prefixes) and the length histogram for the exact
+    median are aggregated from that one shuffle output (Spark reuses the
+    exchange), so the text column is read once.
     """
     if not keys:  # one group: key it by a constant so the two halves join on it
         out = row_stats(texts.withColumn("__all", F.lit(0)), ["__all"], text, sequence_length, exact)
         return out.drop("__all")
+    seq = F.col(sequence_length) if isinstance(sequence_length, str) else F.lit(sequence_length)
     length = F.coalesce(F.length(F.col(text)), F.lit(0))
-    ok = usable(text)
-    counts = texts.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(ok).alias("usable_rows"),
-        F.count_distinct(F.when(ok, prefix_key(text, exact))).alias("distinct_prefixes"),
-        F.count_if(over_window(text, sequence_length)).alias("long_rows"),
+    base = (texts.select(*keys, seq.alias("__seq"), length.alias("__len"),
+                         F.when(usable(text), prefix_key(text, exact)).alias("__pk"))
+            .groupBy(*keys, "__seq", "__len", "__pk").agg(F.count(F.lit(1)).alias("__n")))
+    counts = base.groupBy(*keys).agg(
+        F.sum("__n").alias("rows"),
+        F.sum(F.when(F.col("__len") >= K.MIN_TEXT_CHARS, F.col("__n")).otherwise(0)).alias("usable_rows"),
+        F.count_distinct("__pk").alias("distinct_prefixes"),
+        F.sum(F.when(F.col("__len") > F.col("__seq") * K.CHARS_PER_TOKEN, F.col("__n")).otherwise(0))
+        .alias("long_rows"),
     )
-    med = median_length(texts, keys, length)
+    hist = base.groupBy(*keys, "__len").agg(F.sum("__n").alias("__freq"))
+    med = hist.groupBy(*keys).agg(
+        F.floor(F.percentile(F.col("__len"), F.lit(0.5), F.col("__freq"))).cast("bigint").alias("median_chars"))
     med = med.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "median_chars")
     cond = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]  # null source is a key too
     stats = counts.join(med, cond, "left")
     return stats.select(
-        *keys, "rows", "median_chars",
+        *keys, F.col("rows").cast("bigint").alias("rows"), "median_chars",
         # operand order as in the definition: 1 - usable / rows
         (F.lit(1) - F.col("usable_rows") / F.col("rows")).alias("short_share"),
         F.when(F.col("usable_rows") == 0, F.lit(0.0))
