@@ -158,7 +158,29 @@ def q_console_lines(spark, sf_dir):
                                                                  F.col("message")).alias("line"))
 
 
+def q_nontext_missing(spark, sf_dir):
+    """FI3–FI5 on the documents corpus: every source is a corpus (a null
+    `text` injected every 53rd document), two sources ask for a column the
+    corpus lacks, and one mirror source has no rows."""
+    docs = table(spark, sf_dir, "documents").withColumn(
+        "text", F.when(F.col("doc_id") % 53 == 0, F.lit(None).cast("string")).otherwise(F.col("text")))
+    names = table(spark, sf_dir, "documents").select(F.col("source").alias("path")).distinct()
+    names = names.unionByName(names.where(F.col("path") == "src0").select(F.lit("src0_mirror").alias("path")))
+    src = names.select(
+        F.lit(0).cast("bigint").alias("manifest_id"), F.lit(1).alias("pos"), F.col("path").alias("subject"), "path",
+        F.lit(None).cast("string").alias("name"), F.lit("train").alias("split"),
+        F.lit(None).cast("string").alias("revision"),
+        F.when(F.col("path").isin("src3", "src7"), F.lit("contents")).otherwise(F.lit("text")).alias("text_column"),
+        F.lit(None).cast("string").alias("text_template"), F.lit(4096).alias("seq_len"))
+    cat = names.select("path", F.lit(200).alias("http_status"), F.lit(False).alias("disabled"),
+                       F.lit(None).cast("string").alias("gated"), F.array(F.lit("data.parquet")).alias("siblings"))
+    loads = spark.createDataFrame([], "path string, status string, error_type string, error_msg string")
+    out = D.check_sources(src, cat, loads, None, docs, lambda p: p, "source", "doc_id", None, TIMEOUT)
+    return out.select(F.col("path").alias("source"), F.inline("findings"))
+
+
 QUERIES = {
+    "nontext_missing": q_nontext_missing,
     "check_outcome": q_check_outcome,
     "console_lines": q_console_lines,
     "hub_entry_findings": q_hub_entry_findings,

@@ -287,3 +287,40 @@ from r""")
 ORACLES["console_lines"] = (f"with {FX_ALL}, {COMMON}, {SRC_ALL}, {_source_chain('src_all')}\n"
     "select manifest_id, pos, ord, '  ' || case level when 'error' then '✗' when 'warning' then '!' else '✓' end"
     " || ' ' || subject || ': ' || message as line from src_find")
+
+ORACLES["nontext_missing"] = """
+with d as (select doc_id, lang, n_chars, source, case when doc_id % 53 = 0 then null else text end as text from documents),
+p as (select distinct source as path from documents union all select 'src0_mirror'),
+s as (select path, case when path in ('src3', 'src7') then 'contents' else 'text' end as tc from p),
+st as (select source, count(*) as n, count(*) filter (where text is null) as nulls,
+         1 - count(*) filter (where length(text) >= 200) / count(*) as short_share,
+         case when count(*) filter (where length(text) >= 200) = 0 then 0.0
+              else 1 - count(distinct case when length(text) >= 200 then substring(text, 1, 200) end)
+                       / count(*) filter (where length(text) >= 200) end as dup_share
+       from d group by source),
+x as (select s.path, s.tc, coalesce(st.n, 0) as n, coalesce(st.nulls, 0) as nulls, st.short_share, st.dup_share
+      from s left join st on st.source = s.path),
+ok as (select *, n > 0 and tc = 'text' and nulls = 0 as stats_ok from x)
+select path as source, 4 as ord, 'error' as level, 'split ''train'' streamed zero rows' as message from x where n = 0
+union all
+select path, 4, 'error', 'no column ''contents''; the columns are [''doc_id'', ''lang'', ''n_chars'', ''source'', ''text'']'
+from x where n > 0 and tc = 'contents'
+union all
+select path, 4, 'error', '''text'' is not text in ' || cast(nulls as varchar) || ' of ' || cast(n as varchar)
+  || ' rows; use a text column, or a text_template that renders one' from x where n > 0 and tc = 'text' and nulls > 0
+union all
+select path, 5, case when short_share > 0.5 then 'error' else 'warning' end,
+  case when short_share > 0.5 then (cast(cast(round_even(short_share * 100, 0) as bigint) as varchar) || '%')
+    || ' of sampled rows are under 200 characters; the validator''s eval drops those, so there would be too little to score on'
+  else (cast(cast(round_even(short_share * 100, 0) as bigint) as varchar) || '%')
+    || ' of sampled rows are under 200 characters and would be dropped from evaluation' end
+from ok where stats_ok and short_share > 0.1
+union all
+select path, 6, case when dup_share > 0.3 then 'error' else 'warning' end,
+  case when dup_share > 0.3 then (cast(cast(round_even(dup_share * 100, 0) as bigint) as varchar) || '%')
+    || ' of sampled rows share their first 200 characters with another row; the eval would measure memorising a few documents'
+  else (cast(cast(round_even(dup_share * 100, 0) as bigint) as varchar) || '%') || ' of sampled rows share a 200-character prefix' end
+from ok where stats_ok and dup_share > 0.05
+union all
+select path, 7, 'ok', 'streams, and ''text'' is usable text (' || cast(n as varchar) || ' rows sampled)'
+from ok where stats_ok and not (short_share > 0.5) and not (dup_share > 0.3)"""
