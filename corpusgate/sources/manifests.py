@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from corpusgate import constants as K
 from corpusgate.sources.fixtures import fixture
+from corpusgate.sources.yaml_decode import yaml_to_json
 
 SOURCE_TYPE = ("struct<pos:int,path:string,name:string,split:string,weight:double,text_column:string,"
                "text_template:string,revision:string,license:string>")
@@ -131,35 +132,6 @@ ALLOWED_KEYS = {
 }
 
 
-def _yaml_to_json(batches):
-    """Per-row helper (the only Python in the manifest path): YAML text →
-    JSON text, or the parse error. Typing and every rule stay in Spark."""
-    import pandas as pd
-    import yaml
-
-    fast = getattr(yaml, "CSafeLoader", yaml.SafeLoader)  # libyaml: same safe rules, C speed
-
-    def one(text):
-        try:
-            data = yaml.load(text, Loader=fast)
-        except yaml.YAMLError:
-            try:  # the pure loader gives the exact error text
-                data = yaml.safe_load(text)
-            except yaml.YAMLError as exc:
-                return None, f"not valid YAML — {exc}", False
-        if not isinstance(data, dict):
-            return None, None, True
-        return json.dumps(data, default=str), None, False
-
-    for pdf in batches:
-        res = [one(t) for t in pdf["text"]]
-        out = pdf.drop(columns=["text"])
-        out["json"] = [r[0] for r in res]
-        out["yaml_error"] = [r[1] for r in res]
-        out["not_mapping"] = [r[2] for r in res]
-        yield out
-
-
 def decode_manifests(files: DataFrame) -> DataFrame:
     """SC6: files(path, folder, file_stem, text) → the nested manifest shape
     plus `load_problems` (YAML errors, non-mapping documents) and `json`.
@@ -172,7 +144,7 @@ def decode_manifests(files: DataFrame) -> DataFrame:
     # small file table), not over however many partitions the listing made
     parts = files.sparkSession.sparkContext.defaultParallelism
     decoded = files.repartition(parts).mapInPandas(
-        _yaml_to_json, f"{schema}, json string, yaml_error string, not_mapping boolean")
+        yaml_to_json, f"{schema}, json string, yaml_error string, not_mapping boolean")
     m = F.from_json(F.col("json"), MANIFEST_DDL)
     srcs = F.transform(m["data"]["dataset_sources"], lambda s, i: s.withField("pos", i + 1).withField(
         "split", F.coalesce(s["split"], F.lit(K.DEFAULT_SPLIT))))
