@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusgate import constants as K
 from corpusgate.functions.render import compile_template, render_column, template_columns, template_is_valid
-from corpusgate.functions.text import message, sql_message
+from corpusgate.functions.text import sql_message
 from corpusgate.operators import profile as P
 from corpusgate.operators.verdict import source_stat_verdicts
 from corpusgate.sources.fixtures import cte, fixture

@@ -17,7 +17,6 @@ larger than the rule allows is gathered into one row.
 """
 from __future__ import annotations
 
-import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F

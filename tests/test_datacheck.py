@@ -2,7 +2,6 @@
 from pyspark.sql import functions as F
 
 from corpusgate.operators import datacheck as D
-from corpusgate.plans.datacheck import proposal_findings  # noqa: F401  (import check)
 
 LONG = "x" * 300
 CAT = "path string, http_status int, disabled boolean, gated string, siblings array<string>"
