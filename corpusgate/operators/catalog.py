@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgate import constants as K
-from corpusgate.functions.text import quoted, truncate_chars, truthy, ustrip
+from corpusgate.functions.text import message, quoted, truncate_chars, truthy, ustrip
 
 FINDING = "struct<ord:int,level:string,message:string>"
 
@@ -41,10 +41,7 @@ def unshardable_warning(path: Column, siblings: Column) -> Column:
     shardable = F.exists(data, lambda f: F.lower(f).endswith(K.SHARDABLE_SUFFIXES[0])
                          | F.lower(f).endswith(K.SHARDABLE_SUFFIXES[1]))
     cond = (F.size(data) > 0) & ~shardable & (F.size(data) <= 2)
-    msg = F.concat(path, F.lit(" is published as "), F.size(data).cast("string"), F.lit(" file(s) ("),
-                   F.array_join(F.slice(data, 1, 2), ", "),
-                   F.lit(") in a format a streaming reader cannot read a piece at a time; every miner would pull "
-                         "and parse the whole file each round. Prefer a parquet-sharded export."))
+    msg = message(K.MSG_ONE_FILE, path=path, n=F.size(data), files=F.array_join(F.slice(data, 1, 2), ", "))
     return F.when(cond, msg)
 
 
@@ -60,23 +57,17 @@ def hub_entry(path: Column, revision: Column, training: bool, found: Column, htt
     stop = missing | other | F.coalesce(disabled, F.lit(False))
     is_gated = truthy(gated)
     findings = [
-        _f(1, "error", F.concat(what, F.lit(" does not exist on the Hub (or is private)")), missing),
-        _f(1, "error", F.concat(F.lit("the Hub answered "), http_status.cast("string"), F.lit(" for "), path),
-           ~missing & other),
-        _f(1, "error", F.concat(path, F.lit(" is disabled on the Hub")),
-           ~missing & ~other & F.coalesce(disabled, F.lit(False))),
+        _f(1, "error", message(K.MSG_NOT_ON_HUB, what=what), missing),
+        _f(1, "error", message(K.MSG_HUB_STATUS, code=http_status, path=path), ~missing & other),
+        _f(1, "error", message(K.MSG_DISABLED, path=path), ~missing & ~other & F.coalesce(disabled, F.lit(False))),
     ]
     if training:
         layout = unshardable_warning(path, siblings)
         findings.append(_f(2, "warning", layout, ~stop & layout.isNotNull()))
-        findings.append(_f(3, "warning", F.concat(
-            path, F.lit(" is gated ("), gated,
-            F.lit("): every miner and validator must accept its terms on HuggingFace before the task runs. "
-                  "Its rows were not checked.")), ~stop & is_gated))
+        findings.append(_f(3, "warning", message(K.MSG_GATED_SOURCE, path=path, gated=gated), ~stop & is_gated))
         proceed = ~stop & ~is_gated
     else:
-        findings.append(_f(3, "warning", F.concat(path, F.lit(" is gated ("), gated,
-                                                  F.lit("); the owner needs access to score it")), ~stop & is_gated))
+        findings.append(_f(3, "warning", message(K.MSG_GATED_BENCH, path=path, gated=gated), ~stop & is_gated))
         proceed = ~stop
     return F.filter(F.array(*findings), lambda x: x.isNotNull()), proceed
 
@@ -100,11 +91,10 @@ def load_error_text(path: Column, name: Column, split: Column, error_type: Colum
     cfg = F.coalesce(F.nullif(name, F.lit("")), F.lit("default"))
     known = F.coalesce(F.size(known_pairs) > 0, F.lit(False))
     listed = F.exists(known_pairs, lambda p: (p["config"] == cfg) & (p["split"] == split))
-    return (F.when(known & ~listed, F.concat(msg, F.lit(". The Hub lists: "),
-                                             F.array_join(F.slice(known_text, 1, K.HUB_LIST_MAX_PAIRS), ", ")))
+    pairs = F.array_join(F.slice(known_text, 1, K.HUB_LIST_MAX_PAIRS), ", ")
+    return (F.when(known & ~listed, message(K.MSG_HUB_LISTS, msg=msg, pairs=pairs))
             .when(F.coalesce(error_msg, F.lit("")).contains(K.LOADING_SCRIPT_MARK),
-                  F.concat(path, F.lit(" uses a loading script, which current `datasets` refuses to run. "
-                                       "Use a parquet export.")))
+                  message(K.MSG_LOADING_SCRIPT, path=path))
             .otherwise(msg))
 
 

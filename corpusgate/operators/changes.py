@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgate import constants as K
-from corpusgate.functions.text import ustrip
+from corpusgate.functions.text import message, ustrip
 
 
 def parse_trusted(value: Column) -> Column:
@@ -39,14 +39,9 @@ def own_proposal_problem(path: Column, author: Column) -> Column:
     file = F.get(parts, 2)
     return (
         F.when((F.size(parts) != 3) | (F.get(parts, 0) != K.PROPOSALS_FOLDER),
-               F.concat(F.lit("`"), path, F.lit("` is outside proposals/<your-login>/ — only `proposals/"), author,
-                        F.lit("/<task-name>.yaml` may change")))
-        .when(F.lower(folder) != F.lower(author),
-              F.concat(F.lit("`"), path, F.lit("` is in `"), folder,
-                       F.lit("`'s folder — you may only add files under `proposals/"), author, F.lit("/`")))
-        .when(~file.endswith(K.PROPOSAL_SUFFIX) | file.startswith("."),
-              F.concat(F.lit("`"), path, F.lit("` is not a `.yaml` file — a submission is a single "
-                                               "`<task-name>.yaml` and nothing else")))
+               message(K.MSG_OUTSIDE, path=path, author=author))
+        .when(F.lower(folder) != F.lower(author), message(K.MSG_OTHER_FOLDER, path=path, folder=folder, author=author))
+        .when(~file.endswith(K.PROPOSAL_SUFFIX) | file.startswith("."), message(K.MSG_NOT_YAML_FILE, path=path))
     )
 
 
@@ -96,10 +91,8 @@ def pr_violations(changes: DataFrame, trusted: str) -> DataFrame:
             .agg(F.array_sort(F.collect_list(F.struct("seq", "path"))).alias("subs"))
             .select("pr_id", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("first_seq"),
                     F.lit(None).cast("int").alias("first_side"),
-                    F.concat(F.lit("this pull request adds or edits "), F.col("n").cast("string"),
-                             F.lit(" proposals ("), F.array_join(F.transform("subs", lambda s: s["path"]), ", "),
-                             F.lit("); open one pull request per proposal so each collects its own votes"))
-                    .alias("message")))
+                    message(K.MSG_MANY_PROPOSALS, n=F.col("n"),
+                            paths=F.array_join(F.transform("subs", lambda s: s["path"]), ", ")).alias("message")))
     return per_path.unionByName(many)
 
 
@@ -112,14 +105,13 @@ def pr_reports(changes: DataFrame, violations: DataFrame, trusted: str, guide_hi
     author, assoc = F.col("author"), F.col("association")
     on_list = F.array_contains(trusted_logins(trusted), F.lower(author))
     head = F.lit(f"{K.SUBMISSION_TITLE}\n\n")
-    maint = F.concat(head, F.lit("✅ @"), author, F.lit(" is a maintainer (association "), assoc,
-                     F.when(on_list, F.lit(K.SUBMISSION_TRUSTED_NOTE)).otherwise(F.lit("")),
-                     F.lit("); the file rules do not apply.\n"))
-    clean = F.concat(head, F.lit("✅ Only `proposals/"), author, F.lit("/` changed, and only a `.yaml` proposal.\n"))
+    note = F.when(on_list, F.lit(K.SUBMISSION_TRUSTED_NOTE)).otherwise(F.lit(""))
+    maint = F.concat(head, message(K.SUBMISSION_MAINTAINER, author=author, association=assoc, trusted=note),
+                     F.lit("\n"))
+    clean = F.concat(head, message(K.SUBMISSION_CLEAN, author=author), F.lit("\n"))
     bad = F.concat(head, F.lit(K.SUBMISSION_BAD + "\n\n"),
                    F.array_join(F.transform(F.col("v"), lambda x: F.concat(F.lit("- "), x["message"])), "\n"),
-                   F.lit("\n\nA submission is exactly one file, `proposals/"), author,
-                   F.lit(f"/<task-name>.yaml`.{guide_hint}\n"))
+                   F.lit("\n\n"), message(K.SUBMISSION_FOOTER, author=author, hint=guide_hint), F.lit("\n"))
     maintainer = is_maintainer(author, assoc, trusted)
     n = F.when(F.col("v").isNull(), F.lit(0)).otherwise(F.size(F.col("v")))
     return joined.select(
@@ -152,6 +144,6 @@ def layout_problems(files: DataFrame, root: str = K.PROPOSALS_FOLDER, path: str
     visible = ~F.exists(rel, lambda p: p.startswith("."))
     bad = (F.size(rel) != 2) | (suffix != K.PROPOSAL_SUFFIX)
     return (files.where(under & visible & bad)
-            .select(F.concat(F.lit(root + "/"), F.array_join(rel, "/")).alias("file")).distinct()
-            .select("file", F.concat(F.col("file"), F.lit(": only <github-login>/<task-name>.yaml files belong here"))
-                    .alias("problem")))
+            .select(F.array_join(rel, "/").alias("rel")).distinct()
+            .select(F.concat(F.lit(root + "/"), F.col("rel")).alias("file"),
+                    message(K.MSG_LAYOUT, root=root, rel=F.col("rel")).alias("problem")))

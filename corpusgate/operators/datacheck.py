@@ -19,7 +19,7 @@ from corpusgate import constants as K
 from corpusgate.functions.cache import session_cached
 from corpusgate.functions.joins import broadcast_if_small, null_safe_join
 from corpusgate.functions.render import columns_used, render_by_template_column, row_values_map, template_columns
-from corpusgate.functions.text import percent, quoted, truthy
+from corpusgate.functions.text import message, percent, quoted, truthy
 from corpusgate.operators.rules import py_repr_or_none
 from corpusgate.operators import catalog as C
 from corpusgate.operators import profile as P
@@ -127,39 +127,31 @@ def _source_findings_cols(corpus_columns: tuple, sample_rows: int, timeout: floa
     not_text = loaded & ~zero & ~has_missing & truthy(F.col("text_column")) & (non_text > 0)
     stats_ok = loaded & ~zero & ~has_missing & ~not_text
     short, dup = F.col("short_share"), F.col("dup_share")
-    ok_msg = F.when(truthy(F.col("text_column")),
-                    F.concat(F.lit("streams, and "), quoted(F.col("text_column")), F.lit(" is usable text (")))\
-        .otherwise(F.concat(F.lit("streams, and text_template over "),
-                            F.array_join(F.transform(template_columns(F.col("text_template")), quoted), ", "),
-                            F.lit(" renders usable text (")))
+    ok_msg = F.when(truthy(F.col("text_column")), message(K.MSG_OK_COLUMN, column=F.col("text_column"), n=rows)) \
+        .otherwise(message(K.MSG_OK_TEMPLATE, n=rows, columns=F.array_join(
+            F.transform(template_columns(F.col("text_template")), quoted), ", ")))
     findings = F.concat(hub, F.filter(F.array(
-        _fd(4, "error", F.concat(C.timeout_text(F.col("path"), sample_rows or 0, timeout),
-                                 F.lit("; a miner's dataloader would stall the same way")), timed_out),
-        _fd(4, "error", F.concat(F.lit("cannot be streamed: "),
-                                 C.load_error_text(F.col("path"), F.col("name"), F.col("split"), F.col("l_error_type"),
-                                                   F.col("l_error_msg"), F.col("known_pairs"), F.col("known_text"))),
-            failed),
-        _fd(4, "error", F.concat(F.lit("split "), quoted(F.col("split")), F.lit(" streamed zero rows")), zero),
-        _fd(4, "error", F.concat(F.when(F.size(miss) == 1, F.lit("no column ")).otherwise(F.lit("no columns ")),
-                                 F.array_join(F.transform(miss, quoted), ", "), F.lit("; the columns are "),
-                                 _py_list(F.array_sort(F.array(*[F.lit(c) for c in corpus_columns])))), has_missing),
-        _fd(4, "error", F.concat(quoted(F.col("text_column")), F.lit(" is not text in "), non_text.cast("string"),
-                                 F.lit(" of "), rows.cast("string"),
-                                 F.lit(" rows; use a text column, or a text_template that renders one")), not_text),
+        _fd(4, "error", message(K.MSG_STALL, detail=C.timeout_text(F.col("path"), sample_rows or 0, timeout)),
+            timed_out),
+        _fd(4, "error", message(K.MSG_CANNOT_STREAM, detail=C.load_error_text(
+            F.col("path"), F.col("name"), F.col("split"), F.col("l_error_type"), F.col("l_error_msg"),
+            F.col("known_pairs"), F.col("known_text"))), failed),
+        _fd(4, "error", message(K.MSG_ZERO_ROWS, split=F.col("split")), zero),
+        _fd(4, "error", message(K.MSG_MISSING_COLUMNS,
+                                what=F.when(F.size(miss) == 1, F.lit("no column")).otherwise(F.lit("no columns")),
+                                missing=F.array_join(F.transform(miss, quoted), ", "),
+                                columns=_py_list(F.array_sort(F.array(*[F.lit(c) for c in corpus_columns])))),
+            has_missing),
+        _fd(4, "error", message(K.MSG_NON_TEXT, column=F.col("text_column"), k=non_text, n=rows), not_text),
         _fd(5, F.when(short > K.SHORT_ERROR_SHARE, F.lit("error")).otherwise(F.lit("warning")),
-            F.when(short > K.SHORT_ERROR_SHARE,
-                   F.concat(percent(short), F.lit(" of sampled rows are under 200 characters; the validator's eval "
-                                                  "drops those, so there would be too little to score on")))
-            .otherwise(F.concat(percent(short), F.lit(" of sampled rows are under 200 characters and would be "
-                                                      "dropped from evaluation"))),
+            F.when(short > K.SHORT_ERROR_SHARE, message(K.MSG_SHORT_ERROR, pct=percent(short)))
+            .otherwise(message(K.MSG_SHORT_WARNING, pct=percent(short))),
             stats_ok & (short > K.SHORT_WARNING_SHARE)),
         _fd(6, F.when(dup > K.DUP_ERROR_SHARE, F.lit("error")).otherwise(F.lit("warning")),
-            F.when(dup > K.DUP_ERROR_SHARE,
-                   F.concat(percent(dup), F.lit(" of sampled rows share their first 200 characters with another row; "
-                                                "the eval would measure memorising a few documents")))
-            .otherwise(F.concat(percent(dup), F.lit(" of sampled rows share a 200-character prefix"))),
+            F.when(dup > K.DUP_ERROR_SHARE, message(K.MSG_DUP_ERROR, pct=percent(dup)))
+            .otherwise(message(K.MSG_DUP_WARNING, pct=percent(dup))),
             stats_ok & (dup > K.DUP_WARNING_SHARE)),
-        _fd(7, "ok", F.concat(ok_msg, rows.cast("string"), F.lit(" rows sampled)")),
+        _fd(7, "ok", ok_msg,
             stats_ok & ~(short > K.SHORT_ERROR_SHARE) & ~(dup > K.DUP_ERROR_SHARE)),
     ), lambda x: x.isNotNull()))
     return findings, stats_ok
@@ -186,30 +178,26 @@ def _benchmark_findings_col(has_registry: bool, sample_timeout: float) -> Column
     go = proceed & ~failed & ~empty
     lm = F.col("harness") == "lm_eval"
     task = F.col("task")
-    where = F.concat(F.col("ds_path"), F.lit(" / "), F.col("ds_split"))
     if has_registry:
         known = F.coalesce(F.col("task_known"), F.lit(False))
         lm_find = [
-            _fd(6, "error", F.concat(F.lit("lm-eval has no task "), py_repr_or_none(task),
-                                     F.lit(". If it is a custom task, say so in the PR and include its YAML; "
-                                           "the owner will review it.")), go & lm & ~known),
-            _fd(6, "ok", F.concat(where, F.lit(" is readable and lm-eval knows "), py_repr_or_none(task)),
-                go & lm & known),
+            _fd(6, "error", message(K.MSG_NO_TASK.replace("{task!r}", "{task}"), task=py_repr_or_none(task)),
+                go & lm & ~known),
+            _fd(6, "ok", message(K.MSG_TASK_KNOWN.replace("{task!r}", "{task}"), path=F.col("ds_path"),
+                                 split=F.col("ds_split"), task=py_repr_or_none(task)), go & lm & known),
         ]
     else:
-        lm_find = [_fd(6, "ok", F.concat(where, F.lit(" is readable (lm-eval task "), py_repr_or_none(task),
-                                         F.lit(" not verified: lm-eval is not installed)")), go & lm)]
+        lm_find = [_fd(6, "ok", message(K.MSG_TASK_UNVERIFIED.replace("{task!r}", "{task}"), path=F.col("ds_path"),
+                                        split=F.col("ds_split"), task=py_repr_or_none(task)), go & lm)]
     findings = F.concat(hub, F.filter(F.array(
-        _fd(4, "warning", F.concat(C.timeout_text(F.col("ds_path"), 1, sample_timeout),
-                                   F.lit("; could not confirm the split is readable")), timed_out),
-        _fd(4, "error", F.concat(F.lit("scored split cannot be read: "),
-                                 C.load_error_text(F.col("ds_path"), F.col("ds_name"), F.col("ds_split"),
-                                                   F.col("l_error_type"), F.col("l_error_msg"), F.col("known_pairs"),
-                                                   F.col("known_text"))), failed),
-        _fd(5, "error", F.concat(F.lit("split "), quoted(F.col("ds_split")), F.lit(" of "), F.col("ds_path"),
-                                 F.lit(" is empty")), empty),
+        _fd(4, "warning", message(K.MSG_BENCH_TIMEOUT, detail=C.timeout_text(F.col("ds_path"), 1, sample_timeout)),
+            timed_out),
+        _fd(4, "error", message(K.MSG_BENCH_UNREADABLE, detail=C.load_error_text(
+            F.col("ds_path"), F.col("ds_name"), F.col("ds_split"), F.col("l_error_type"), F.col("l_error_msg"),
+            F.col("known_pairs"), F.col("known_text"))), failed),
+        _fd(5, "error", message(K.MSG_BENCH_EMPTY, split=F.col("ds_split"), path=F.col("ds_path")), empty),
         *lm_find,
-        _fd(6, "ok", F.concat(where, F.lit(" is readable for a held-out loss")), go & ~lm),
+        _fd(6, "ok", message(K.MSG_HELD_OUT_LOSS, path=F.col("ds_path"), split=F.col("ds_split")), go & ~lm),
     ), lambda x: x.isNotNull()))
     return findings
 

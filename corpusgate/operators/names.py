@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgate import constants as K
-from corpusgate.functions.text import quoted
+from corpusgate.functions.text import message
 from corpusgate.operators.rules import name_ok, name_taken
 
 
@@ -15,8 +15,7 @@ def taken_names(manifests: DataFrame, id_col: str = "manifest_id") -> DataFrame:
     name = F.col("name")
     return manifests.where(name_ok(name) & name_taken(name)).select(
         F.lit("taken").alias("kind"), F.col(id_col).cast("string").alias("key"),
-        F.concat(F.lit(K.VALUE_ERROR), quoted(name),
-                 F.lit(" is already a task on the subnet; pick another name")).alias("message"))
+        F.concat(F.lit(K.VALUE_ERROR), message(K.MSG_TAKEN, name=name)).alias("message"))
 
 
 def duplicate_names(manifests: DataFrame, folder: str = "folder", stem: str = "file_stem") -> DataFrame:
@@ -30,5 +29,4 @@ def duplicate_names(manifests: DataFrame, folder: str = "folder", stem: str = "f
               .groupBy("stem").agg(F.array_join(F.array_sort(F.collect_list("folder")), ", ").alias("owners")))
     return owners.select(
         F.lit("duplicate").alias("kind"), F.col("stem").alias("key"),
-        F.concat(F.col("stem"), F.lit(": proposed by more than one person ("), F.col("owners"),
-                 F.lit("); task names must be unique")).alias("message"))
+        message(K.MSG_TWO_OWNERS, name=F.col("stem"), owners=F.col("owners")).alias("message"))

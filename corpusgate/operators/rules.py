@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusgate import constants as K
 from corpusgate.functions.render import template_columns, template_is_valid
-from corpusgate.functions.text import fmt_g, quoted, truthy, ustrip
+from corpusgate.functions.text import fmt_g, message, quoted, truthy, ustrip
 
 ERROR_TYPE = "struct<sec:int,item:int,sub:int,loc:string,msg:string>"
 
@@ -52,7 +52,7 @@ def py_repr_or_none(c: Column) -> Column:
 # --- L0 / L1: one source ------------------------------------------------------
 
 def hub_path_error(path: Column) -> Column:
-    return value_error(F.concat(quoted(path), F.lit(" is not a HuggingFace dataset id like 'org/name'")))
+    return value_error(message(K.MSG_HUB_PATH, value=path))
 
 
 def template_error_detail(t: Column, cols: Column | None = None) -> Column:
@@ -103,15 +103,10 @@ def source_errors(s: Column, i: Column) -> Column:
     any_field = path_bad | w.isNull() | weight_low | weight_high | rev_bad
     tc, tt = truthy(s["text_column"]), truthy(s["text_template"])
     rendering = (
-        F.when(tc == tt, F.concat(s["path"], F.lit(": set either `text_column` (the column is the text) or "
-                                                   "`text_template` (several columns rendered into one), "
-                                                   "not both and not neither")))
-        .when(tt & (F.size(s["tcols"]) == 0),
-              F.concat(s["path"], F.lit(": text_template has no {column} placeholder — "
-                                        "use text_column if the text is one column")))
-        .when(tt & ~s["tvalid"],
-              F.concat(s["path"], F.lit(": text_template is not a valid format string ("),
-                       template_error_detail(s["text_template"], s["tcols"]), F.lit(")")))
+        F.when(tc == tt, message(K.MSG_ONE_RENDERING, path=s["path"]))
+        .when(tt & (F.size(s["tcols"]) == 0), message(K.MSG_NO_PLACEHOLDER, path=s["path"]))
+        .when(tt & ~s["tvalid"], message(K.MSG_BAD_TEMPLATE, path=s["path"],
+                                         detail=template_error_detail(s["text_template"], s["tcols"])))
     )
     return errors(
         err(s["path"].isNull(), SEC["data"], i, 1, F.concat(base, F.lit(".path")), K.MSG_REQUIRED),
@@ -168,11 +163,8 @@ def data_field_errors(m: Column, n_sources: Column) -> Column:
 def data_after_error(total: Column, rep: Column) -> Column:
     """MV11, then MV12 — the `data` rule, given the weight total and the
     first repeated source (both precomputed columns)."""
-    after = F.when(F.abs(total - 1.0) > K.WEIGHT_TOLERANCE,
-                   value_error(F.concat(F.lit("dataset_sources weights must sum to 1.0 (they sum to "),
-                                        fmt_g(total), F.lit(")")))) \
-        .when(rep.isNotNull(), value_error(F.concat(F.lit("dataset source "), source_key_repr(rep),
-                                                    F.lit(" is listed twice"))))
+    after = F.when(F.abs(total - 1.0) > K.WEIGHT_TOLERANCE, value_error(message(K.MSG_WEIGHTS, total=fmt_g(total)))) \
+        .when(rep.isNotNull(), value_error(message(K.MSG_TWICE, key=source_key_repr(rep))))
     return errors(err(after.isNotNull(), SEC["data"], 1001, 0, "data", after))
 
 
@@ -186,15 +178,10 @@ def benchmark_errors_one(b: Column, i: Column) -> Column:
     ds_path_bad = ds["path"].isNull() | ~ds["path"].rlike(K.HUB_PATH_PATTERN)
     any_field = (b["name"].isNull() | harness_bad | F.coalesce(shots_bad, F.lit(False)) | b["metric"].isNull()
                  | b["higher_is_better"].isNull() | ds.isNull() | ds_path_bad | ds["split"].isNull())
-    name = quoted(b["name"])
     lm = b["harness"] == "lm_eval"
-    after = (F.when(lm & ~truthy(b["task"]), F.concat(F.lit("benchmark "), name,
-                                                      F.lit(": an lm_eval benchmark needs `task`")))
-             .when(lm & b["num_fewshot"].isNull(), F.concat(F.lit("benchmark "), name,
-                                                             F.lit(": an lm_eval benchmark needs `num_fewshot`")))
-             .when(~lm & (truthy(b["task"]) | b["num_fewshot"].isNotNull()),
-                   F.concat(F.lit("benchmark "), name,
-                            F.lit(": eval_loss has no lm-eval task or few-shot count; remove `task` / `num_fewshot`"))))
+    after = (F.when(lm & ~truthy(b["task"]), message(K.MSG_NEEDS_TASK, name=b["name"]))
+             .when(lm & b["num_fewshot"].isNull(), message(K.MSG_NEEDS_SHOTS, name=b["name"]))
+             .when(~lm & (truthy(b["task"]) | b["num_fewshot"].isNotNull()), message(K.MSG_EVAL_LOSS, name=b["name"])))
     return errors(
         err(b["name"].isNull(), SEC["benchmarks"], i, 1, F.concat(base, F.lit(".name")), K.MSG_REQUIRED),
         err(b["harness"].isNull(), SEC["benchmarks"], i, 2, F.concat(base, F.lit(".harness")), K.MSG_REQUIRED),
@@ -253,7 +240,7 @@ def field_errors(m: Column) -> Column:
         err(name.isNull(), SEC["name"], 0, 0, "name", K.MSG_REQUIRED),
         err(name.isNotNull() & ~name_ok(name), SEC["name"], 0, 0, "name", value_error(F.lit(K.MSG_NAME))),
         err(name.isNotNull() & name_ok(name) & name_taken(name), SEC["name"], 0, 0, "name",
-            value_error(F.concat(quoted(name), F.lit(" is already a task on the subnet; pick another name")))),
+            value_error(message(K.MSG_TAKEN, name=name))),
         *_str_len_errors(m["title"], "title", K.TITLE_MIN, K.TITLE_MAX, strip=False),
         err(m["proposer"].isNull(), SEC["proposer"], 0, 0, "proposer", K.MSG_REQUIRED),
         err(m["proposer"].isNotNull() & m["proposer"]["github"].isNull(), SEC["proposer"], 0, 1, "proposer.github",
@@ -284,9 +271,7 @@ def first_held_out_violation(m: Column) -> Column:
 
 
 def held_out_message(b: Column) -> Column:
-    return F.concat(F.lit("benchmark "), quoted(b["name"]), F.lit(" scores on "), b["dataset"]["path"],
-                    F.lit(" split "), quoted(b["dataset"]["split"]),
-                    F.lit(", which is also a training source — the expert would be graded on data it trained on"))
+    return message(K.MSG_HELD_OUT, name=b["name"], path=b["dataset"]["path"], split=b["dataset"]["split"])
 
 
 def proposal_errors(m: Column, v: Column) -> Column:
@@ -307,10 +292,9 @@ def file_errors(m: Column, folder: Column, file_stem: Column) -> Column:
     github = m["proposer"]["github"]
     return errors(
         err(m["name"] != file_stem, SEC["file"], 0, 1, F.lit(None).cast("string"),
-            F.concat(lab, F.lit(": the file must be named after the proposal's name ("), m["name"], F.lit(".yaml)"))),
+            message(K.MSG_FILE_NAME, label=lab, name=m["name"])),
         err(F.lower(github) != F.lower(folder), SEC["file"], 0, 2, F.lit(None).cast("string"),
-            F.concat(lab, F.lit(": proposer.github is "), quoted(github), F.lit(" but the file is in "), folder,
-                     F.lit("/ — the folder must be the proposer's GitHub login"))),
+            message(K.MSG_FOLDER, label=lab, github=github, folder=folder)),
     )
 
 
