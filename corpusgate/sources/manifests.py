@@ -145,11 +145,31 @@ def decode_manifests(files: DataFrame) -> DataFrame:
     decoded = files.repartition(parts).mapInPandas(
         yaml_to_json, f"{schema}, json string, yaml_error string, not_mapping boolean")
     m = F.from_json(F.col("json"), MANIFEST_DDL)
-    srcs = F.transform(m["data"]["dataset_sources"], lambda s, i: s.withField("pos", i + 1).withField(
+    # MV2 lax typing: a number or boolean written as a string ("0.5", "2048",
+    # "yes") is accepted; `from_json` leaves such fields null, the variant
+    # cast fills them. Well-typed fields keep their parsed value.
+    v = F.try_parse_json(F.col("json"))
+    src_v = F.coalesce(F.try_variant_get(v, "$.data.dataset_sources", "array<variant>"),
+                       F.array().cast("array<variant>"))
+    bench_v = F.coalesce(F.try_variant_get(v, "$.benchmarks", "array<variant>"), F.array().cast("array<variant>"))
+    srcs = F.zip_with(m["data"]["dataset_sources"], src_v, lambda s, x: s.withField(
+        "weight", F.coalesce(s["weight"], F.try_variant_get(x, "$.weight", "double"))))
+    srcs = F.transform(srcs, lambda s, i: s.withField("pos", i + 1).withField(
         "split", F.coalesce(s["split"], F.lit(K.DEFAULT_SPLIT))))
-    bench = F.transform(m["benchmarks"], lambda b, i: b.withField("pos", i + 1))
+    bench = F.zip_with(m["benchmarks"], bench_v, lambda b, x: b.withField(
+        "num_fewshot", F.coalesce(b["num_fewshot"], F.try_variant_get(x, "$.num_fewshot", "int"))).withField(
+        "higher_is_better", F.coalesce(b["higher_is_better"], F.try_variant_get(x, "$.higher_is_better", "boolean"))))
+    bench = F.transform(bench, lambda b, i: b.withField("pos", i + 1))
+    seq_raw = F.try_variant_get(v, "$.data.sequence_length", "int")
+    seq_given = F.try_variant_get(v, "$.data.sequence_length", "string").isNotNull()
+    sequence_length = (F.when(~seq_given, F.lit(K.DEFAULT_SEQUENCE_LENGTH))
+                       .otherwise(F.coalesce(m["data"]["sequence_length"], seq_raw, F.lit(-1))))
+    st = m["suggested_training"]
+    suggested = F.when(st.isNotNull(), st.withField(
+        "steps", F.coalesce(st["steps"], F.try_variant_get(v, "$.suggested_training.steps", "int"))).withField(
+        "batch_size", F.coalesce(st["batch_size"], F.try_variant_get(v, "$.suggested_training.batch_size", "int"))))
     data = F.struct(F.coalesce(srcs, F.array().cast(f"array<{SOURCE_TYPE}>")).alias("dataset_sources"),
-                    F.coalesce(m["data"]["sequence_length"], F.lit(K.DEFAULT_SEQUENCE_LENGTH)).alias("sequence_length"))
+                    sequence_length.alias("sequence_length"))
     label = F.concat(F.col("folder"), F.lit("/"), F.col("file_stem"), F.lit(".yaml"))
     load_problems = (F.when(F.col("yaml_error").isNotNull(), F.array(F.concat(label, F.lit(": "), F.col("yaml_error"))))
                      .when(F.col("not_mapping"), F.array(F.concat(label, F.lit(": "), F.col("file_stem"),
@@ -162,7 +182,7 @@ def decode_manifests(files: DataFrame) -> DataFrame:
         *keep, *mid, "json", load_problems.alias("load_problems"),
         n_src.alias("n_sources"), n_bench.alias("n_benchmarks"),
         m.withField("data", data).withField("benchmarks", F.coalesce(bench, F.array().cast(f"array<{BENCHMARK_TYPE}>")))
-        .alias("m"))
+        .withField("suggested_training", suggested).alias("m"))
 
 
 def unknown_key_errors(json_col: str = "json") -> Column:
