@@ -55,6 +55,32 @@ def over_window(text, sequence_length) -> Column:
     return F.coalesce(F.length(t) > seq * K.CHARS_PER_TOKEN, F.lit(False))
 
 
+def row_stats_approx(texts: DataFrame, keys: list[str], text: str = "text",
+                     sequence_length=K.DEFAULT_SEQUENCE_LENGTH, rsd: float = 0.01, accuracy: int = 10_000) -> DataFrame:
+    """AG6, opt-in approximate form: one pass, one exchange on the keys.
+    Distinct prefixes by HyperLogLog++ (`approx_count_distinct`, relative
+    error `rsd`) and the median by `percentile_approx`; counts stay exact.
+    Each aggregate buffer has a fixed size, so a hot source costs no more
+    than any other."""
+    seq = F.col(sequence_length) if isinstance(sequence_length, str) else F.lit(sequence_length)
+    t = F.col(text)
+    length = F.coalesce(F.length(t), F.lit(0))
+    ok = usable(text)
+    stats = texts.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.percentile_approx(length, 0.5, accuracy).cast("bigint").alias("median_chars"),
+        F.count_if(ok).alias("usable_rows"),
+        F.approx_count_distinct(F.when(ok, F.xxhash64(prefix(text))), rsd).alias("distinct_prefixes"),
+        F.count_if(length > seq * K.CHARS_PER_TOKEN).alias("long_rows"))
+    return stats.select(
+        *keys, "rows", "median_chars",
+        (F.lit(1) - F.col("usable_rows") / F.col("rows")).alias("short_share"),
+        F.when(F.col("usable_rows") == 0, F.lit(0.0))
+        .otherwise(F.greatest(F.lit(0.0), F.lit(1) - F.col("distinct_prefixes") / F.col("usable_rows")))
+        .alias("dup_share"),
+        (F.col("long_rows") / F.col("rows")).alias("long_share"))
+
+
 def row_stats(texts: DataFrame, keys: list[str], text: str = "text", sequence_length=K.DEFAULT_SEQUENCE_LENGTH,
               exact: bool = False) -> DataFrame:
     """AG6: rows, median_chars, short_share, dup_share, long_share per key.

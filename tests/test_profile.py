@@ -96,3 +96,13 @@ def test_window_estimate(spark):
     r = P.window_estimate(df, ["k"], sequence_length=1024).collect()[0]
     assert (r.rows, r.windows, r.over_window_rows) == (3, 3, 1)
     assert r.approx_tokens == pytest.approx((4096 + 4097) / 4)
+
+
+def test_approximate_row_stats_are_close(spark):
+    texts = [f"{i % 50:05d} {LONG}" for i in range(400)] + ["short"] * 40
+    df = spark.createDataFrame([("s", t) for t in texts], "source string, text string")
+    exact = P.row_stats(df, ["source"]).collect()[0]
+    approx = P.row_stats_approx(df, ["source"]).collect()[0]
+    assert approx.rows == exact.rows and approx.short_share == exact.short_share
+    assert abs(approx.dup_share - exact.dup_share) < 0.02
+    assert abs(approx.median_chars - exact.median_chars) <= 1
