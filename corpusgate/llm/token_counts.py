@@ -31,6 +31,8 @@ TOKENIZER = "byte_bpe_50k.json"
 TABLE = 1 << 16
 FAN = 32
 LIMIT = 1024
+GROUP = 64        # texts encoded together
+CACHE = 1_600_000  # lengths remembered by one worker: about 170 bytes each
 
 
 def trim(counts: Counter, keep: int) -> None:
@@ -57,7 +59,7 @@ def frequent(docs: DataFrame, keep: int = TABLE, fan: int = FAN) -> list[str]:
         counts: Counter = Counter()
         for batch in batches:
             for text in texts_of(batch):
-                counts.update(text.split(" "))
+                counts.update(text.replace("\n", " \n").split(" "))
                 if len(counts) > 8 * keep:
                     trim(counts, keep)
         for word in [w for w in counts if not w or len(w) > LONG]:
@@ -99,7 +101,7 @@ def count(docs: DataFrame, path: str, keep: int = TABLE, out: str = "token_count
         # a word with a NUL or a length beyond a byte is left to tier two
         split = names.split("\0")
         first = {w: n for w, n in zip(split, sizes) if n < 255} if len(split) == len(sizes) else {}
-        return first, Pieces(path, lengths_only=True)
+        return first, Pieces(path, lengths_only=True, limit=CACHE)
 
     key = f"token_counts_{uuid.uuid4().hex}"
 
@@ -108,10 +110,8 @@ def count(docs: DataFrame, path: str, keep: int = TABLE, out: str = "token_count
         for batch in batches:
             texts = texts_of(batch)
             counts = []
-            for a in range(0, len(texts), 512):
-                part = texts[a:a + 512]
-                second.prepare(part, first)
-                counts += [sum(second.values(t, first)) for t in part]
+            for a in range(0, len(texts), GROUP):
+                counts += map(sum, second.encode(texts[a:a + GROUP], first))
             sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
             yield with_columns(batch, **{out: pa.StructArray.from_arrays(
                 [pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], fields=list(kind))})

@@ -1,13 +1,12 @@
-"""Byte-level BPE encoding of whole texts through a cache of space-led pre-tokens.
-
-The tokenizer first cuts a text into pre-tokens, and no pre-token crosses the
-place before a single space that stands between two visible characters. So the
-text is cut at its spaces and each piece (with the space before it) is encoded
-once and remembered: the result is the library's own. The cut is also right
-beside other white space unless a space has white space on both sides or ends
-the text after white space; such texts, and pieces longer than `LONG`, go to
-the library whole. The tokenizer's special strings are split off first, as the
-library does by default.
+"""Byte-level BPE encoding of whole texts through a cache of pre-token pieces.
+
+The tokenizer first cuts a text into pre-tokens and encodes each alone. Here a
+text is cut before every space and every line end; each piece (its leading
+space or line end included) is encoded once by the library and remembered. The
+library cuts at all those places too, except inside a run of three or more white
+space characters or of two or more at the end of a text: texts with such a run
+go to the library whole. Special strings are split off first, as the library
+does by default. So the ids are the library's own.
 """
 from __future__ import annotations
 
@@ -17,15 +16,22 @@ from array import array
 
 import numpy as np
 
-LONG = 48
-CACHE = 800_000
-_UNSAFE = re.compile(r" (?<=\s )(?:\s|\Z)")
+LONG = 48        # longer pieces are encoded but not remembered
+CACHE = 800_000  # pieces remembered by one worker
+CHUNK = 256      # pieces encoded by one call
+_RUN = re.compile(r"\s\s\s|\s\s\Z")
 _SPACE = re.compile(r"\s")
-_NEWLINE = "\n"
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+_PAIRS = ("  ", "\n\n", " \n", "\n ")
+
+
+def safe(text: str) -> bool:
+    """Whether every space and line end of the text is a place where the library cuts."""
+    return not (any(p in text for p in _PAIRS) or _OTHER_SPACE.search(text)) or not _RUN.search(text)
 
 
 class Pieces:
-    """`get(text)` gives the ids of a text as little-endian unsigned 16- or 32-bit integers."""
+    """Token ids (little-endian unsigned 16- or 32-bit bytes) or token counts of texts."""
 
     def __init__(self, path: str, lengths_only: bool = False, limit: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -33,13 +39,14 @@ class Pieces:
 
         self.lib = Tokenizer.from_file(path)
         added = self.lib.get_added_tokens_decoder()
-        self.plain = all(not (t.lstrip or t.rstrip or t.single_word or t.normalized) for t in added.values())
+        self.simple = all(not (t.lstrip or t.rstrip or t.single_word or t.normalized) for t in added.values())
         self.special = {t.content: i for i, t in added.items()}
         self.split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        ids = self.lib.encode(_NEWLINE + " a", add_special_tokens=False).ids
-        # a line end before a space must be one token of its own to serve as a border
-        self.border = ids[0] if ids[:1] == self.lib.encode(_NEWLINE, add_special_tokens=False).ids else None
+        line = self.lib.encode("\n", add_special_tokens=False).ids
+        # a line end that stands alone must be one token to serve as a border between pieces
+        self.border = line[0] if len(line) == 1 else None
         self.code = "H" if self.lib.get_vocab_size() < 1 << 16 else "I"
+        self.width = 2 if self.code == "H" else 4
         self.lengths_only, self.limit = lengths_only, limit
         self.cache: dict[str, object] = {}
 
@@ -49,64 +56,90 @@ class Pieces:
     def whole(self, text: str) -> object:
         return self.value(self.lib.encode(text, add_special_tokens=False).ids)
 
+    def piece(self, piece: str) -> object:
+        return self.whole(piece if piece[:1] == "\n" else " " + piece)
+
     def learn(self, pieces: set[str]) -> None:
-        """Encode pieces that are not known yet: those without white space all in one call, one to a line."""
-        cache = self.cache
-        plain = [p for p in pieces if p and len(p) <= LONG and not _SPACE.search(p)] if self.border is not None else []
-        for a in range(0, len(plain), 4096):
-            part = plain[a:a + 4096]
-            ids = np.array(self.lib.encode_batch_fast(["\n ".join(["", *part, "x"])], add_special_tokens=False)[0].ids)
-            cuts = np.flatnonzero(ids == self.border)
-            if len(cuts) != len(part) + 1:
-                cache.update((p, self.whole(" " + p)) for p in part)
-            elif self.lengths_only:
-                cache.update(zip(part, (np.diff(cuts) - 1).tolist()))
-            else:
-                raw, w = ids.astype("<u2" if self.code == "H" else "<u4").tobytes(), 2 if self.code == "H" else 4
-                ends = (cuts * w).tolist()
-                cache.update((p, raw[x + w:y]) for p, x, y in zip(part, ends, ends[1:]))
-        for p in pieces:
-            if p not in cache:
-                cache[p] = self.whole(" " + p)
-
-    def prepare(self, texts: list[str], known: dict[str, object] | None = None) -> None:
-        """Make sure that the pieces of these texts are known; the cache is emptied when it is full."""
-        need: set[str] = set()
+        """Remember the values of pieces; most are encoded many to a call, a line end between them."""
+        rest = list(pieces)
+        if self.border is not None:
+            led = [p for p in rest if p[:1] == "\n" and len(p) > 1 and not _SPACE.search(p, 1)]
+            plain = [p for p in rest if p and not _SPACE.search(p)]
+            for group, mark, keep in ((plain, "\n ", 1), (led, "", 0)):
+                for a in range(0, len(group), CHUNK):
+                    self.learn_joined(group[a:a + CHUNK], mark, keep)
+            rest = [p for p in rest if p not in self.cache]
+        for p in rest:
+            self.cache[p] = self.piece(p)
+
+    def learn_joined(self, part: list[str], mark: str, skip: int) -> None:
+        """skip: 1 if the line end is only a border, 0 if it is the piece's own first token."""
+        text = "".join(mark + p for p in part) + "\nx"
+        ids = np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        cuts = np.flatnonzero(ids == self.border)
+        if len(cuts) != len(part) + 1:
+            return  # a special string or the like: these pieces are encoded one by one
+        if self.lengths_only:
+            self.cache.update(zip(part, (np.diff(cuts) - skip).tolist()))
+        else:
+            raw, ends = ids.astype(f"<u{self.width}").tobytes(), (cuts * self.width).tolist()
+            less = skip * self.width
+            self.cache.update((p, raw[x + less:y]) for p, x, y in zip(part, ends, ends[1:]))
+
+    def encode(self, texts: list[str], known: dict[str, object] | None = None) -> list[list]:
+        """For each text the values of its pieces, in order. `known` (the first tier) is asked before the cache."""
+        if len(self.cache) > self.limit:
+            self.cache.clear()
+        out: list[list | None] = []
+        words: list[str] = []
         for text in texts:
-            need.update(text.split(" "))
+            if not text:
+                out.append([])
+            elif not self.simple:
+                out.append([self.whole(text)])
+            elif self.split.search(text):
+                out.append(self.segments(text, known))
+            elif not safe(text):
+                out.append([self.whole(text)])
+            else:
+                parts = text.replace("\n", " \n").split(" ")
+                out.append([self.whole(parts[0])] if parts[0] else [])
+                out[-1].append(_Count(len(parts) - 1))
+                words += parts[1:]
+        need = set(words)
         if known:
             need.difference_update(known)
-        if len(self.cache) > self.limit:
-            self.cache.clear()
         need.difference_update(self.cache)
-        self.learn({p for p in need if len(p) <= LONG})
-
-    def segment(self, text: str, known: dict[str, object] | None) -> list:
-        """The values of a text without special strings, in order."""
-        if not text:
-            return []
-        if _UNSAFE.search(text):
-            return [self.whole(text)]
-        first, *rest = text.split(" ")
-        get = self.cache.get
-        out = [self.whole(first)] if first else []
+        if need:
+            self.learn(need)
         if known:
-            got = list(map(known.get, rest))
-            got = [g if g is not None else get(p) for g, p in zip(got, rest)] if None in got else got
+            got = list(map(known.get, words))
+            cache = self.cache
+            for i in [i for i, g in enumerate(got) if g is None]:
+                got[i] = cache[words[i]]
         else:
-            got = list(map(get, rest))
-        if None in got:
-            got = [g if g is not None else self.whole(" " + p) for g, p in zip(got, rest)]
-        return out + got
-
-    def values(self, text: str, known: dict[str, object] | None = None) -> list:
-        if not self.plain:
-            return [self.whole(text)]
-        if not self.split.search(text):
-            return self.segment(text, known)
+            got = list(map(self.cache.__getitem__, words))
+        at = 0
+        for i, text in enumerate(texts):
+            row = out[i]
+            if row and isinstance(row[-1], _Count):
+                n = row.pop()
+                row += got[at:at + n]
+                at += n
+        for p in need:
+            if len(p) > LONG:
+                del self.cache[p]
+        return out
+
+    def segments(self, text: str, known: dict[str, object] | None) -> list:
+        """A text with special strings: what stands between them is encoded as texts of its own."""
         out, at = [], 0
         for m in self.split.finditer(text):
-            out += self.segment(text[at:m.start()], known)
+            out += self.encode([text[at:m.start()]], known)[0]
             out.append(self.value([self.special[m.group()]]))
             at = m.end()
-        return out + self.segment(text[at:], known)
+        return out + self.encode([text[at:]], known)[0]
+
+
+class _Count(int):
+    """How many pieces of a text are still to be filled in."""

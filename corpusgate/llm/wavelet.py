@@ -43,6 +43,7 @@ from corpusgate.session import checkpoint_dir
 
 SHARD = 1 << 20
 END = 2
+GROUP = 64   # texts encoded together
 BLOCK = 512  # bits of a rank block
 LAYOUT = ("part int, shard int, start bigint, n_tokens bigint, doc_ids array<bigint>, doc_tokens array<bigint>, "
           "zeros array<bigint>, planes array<binary>, ranks array<binary>")
@@ -162,10 +163,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, shard: int
         for batch in batches:
             texts, ids = texts_of(batch), batch.column("doc_id").to_pylist()
             place = batch.column("part")[0].as_py() if len(batch) else place
-            for a in range(0, len(texts), 512):
-                pieces.prepare(texts[a:a + 512])
-                for doc_id, text in zip(ids[a:a + 512], texts[a:a + 512]):
-                    raw = b"".join([*pieces.values(text), tail])
+            for a in range(0, len(texts), GROUP):
+                for doc_id, values in zip(ids[a:a + GROUP], pieces.encode(texts[a:a + GROUP])):
+                    raw = b"".join([*values, tail])
                     parts.append(raw)
                     names.append(doc_id)
                     sizes.append(len(raw) // np.dtype(kind).itemsize)
