@@ -61,30 +61,39 @@ class Pieces:
 
     def learn(self, pieces: set[str]) -> None:
         """Remember the values of pieces; most are encoded many to a call, a line end between them."""
-        rest = list(pieces)
-        if self.border is not None:
-            led = [p for p in rest if p[:1] == "\n" and len(p) > 1 and not _SPACE.search(p, 1)]
-            plain = [p for p in rest if p and not _SPACE.search(p)]
-            for group, mark, keep in ((plain, "\n ", 1), (led, "", 0)):
-                for a in range(0, len(group), CHUNK):
-                    self.learn_joined(group[a:a + CHUNK], mark, keep)
-            rest = [p for p in rest if p not in self.cache]
+        rest = []
+        plain, led = [], []
+        spaced = _SPACE.search
+        for p in pieces:
+            if not spaced(p):
+                (plain if p else rest).append(p)
+            else:
+                (led if p[0] == "\n" and len(p) > 1 and not spaced(p, 1) else rest).append(p)
+        if self.border is None:
+            rest, plain, led = list(pieces), [], []
+        for group, mark, skip in ((plain, "\n ", 1), (led, "", 0)):
+            for a in range(0, len(group), CHUNK):
+                part = group[a:a + CHUNK]
+                if not self.learn_joined(part, mark, skip):
+                    rest += part
         for p in rest:
             self.cache[p] = self.piece(p)
 
-    def learn_joined(self, part: list[str], mark: str, skip: int) -> None:
-        """skip: 1 if the line end is only a border, 0 if it is the piece's own first token."""
+    def learn_joined(self, part: list[str], mark: str, skip: int) -> bool:
+        """skip: 1 if the line end is only a border, 0 if it is the piece's own first token.
+        False if the borders do not show (a special string or the like): then nothing is learned."""
         text = "".join(mark + p for p in part) + "\nx"
         ids = np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids)
         cuts = np.flatnonzero(ids == self.border)
         if len(cuts) != len(part) + 1:
-            return  # a special string or the like: these pieces are encoded one by one
+            return False
         if self.lengths_only:
             self.cache.update(zip(part, (np.diff(cuts) - skip).tolist()))
         else:
             raw, ends = ids.astype(f"<u{self.width}").tobytes(), (cuts * self.width).tolist()
             less = skip * self.width
             self.cache.update((p, raw[x + less:y]) for p, x, y in zip(part, ends, ends[1:]))
+        return True
 
     def encode(self, texts: list[str], known: dict[str, object] | None = None) -> list[list]:
         """For each text the values of its pieces, in order. `known` (the first tier) is asked before the cache."""
@@ -106,19 +115,16 @@ class Pieces:
                 out.append([self.whole(parts[0])] if parts[0] else [])
                 out[-1].append(_Count(len(parts) - 1))
                 words += parts[1:]
-        need = set(words)
-        if known:
-            need.difference_update(known)
-        need.difference_update(self.cache)
+        cache = self.cache
+        got = list(map(known.get if known else cache.get, words))
+        missing = [i for i, g in enumerate(got) if g is None] if None in got else []
+        need = {words[i] for i in missing}
+        if known and need:
+            need = need.difference(cache)
         if need:
             self.learn(need)
-        if known:
-            got = list(map(known.get, words))
-            cache = self.cache
-            for i in [i for i, g in enumerate(got) if g is None]:
-                got[i] = cache[words[i]]
-        else:
-            got = list(map(self.cache.__getitem__, words))
+        for i in missing:
+            got[i] = cache[words[i]]
         at = 0
         for i, text in enumerate(texts):
             row = out[i]

@@ -59,7 +59,7 @@ def build(ids: np.ndarray, bits: int) -> tuple[list[int], list[bytes], list[byte
         zeros.append(int(len(ids) - np.count_nonzero(one)))
         planes.append(packed.tobytes())
         ranks.append(directory(packed))
-        ids = np.concatenate([ids[~one], ids[one]])
+        ids = np.concatenate([np.compress(~one, ids), np.compress(one, ids)])
     return zeros, planes, ranks
 
 
@@ -140,7 +140,8 @@ class Matrix:
         for up, (packed, zeros) in enumerate(zip(self.planes[::-1], self.zeros[::-1])):
             one = np.unpackbits(packed, count=self.n).view(bool)
             before = np.empty_like(ids)
-            before[~one], before[one] = ids[:zeros], ids[zeros:] | np.uint32(1 << up)
+            before[np.flatnonzero(~one)] = ids[:zeros]
+            before[np.flatnonzero(one)] = ids[zeros:] | np.uint32(1 << up)
             ids = before
         return ids
 
