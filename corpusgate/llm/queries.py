@@ -1,16 +1,19 @@
 """The registered queries of the operators and, where SQL can express one, its DuckDB SQL."""
 from __future__ import annotations
 
+from corpusgate.llm.ann import op7_multi_index
 from corpusgate.llm.decontaminate import op9_decontaminate
 from corpusgate.llm.language_id import op10_language_id
 from corpusgate.llm.mixing import op8_pareto_mix
 from corpusgate.llm.simhash import op4_simhash
 from corpusgate.llm.token_counts import op1_token_counts
+from corpusgate.llm.toxicity import op6_toxicity
 from corpusgate.llm.wavelet import op3_wavelet_files
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op3_wavelet_files, op4_simhash, op8_pareto_mix, op9_decontaminate, op10_language_id)}
+    return {f.__name__: f for f in (op1_token_counts, op3_wavelet_files, op4_simhash, op6_toxicity, op7_multi_index,
+                                       op8_pareto_mix, op9_decontaminate, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -38,7 +38,7 @@ BUCKETS = 1 << BITS
 SAMPLE = 6000
 SAMPLE_GRAMS = 20_000
 DIM = 8
-EPOCHS = 8
+EPOCHS = 8        # passes over a full sample; a smaller one gets more, so that the steps stay as many
 PRIOR = 300
 THRESHOLD = 0.3
 PIECE = 1 << 20  # bytes hashed at a time
@@ -148,8 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     first = [np.zeros_like(p) for p in params]
     second = [np.zeros_like(p) for p in params]
     out += rng.normal(0, 0.1, out.shape).astype(np.float32)
-    step, size, gain = 0, 64, 60.0  # gain: averages of hundreds of n-grams are small
-    for epoch in range(EPOCHS):
+    step, size, gain = 0, 64, 120.0  # gain: averages of hundreds of n-grams are small
+    epochs = max(EPOCHS, min(200, EPOCHS * SAMPLE // len(bags)))
+    for epoch in range(epochs):
         order = rng.permutation(len(bags))
         for a in range(0, len(bags), size):
             rows = order[a:a + size]
@@ -169,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             grads = [np.stack([np.bincount(place, grad[:, d], len(used)) for d in range(DIM)], axis=1),
                      hidden.T @ error, error.sum(axis=0)]
             step += 1
-            rate = 0.02 * (1 - epoch / EPOCHS) + 0.002
+            rate = 0.02 * (1 - epoch / epochs) + 0.002
             for k, (p_, g) in enumerate(zip(params, grads)):
                 at = used if k == 0 else slice(None)
                 first[k][at] = 0.9 * first[k][at] + 0.1 * g
