@@ -3,11 +3,11 @@
 A text is the bag of its words, each distinct word once, and a word is the bag
 of its byte n-grams of `GRAMS` lengths (A-Z lowered, the word between two spaces,
 so that its beginning and end show; no n-gram crosses a space), hashed into
-`BUCKETS` buckets. Every bucket has a vector; the text's vector is the average
+`BUCKETS` buckets. Every bucket that at least `MIN_DOCS` texts of the sample use has a vector; the text's vector is the average
 over all its n-grams and `PRIOR` more with a zero vector, which keep a handful
 of words from deciding alone, and a linear softmax gives the probability of
 label 1. Vectors and softmax are trained
-jointly in numpy (Adam, mini-batches), so an unseen misspelling scores through
+jointly in numpy (gradient steps on mini-batches), so an unseen misspelling scores through
 the n-grams it shares with words that were seen.
 
 Learning sees a bounded sample: at most `SAMPLE` labelled rows of the learning
@@ -33,13 +33,17 @@ from pyspark.sql import functions as F
 from corpusgate.llm.common import Batches, fold, share, spare, staged, table, texts_of, with_columns
 
 GRAMS = (3, 4, 5, 6)
-BITS = 17
+BITS = 20
 BUCKETS = 1 << BITS
 SAMPLE = 6000
 SAMPLE_GRAMS = 20_000
+MIN_DOCS = 3      # n-grams of fewer sample documents get no vector
 DIM = 8
 EPOCHS = 8        # passes over a full sample; a smaller one gets more, so that the steps stay as many
 PRIOR = 300
+RATE = 3.0
+BATCH = 32
+GAIN = 60.0       # averages over hundreds of n-grams are small
 THRESHOLD = 0.3
 PIECE = 1 << 20  # bytes hashed at a time
 _MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
@@ -139,26 +143,29 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), 20.0 if y[0] else -20.0)
     bags = [(np.frombuffer(r.ids, "<u4"), np.frombuffer(r.counts, "<u2")) for r in rows]
+    seen = np.zeros(BUCKETS, np.int32)
+    for ids, _ in bags:
+        seen[ids] += 1
+    kept = np.flatnonzero(seen >= MIN_DOCS)
+    dense = np.full(BUCKETS, -1, np.int32)
+    dense[kept] = np.arange(len(kept))
+    for i, (ids, counts) in enumerate(bags):
+        at = dense[ids] >= 0
+        bags[i] = dense[ids[at]], counts[at] / np.float32(PRIOR + counts.sum())
+    # plain gradient steps: n-grams that few texts share move little, which keeps them from being learned by heart
     rng = np.random.default_rng(6)
-    vectors = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
-    out = np.zeros((DIM, 2), np.float32)
-    prior = np.log(y.mean() / (1 - y.mean()))
-    bias = np.array([0, prior], np.float32)
-    params = [vectors, out, bias]
-    first = [np.zeros_like(p) for p in params]
-    second = [np.zeros_like(p) for p in params]
-    out += rng.normal(0, 0.1, out.shape).astype(np.float32)
-    step, size, gain = 0, 64, 120.0  # gain: averages of hundreds of n-grams are small
-    epochs = max(EPOCHS, min(200, EPOCHS * SAMPLE // len(bags)))
+    vectors = rng.normal(0, 0.01, (len(kept), DIM)).astype(np.float32)
+    out = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32)
+    bias = np.array([0, np.log(y.mean() / (1 - y.mean()))], np.float32)
+    epochs = max(EPOCHS, min(60, EPOCHS * SAMPLE // len(bags)))
     for epoch in range(epochs):
         order = rng.permutation(len(bags))
-        for a in range(0, len(bags), size):
-            rows = order[a:a + size]
+        rate = RATE * (1 - epoch / epochs)
+        for a in range(0, len(bags), BATCH):
+            rows = order[a:a + BATCH]
             ids = np.concatenate([bags[i][0] for i in rows])
-            lens = np.array([len(bags[i][0]) for i in rows])
-            weight = np.concatenate([bags[i][1] / (PRIOR + bags[i][1].sum()) for i in rows]).astype(np.float32) * gain
-            owner = np.repeat(np.arange(len(rows)), lens)
-            used, place = np.unique(ids, return_inverse=True)
+            weight = np.concatenate([bags[i][1] for i in rows]) * np.float32(GAIN)
+            owner = np.repeat(np.arange(len(rows)), [len(bags[i][0]) for i in rows])
             part = weight[:, None] * vectors[ids]
             hidden = np.stack([np.bincount(owner, part[:, d], len(rows)) for d in range(DIM)], axis=1)
             z = hidden @ out + bias
@@ -166,17 +173,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             p /= p.sum(axis=1, keepdims=True)
             error = (p - np.stack([1 - y[rows], y[rows]], axis=1)) / len(rows)
             back = (error @ out.T).astype(np.float32)
+            used, place = np.unique(ids, return_inverse=True)
             grad = weight[:, None] * back[owner]
-            grads = [np.stack([np.bincount(place, grad[:, d], len(used)) for d in range(DIM)], axis=1),
-                     hidden.T @ error, error.sum(axis=0)]
-            step += 1
-            rate = 0.02 * (1 - epoch / epochs) + 0.002
-            for k, (p_, g) in enumerate(zip(params, grads)):
-                at = used if k == 0 else slice(None)
-                first[k][at] = 0.9 * first[k][at] + 0.1 * g
-                second[k][at] = 0.99 * second[k][at] + 0.01 * g * g
-                p_[at] -= rate * (first[k][at] / (1 - 0.9 ** step)) / (np.sqrt(second[k][at] / (1 - 0.99 ** step)) + 1e-8)
-    return Model((gain * (vectors @ (out[:, 1] - out[:, 0]))).astype(np.float32), float(bias[1] - bias[0]))
+            vectors[used] -= rate * np.stack([np.bincount(place, grad[:, d], len(used)) for d in range(DIM)], axis=1)
+            out -= 0.1 * rate * (hidden.T @ error)
+            bias -= 0.1 * rate * error.sum(axis=0)
+    logit = np.zeros(BUCKETS, np.float32)
+    logit[kept] = GAIN * (vectors @ (out[:, 1] - out[:, 0]))
+    return Model(logit, float(bias[1] - bias[0]))
 
 
 def score(docs: DataFrame, model: Model, out: str = "toxicity") -> DataFrame:
