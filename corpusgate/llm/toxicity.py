@@ -11,7 +11,8 @@ jointly in numpy (gradient steps on mini-batches), so an unseen misspelling scor
 the n-grams it shares with words that were seen.
 
 Learning sees a bounded sample: at most `SAMPLE` labelled rows of the learning
-folds, the first by hash of the id; their bags, not their texts, are gathered,
+folds, `TOXIC` of them toxic, the first of each by hash of the id (the scores
+are carried back to the share of toxic rows among all labels); their bags, not their texts, are gathered,
 up to `SAMPLE_GRAMS` distinct n-grams each (long texts are whole in scoring, and
 in learning longer ones are left to the next row). Every text is scored whole,
 batch by batch, from one number per bucket (vectors times softmax).
@@ -35,7 +36,8 @@ from corpusgate.llm.common import Batches, fold, share, spare, staged, table, te
 GRAMS = (3, 4, 5, 6)
 BITS = 20
 BUCKETS = 1 << BITS
-SAMPLE = 6000
+SAMPLE = 4500     # labelled texts that are learned from,
+TOXIC = 1500      # at most so many of them toxic
 SAMPLE_GRAMS = 20_000
 MIN_DOCS = 3      # n-grams of fewer sample documents get no vector
 DIM = 8
@@ -111,6 +113,12 @@ class Model:
         count[list(rows)] += np.bincount(owner, minlength=len(raws))
 
 
+def learning(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the learning folds."""
+    return (labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
+            .agg(F.max("toxic").cast("int").alias("toxic")).filter(fold(F.col("doc_id"), 4) != 2))
+
+
 def training_bags(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(toxic, ids, counts) of the bounded sample of labelled rows."""
     def run(batches: Batches) -> Batches:
@@ -124,25 +132,30 @@ def training_bags(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 ids, counts = np.unique(grams(np.frombuffer(raw, np.uint8))[0], return_counts=True)
                 if len(ids) <= SAMPLE_GRAMS:
                     rows.append({"toxic": toxic, "ids": ids.astype("<u4").tobytes(),
-                                 "counts": np.minimum(counts, 65535).astype("<u2").tobytes()})
+                                 "counts": np.minimum(counts, 255).astype(np.uint8).tobytes()})
             yield pa.RecordBatch.from_pylist(rows, kind)
 
-    marks = (labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
-             .agg(F.max("toxic").cast("int").alias("toxic")).filter(fold(F.col("doc_id"), 4) != 2))
-    sample = staged(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "labelled")
+    marks = learning(labels)
+    part = lambda toxic, n: marks.filter((F.col("toxic") > 0) == toxic).orderBy(
+        F.xxhash64("doc_id"), "doc_id").limit(n)
+    sample = staged(part(True, TOXIC).unionByName(part(False, SAMPLE - TOXIC)), "labelled")
     # bounded: SAMPLE rows of two numbers
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     return rows.select("toxic", "text").mapInArrow(run, "toxic int, ids binary, counts binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = training_bags(docs, labels).orderBy("toxic", "ids").collect()
-    y = np.array([r.toxic > 0 for r in rows], np.float32)
+    # one partition at a time, so that the driver holds each bag once
+    rows = training_bags(docs, labels).orderBy("toxic", "ids").toLocalIterator()
+    bags, marks = [], []
+    for row in rows:
+        bags.append((np.frombuffer(row.ids, "<u4"), np.frombuffer(row.counts, np.uint8)))
+        marks.append(row.toxic > 0)
+    y = np.array(marks, np.float32)
     if not len(y):
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     if y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), 20.0 if y[0] else -20.0)
-    bags = [(np.frombuffer(r.ids, "<u4"), np.frombuffer(r.counts, "<u2")) for r in rows]
     seen = np.zeros(BUCKETS, np.int32)
     for ids, _ in bags:
         seen[ids] += 1
@@ -151,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     dense[kept] = np.arange(len(kept))
     for i, (ids, counts) in enumerate(bags):
         at = dense[ids] >= 0
-        bags[i] = dense[ids[at]], counts[at] / np.float32(PRIOR + counts.sum())
+        bags[i] = dense[ids[at]], counts[at], np.float32(GAIN / (PRIOR + counts.sum(dtype=np.int64)))
     # plain gradient steps: n-grams that few texts share move little, which keeps them from being learned by heart
     rng = np.random.default_rng(6)
     vectors = rng.normal(0, 0.01, (len(kept), DIM)).astype(np.float32)
@@ -164,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         for a in range(0, len(bags), BATCH):
             rows = order[a:a + BATCH]
             ids = np.concatenate([bags[i][0] for i in rows])
-            weight = np.concatenate([bags[i][1] for i in rows]) * np.float32(GAIN)
+            weight = np.concatenate([bags[i][1] * bags[i][2] for i in rows])
             owner = np.repeat(np.arange(len(rows)), [len(bags[i][0]) for i in rows])
             part = weight[:, None] * vectors[ids]
             hidden = np.stack([np.bincount(owner, part[:, d], len(rows)) for d in range(DIM)], axis=1)
@@ -180,7 +193,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             bias -= 0.1 * rate * error.sum(axis=0)
     logit = np.zeros(BUCKETS, np.float32)
     logit[kept] = GAIN * (vectors @ (out[:, 1] - out[:, 0]))
-    return Model(logit, float(bias[1] - bias[0]))
+    # the sample holds more toxic texts than the labels do: back to the odds of all labels of the learning folds
+    n, toxic = learning(labels).agg(F.count(F.lit(1)), F.count_if(F.col("toxic") > 0)).first()
+    shift = np.log(toxic / (n - toxic)) - np.log(y.mean() / (1 - y.mean()))
+    return Model(logit, float(bias[1] - bias[0] + shift))
 
 
 def score(docs: DataFrame, model: Model, out: str = "toxicity") -> DataFrame:
