@@ -19,6 +19,7 @@ import json
 import uuid
 import zlib
 from collections import Counter
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,20 +47,28 @@ def trim(counts: Counter, keep: int) -> None:
 
 
 def pack(counts: Counter) -> bytes:
-    return zlib.compress(json.dumps(sorted(counts.items()), ensure_ascii=True).encode(), 1)
+    """Counts of str, or of bytes (kept as latin-1), as compressed JSON."""
+    rows = sorted((w.decode("latin-1") if isinstance(w, bytes) else w, n) for w, n in counts.items())
+    return zlib.compress(json.dumps(rows).encode(), 1)
 
 
 def unpack(blob: bytes) -> Counter:
     return Counter(dict(json.loads(zlib.decompress(blob))))
 
 
-def frequent(docs: DataFrame, keep: int = TABLE, fan: int = FAN) -> list[str]:
-    """The pre-tokens of the corpus-wide Misra-Gries summary, most frequent first."""
+def pieces_of(text: str) -> list[str]:
+    return text.replace("\n", " \n").split(" ")
+
+
+def frequent(docs: DataFrame, keep: int = TABLE, fan: int = FAN,
+             cut: Callable[[str], list] = pieces_of, least: int = 1) -> list[str]:
+    """What the corpus-wide Misra-Gries summary of all `cut(text)` holds at least `least` times,
+    most frequent first."""
     def summarise(batches: Batches) -> Batches:
         counts: Counter = Counter()
         for batch in batches:
             for text in texts_of(batch):
-                counts.update(text.replace("\n", " \n").split(" "))
+                counts.update(cut(text))
                 if len(counts) > 8 * keep:
                     trim(counts, keep)
         for word in [w for w in counts if not w or len(w) > LONG]:
@@ -82,7 +91,10 @@ def frequent(docs: DataFrame, keep: int = TABLE, fan: int = FAN) -> list[str]:
         if groups == 1:
             break
     row = level.first()
-    return [] if row is None else [w for w, _ in unpack(bytes(row.summary)).most_common()]
+    if row is None:
+        return []
+    found = unpack(bytes(row.summary))
+    return [w for w, n in sorted(found.items(), key=lambda x: (-x[1], x[0])) if n >= least]
 
 
 def count(docs: DataFrame, path: str, keep: int = TABLE, out: str = "token_count") -> DataFrame:
