@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from corpusgate.llm.ann import op7_multi_index
 from corpusgate.llm.brown import op2_brown_lm
+from corpusgate.llm.debruijn import op5_debruijn_dedup
 from corpusgate.llm.decontaminate import op9_decontaminate
 from corpusgate.llm.language_id import op10_language_id
 from corpusgate.llm.mixing import op8_pareto_mix
@@ -13,7 +14,7 @@ from corpusgate.llm.wavelet import op3_wavelet_files
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_brown_lm, op3_wavelet_files, op4_simhash, op6_toxicity, op7_multi_index,
+    return {f.__name__: f for f in (op1_token_counts, op2_brown_lm, op3_wavelet_files, op4_simhash, op5_debruijn_dedup, op6_toxicity, op7_multi_index,
                                        op8_pareto_mix, op9_decontaminate, op10_language_id)}
 
 
