@@ -35,14 +35,15 @@ PROPOSAL_SUFFIX = ".yaml"
 # Patterns, written for Java regex. `\n?\z` stands for Python's `$` (which
 # also matches before one final newline); `(?U)` makes `\w` Unicode-aware
 # like Python's.
-NAME_PATTERN = r"^exp_[a-z0-9]+(?:_[a-z0-9]+)*\n?\z"
+# Repeated groups are possessive: Java's matcher then needs no stack per repetition.
+NAME_PATTERN = r"^exp_[a-z0-9]++(?:_[a-z0-9]++)*+\n?\z"
 HUB_PATH_PATTERN = r"(?U)^[A-Za-z0-9][\w.-]*/[\w.-]+\n?\z"
 SHA_PATTERN = r"^[0-9a-f]{40}\n?\z"
 # `{column}` placeholders in a text template, ignoring `{{` escapes.
 TEMPLATE_FIELD_PATTERN = r"(?<!\{)\{([^{}]+)\}"
 # A template str.format can fill from named columns: literal text, `{{`, `}}`
 # and plain `{name}` fields only (no attribute, index, conversion or spec).
-TEMPLATE_VALID_PATTERN = r"^(?:[^{}]|\{\{|\}\}|\{[^{}.\[:!]+\})*\z"
+TEMPLATE_VALID_PATTERN = r"^(?:[^{}]++|\{\{|\}\}|\{[^{}.\[:!]+\})*+\z"
 TEMPLATE_TOKEN_PATTERN = r"\{\{|\}\}|\{([^{}]+)\}"
 
 # --- fixed values: change-log rules -----------------------------------------

@@ -1,29 +1,30 @@
 """Join helpers."""
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import uuid
+
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from corpusgate.session import checkpoint_dir
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast `df` only when its counted size is within `max_rows`.
+def sized(df: DataFrame, name: str) -> DataFrame:
+    """`df`, an already reduced table, written once to the shared checkpoint
+    folder and read back.
 
-    `df` is an already-reduced table (requests, anchors, candidates,
-    registries). It is persisted (memory, spilling to disk; recomputable
-    from lineage if an executor is lost) and counted, so the count and the
-    join that follows read it once. Past the bound the frame is returned
-    as is and the join shuffles on its keys; AQE may still broadcast it
-    when the shuffled size turns out small."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    Spark then knows its bytes and broadcasts it only below
+    `spark.sql.autoBroadcastJoinThreshold`; above it the join shuffles on its
+    keys. Nothing is cached on executors, and what follows neither recomputes
+    the table nor depends on the executors that made it."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on `keys` where null equals null (`<=>`), keeping the left
     key columns."""
-    r = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
+    r = right.select(*[right[c].alias(f"__r_{c}") if c in keys else right[c] for c in right.columns])
     cond = [left[k].eqNullSafe(r[f"__r_{k}"]) for k in keys]
     out = left.join(r, cond, how)
     return out.drop(*[f"__r_{k}" for k in keys]) if how not in ("left_semi", "left_anti") else out

@@ -52,9 +52,16 @@ def trusted_logins(trusted: str) -> Column:
 
 
 def is_maintainer(author: Column, association: Column, trusted: str) -> Column:
-    """FI9: a maintainer association, or a trusted login (ignoring case)."""
-    return F.upper(association).isin(*K.MAINTAINER_ASSOCIATIONS) \
-        | F.array_contains(trusted_logins(trusted), F.lower(author))
+    """FI9: a maintainer association, or a trusted login (ignoring case).
+    Unknown (null) is neither: the rules then apply."""
+    return F.coalesce(F.upper(association).isin(*K.MAINTAINER_ASSOCIATIONS), F.lit(False)) \
+        | F.coalesce(F.array_contains(trusted_logins(trusted), F.lower(author)), F.lit(False))
+
+
+def known(changes: DataFrame) -> DataFrame:
+    """Null author, association and path as empty text, so that no message vanishes with them."""
+    fill = [c for c in ("author", "association", "path") if c in changes.columns]
+    return changes.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in fill})
 
 
 def submits(status: Column, path: Column, author: Column) -> Column:
@@ -64,13 +71,16 @@ def submits(status: Column, path: Column, author: Column) -> Column:
         & own_proposal_problem(path, author).isNull()
 
 
-def pr_violations(changes: DataFrame, trusted: str) -> DataFrame:
+def pr_violations(changes: DataFrame, trusted: str, prs: DataFrame | None = None) -> DataFrame:
     """AG9 + AG10: per non-maintainer PR, the distinct path messages in the
     order first seen (old path before new within a change), then one
-    message when more than one proposal is added or edited.
+    message when more than one proposal is added or edited. `prs(pr_id,
+    author, association)` also names PRs without any change: one fixed
+    message each.
 
     Output: pr_id, kind (0 path, 1 count), first_seq, first_side, message.
     Sorting by (kind, first_seq, first_side) gives the report order."""
+    changes = known(changes)
     bound = changes.where(~is_maintainer(F.col("author"), F.col("association"), trusted))
     paths = bound.select(
         "pr_id", "seq", "author",
@@ -93,12 +103,21 @@ def pr_violations(changes: DataFrame, trusted: str) -> DataFrame:
                     F.lit(None).cast("int").alias("first_side"),
                     message(K.MSG_MANY_PROPOSALS, n=F.col("n"),
                             paths=F.array_join(F.transform("subs", lambda s: s["path"]), ", ")).alias("message")))
-    return per_path.unionByName(many)
-
-
-def pr_reports(changes: DataFrame, violations: DataFrame, trusted: str, guide_hint: str = "") -> DataFrame:
+    found = per_path.unionByName(many)
+    if prs is None:
+        return found
+    bare = (known(prs).where(~is_maintainer(F.col("author"), F.col("association"), trusted))
+            .join(changes.select("pr_id").distinct(), "pr_id", "left_anti"))
+    return found.unionByName(bare.select(
+        "pr_id", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("first_seq"),
+        F.lit(None).cast("int").alias("first_side"), F.lit(K.MSG_NO_FILES).alias("message")).distinct())
+
+
+def pr_reports(changes: DataFrame, violations: DataFrame, trusted: str, guide_hint: str = "",
+               prs: DataFrame | None = None) -> DataFrame:
     """RE2: one Markdown report per PR (maintainer / clean / violations)."""
-    prs = changes.groupBy("pr_id").agg(F.first("author").alias("author"), F.first("association").alias("association"))
+    prs = known(changes if prs is None else prs).groupBy("pr_id").agg(
+        F.min("author").alias("author"), F.min("association").alias("association"))
     per = violations.groupBy("pr_id").agg(
         F.array_sort(F.collect_list(F.struct("kind", "first_seq", "first_side", "message"))).alias("v"))
     joined = prs.join(per, "pr_id", "left")
@@ -137,7 +156,7 @@ def layout_problems(files: DataFrame, root: str = K.PROPOSALS_FOLDER, path: str
     any part starting with '.' are ignored. `files(path)` lists files (not
     directories) relative to the tree's parent."""
     parts = path_parts(F.col(path))
-    rel = F.slice(parts, 2, 1_000_000)
+    rel = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
     name = F.element_at(rel, -1)
     suffix = F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)
     under = (F.get(parts, 0) == root) & (F.size(rel) > 0)

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgate.functions.joins import broadcast_if_small
+from corpusgate.functions.joins import sized
 
 TOKEN_SPLIT = r"\s+"
 
@@ -39,29 +39,32 @@ def _row_tokens(rows: DataFrame, row_id: str, row_text: str) -> DataFrame:
 
 
 def contamination(items: DataFrame, rows: DataFrame, item_id: str = "item_id", item_text: str = "text",
-                  row_id: str = "doc_id", row_text: str = "text", max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(item_id, row_id) for every row whose text contains the item's text."""
+                  row_id: str = "doc_id", row_text: str = "text") -> DataFrame:
+    """(item_id, row_id) for every row whose text contains the item's text.
+
+    An item without any token (null, empty, white space only) is contained in
+    nothing: it would match every row and say nothing about any."""
     it = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item_text"))
-    it = it.withColumn("tk", tokens(F.col("item_text"))).withColumn("k", F.size("tk"))
+    it = it.withColumn("tk", tokens(F.col("item_text"))).withColumn("k", F.size("tk")).where(F.col("k") > 0)
     interior = (it.where(F.col("k") >= 3)
                 .select("item_id", F.explode(F.slice("tk", 2, F.col("k") - 2)).alias("token")).distinct())
-    vocab = broadcast_if_small(interior.select("token").distinct(), max_broadcast_rows)
+    vocab = sized(interior.select("token").distinct(), "item-tokens")
     # pass 1: rows per interior token
     freq = (_row_tokens(rows, row_id, row_text).join(vocab, "token", "left_semi")
             .groupBy("token").agg(F.count(F.lit(1)).alias("df")))
     scored = interior.join(freq, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    anchors = (scored.groupBy("item_id").agg(F.min(F.struct("df", "token")).alias("a"))
-               .select("item_id", F.col("a.token").alias("token")))
-    anchors = broadcast_if_small(anchors, max_broadcast_rows)
+    anchors = sized(scored.groupBy("item_id").agg(F.min(F.struct("df", "token")).alias("a"))
+                    .select("item_id", F.col("a.token").alias("token")), "anchors")
     # pass 2: rows holding an anchor token
     candidates = (_row_tokens(rows, row_id, row_text).join(anchors, "token")
                   .select("row_id", "item_id").distinct())
     text_rows = rows.select(F.col(row_id).alias("row_id"), F.col(row_text).alias("row_text"))
-    cand = broadcast_if_small(candidates, max_broadcast_rows)
-    verified = (text_rows.join(cand, "row_id").join(F.broadcast(it.select("item_id", "item_text")), "item_id")
-                .where(F.col("row_text").contains(F.col("item_text"))).select("item_id", "row_id"))
-    short_items = broadcast_if_small(it.where(F.col("k") < 3).select("item_id", "item_text"), max_broadcast_rows)
-    short = (text_rows.join(short_items, F.col("row_text").contains(F.col("item_text")))
-             .select("item_id", "row_id"))
-    out = verified.unionByName(short)
+    texts = sized(it.select("item_id", "item_text", "k"), "item-texts")
+    out = (text_rows.join(sized(candidates, "candidates"), "row_id").join(texts.drop("k"), "item_id")
+           .where(F.col("row_text").contains(F.col("item_text"))).select("item_id", "row_id"))
+    short_items = texts.where(F.col("k") < 3).select("item_id", "item_text")
+    if not short_items.isEmpty():
+        # one or two tokens have no interior: such an item is looked for as text, row by row
+        out = out.unionByName(text_rows.join(short_items, F.col("row_text").contains(F.col("item_text")))
+                              .select("item_id", "row_id"))
     return out.select(F.col("item_id").alias(item_id), F.col("row_id").alias(row_id))

@@ -2,7 +2,7 @@
 (CL4–CL6, JO5, JO7, FI3–FI5, AG8, AG11, AG12).
 
 The corpus work is done once per *profiling request* — a distinct
-(dataset path, rendering, sequence length) — however many manifests name
+(corpus, rendering, sequence length) — however many manifests and paths name
 it: requests are joined to the corpus rows, rendered, profiled with
 `row_stats`, and the statistics are joined back to every source that asked.
 Cheap checks come first: only sources whose catalog entry lets them proceed
@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from corpusgate import constants as K
 from corpusgate.functions.cache import session_cached
-from corpusgate.functions.joins import broadcast_if_small, null_safe_join
+from corpusgate.functions.joins import null_safe_join, sized
 from corpusgate.functions.render import columns_used, render_by_template_column, row_values_map, template_columns
 from corpusgate.functions.text import message, percent, quoted, truthy
 from corpusgate.operators.rules import py_repr_or_none
@@ -32,23 +32,25 @@ def request_key(path: Column, text_column: Column, text_template: Column, seq_le
 
 
 def profile_requests(requests: DataFrame, corpus: DataFrame, corpus_key: str, corpus_schema: T.StructType,
-                     order: str, sample_rows: int | None = None, max_broadcast_rows: int = 100_000) -> DataFrame:
+                     order: str, sample_rows: int | None = None) -> DataFrame:
     """JO7 + AG6 per request.
 
-    requests: (path, corpus_key, text_column, text_template, seq_len), distinct.
+    requests: (corpus_key, text_column, text_template, seq_len), distinct; paths
+              that share a corpus share a request.
     corpus:   rows with `corpus_key`, an ordinal `order` and the data columns.
     Returns per request: rows, non_text, median_chars, short/dup/long shares.
-    The request table is broadcast only when its counted size is within
-    `max_broadcast_rows`; beyond that it is a shuffle join on the key.
+    The request table is written first, so its bytes decide how it is joined;
+    the scan reads only the columns that some request renders (their number is
+    bounded by the schema).
     """
-    data_cols = [f.name for f in corpus_schema.fields]  # every column of a row, the key included
-    string_cols = [f.name for f in corpus_schema.fields if isinstance(f.dataType, T.StringType)]
-    req = requests.select(
-        F.col("path").alias("r_path"), F.col("corpus_key").alias("r_key"),
-        F.col("text_column").alias("r_tc"), F.col("text_template").alias("r_tt"), F.col("seq_len").alias("r_seq"))
-    req = broadcast_if_small(req, max_broadcast_rows)
-    rows = corpus.select(F.col(corpus_key).alias("c_key"), F.col(order).alias("c_ord"),
-                         row_values_map(corpus_schema, data_cols).alias("values"))
+    req = sized(requests.select(
+        F.col("corpus_key").alias("r_key"), F.col("text_column").alias("r_tc"), F.col("text_template").alias("r_tt"),
+        F.col("seq_len").alias("r_seq")), "requests")
+    used = {r[0] for r in req.select(F.explode(columns_used(F.col("r_tc"), F.col("r_tt")))).distinct().collect()}
+    fields = [f for f in corpus_schema.fields if f.name in used]
+    string_cols = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
+    values = row_values_map(corpus_schema, [f.name for f in fields]) if fields else F.create_map().cast("map<string,string>")
+    rows = corpus.select(F.col(corpus_key).alias("c_key"), F.col(order).alias("c_ord"), values.alias("values"))
     if sample_rows is not None:  # SC2 / WI1: first n rows per corpus, before the fan-out to requests
         rows = P.first_n(rows, ["c_key"], ["c_ord"], sample_rows)
     joined = rows.join(req, rows.c_key == req.r_key)
@@ -59,13 +61,12 @@ def profile_requests(requests: DataFrame, corpus: DataFrame, corpus_key: str, co
                                      else F.array().cast("array<string>"), tc)
     non_text = F.when(truthy(tc), F.when(is_string_col, F.col("values")[tc].isNull()).otherwise(F.lit(True))) \
         .otherwise(F.lit(False))
-    rendered = joined.select(*[F.col(c) for c in ("r_path", "r_tc", "r_tt", "r_seq")],
-                             text.alias("text"), non_text.alias("non_text"))
-    keys = ["r_path", "r_tc", "r_tt", "r_seq"]
+    keys = ["r_key", "r_tc", "r_tt", "r_seq"]
+    rendered = joined.select(*keys, text.alias("text"), non_text.alias("non_text"))
     nt = rendered.groupBy(*keys).agg(F.count_if("non_text").alias("non_text"))
     stats = P.row_stats(rendered, keys, "text", "r_seq")
     out = null_safe_join(stats, nt, keys)
-    return out.select(F.col("r_path").alias("path"), F.col("r_tc").alias("text_column"),
+    return out.select(F.col("r_key").alias("corpus_key"), F.col("r_tc").alias("text_column"),
                       F.col("r_tt").alias("text_template"), F.col("r_seq").alias("seq_len"),
                       "rows", "non_text", "median_chars", "short_share", "dup_share", "long_share")
 
@@ -214,20 +215,20 @@ def check_sources(sources: DataFrame, catalog: DataFrame, loads: DataFrame, spli
     the same corpora, so verdicts are computed once per distinct spec and
     joined back to the sources (AQE sizes that join). Within the specs the
     cheap checks run first and only one profiling request per distinct
-    (path, rendering, sequence length) that survives them reads the corpus.
+    (corpus, rendering, sequence length) that survives them reads the corpus.
     `corpus_key(path_column)` maps a dataset path to the corpus key."""
     columns = sorted(c for c in corpus.columns)
     specs = C.with_loads(C.with_catalog(sources.select(*SPEC).distinct(), "path", catalog), "path", loads, splits)
-    requests = (specs.where(c_profile_wanted(tuple(columns)))
-                .select("path", corpus_key(F.col("path")).alias("corpus_key"), "text_column", "text_template",
-                        "seq_len").distinct())
+    specs = specs.withColumn("corpus_key", corpus_key(F.col("path")))
+    asked = ["corpus_key", "text_column", "text_template", "seq_len"]
+    requests = specs.where(c_profile_wanted(tuple(columns))).select(*asked).distinct()
     stats = profile_requests(requests, corpus, corpus_key_col, corpus.schema, order, sample_rows)
-    specs = null_safe_join(specs, stats, ["path", "text_column", "text_template", "seq_len"], "left")
+    specs = null_safe_join(specs, stats, asked, "left")
     # FI5 needs the row count of every corpus, profiled or not (one small aggregate)
     counts = corpus.groupBy(F.col(corpus_key_col).alias("__k")).agg(F.count(F.lit(1)).alias("corpus_rows"))
     if sample_rows is not None:
         counts = counts.withColumn("corpus_rows", F.least(F.col("corpus_rows"), F.lit(sample_rows)))
-    specs = specs.join(counts, corpus_key(F.col("path")) == counts["__k"], "left").drop("__k")
+    specs = specs.join(counts, specs["corpus_key"] == counts["__k"], "left").drop("__k")
     verdicts = source_findings(specs, columns, sample_rows or K.DEFAULT_SAMPLE_ROWS, timeout).select(
         *SPEC, "findings", "stats_ok", "rows", "median_chars", "short_share", "dup_share", "long_share")
     return null_safe_join(sources, verdicts, SPEC, "left")

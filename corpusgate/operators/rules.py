@@ -224,7 +224,7 @@ def _str_len_errors(value: Column, field: str, lo: int | None, hi: int | None, s
 
 def name_ok(name: Column) -> Column:
     """MV20."""
-    return name.rlike(K.NAME_PATTERN) & (F.length(name) <= K.NAME_MAX_CHARS)
+    return F.when(F.length(name) > K.NAME_MAX_CHARS, F.lit(False)).otherwise(name.rlike(K.NAME_PATTERN))
 
 
 def name_taken(name: Column) -> Column:
@@ -306,14 +306,21 @@ def labelled(errs: Column, folder: Column, file_stem: Column) -> Column:
                        .otherwise(F.concat(lab, F.lit(": "), e["loc"], F.lit(": "), e["msg"])))
 
 
+def _replaced(errs: Column, extras: Column) -> Column:
+    """`errs` without those at, or inside, a place that `extras` reports already."""
+    return F.filter(errs, lambda e: ~F.exists(extras, lambda x: (e["loc"] == x["loc"])
+                                              | e["loc"].startswith(F.concat(x["loc"], F.lit(".")))))
+
+
 def _merge_extras(errs: Column, extras: Column, sec: int, n: Column, limit: int) -> Column:
-    """Add unknown-key errors of section `sec` to its field errors; an item
-    with one loses its "after" rule (sub 9); a list over its limit reports
-    nothing but its length."""
-    mine = F.filter(extras, lambda x: (x["sec"] == sec) & ((x["item"] >= 1000) | ((n >= 1) & (n <= limit))))
+    """Add the decoder's errors of section `sec` (unknown keys, wrong types) to
+    its field errors; an item with one loses its "after" rule (sub 9); a list
+    over its limit reports nothing but its length."""
+    mine = F.filter(extras, lambda x: (x["sec"] == sec) & ((x["item"] < 0) | (x["item"] >= 1000)
+                                                           | ((n >= 1) & (n <= limit))))
     kept = F.filter(errs, lambda e: ~((e["sub"] == 9) & F.exists(mine, lambda x: (x["item"] == e["item"])
                                                                   & (x["item"] < 1000))))
-    return F.concat(kept, mine)
+    return F.concat(_replaced(kept, mine), mine)
 
 
 def with_rule_columns(df: DataFrame, m: str = "m", n_sources: str = "n_sources",
@@ -334,7 +341,7 @@ def with_rule_columns(df: DataFrame, m: str = "m", n_sources: str = "n_sources",
           .withColumn("_rep", first_repeated_source(sources))
           .withColumn("_held", first_held_out_violation(mc))
           .withColumn("_e_data_f", c_data_field_errors(m, n_sources)))
-    if extra is not None:  # MV1 errors found on the raw document
+    if extra is not None:  # errors found while decoding (MV1, MV2)
         df = df.withColumn("_e_data_f", _merge_extras(F.col("_e_data_f"), F.col(extra), SEC["data"],
                                                         F.col(n_sources), K.MAX_SOURCES))
     df = df.withColumn("_e_data", F.concat(F.col("_e_data_f"), F.when(
@@ -344,7 +351,7 @@ def with_rule_columns(df: DataFrame, m: str = "m", n_sources: str = "n_sources",
         df = df.withColumn("_e_bench", _merge_extras(F.col("_e_bench"), F.col(extra), SEC["benchmarks"],
                                                        F.col(n_benchmarks), K.MAX_BENCHMARKS))
         other = F.filter(F.col(extra), lambda x: ~x["sec"].isin(SEC["data"], SEC["benchmarks"]))
-        df = df.withColumn("_e_fields", F.concat(F.col("_e_fields"), other))
+        df = df.withColumn("_e_fields", F.concat(_replaced(F.col("_e_fields"), other), other))
     lower = F.concat(F.col("_e_fields"), F.col("_e_data"), F.col("_e_bench"))
     df = df.withColumn("_e_lower", lower)
     df = df.withColumn("_e_valid", F.array_sort(F.concat(F.col("_e_lower"), F.when(

@@ -12,12 +12,12 @@ TRUSTED_SQL = "('user7', 'user13')"
 
 
 def q_pr_violations(spark, sf_dir):
-    return CH.pr_violations(fixture(spark, sf_dir, "fx_changes"), TRUSTED)
+    return CH.pr_violations(fixture(spark, sf_dir, "fx_changes"), TRUSTED, fixture(spark, sf_dir, "fx_prs"))
 
 
 def q_pr_reports(spark, sf_dir):
-    changes = fixture(spark, sf_dir, "fx_changes")
-    return CH.pr_reports(changes, CH.pr_violations(changes, TRUSTED), TRUSTED)
+    changes, prs = fixture(spark, sf_dir, "fx_changes"), fixture(spark, sf_dir, "fx_prs")
+    return CH.pr_reports(changes, CH.pr_violations(changes, TRUSTED, prs), TRUSTED, prs=prs)
 
 
 def q_layout_problems(spark, sf_dir):
@@ -59,8 +59,8 @@ def _own(p: str, author: str) -> str:
 end)"""
 
 
-_VIOL = cte("fx_changes") + f""",
-ch as (select *, (upper(association) in ('OWNER', 'MEMBER', 'COLLABORATOR') or lower(author) in {TRUSTED_SQL}) as maint
+_VIOL = cte("fx_changes", "fx_prs") + f""",
+ch as (select * replace (coalesce(association, '') as association), (upper(coalesce(association, '')) in ('OWNER', 'MEMBER', 'COLLABORATOR') or lower(author) in {TRUSTED_SQL}) as maint
        from fx_changes),
 p as (select pr_id, seq, author, 0 as side, old_path as p from ch where not maint and coalesce(old_path, '') <> ''
       union all select pr_id, seq, author, 1, path from ch where not maint and coalesce(path, '') <> ''),
@@ -75,13 +75,18 @@ viol as (
   select pr_id, 1, cast(null as integer), cast(null as integer),
     'this pull request adds or edits ' || cast(count(*) as varchar) || ' proposals (' || string_agg(path, ', ' order by seq)
     || '); open one pull request per proposal so each collects its own votes'
-  from sub group by pr_id having count(*) > 1)"""
+  from sub group by pr_id having count(*) > 1
+  union all
+  select distinct pr_id, 0, cast(null as integer), cast(null as integer), 'this pull request changes no files'
+  from fx_prs where pr_id not in (select pr_id from fx_changes)
+    and not (upper(coalesce(association, '')) in ('OWNER', 'MEMBER', 'COLLABORATOR') or lower(author) in {TRUSTED_SQL}))"""
 
 ORACLES = {
     "pr_violations": _VIOL + "\nselect * from viol",
     "pr_reports": _VIOL + f""",
-prs as (select pr_id, any_value(author) as author, any_value(association) as association,
-          bool_or(maint) as maint, bool_or(lower(author) in {TRUSTED_SQL}) as on_list from ch group by pr_id),
+prs as (select distinct pr_id, author, coalesce(association, '') as association,
+          (upper(coalesce(association, '')) in ('OWNER', 'MEMBER', 'COLLABORATOR') or lower(author) in {TRUSTED_SQL}) as maint,
+          lower(author) in {TRUSTED_SQL} as on_list from fx_prs),
 v as (select pr_id, count(*) as n, string_agg('- ' || message, chr(10) order by kind, first_seq, first_side) as lines
       from viol group by pr_id)
 select pr_id, author, cast(case when maint then 0 else coalesce(n, 0) end as integer) as violations,

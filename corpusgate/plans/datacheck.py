@@ -6,7 +6,6 @@ of source `src<k mod 20>`, ordinal `doc_id`. Benchmarks read the same store.
 """
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,10 +73,8 @@ def q_load_error_findings(spark, sf_dir):
 
 
 def checked_sources(spark, sf_dir, sources: DataFrame | None = None) -> DataFrame:
-    """CL4 for the fixture sources against the fixture corpus store. The
-    source table feeds the spec list and the final join, so it is persisted
-    once (recomputable from lineage if an executor is lost)."""
-    src = (sources if sources is not None else _sources(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+    """CL4 for the fixture sources against the fixture corpus store."""
+    src = sources if sources is not None else _sources(spark, sf_dir)
     return D.check_sources(src, catalog(spark, sf_dir), fixture(spark, sf_dir, "fx_loads"),
                            fixture(spark, sf_dir, "fx_splits"), table(spark, sf_dir, "documents"), corpus_key,
                            "source", "doc_id", None, TIMEOUT)

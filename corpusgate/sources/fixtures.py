@@ -6,9 +6,12 @@ shapes at the scale of the input tables (see FIXTURES.md).
 """
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusgate.sources.tables import register_tables
+from corpusgate.sources.tables import table
 
 FIXTURE_SQL = {
     "fx_manifests": """
@@ -32,7 +35,8 @@ from orders
 """,
     "fx_sources": """
 select l_orderkey as manifest_id, cast(rn as int) as pos,
-  concat(case when rn % 7 = 0 then '' else 'org/' end, 'corpus-', cast(l_partkey % 50 as string)) as path,
+  concat(case when rn % 7 = 0 then '' else 'org/' end, 'corpus-',
+    cast(case when l_orderkey % 10 = 4 and rn = 1 then l_orderkey else l_partkey end as string)) as path,
   case when l_returnflag = 'N' then cast(null as string) else lower(l_returnflag) end as name,
   case when l_linestatus = 'O' then 'train' else 'validation' end as split,
   l_quantity / sum(l_quantity) over (partition by l_orderkey) * case when l_orderkey % 11 = 0 then 1.5e0 else 1e0 end as weight,
@@ -48,7 +52,7 @@ select o_orderkey as manifest_id, cast(k as int) as pos, concat('bench_', cast(c
   case when (o_orderstatus = 'F' and o_orderkey % 7 <> 0) or o_orderkey % 13 = 0 then cast(null as string) else concat('task_', cast(o_custkey % 20 as string)) end as task,
   case when o_orderstatus = 'F' or o_orderkey % 16 = 5 then cast(null as int) when o_orderkey % 79 = 0 then -1 else 5 end as num_fewshot,
   case when o_orderstatus = 'F' then 'loss' else 'acc' end as metric, (o_orderstatus <> 'F') as higher_is_better,
-  concat('org/corpus-', cast((o_custkey + k) % 50 as string)) as ds_path, cast(null as string) as ds_name,
+  concat('org/corpus-', cast(case when o_orderkey % 10 = 4 then o_orderkey else o_custkey + k end as string)) as ds_path, cast(null as string) as ds_name,
   case when o_orderkey % 2 = 0 then 'train' else 'validation' end as ds_split
 from (select *, 1 as k from orders union all select *, 2 as k from orders where o_orderkey % 4 = 0) x
 """,
@@ -59,25 +63,26 @@ select concat('org/corpus-', cast(p_partkey as string)) as path,
   case when p_partkey % 7 = 0 then 'manual' when p_partkey % 7 = 1 then 'auto' end as gated,
   case when p_partkey % 4 = 0 then 'README.md,data.json' when p_partkey % 4 = 1 then 'README.md,a.jsonl,b.jsonl,c.jsonl'
        when p_partkey % 4 = 2 then 'README.MD,logo.PNG' else 'README.md,data/train-0.PARQUET' end as sibling_list
-from part where p_partkey < 50
+from part
 """,
     "fx_splits": """
-select concat('org/corpus-', cast(p_partkey as string)) as path, c as config, s as split
-from part cross join (select 'default' as c, 'train' as s union all select 'a' as c, 'validation' as s union all select 'r' as c, 'train' as s) x
-where p_partkey < 50 and p_partkey % 5 <> 0
+select concat('org/corpus-', cast(p_partkey as string)) as path, 'default' as config, 'train' as split from part where p_partkey % 5 <> 0
+union all select concat('org/corpus-', cast(p_partkey as string)) as path, 'a' as config, 'validation' as split from part where p_partkey % 5 <> 0
+union all select concat('org/corpus-', cast(p_partkey as string)) as path, 'r' as config, 'train' as split from part where p_partkey % 5 <> 0
 """,
     "fx_loads": """
 select concat('org/corpus-', cast(p_partkey as string)) as path,
   case when p_partkey % 6 = 1 then 'timeout' when p_partkey % 6 in (2, 4) then 'error' else 'ok' end as status,
   case when p_partkey % 6 = 2 then 'KeyError' when p_partkey % 6 = 4 then 'RuntimeError' end as error_type,
   case when p_partkey % 6 = 2 then repeat('train ', 80) when p_partkey % 6 = 4 then 'Dataset scripts are no longer supported, but found x.py' end as error_msg
-from part where p_partkey < 50
+from part
 """,
     "fx_tasks": """
-select distinct concat('task_', cast(p_partkey as string)) as task from part where p_partkey < 15
+select distinct concat('task_', cast(p_partkey as string)) as task from part
 """,
     "fx_changes": """
-select pr_id, seq, author, case when pr_id % 9 = 0 then 'member' when pr_id % 9 = 1 then 'NONE' else 'CONTRIBUTOR' end as association,
+select pr_id, seq, author, case when pr_id % 9 = 0 then 'member' when pr_id % 9 = 1 then 'NONE'
+    when pr_id % 9 = 2 then cast(null as string) else 'CONTRIBUTOR' end as association,
   case event_type when 'signup' then 'A' when 'error' then 'D' when 'purchase' then 'R' else 'M' end as status,
   concat(case when user_id % 10 = 0 then 'docs/' when user_id % 10 = 1 then 'proposals//' else 'proposals/' end,
          case when user_id % 4 = 0 then 'user1' when user_id % 4 = 1 then upper(author) else author end,
@@ -87,6 +92,13 @@ select pr_id, seq, author, case when pr_id % 9 = 0 then 'member' when pr_id % 9
   case when event_type = 'purchase' then concat('proposals/', case when user_id % 3 = 0 then 'user2' else author end, '/exp_old.yaml') end as old_path
 from (select cast(floor(event_id / 3) as bigint) as pr_id, cast(event_id % 3 as int) as seq, user_id, event_type,
         concat('user', cast(cast(floor(event_id / 3) as bigint) % 40 as string)) as author from events) x
+""",
+    "fx_prs": """
+select pr_id, concat('user', cast(pr_id % 40 as string)) as author,
+  case when pr_id % 9 = 0 then 'member' when pr_id % 9 = 1 then 'NONE' when pr_id % 9 = 2 then cast(null as string)
+       else 'CONTRIBUTOR' end as association
+from (select distinct cast(floor(event_id / 3) as bigint) as pr_id from events
+      union all select cast(1000000000 + c_custkey as bigint) as pr_id from customer) x
 """,
     "fx_pairs": """
 select u.conv_id, u.turn, u.text as question, a.text as answer
@@ -106,15 +118,25 @@ FIXTURE_TABLES = {
     "fx_loads": ("part",),
     "fx_tasks": ("part",),
     "fx_changes": ("events",),
+    "fx_prs": ("events", "customer"),
     "fx_pairs": ("conversations",),
 }
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The fixture as a DataFrame. The view text is analysed at once, so the
-    returned plan is bound to `sf_dir` even if the views are re-pointed later."""
-    register_tables(spark, sf_dir, FIXTURE_TABLES[name])
-    return spark.sql(FIXTURE_SQL[name])
+    """The fixture as a DataFrame. The input tables are bound to views of names
+    of their own, dropped again once the text is analysed: the caller's views
+    stay as they are, and the plan stays bound to `sf_dir`."""
+    views = {t: f"corpusgate_{uuid.uuid4().hex}" for t in FIXTURE_TABLES[name]}
+    text = FIXTURE_SQL[name]
+    for t, view in views.items():
+        table(spark, sf_dir, t).createOrReplaceTempView(view)
+        text = re.sub(rf"\b(from|join) {t}\b", rf"\1 {view}", text)
+    try:
+        return spark.sql(text)
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
 
 
 def fixtures(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:

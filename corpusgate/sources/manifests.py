@@ -18,33 +18,37 @@ larger than the rule allows is gathered into one row.
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgate import constants as K
 from corpusgate.sources.fixtures import fixture
-from corpusgate.sources.yaml_decode import yaml_to_json
+from corpusgate.sources.yaml_decode import read_batches
 
 SOURCE_TYPE = ("struct<pos:int,path:string,name:string,split:string,weight:double,text_column:string,"
                "text_template:string,revision:string,license:string>")
 DATASET_TYPE = "struct<path:string,name:string,split:string>"
 BENCHMARK_TYPE = (f"struct<pos:int,name:string,harness:string,task:string,num_fewshot:int,metric:string,"
                   f"higher_is_better:boolean,dataset:{DATASET_TYPE},why:string>")
-MANIFEST_DDL = (
-    "name string, title string, proposer struct<github:string,contact:string>, description string, "
-    f"data struct<dataset_sources:array<{SOURCE_TYPE}>,sequence_length:int>, "
-    f"benchmarks array<{BENCHMARK_TYPE}>, hypothesis string, evidence string, "
-    "suggested_training struct<steps:int,batch_size:int>, contamination string"
+MANIFEST_FIELDS = (
+    "name:string,title:string,proposer:struct<github:string,contact:string>,description:string,"
+    f"data:struct<dataset_sources:array<{SOURCE_TYPE}>,sequence_length:int>,"
+    f"benchmarks:array<{BENCHMARK_TYPE}>,hypothesis:string,evidence:string,"
+    "suggested_training:struct<steps:int,batch_size:int>,contamination:string"
 )
+ERROR_LIST = "array<struct<sec:int,item:int,sub:int,loc:string,msg:string>>"
 
 
 def _bounded_items(items: DataFrame, key: str, limit: int, struct_cols) -> DataFrame:
-    """(key, n, items) with items sorted by pos, collected only when n <= limit."""
-    counted = items.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("n"))
-    small = counted.where(F.col("n") <= limit).select(key)
-    collected = (items.join(small, key, "left_semi")
-                 .groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*struct_cols))).alias("items")))
-    return counted.join(collected, key, "left")
+    """(key, n, items) with items sorted by pos, present only when n <= limit.
+
+    One exchange: rows past the limit are never collected. `pos` counts a
+    manifest's rows from 1, so they are just the rows with pos > limit.
+    """
+    item = F.when(F.col("pos") <= limit, F.struct(*struct_cols))
+    found = items.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("n"), F.collect_list(item).alias("items"))
+    return found.withColumn("items", F.when(F.col("n") <= limit, F.array_sort("items")))
 
 
 def nest_fixture(manifests: DataFrame, sources: DataFrame, benchmarks: DataFrame) -> DataFrame:
@@ -87,148 +91,61 @@ def fixture_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Manifest files (SC5, SC6)
 
 def scan_manifest_files(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """SC5: every `<login>/<name>.yaml` directly two levels under each root.
-
-    `binaryFile` with a glob reads path + bytes; folders starting with '.'
-    are dropped, only the `.yaml` suffix counts. Output: root, folder, file,
-    file_stem, path, text."""
+    """SC5: every `<login>/<name>.yaml` directly two levels under each root:
+    root, folder, file, file_stem, path, content (bytes).
+
+    Folders starting with '.' are skipped. Spark's readers never list files
+    whose own name starts with '.' or '_'; where such files count, pass
+    `decode_manifests` a table of (folder, file_stem, path, content) that some
+    other listing has made.
+    """
     frames = []
     for root in roots:
         root = root.rstrip("/")
-        try:
-            df = (spark.read.format("binaryFile").option("pathGlobFilter", "*.yaml")
-                  .load(f"{root}/*/*"))
-        except Exception as exc:  # noqa: BLE001 — a missing root lists nothing
-            if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
-                continue
-            raise
-        rel = F.regexp_extract(F.col("path"), r"([^/]+)/([^/]+)$", 0)
-        frames.append(df.select(
-            F.lit(root.rsplit("/", 1)[-1]).alias("root"),
-            F.regexp_extract(F.col("path"), r"([^/]+)/[^/]+$", 1).alias("folder"),
-            F.regexp_extract(F.col("path"), r"([^/]+)$", 1).alias("file"),
-            F.regexp_extract(F.col("path"), r"([^/]+)\.yaml$", 1).alias("file_stem"),
-            F.col("path"), F.decode(F.col("content"), "UTF-8").alias("text"), rel.alias("label")))
+        for folder in ("[!._]*", "_*"):  # a glob that names them reaches folders starting with '_'
+            try:
+                df = spark.read.format("binaryFile").load(f"{root}/{folder}/*.yaml")
+            except AnalysisException as exc:
+                if exc.getCondition() == "PATH_NOT_FOUND":  # nothing there: nothing listed
+                    continue
+                raise
+            frames.append(df.select(
+                F.lit(root.rsplit("/", 1)[-1]).alias("root"),
+                F.regexp_extract(F.col("path"), r"([^/]+)/[^/]+$", 1).alias("folder"),
+                F.regexp_extract(F.col("path"), r"([^/]+)$", 1).alias("file"),
+                F.regexp_extract(F.col("path"), r"([^/]+)\.yaml$", 1).alias("file_stem"),
+                F.col("path"), F.col("content")))
     if not frames:
         return spark.createDataFrame([], "root string, folder string, file string, file_stem string, "
-                                         "path string, text string, label string")
+                                         "path string, content binary")
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    return out.where(~F.col("folder").startswith("."))
-
-
-# Keys each level of a manifest may carry (unknown keys are errors, MV1).
-ALLOWED_KEYS = {
-    "": ("name", "title", "proposer", "description", "data", "benchmarks", "hypothesis", "evidence",
-         "suggested_training", "contamination"),
-    "proposer": ("github", "contact"),
-    "data": ("dataset_sources", "sequence_length"),
-    "source": ("path", "name", "split", "weight", "text_column", "text_template", "revision", "license"),
-    "benchmark": ("name", "harness", "task", "num_fewshot", "metric", "higher_is_better", "dataset", "why"),
-    "dataset": ("path", "name", "split"),
-    "suggested_training": ("steps", "batch_size"),
-}
+    # a file that is just `.yaml` has no suffix
+    return out.where(F.col("file_stem") != "")
 
 
 def decode_manifests(files: DataFrame) -> DataFrame:
-    """SC6: files(path, folder, file_stem, text) → the nested manifest shape
-    plus `load_problems` (YAML errors, non-mapping documents) and `json`.
-
-    YAML → JSON in `mapInPandas`; then `from_json` with the target schema,
-    defaults (split 'train', sequence_length 4096) and list positions."""
-    keep = [c for c in files.columns if c != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields if f.name != "text")
-    # decoding is Python work: spread it over every core (a shuffle of the
-    # small file table), not over however many partitions the listing made
-    parts = files.sparkSession.sparkContext.defaultParallelism
-    decoded = files.repartition(parts).mapInPandas(
-        yaml_to_json, f"{schema}, json string, yaml_error string, not_mapping boolean")
-    m = F.from_json(F.col("json"), MANIFEST_DDL)
-    # MV2 lax typing: a number or boolean written as a string ("0.5", "2048",
-    # "yes") is accepted; `from_json` leaves such fields null, the variant
-    # cast fills them. Well-typed fields keep their parsed value.
-    v = F.try_parse_json(F.col("json"))
-    src_v = F.coalesce(F.try_variant_get(v, "$.data.dataset_sources", "array<variant>"),
-                       F.array().cast("array<variant>"))
-    bench_v = F.coalesce(F.try_variant_get(v, "$.benchmarks", "array<variant>"), F.array().cast("array<variant>"))
-    srcs = F.zip_with(m["data"]["dataset_sources"], src_v, lambda s, x: s.withField(
-        "weight", F.coalesce(s["weight"], F.try_variant_get(x, "$.weight", "double"))))
-    srcs = F.transform(srcs, lambda s, i: s.withField("pos", i + 1).withField(
-        "split", F.coalesce(s["split"], F.lit(K.DEFAULT_SPLIT))))
-    bench = F.zip_with(m["benchmarks"], bench_v, lambda b, x: b.withField(
-        "num_fewshot", F.coalesce(b["num_fewshot"], F.try_variant_get(x, "$.num_fewshot", "int"))).withField(
-        "higher_is_better", F.coalesce(b["higher_is_better"], F.try_variant_get(x, "$.higher_is_better", "boolean"))))
-    bench = F.transform(bench, lambda b, i: b.withField("pos", i + 1))
-    seq_raw = F.try_variant_get(v, "$.data.sequence_length", "int")
-    seq_given = F.try_variant_get(v, "$.data.sequence_length", "string").isNotNull()
-    sequence_length = (F.when(~seq_given, F.lit(K.DEFAULT_SEQUENCE_LENGTH))
-                       .otherwise(F.coalesce(m["data"]["sequence_length"], seq_raw, F.lit(-1))))
-    st = m["suggested_training"]
-    suggested = F.when(st.isNotNull(), st.withField(
-        "steps", F.coalesce(st["steps"], F.try_variant_get(v, "$.suggested_training.steps", "int"))).withField(
-        "batch_size", F.coalesce(st["batch_size"], F.try_variant_get(v, "$.suggested_training.batch_size", "int"))))
-    data = F.struct(F.coalesce(srcs, F.array().cast(f"array<{SOURCE_TYPE}>")).alias("dataset_sources"),
-                    sequence_length.alias("sequence_length"))
-    label = F.concat(F.col("folder"), F.lit("/"), F.col("file_stem"), F.lit(".yaml"))
-    load_problems = (F.when(F.col("yaml_error").isNotNull(), F.array(F.concat(label, F.lit(": "), F.col("yaml_error"))))
-                     .when(F.col("not_mapping"), F.array(F.concat(label, F.lit(": "), F.col("file_stem"),
-                                                                  F.lit(".yaml: expected a mapping at the top level"))))
-                     .otherwise(F.array().cast("array<string>")))
-    n_src = F.coalesce(F.json_array_length(F.get_json_object("json", "$.data.dataset_sources")), F.lit(0))
-    n_bench = F.coalesce(F.json_array_length(F.get_json_object("json", "$.benchmarks")), F.lit(0))
+    """SC6, MV1, MV2: files(path, folder, file_stem, content or text) → the nested
+    manifest `m`, list lengths, `type_errors` and `load_problems`.
+
+    The helper reads each file once; its typed struct is what every rule sees.
+    Decoding is Python work, so the small file table is dealt over all cores."""
+    if "content" not in files.columns:
+        files = files.withColumn("content", F.encode("text", "UTF-8")).drop("text")
+    keep = [c for c in files.columns if c != "content"]
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields if f.name != "content")
+    typed = (f"load_problem string, n_sources int, n_benchmarks int, type_errors {ERROR_LIST}, "
+             f"m struct<{MANIFEST_FIELDS}>")
+    decoded = files.repartition(files.sparkSession.sparkContext.defaultParallelism).mapInArrow(
+        read_batches, f"{kept}, {typed}")
+    label = F.concat(F.col("folder"), F.lit("/"), F.col("file_stem"), F.lit(".yaml: "))
     mid = [] if "manifest_id" in keep else [F.xxhash64("path").alias("manifest_id")]
+    none = F.array().cast("array<string>")
     return decoded.select(
-        *keep, *mid, "json", load_problems.alias("load_problems"),
-        n_src.alias("n_sources"), n_bench.alias("n_benchmarks"),
-        m.withField("data", data).withField("benchmarks", F.coalesce(bench, F.array().cast(f"array<{BENCHMARK_TYPE}>")))
-        .withField("suggested_training", suggested).alias("m"))
-
-
-def unknown_key_errors(json_col: str = "json") -> Column:
-    """MV1: `Extra inputs are not permitted` for every key a level does not
-    declare, located like the library does (`data.dataset_sources.0.x`).
-    Reported after the declared fields of the same level."""
-    from corpusgate.operators.rules import SEC, err, errors
-
-    j = F.col(json_col)
-
-    def extras(obj_json: Column, allowed) -> Column:
-        keys = F.coalesce(F.json_object_keys(obj_json), F.array().cast("array<string>"))
-        return F.array_except(keys, F.array(*[F.lit(k) for k in allowed]))
-
-    def level(obj_path: str, allowed, sec: int, item, sub: int, prefix: Column) -> Column:
-        ks = extras(F.get_json_object(j, obj_path), allowed)
-        return F.transform(ks, lambda k: err(F.lit(True), sec, item, sub, F.concat(prefix, k), K.MSG_EXTRA))
-
-    def items(arr_path: str, allowed, sec: int, prefix: str, sub: int, inner: str | None = None,
-              inner_allowed=None) -> Column:
-        arr = F.from_json(F.get_json_object(j, arr_path), "array<string>")
-        maps = F.coalesce(arr, F.array().cast("array<string>"))
-        per = F.transform(maps, lambda o, i: F.concat(
-            F.transform(F.array_except(F.coalesce(F.json_object_keys(o), F.array().cast("array<string>")),
-                                       F.array(*[F.lit(k) for k in allowed])),
-                        lambda k: err(F.lit(True), sec, i, sub, F.concat(F.lit(prefix), i.cast("string"),
-                                                                          F.lit("."), k), K.MSG_EXTRA)),
-            F.transform(F.array_except(F.coalesce(F.json_object_keys(F.get_json_object(o, f"$.{inner}")),
-                                                  F.array().cast("array<string>")),
-                                       F.array(*[F.lit(k) for k in (inner_allowed or ())])),
-                        lambda k: err(F.lit(True), sec, i, sub - 1, F.concat(F.lit(prefix), i.cast("string"),
-                                                                              F.lit(f".{inner}."), k), K.MSG_EXTRA))
-            if inner else F.array().cast("array<struct<sec:int,item:int,sub:int,loc:string,msg:string>>")))
-        return F.flatten(per)
-
-    parts = [
-        level("$", ALLOWED_KEYS[""], SEC["contamination"], 1, 0, F.lit("")),
-        level("$.proposer", ALLOWED_KEYS["proposer"], SEC["proposer"], 0, 2, F.lit("proposer.")),
-        level("$.data", ALLOWED_KEYS["data"], SEC["data"], 1000, 1, F.lit("data.")),
-        items("$.data.dataset_sources", ALLOWED_KEYS["source"], SEC["data"], "data.dataset_sources.", 8),
-        items("$.benchmarks", ALLOWED_KEYS["benchmark"], SEC["benchmarks"], "benchmarks.", 8, "dataset",
-              ALLOWED_KEYS["dataset"]),
-        level("$.suggested_training", ALLOWED_KEYS["suggested_training"], SEC["suggested_training"], 0, 3,
-              F.lit("suggested_training.")),
-    ]
-    return errors(*[]) if not parts else F.filter(F.flatten(F.array(*parts)), lambda e: e.isNotNull())
+        *keep, *mid, F.when(F.col("load_problem").isNotNull(), F.array(F.concat(label, F.col("load_problem"))))
+        .otherwise(none).alias("load_problems"),
+        F.coalesce("type_errors", F.array().cast(ERROR_LIST)).alias("type_errors"), "n_sources", "n_benchmarks", "m")
 
 
 def manifest_problems(files: DataFrame) -> DataFrame:
@@ -236,8 +153,7 @@ def manifest_problems(files: DataFrame) -> DataFrame:
     A file that does not load reports only its load problem."""
     from corpusgate.operators.rules import with_rule_columns
 
-    d = decode_manifests(files).withColumn("_e_extra", unknown_key_errors())
-    d = with_rule_columns(d, extra="_e_extra")
+    d = with_rule_columns(decode_manifests(files), extra="type_errors")
     return d.withColumn("problems", F.when(F.size("load_problems") > 0, F.col("load_problems"))
                         .otherwise(F.col("problems")))
 

@@ -1,7 +1,8 @@
 """Report and configuration sinks (SC8, SC9).
 
-Reports are text: one file per report key under a directory, written by
-the executors (`partitionBy` on the key), never gathered on the driver.
+Reports and configurations are rows of (key, text) in a few JSON-lines files,
+written by the executors and never gathered on the driver. One text file per
+key, in a folder of its own, is an option for readers that want files by name.
 """
 from __future__ import annotations
 
@@ -11,20 +12,28 @@ from pyspark.sql import functions as F
 from corpusgate import constants as K
 
 
-def write_reports(reports: DataFrame, out_dir: str, key: str, text: str = "markdown", append: bool = False) -> None:
+def write_reports(reports: DataFrame, out_dir: str, key: str, text: str = "markdown", mode: str = "overwrite",
+                  per_key: bool = False) -> None:
     """SC8: Markdown per key (manifest, pull request). The submission report
-    appends (`append=True`); the dataset report overwrites. An empty input
-    writes the fixed "nothing to report" text."""
-    body = reports.select(F.col(key).cast("string").alias("key"), F.col(text).alias("value"))
-    if reports.isEmpty():
-        body = reports.sparkSession.createDataFrame([("_all", K.NOTHING_TO_REPORT)], "key string, value string")
-    body.write.mode("append" if append else "overwrite").partitionBy("key").text(out_dir)
+    appends (`mode="append"`), the dataset report overwrites. Where nothing was
+    written, the fixed "nothing to report" text is; the reports run once."""
+    spark = reports.sparkSession
+    note = spark.createDataFrame([(None, K.NOTHING_TO_REPORT)], f"`{key}` string, `{text}` string")
+    if per_key:
+        reports.select(F.col(key).cast("string").alias(key), F.col(text).alias("value")).write.mode(mode).partitionBy(
+            key).text(out_dir)
+        return
+    reports.select(F.col(key).cast("string").alias(key), text).write.mode(mode).json(out_dir)
+    if spark.read.schema(note.schema).json(out_dir).isEmpty():  # reads what was written, not the reports again
+        note.coalesce(1).write.mode("append").json(out_dir)
 
 
-def write_configs(docs: DataFrame, out_dir: str) -> None:
-    """SC9: one configuration document per manifest (header + JSON body),
-    in a folder per task name, and the JSON bodies alone as JSON lines."""
-    docs.select("name", F.concat(F.col("header"), F.col("config_json"), F.lit("\n")).alias("value")) \
-        .write.mode("overwrite").partitionBy("name").text(f"{out_dir}/documents")
-    docs.select("name", F.from_json("config_json", "map<string,string>").alias("config")) \
-        .write.mode("overwrite").json(f"{out_dir}/json")
+def write_configs(docs: DataFrame, out_dir: str, per_name: bool = False) -> None:
+    """SC9: one configuration document per manifest, as (name, document, config)
+    rows; `per_name` also writes the documents as text, in a folder per task name."""
+    document = F.concat(F.col("header"), F.col("config_json"), F.lit("\n"))
+    docs.select("name", document.alias("document"), F.col("config_json").alias("config")).write.mode(
+        "overwrite").json(f"{out_dir}/configs")
+    if per_name:
+        docs.select("name", document.alias("value")).write.mode("overwrite").partitionBy("name").text(
+            f"{out_dir}/documents")

@@ -17,12 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Expose the input tables as temp views so fixture SQL can read them."""
-    for name in names:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
-
-
 def corpus(spark: SparkSession, path: str, fmt: str = "parquet", partition_filters: dict | None = None,
            **options) -> DataFrame:
     """Open one corpus (SC1 re-aimed): a table directory; config / split /

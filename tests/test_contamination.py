@@ -12,3 +12,9 @@ def test_contamination_matches_brute_force(spark):
     got = {(r.item_id, r.doc_id) for r in contamination(its, rows).collect()}
     expected = {(i, d) for i, t in items for d, x in docs if t in x}
     assert got == expected
+
+
+def test_items_without_words_are_contained_in_nothing(spark):
+    rows = spark.createDataFrame([(1, "any text"), (2, ""), (3, None)], "doc_id long, text string")
+    its = spark.createDataFrame([(1, ""), (2, "  \n"), (3, None)], "item_id long, text string")
+    assert contamination(its, rows).collect() == []

@@ -2,7 +2,9 @@
 import hashlib
 import math
 
-from corpusgate.operators.mixture import weighted_mixture
+import pytest
+
+from corpusgate.operators.mixture import quotas, weighted_mixture
 
 
 def brute(rows, weights, seed):
@@ -41,3 +43,38 @@ def test_fixed_total_cuts_inside_buckets(spark):
     for r in got:
         per[r.source] = per.get(r.source, 0) + 1
     assert per == {"x": 501, "y": 500}
+
+
+def poured(counts, weights, total):
+    """Shares by pouring: a rising level fills every source by its weight until `total` is in or all are full."""
+    left, share = min(total, sum(counts.values())), {s: 0.0 for s in counts}
+    while left > 1e-9:
+        open_ = [s for s in counts if share[s] < counts[s] - 1e-9]
+        unit = sum(weights[s] for s in open_)
+        step = min(left / unit, *((counts[s] - share[s]) / weights[s] for s in open_))
+        for s in open_:
+            share[s] += step * weights[s]
+        left -= step * unit
+    return share
+
+
+@pytest.mark.parametrize("total", [1, 7, 100, 149, 210, 500])
+@pytest.mark.parametrize("weights", [(0.5, 0.5), (0.9, 0.1), (0.1, 0.9)])
+def test_what_a_source_lacks_comes_from_the_others(spark, total, weights):
+    counts = {"small": 10, "large": 200}
+    by = dict(zip(counts, weights))
+    frames = (spark.createDataFrame(list(d.items()), t) for d, t in (
+        (counts, "source string, n long"), (by, "source string, weight double")))
+    got = {r.source: r for r in quotas(*frames, total=total).collect()}
+    share = poured(counts, by, total)
+    assert sum(r.quota for r in got.values()) == min(total, 210)
+    for s, r in got.items():
+        assert r.quota <= counts[s] and abs(r.quota - share[s]) < 1
+        assert r.shortfall == max(0, math.floor(by[s] * total) - r.quota)
+
+
+def test_rows_follow_the_quotas(spark):
+    rows = spark.createDataFrame([("a", i) for i in range(10)] + [("b", i) for i in range(200)], "source string, id long")
+    w = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "source string, weight double")
+    got = [r.source for r in weighted_mixture(rows, "source", "id", w, total=100).collect()]
+    assert (got.count("a"), got.count("b")) == (10, 90)

@@ -1,32 +1,44 @@
-"""File scan, decode and the report sinks."""
+"""File scan, decode and the sinks."""
 import json
 
 from corpusgate.sources.manifests import manifest_problems, scan_manifest_files
 from corpusgate.sources.sinks import write_reports
 
-from tests.test_rules import VALID
+from tests.test_rules import manifest
 
 
-def test_scan_manifest_tree(spark, tmp_path):
+def test_scan_lists_manifests_two_levels_down(spark, tmp_path):
     root = tmp_path / "proposals"
-    (root / "someone").mkdir(parents=True)
-    (root / "someone" / "exp_finance_reports.yaml").write_text(json.dumps(VALID))
-    (root / "someone" / "notes.md").write_text("x")
-    (root / ".hidden").mkdir()
-    (root / ".hidden" / "exp_x.yaml").write_text("x: 1\n")
-    (root / "other").mkdir()
-    (root / "other" / "exp_finance_reports.yaml").write_text(json.dumps({**VALID, "proposer": {"github": "other"}}))
+    for place in ("marta/exp_tide_tables.yaml", "marta/exp_draft.yaml", "_bente/exp_tide_tables.yaml", "marta/notes.md",
+                  "marta/deep/exp_x.yaml", ".marta/exp_x.yaml", "exp_x.yaml", "marta/.yaml"):
+        file = root / place
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(json.dumps(manifest()))
     files = scan_manifest_files(spark, [str(root), str(tmp_path / "missing")])
-    assert sorted(r.label for r in files.collect()) == ["other/exp_finance_reports.yaml",
-                                                       "someone/exp_finance_reports.yaml"]
-    probs = {r.label: r.problems for r in manifest_problems(files).collect()}
-    assert probs == {"other/exp_finance_reports.yaml": [], "someone/exp_finance_reports.yaml": []}
+    listed = {f"{r.folder}/{r.file}" for r in files.select("folder", "file").collect()}
+    assert listed == {"marta/exp_tide_tables.yaml", "marta/exp_draft.yaml", "_bente/exp_tide_tables.yaml"}
+    found = {f"{r.folder}/{r.file}": r.problems for r in manifest_problems(files).collect()}
+    assert found["marta/exp_tide_tables.yaml"] == []
+    assert all(found[x] for x in listed - {"marta/exp_tide_tables.yaml"})
 
 
-def test_write_reports(spark, tmp_path):
-    df = spark.createDataFrame([(1, "# a\n"), (2, "# b\n")], "pr_id long, markdown string")
+def test_reports_are_few_files_and_append(spark, tmp_path):
+    out = str(tmp_path / "out")
+    df = spark.createDataFrame([(i, f"# report {i}\n") for i in range(50)], "pr_id long, markdown string")
+    write_reports(df, out, "pr_id")
+    write_reports(df.limit(2), out, "pr_id", mode="append")
+    assert spark.read.json(out).count() == 52
+    assert len(list((tmp_path / "out").glob("*.json"))) < 20
+
+
+def test_nothing_to_report_says_so(spark, tmp_path):
+    df = spark.createDataFrame([], "pr_id long, markdown string")
     write_reports(df, str(tmp_path / "out"), "pr_id")
-    back = sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect() if r.value)
-    assert back == ["# a", "# b"]
-    write_reports(df.limit(0), str(tmp_path / "empty"), "pr_id")
-    assert [r.value for r in spark.read.text(str(tmp_path / "empty")).collect() if r.value] == ["✅ Nothing to report."]
+    [row] = spark.read.json(str(tmp_path / "out")).collect()
+    assert row.markdown == "✅ Nothing to report.\n"
+
+
+def test_one_text_file_per_key_on_request(spark, tmp_path):
+    df = spark.createDataFrame([(1, "# a\n"), (2, "# b\n")], "pr_id long, markdown string")
+    write_reports(df, str(tmp_path / "out"), "pr_id", per_key=True)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == ["pr_id=1", "pr_id=2"]
