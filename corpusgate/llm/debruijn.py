@@ -42,7 +42,7 @@ from corpusgate.llm.common import Batches, staged, table, texts_of, worker_cache
 
 WINDOW = 13
 ANCHOR = 5
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 19
 CACHE = 500_000
 SPREAD = 8  # buckets per shuffle partition, so that partitions even out
 LAST = (1 << 63) - 1  # the id that stands for null: larger than any
@@ -199,18 +199,44 @@ def candidates(docs: DataFrame, k: int, buckets: int) -> DataFrame:
             sure_.append(tuple(c[keep] for c in parts))
         if sure_:
             anchor, ids, marks = (np.concatenate(c) for c in zip(*sure_))
+            sure_.clear()
+            block = (mix(ids.view(np.uint64) ^ mix(marks.view(np.uint64))) >> np.uint64(33)).astype(np.int64) * blocks >> 31
+            order = np.lexsort((marks, ids, block))
+            block, ids, marks = block[order], ids[order], marks[order]
+            low = (anchor[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])])
+            out = []
+            for number, x, y in slices(block):
+                first = x + np.flatnonzero(new[x:y])
+                n = np.diff(np.append(first, y)).astype(np.uint32)
+                out.append(dict(zip(packed_.names, [number, *raw(ids[first], marks[first], n, low[x:y])])))
+            yield pa.RecordBatch.from_pylist(out, packed_)
+
+    def regroup(batches: Batches) -> Batches:
+        parts = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                n = np.frombuffer(row["n"], np.uint32)
+                parts.append((np.repeat(np.frombuffer(row["ids"], np.int64), n),
+                              np.repeat(np.frombuffer(row["marks"], np.int64), n), np.frombuffer(row["anchors"], np.int32)))
+        if parts:
+            ids, marks, low = (np.concatenate(c) for c in zip(*parts))
+            parts.clear()
             order = np.lexsort((marks, ids))
             ids, marks = ids[order], marks[order]
-            group = np.cumsum(np.concatenate([[True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])])) if len(ids) else ids
-            low = (anchor[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-            first, values = lists(low, group)
+            first, values = lists(low[order], np.cumsum(
+                np.concatenate([[True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])])))
             yield pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(marks[first]), values],
                                              ["id", "mark", "anchors"])
 
+    # what a task finds travels back in one row per block of documents, not one per document
+    packed_ = pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("marks", pa.binary()), ("n", pa.binary()),
+                         ("anchors", pa.binary())])
+    blocks = buckets
     spread = "bucket int, sure boolean, anchor binary, doc binary, ids binary, marks binary"
-    found = (keyed(docs).select("id", "mark", "text").mapInArrow(ship, spread).repartition("bucket")
-             .mapInArrow(decide, "id bigint, mark bigint, anchors array<int>"))
-    return found.groupBy("id", "mark").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
+    return (keyed(docs).select("id", "mark", "text").mapInArrow(ship, spread).repartition("bucket")
+            .mapInArrow(decide, "block int, ids binary, marks binary, n binary, anchors binary").repartition("block")
+            .mapInArrow(regroup, "id bigint, mark bigint, anchors array<int>"))
 
 
 PATH = "id bigint, mark bigint, start int, n int, source_id bigint, source_start int"
