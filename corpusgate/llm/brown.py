@@ -5,8 +5,10 @@ end per document. The model is P(w | v) = P(c(w) | c(v)) P(w | c(w)).
 
 Classes. The `TABLE` most frequent words of the training texts, if they occur
 `MIN_COUNT` times (by a Misra-Gries summary of all texts, merged in a tree), are exchanged among `CLASSES` classes:
-in every round each word of one half moves to the class that fits its left and
-right neighbours' classes best, given the class counts of the round before. All
+in every round words move to the class that fits their left and right
+neighbours' classes best, given the class counts of the round before. A round
+that makes the training texts less likely is undone, and fewer words may move
+at once in the next. All
 other words, seen or not, form one more class, and so does the end. A round is
 one pass over the staged ids: every task counts, per word, the classes beside
 it, blocks of words are added up by one shuffle, and the best classes are chosen
@@ -143,8 +145,14 @@ def matrix_of(counts: DataFrame, wide: int) -> np.ndarray:
             else np.zeros((wide, wide), np.int64))
 
 
-def best_classes(counts: DataFrame, classes: np.ndarray, n_classes: int, half: int | None) -> tuple:
-    """Each word's best class (words of one half only, or all) and its count, chosen block by block."""
+def fit_of(pairs: np.ndarray) -> float:
+    """What the class matrix adds to the log-likelihood of the training texts."""
+    logs = lambda a: float((a[a > 0] * np.log(a[a > 0])).sum())
+    return logs(pairs) - logs(pairs.sum(axis=0)) - logs(pairs.sum(axis=1))
+
+
+def best_classes(counts: DataFrame, classes: np.ndarray, n_classes: int, parts: int, turn: int) -> tuple:
+    """Each word's best class and its count, chosen block by block; one word in `parts` may move, by hash and turn."""
     wide = n_classes + 2
     pairs = matrix_of(counts, wide)
     shared = share(counts.sparkSession, (pairs, classes))
@@ -152,16 +160,15 @@ def best_classes(counts: DataFrame, classes: np.ndarray, n_classes: int, half: i
     def run(batches: Batches) -> Batches:
         pairs, classes = shared()
         log = np.log(pairs + 0.5)
-        total = np.log(pairs.sum(axis=0) + 0.5)[:n_classes]
+        total = (np.log(pairs.sum(axis=0) + 0.5) + np.log(pairs.sum(axis=1) + 0.5))[:n_classes]
         for batch in batches:
             for block, blob in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
                 both = np.frombuffer(zlib.decompress(blob), "<i8").reshape(-1, 2, wide).astype(np.float64)
                 n = both[:, 0].sum(axis=1)
-                fit = both[:, 0] @ log[:, :n_classes] + both[:, 1] @ log[:n_classes].T - 2 * n[:, None] * total
+                fit = both[:, 0] @ log[:, :n_classes] + both[:, 1] @ log[:n_classes].T - n[:, None] * total
                 now = classes[block * BLOCK:block * BLOCK + len(n)].copy()
-                move = n > 0
-                if half is not None:
-                    move &= np.arange(len(n)) % 2 == half
+                spread = (np.arange(len(n)) + block * BLOCK) * 2654435761 % (1 << 32) >> 8
+                move = (n > 0) & ((spread + turn) % parts == 0)
                 now[move] = fit.argmax(axis=1)[move]
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()),
                                                   "classes": pa.array([now.astype("<i4").tobytes()], pa.binary()),
@@ -174,12 +181,20 @@ def best_classes(counts: DataFrame, classes: np.ndarray, n_classes: int, half: i
 
 def cluster(coded: DataFrame, size: int, n_classes: int = CLASSES, rounds: int = ROUNDS) -> tuple:
     """Classes and counts of the table words, and the final class bigram matrix."""
-    classes = np.arange(size, dtype=np.int64) % n_classes  # by frequency rank, so every class starts with a frequent word
-    for turn in range(rounds):
-        counts = staged(neighbour_counts(coded, classes, n_classes), "class-counts")
-        classes = best_classes(counts, classes, n_classes, None if turn == 0 else turn % 2)[0]
+    # by frequency rank, so that every class starts with a frequent word
+    classes = np.arange(size, dtype=np.int64) % n_classes
     counts = staged(neighbour_counts(coded, classes, n_classes), "class-counts")
-    _, n, pairs = best_classes(counts, classes, n_classes, None)
+    fit, parts = fit_of(matrix_of(counts, n_classes + 2)), 1
+    for turn in range(rounds):
+        moved, _, _ = best_classes(counts, classes, n_classes, parts, turn)
+        after = staged(neighbour_counts(coded, moved, n_classes), "class-counts")
+        fit_after = fit_of(matrix_of(after, n_classes + 2))
+        if fit_after > fit:
+            classes, counts, fit, parts = moved, after, fit_after, max(parts, 2)
+        else:
+            # words that moved at once spoiled each other's gains: the round is undone, fewer may move in the next
+            parts *= 2
+    _, n, pairs = best_classes(counts, classes, n_classes, 1, 0)
     return classes, n, pairs
 
 
