@@ -59,7 +59,6 @@ EXPORT_SEEDED_SHARD_PICK = False
 EXPORT_SKIP_MAX = 1_000_000
 
 # --- fixed values: validation message texts (library wording) ---------------
-MSG_EXTRA = "Extra inputs are not permitted"
 MSG_REQUIRED = "Field required"
 MSG_GT0 = "Input should be greater than 0"
 MSG_GE0 = "Input should be greater than or equal to 0"
@@ -67,7 +66,7 @@ MSG_LE1 = "Input should be less than or equal to 1"
 MSG_HARNESS = "Input should be 'lm_eval' or 'eval_loss'"
 MSG_STR_MIN = "String should have at least {n} characters"
 MSG_STR_MAX = "String should have at most {n} characters"
-MSG_LIST_MIN = "List should have at least {n} item after validation, not {k}"
+MSG_LIST_MIN = "List should have at least 1 item after validation, not 0"
 MSG_LIST_MAX = "List should have at most {n} items after validation, not {k}"
 VALUE_ERROR = "Value error, "
 
@@ -96,8 +95,6 @@ MSG_FOLDER = ("{label}: proposer.github is {github!r} but the file is in {folder
               "the folder must be the proposer's GitHub login")
 MSG_TWO_OWNERS = "{name}: proposed by more than one person ({owners}); task names must be unique"
 MSG_LAYOUT = "{root}/{rel}: only <github-login>/<task-name>.yaml files belong here"
-MSG_NOT_MAPPING = "{file}: expected a mapping at the top level"
-MSG_NOT_YAML = "{label}: not valid YAML — {detail}"
 
 # --- fixed values: data-check message texts ---------------------------------
 MSG_NOT_ON_HUB = "{what} does not exist on the Hub (or is private)"
@@ -142,6 +139,12 @@ MSG_HELD_OUT_LOSS = "{path} / {split} is readable for a held-out loss"
 # --- fixed values: report texts ---------------------------------------------
 LEVEL_ICONS = {"error": "❌", "warning": "⚠️", "ok": "✅"}
 CONSOLE_MARKS = {"error": "✗", "warning": "!", "ok": "✓"}
+CONSOLE_WELL_FORMED = "✓ {n} proposal(s) well-formed: {files}"
+CONSOLE_CHECKING = "… checking that {name}'s data can run (this streams from the Hub)"
+EXPORT_HEADER = ("#\n# STILL NEEDED before this can be scheduled: expert_assignment.json from\n"
+                 "# profiling the base model on these sources, and an entry in\n"
+                 "# configs/task_schedule.yaml. Check group_id is not already taken.\n#\n"
+                 "# Benchmarks the proposal will be judged on:\n")
 REPORT_PASS = "✅ **The data can run.**"
 REPORT_FAIL = "❌ **The data cannot run as proposed.**"
 REPORT_TITLE = "### Dataset check: `{name}`"

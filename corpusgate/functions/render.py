@@ -114,15 +114,6 @@ def template_is_valid(template, cols: Column | None = None) -> Column:
     return shape_ok & names_ok
 
 
-def template_error_detail(template) -> Column:
-    """A short reason for an invalid template (the exception text differs by
-    failure; one fixed reason per kind is given)."""
-    t = col(template)
-    return (F.when(t.rlike(r"\{\}|\{[0-9]+\}"), F.lit("positional fields are not allowed"))
-            .when(~t.rlike(K.TEMPLATE_VALID_PATTERN), F.lit("unbalanced braces or a field with a format spec"))
-            .otherwise(F.lit("a field is not a plain column name")))
-
-
 def source_subject(path, name, split) -> Column:
     """PR5: `path [config] / split`; an empty config is left out."""
     cfg = nullif_empty(name)

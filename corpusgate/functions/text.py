@@ -21,9 +21,23 @@ def ustrip(c) -> Column:
     return F.regexp_replace(col(c), STRIP_PATTERN, "")
 
 
+# Characters that Python's `repr` writes as escapes (Latin-1 part; the rest of Unicode is printed as it is).
+_ESCAPES = {chr(i): f"\\x{i:02x}" for i in (*range(32), *range(127, 161), 173)} | {
+    "\t": "\\t", "\n": "\\n", "\r": "\\r", "\\": "\\\\"}
+
+
 def quoted(c) -> Column:
-    """Python `repr` of a plain string: single quotes around it."""
-    return F.concat(F.lit("'"), col(c), F.lit("'"))
+    """Python `repr` of a string: in single quotes, or in double quotes if it
+    holds a single and no double quote; backslashes and control characters
+    escaped."""
+    x = col(c)
+    marks = F.create_map(*[F.lit(v) for pair in _ESCAPES.items() for v in pair])
+    double = x.contains("'") & ~x.contains('"')
+    quote = F.when(double, F.lit('"')).otherwise(F.lit("'"))
+    body = F.array_join(F.transform(F.split(x, ""), lambda ch: F.coalesce(
+        F.when((ch == "'") & ~double, F.lit("\\'")), F.try_element_at(marks, ch), ch)), "")
+    plain = F.concat(F.lit("'"), x, F.lit("'"))
+    return F.when(x.rlike("['\\\\\\x00-\\x1f\\x7f-\\xa0\\xad]"), F.concat(quote, body, quote)).otherwise(plain)
 
 
 def percent(c) -> Column:

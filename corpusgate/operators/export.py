@@ -80,10 +80,7 @@ def header(m: Column) -> Column:
         F.lit("# "), name, F.lit(": "), m["title"], F.lit("\n"),
         F.lit("# Exported from proposals/"), github, F.lit("/"), name, F.lit(".yaml,\n"),
         F.lit("# proposed by @"), github, F.lit(".\n"),
-        F.lit("#\n# STILL NEEDED before this can be scheduled: expert_assignment.json from\n"
-              "# profiling the base model on these sources, and an entry in\n"
-              "# configs/task_schedule.yaml. Check group_id is not already taken.\n#\n"
-              "# Benchmarks the proposal will be judged on:\n"),
+        F.lit(K.EXPORT_HEADER),
         bench, suggestion_line(m["suggested_training"]))
 
 

@@ -18,6 +18,21 @@ def taken_names(manifests: DataFrame, id_col: str = "manifest_id") -> DataFrame:
         F.concat(F.lit(K.VALUE_ERROR), message(K.MSG_TAKEN, name=name)).alias("message"))
 
 
+def find_manifests(names: DataFrame, files: DataFrame, name: str = "name") -> DataFrame:
+    """SO3: names(name) → (name, path). A path given directly wins; else the
+    first file of that stem in path order, compared part by part (so
+    `bob/x.yaml` comes before `bob-x/x.yaml`). `files` has root, folder,
+    file_stem. A name without a file is not listed."""
+    whole = F.concat_ws("/", "root", "folder", F.concat("file_stem", F.lit(K.PROPOSAL_SUFFIX)))
+    listed = files.select("root", "folder", "file_stem", whole.alias("path")).distinct()
+    first = listed.groupBy(F.col("file_stem").alias("stem")).agg(
+        F.min_by("path", F.struct("root", "folder", "file_stem")).alias("by_stem"))
+    asked = names.select(name).distinct()
+    direct = listed.select(F.col("path").alias("by_path"))
+    found = asked.join(direct, asked[name] == direct["by_path"], "left").join(first, asked[name] == first["stem"], "left")
+    return found.select(name, F.coalesce("by_path", "by_stem").alias("path")).where(F.col("path").isNotNull())
+
+
 def duplicate_names(manifests: DataFrame, folder: str = "folder", stem: str = "file_stem") -> DataFrame:
     """MV27: a file stem used by more than one file, owners listed in path
     order. Files are distinct (folder, stem) paths; the count runs first as a

@@ -11,15 +11,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgate import constants as K
-from corpusgate.functions.text import percent, thousands
+from corpusgate.functions.text import message, percent, thousands
 
 def _lookup(table: dict) -> Column:
     return F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))])
 
 
-def console_line(level: Column, subject: Column, message: Column) -> Column:
+def console_line(level: Column, subject: Column, text: Column) -> Column:
     """RE4: `  ✓ subject: message` with ✗ / ! / ✓ marks."""
-    return F.concat(F.lit("  "), _lookup(K.CONSOLE_MARKS)[level], F.lit(" "), subject, F.lit(": "), message)
+    return F.concat(F.lit("  "), _lookup(K.CONSOLE_MARKS)[level], F.lit(" "), subject, F.lit(": "), text)
+
+
+def console(manifests: DataFrame, findings: DataFrame) -> DataFrame:
+    """RE4: the console of checking each manifest by name: its offline problems,
+    or that it is well-formed, that its data is being checked, and every
+    finding. (phase, kind, pos, ord) is the order.
+
+    `manifests` has manifest_id, folder, file_stem, problems; `findings`, as
+    `dataset_reports` takes them, those of manifests without a problem."""
+    file = F.concat("folder", F.lit("/"), "file_stem", F.lit(K.PROPOSAL_SUFFIX))
+    zero = F.lit(0)
+    problems = manifests.select("manifest_id", F.lit(0).alias("phase"), zero.alias("kind"), zero.alias("pos"),
+                                F.posexplode("problems").alias("ord", "line")).withColumn(
+        "line", F.concat(F.lit(f"{K.CONSOLE_MARKS['error']} "), "line"))
+    good = manifests.where(F.size("problems") == 0).select("manifest_id", F.posexplode(F.array(
+        message(K.CONSOLE_WELL_FORMED, n=1, files=file), message(K.CONSOLE_CHECKING, name=F.col("file_stem")))).alias(
+        "ord", "line")).select("manifest_id", F.lit(1).alias("phase"), zero.alias("kind"), zero.alias("pos"), "ord", "line")
+    found = findings.select("manifest_id", "kind", "pos", "subject", F.inline("findings")).select(
+        "manifest_id", F.lit(2).alias("phase"), "kind", "pos", "ord",
+        console_line(F.col("level"), F.col("subject"), F.col("message")).alias("line"))
+    return problems.unionByName(good).unionByName(found)
 
 
 def _finding_line(f: Column) -> Column:
@@ -53,7 +74,7 @@ def dataset_reports(findings: DataFrame) -> DataFrame:
     names = F.array_distinct(F.transform(with_stats, lambda s: s["subject"]))
     stats = F.transform(names, lambda n: F.element_at(F.filter(with_stats, lambda s: s["subject"] == n), -1))
     verdict = F.when(n_level("error") == 0, F.lit(K.REPORT_PASS)).otherwise(F.lit(K.REPORT_FAIL))
-    head = F.array(F.concat(F.lit("### Dataset check: `"), F.col("name"), F.lit("`")), F.lit(""), verdict, F.lit(""),
+    head = F.array(message(K.REPORT_TITLE, name=F.col("name")), F.lit(""), verdict, F.lit(""),
                    *[F.lit(x) for x in K.REPORT_TABLE_HEAD])
     stats_block = F.when(F.size(stats) > 0, F.concat(
         F.array(F.lit(""), F.lit(K.REPORT_STATS_HEAD[0]), F.lit(""), F.lit(K.REPORT_STATS_HEAD[1]),

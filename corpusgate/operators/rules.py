@@ -122,9 +122,8 @@ def source_errors(s: Column, i: Column) -> Column:
 
 def list_length_error(n: Column, sec: int, loc: str, limit: int) -> Column:
     return err((n < 1) | (n > limit), sec, 0, 0, loc,
-               F.when(n < 1, F.lit("List should have at least 1 item after validation, not 0"))
-               .otherwise(F.concat(F.lit(f"List should have at most {limit} items after validation, not "),
-                                   n.cast("string"))))
+               F.when(n < 1, F.lit(K.MSG_LIST_MIN))
+               .otherwise(message(K.MSG_LIST_MAX, n=limit, k=n)))
 
 
 def source_key_repr(s: Column) -> Column:
@@ -216,9 +215,9 @@ def _str_len_errors(value: Column, field: str, lo: int | None, hi: int | None, s
     v = ustrip(value) if strip else value
     out = [err(value.isNull(), SEC[field], 0, 0, field, K.MSG_REQUIRED)]
     if lo is not None:
-        out.append(err(F.length(v) < lo, SEC[field], 0, 0, field, f"String should have at least {lo} characters"))
+        out.append(err(F.length(v) < lo, SEC[field], 0, 0, field, K.MSG_STR_MIN.format(n=lo)))
     if hi is not None:
-        out.append(err(F.length(v) > hi, SEC[field], 0, 0, field, f"String should have at most {hi} characters"))
+        out.append(err(F.length(v) > hi, SEC[field], 0, 0, field, K.MSG_STR_MAX.format(n=hi)))
     return out
 
 

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from corpusgate import constants as K
 from corpusgate.functions.render import source_subject
+from corpusgate.functions.text import message
 from corpusgate.operators import catalog as C
 from corpusgate.operators import datacheck as D
 from corpusgate.operators import report as RP
 from corpusgate.plans.manifests import _ruled
-from corpusgate.session import checkpoint_dir
+from corpusgate.functions.joins import sized
 from corpusgate.sources.fixtures import fixture
 from corpusgate.sources.tables import table
 
@@ -62,12 +63,11 @@ def q_load_error_findings(spark, sf_dir):
     src = C.with_loads(_sources(spark, sf_dir), "path", fixture(spark, sf_dir, "fx_loads"),
                        fixture(spark, sf_dir, "fx_splits"))
     msg = (F.when(F.col("l_status") == "timeout",
-                  F.concat(C.timeout_text(F.col("path"), SAMPLE_ROWS, TIMEOUT),
-                           F.lit("; a miner's dataloader would stall the same way")))
+                  message(K.MSG_STALL, detail=C.timeout_text(F.col("path"), SAMPLE_ROWS, TIMEOUT)))
            .when(F.col("l_status") == "error",
-                 F.concat(F.lit("cannot be streamed: "),
-                          C.load_error_text(F.col("path"), F.col("name"), F.col("split"), F.col("l_error_type"),
-                                            F.col("l_error_msg"), F.col("known_pairs"), F.col("known_text")))))
+                 message(K.MSG_CANNOT_STREAM, detail=C.load_error_text(
+                     F.col("path"), F.col("name"), F.col("split"), F.col("l_error_type"), F.col("l_error_msg"),
+                     F.col("known_pairs"), F.col("known_text")))))
     return src.where(msg.isNotNull()).select("manifest_id", "pos", "subject", F.lit("error").alias("level"),
                                              msg.alias("message"))
 
@@ -102,22 +102,19 @@ def valid_manifests(spark, sf_dir) -> DataFrame:
     """Manifests with no offline problem — only these get a data check —
     with their nested manifest struct.
 
-    Used several times downstream, so it is checkpointed (written to the
-    session's checkpoint folder) once: the rule pass does not rerun and the
-    lineage is cut."""
-    checkpoint_dir(spark)
+    Used several times downstream, so it is written to the shared checkpoint
+    folder once: the rule pass does not rerun and the lineage is cut."""
     m = _ruled(spark, sf_dir)
-    return m.where(F.size("problems") == 0).select(
-        "manifest_id", F.col("m.name").alias("name"), "m").checkpoint()
+    return sized(m.where(F.size("problems") == 0).select("manifest_id", F.col("m.name").alias("name"), "m"), "valid")
 
 
-def proposal_findings(spark, sf_dir) -> DataFrame:
+def proposal_findings(spark, sf_dir, valid: DataFrame | None = None) -> DataFrame:
     """CL6: sources in order, then benchmarks in order, per valid manifest.
 
     A valid manifest holds at most 4 sources and 5 benchmarks inside its
     nested struct, so the check tables come from exploding those arrays —
     no second pass over the fixture tables."""
-    valid = valid_manifests(spark, sf_dir)
+    valid = valid_manifests(spark, sf_dir) if valid is None else valid
     src = valid.select("manifest_id", F.col("m.data.sequence_length").alias("seq_len"),
                        F.inline("m.data.dataset_sources")).select(
         "manifest_id", "pos", "path", "name", "split", "weight", "text_column", "text_template", "revision",
@@ -148,10 +145,10 @@ def q_check_outcome(spark, sf_dir):
 
 
 def q_console_lines(spark, sf_dir):
-    """RE4: the console line of every source finding."""
-    f = checked_sources(spark, sf_dir).select("manifest_id", "pos", "subject", F.inline("findings"))
-    return f.select("manifest_id", "pos", "ord", RP.console_line(F.col("level"), F.col("subject"),
-                                                                 F.col("message")).alias("line"))
+    """RE4: the console of every manifest: problems, or well-formed and findings."""
+    m = sized(_ruled(spark, sf_dir).select("manifest_id", "folder", "file_stem", "problems", F.col("m.name").alias("name"),
+                                           F.when(F.size("problems") == 0, F.col("m")).alias("m")), "ruled")
+    return RP.console(m, proposal_findings(spark, sf_dir, m.where("m is not null")))
 
 
 def q_nontext_missing(spark, sf_dir):

@@ -284,9 +284,27 @@ ORACLES["check_outcome"] = ("with r as (" + ORACLES["proposal_report"] + """)
 select bool_or(not passed) as failed, count(*) as manifests, sum(errors) as errors, sum(warnings) as warnings
 from r""")
 
-ORACLES["console_lines"] = (f"with {FX_ALL}, {COMMON}, {SRC_ALL}, {_source_chain('src_all')}\n"
-    "select manifest_id, pos, ord, '  ' || case level when 'error' then '✗' when 'warning' then '!' else '✓' end"
-    " || ' ' || subject || ': ' || message as line from src_find")
+ORACLES["console_lines"] = (
+    MANIFEST_BASE + ",\n" + _fx("fx_catalog", "fx_splits", "fx_loads", "fx_tasks") + ",\n" + COMMON + _VALID + ","
+    + _source_chain("src_v") + "," + _bench_chain("bench_v") + """,
+per_file as (
+  select * from allv
+  union all select f.* from file_err f where not exists (select 1 from allv a where a.manifest_id = f.manifest_id))
+select p.manifest_id, 0 as phase, 0 as kind, 0 as pos,
+  cast(row_number() over (partition by p.manifest_id order by sec, item, sub, loc, msg) - 1 as integer) as ord,
+  '✗ ' || case when sec = 12 then msg else m.folder || '/' || m.file_stem || '.yaml: ' || loc || ': ' || msg end as line
+from per_file p join m using (manifest_id)
+union all
+select v.manifest_id, 1, 0, 0, 0, '✓ 1 proposal(s) well-formed: ' || m.folder || '/' || m.file_stem || '.yaml'
+from valid v join m using (manifest_id)
+union all
+select v.manifest_id, 1, 0, 0, 1, '… checking that ' || m.file_stem || '''s data can run (this streams from the Hub)'
+from valid v join m using (manifest_id)
+union all
+select manifest_id, 2, kind, pos, ord, '  ' || case level when 'error' then '✗' when 'warning' then '!' else '✓' end
+  || ' ' || subject || ': ' || message
+from (select manifest_id, 0 as kind, pos, ord, subject, level, message from src_find
+      union all select manifest_id, 1, pos, ord, subject, level, message from b_find) x""")
 
 ORACLES["nontext_missing"] = """
 with d as (select doc_id, lang, n_chars, source, case when doc_id % 53 = 0 then null else text end as text from documents),

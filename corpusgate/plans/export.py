@@ -124,6 +124,28 @@ q as (select source, base + case when rk <= deficit and base + 1 <= n then 1 els
 r as (select lang, doc_id, row_number() over (partition by lang order by md5('{MIX_SEED}:' || cast(doc_id as varchar)), doc_id) as rn
       from documents)
 select r.lang, r.doc_id from r join q on q.source = r.lang where r.rn <= q.quota""",
+    "export_contract": _V + """,
+src as (select s.manifest_id, json_merge_patch('{}', json_object('path', s.path, 'split', s.split, 'weight', s.weight,
+          'name', nullif(s.name, ''), 'text_column', nullif(s.text_column, ''),
+          'text_template', case when coalesce(s.text_column, '') = '' then s.text_template end)) as j
+        from fx_sources s where s.manifest_id in (select manifest_id from valid)),
+pins as (select manifest_id, json_group_object(path, revision) as j from (
+           select manifest_id, path, arg_max(revision, pos) as revision from fx_sources
+           where coalesce(revision, '') <> '' group by manifest_id, path) p group by manifest_id),
+doc as (select v.manifest_id, json_object('group_id', 99, 'data', json_merge_patch('{}', json_object(
+          'dataset_sources', (select json_group_array(src.j) from src where src.manifest_id = v.manifest_id),
+          'per_device_train_batch_size', 1, 'batch_size', 4, 'sequence_length', m.sequence_length,
+          'eval_source_seeded_shard_pick', false, 'eval_source_skip_max', 1000000,
+          'eval_source_revision_pin', pins.j))) as j
+        from valid v join m using (manifest_id) left join pins using (manifest_id))
+select manifest_id,
+  cast(len(list_filter(json_keys(j), lambda k: not list_contains(['group_id', 'data'], k))) as integer) as extra_top,
+  cast(len(list_filter(json_keys(j, '$.data'), lambda k: not list_contains(['dataset_sources', 'per_device_train_batch_size',
+    'batch_size', 'sequence_length', 'eval_source_seeded_shard_pick', 'eval_source_skip_max', 'eval_source_revision_pin'], k)))
+    as integer) as extra_data,
+  cast(len(list_filter(flatten(list_transform(cast(json_extract(j, '$.data.dataset_sources') as json[]), lambda s: json_keys(s))),
+    lambda k: not list_contains(['path', 'name', 'split', 'weight', 'text_column', 'text_template'], k))) as integer) as extra_source
+from doc""",
     "contamination": """
 select b.item_id, d.doc_id from benchmark b join documents d on contains(d.text, b.text)""",
 }

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from corpusgate.functions.render import source_subject
 from corpusgate.functions.text import fmt_g
 from corpusgate.operators import rules as R
-from corpusgate.operators.names import duplicate_names, taken_names
+from corpusgate import constants as K
+from corpusgate.operators.changes import layout_problems
+from corpusgate.operators.names import duplicate_names, find_manifests, taken_names
 from corpusgate.sources.fixtures import fixture
 from corpusgate.sources.manifests import fixture_manifests
 
@@ -67,7 +69,7 @@ def q_benchmark_rules(spark, sf_dir):
     """MV13–MV17 per benchmark and list, plus MV23 (names unique)."""
     m = _nested(spark, sf_dir)
     unique = R.errors(R.err(R.c_names_repeat(), R.SEC["top"], 0, 0, "(top level)",
-                            R.value_error(F.lit("benchmark names must be unique"))))
+                            R.value_error(F.lit(K.MSG_BENCH_UNIQUE))))
     return _explode_errors(m, F.concat(R.c_benchmark_errors(), unique))
 
 
@@ -103,17 +105,23 @@ def q_taken_and_duplicate_names(spark, sf_dir):
 
 
 def q_all_problems(spark, sf_dir):
-    """MV28 / MV29: every problem of the tree — per file in path order, then
-    task names used in more than one folder."""
+    """MV28 / MV29: every problem of the tree — files that do not belong, then
+    per file in path order, then task names used in more than one folder.
+    (phase, folder, file, manifest_id, seq) is the order of the report. The
+    tree's other files are those that the change log names."""
     m = _ruled(spark, sf_dir)
-    probs = F.col("problems")
-    per_file = m.select(F.lit(2).alias("phase"), "manifest_id",
-                        F.posexplode(probs).alias("seq", "problem")).select(
-        "phase", "manifest_id", (F.col("seq") + 1).alias("seq"), "problem")
-    dup = duplicate_names(fixture(spark, sf_dir, "fx_manifests")).select(
-        F.lit(3).alias("phase"), F.lit(None).cast("bigint").alias("manifest_id"), F.lit(1).alias("seq"),
-        F.col("message").alias("problem"))
-    return per_file.unionByName(dup)
+    per_file = m.select(F.lit(2).alias("phase"), "folder", F.concat("file_stem", F.lit(K.PROPOSAL_SUFFIX)).alias("file"),
+                        "manifest_id", F.posexplode("problems").alias("seq", "problem")).withColumn(
+        "seq", F.col("seq") + 1)
+    whole = lambda phase, folder, file, text: (
+        F.lit(phase).alias("phase"), folder.cast("string").alias("folder"), file.cast("string").alias("file"),
+        F.lit(None).cast("bigint").alias("manifest_id"), F.lit(1).alias("seq"), text.alias("problem"))
+    rel = F.regexp_replace("file", "^[^/]+/", "")
+    stray = layout_problems(fixture(spark, sf_dir, "fx_changes")).select(*whole(
+        1, F.regexp_extract(rel, "^(.*)/[^/]*$", 1), F.regexp_extract(rel, "([^/]*)$", 1), F.col("problem")))
+    dup = duplicate_names(fixture(spark, sf_dir, "fx_manifests")).select(*whole(
+        3, F.lit(None), F.col("key"), F.col("message")))
+    return stray.unionByName(per_file).unionByName(dup)
 
 
 def q_manifest_scan(spark, sf_dir):
@@ -128,12 +136,15 @@ def q_manifest_scan(spark, sf_dir):
 
 
 def q_find_manifest(spark, sf_dir):
-    """SO3: a task name resolves to the first file with that stem in path
-    order across the proposal roots."""
+    """SO3: task names, and some paths given directly, against the files of
+    both roots (every third manifest also lies in `examples`)."""
     man = fixture(spark, sf_dir, "fx_manifests")
-    paths = man.select("file_stem", F.concat(F.lit("proposals/"), "folder", F.lit("/"), "file_stem",
-                                             F.lit(".yaml")).alias("path"))
-    return paths.groupBy(F.col("file_stem").alias("name")).agg(F.min("path").alias("path"))
+    files = man.select(F.lit("proposals").alias("root"), "folder", "file_stem").unionByName(
+        man.where("manifest_id % 3 = 0").select(F.lit("examples").alias("root"), "folder", "file_stem"))
+    names = man.select(F.col("file_stem").alias("name")).unionByName(
+        man.where("manifest_id % 50 = 0").select(F.concat(F.lit("proposals/"), "folder", F.lit("/"), "file_stem",
+                                                          F.lit(".yaml")).alias("name")))
+    return find_manifests(names, files)
 
 
 def q_problem_reports(spark, sf_dir):

@@ -49,7 +49,7 @@ def detail_sql(t: str) -> str:
             "'invalid format string')")
 
 
-BASE = cte("fx_manifests", "fx_sources", "fx_benchmarks") + f""",
+BASE = cte("fx_manifests", "fx_sources", "fx_benchmarks", "fx_changes") + f""",
 ns as (select manifest_id, count(*) as n from fx_sources group by manifest_id),
 nb as (select manifest_id, count(*) as n from fx_benchmarks group by manifest_id),
 m as (select f.*, coalesce(ns.n, 0) as n_sources, coalesce(nb.n, 0) as n_benchmarks
@@ -228,12 +228,20 @@ allv as (select * from lower_err union all select * from top_err),
 per_file as (
   select * from allv
   union all select f.* from file_err f where not exists (select 1 from allv a where a.manifest_id = f.manifest_id))
-select 2 as phase, p.manifest_id,
+select 2 as phase, m.folder, m.file_stem || '.yaml' as file, p.manifest_id,
   cast(row_number() over (partition by p.manifest_id order by sec, item, sub, loc, msg) as integer) as seq,
   case when sec = 12 then msg else m.folder || '/' || m.file_stem || '.yaml: ' || loc || ': ' || msg end as problem
 from per_file p join m using (manifest_id)
 union all
-select 3, cast(null as bigint), 1, msg from dup_names""",
+select 3, null, file_stem, cast(null as bigint), 1, msg from dup_names
+union all
+select distinct 1, regexp_extract(rel, '^(.*)/[^/]*$', 1), regexp_extract(rel, '([^/]*)$', 1), cast(null as bigint), 1,
+  'proposals/' || rel || ': only <github-login>/<task-name>.yaml files belong here'
+from (select array_to_string(p[2:], '/') as rel, p from (
+        select list_filter(string_split(path, '/'), lambda x: x <> '' and x <> '.') as p from fx_changes
+        where not starts_with(path, '/')) a
+      where p[1] = 'proposals' and len(p) > 1 and len(list_filter(p[2:], lambda x: starts_with(x, '.'))) = 0
+        and not (len(p) = 3 and regexp_full_match(p[3], '.+\\.yaml'))) b""",
 }
 
 ORACLES["manifest_scan"] = BASE + """,
@@ -247,8 +255,15 @@ select p.manifest_id,
 from per_file p join m using (manifest_id)"""
 
 ORACLES["find_manifest"] = cte("fx_manifests") + """
-select file_stem as name, min('proposals/' || folder || '/' || file_stem || '.yaml') as path
-from fx_manifests group by file_stem"""
+,
+f as (select 'proposals' as root, folder, file_stem from fx_manifests
+      union select 'examples', folder, file_stem from fx_manifests where manifest_id % 3 = 0),
+n as (select file_stem as name from fx_manifests
+      union select 'proposals/' || folder || '/' || file_stem || '.yaml' from fx_manifests where manifest_id % 50 = 0),
+g as (select file_stem, min([root, folder, file_stem]) as parts from f group by file_stem)
+select n.name, case when starts_with(n.name, 'proposals/') then n.name
+  else g.parts[1] || '/' || g.parts[2] || '/' || g.parts[3] || '.yaml' end as path
+from n left join g on g.file_stem = n.name"""
 
 ORACLES["problem_reports"] = BASE + """,
 allv as (select * from lower_err union all select * from top_err),

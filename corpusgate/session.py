@@ -6,18 +6,6 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings every job of this package relies on. On a cluster these are passed
-# through spark-submit; `local_session` applies them for tests and benches.
-REQUIRED_CONF = {
-    # Map keys repeated inside one map (revision pins): the last wins.
-    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-}
-
-
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "corpusgate") -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -26,32 +14,26 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.session.timeZone", "UTC")
     )
-    for key, value in REQUIRED_CONF.items():
-        builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    apply_conf(spark)
-    return spark
-
-
-def apply_conf(spark: SparkSession) -> SparkSession:
-    for key, value in REQUIRED_CONF.items():
-        spark.conf.set(key, value)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster in `spark.checkpoint.dir`.
 
-    Only when the session has none (local tests) is a scratch folder set.
-    """
+    Where the session names none, a local master (tests) gets a scratch folder
+    and a cluster an error: a folder of one machine is none that executors share."""
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(current)
         return spark.sparkContext.getCheckpointDir() or current
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="corpusgate-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
-    return spark.sparkContext.getCheckpointDir() or local
+    return spark.sparkContext.getCheckpointDir()

@@ -6,8 +6,9 @@ stateful operators are provided:
 
 * `stream_eval_gate` — drop rows under 200 characters and keep the first row
   seen per (source, 200-character prefix): a streaming deduplication whose
-  state is one 16-byte key per distinct prefix. With an event-time column
-  and a watermark, `dropDuplicatesWithinWatermark` bounds the state.
+  state is one 16-byte key per distinct prefix. On an endless stream give an
+  event-time column: `dropDuplicatesWithinWatermark` then bounds the state;
+  without one it grows with the distinct prefixes of the stream.
 * `stream_row_counts` — running rows / usable / over-window counts per
   source (a streaming aggregation, update mode).
 
@@ -45,9 +46,10 @@ def stream_row_counts(rows: DataFrame, source: str = "source", text: str = "text
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str, output_mode: str = "append",
-                 fmt: str = "parquet") -> DataFrame:
+                 fmt: str = "parquet", keys: tuple[str, ...] = ("source",)) -> DataFrame:
     """Run a streaming DataFrame over everything available now and return
-    what it wrote, read back as a batch DataFrame. Output and checkpoint
+    what it wrote, read back as a batch DataFrame; in update mode the last
+    values of each of `keys`. Output and checkpoint
     live under the session's shared checkpoint folder."""
     base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:8]}"
     if output_mode == "append":
@@ -63,7 +65,7 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, output_mode:
          .outputMode(output_mode).trigger(availableNow=True).start())
     q.awaitTermination()
     out = spark.read.format(fmt).load(f"{base}/out")
-    # the latest value per key is the running total
-    keys = [c for c in out.columns if c not in ("__epoch", "rows", "usable_rows", "long_rows")]
-    latest = out.groupBy(*keys).agg(F.max_by(F.struct("rows", "usable_rows", "long_rows"), "__epoch").alias("v"))
-    return latest.select(*keys, "v.rows", "v.usable_rows", "v.long_rows")
+    # per key, the values of the last epoch that changed them
+    values = [c for c in out.columns if c not in ("__epoch", *keys)]
+    latest = out.groupBy(*keys).agg(F.max_by(F.struct(*values), "__epoch").alias("v"))
+    return latest.select(*keys, "v.*")
