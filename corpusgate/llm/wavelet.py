@@ -41,7 +41,7 @@ from corpusgate.llm.token_counts import tokenizer_path
 from corpusgate.llm.tokens import Pieces
 from corpusgate.session import checkpoint_dir
 
-SHARD = 1 << 20
+SHARD = 1 << 18  # tokens; small enough that a plane and its ids stay in a core's cache
 END = 2
 GROUP = 64   # texts encoded together
 BLOCK = 512  # bits of a rank block
