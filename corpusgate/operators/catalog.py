@@ -2,11 +2,12 @@
 
 The live dataset host is replaced by tables:
 
-* `catalog(path, http_status, disabled, gated, siblings ARRAY<STRING>)` —
-  one record per dataset (a missing record answers 404);
+* `catalog(path, revision, http_status, detail, disabled, gated, siblings
+  ARRAY<STRING>)` — one record per dataset and revision (null: unpinned; a
+  missing record answers 404, no status means that the host was not reached);
 * `catalog_splits(path, config, split)` — the split list, absent = unknown;
-* `loads(path, status, error_type, error_msg)` — how a streaming load of
-  the dataset ended: `ok`, `timeout` or `error`;
+* `loads(path, config, split, revision, status, error_type, error_msg)` —
+  how a streaming load of these rows ended: `ok`, `timeout` or `error`;
 * `tasks(task)` — the evaluation-task registry; `None` = not installed.
 
 All of these are small per-dataset tables; they are joined to sources with
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from corpusgate import constants as K
 from corpusgate.functions.text import message, quoted, truncate_chars, truthy, ustrip
 
+NUL = "\u0000"  # stands for "absent" inside join keys
 FINDING = "struct<ord:int,level:string,message:string>"
 
 
@@ -46,20 +48,23 @@ def unshardable_warning(path: Column, siblings: Column) -> Column:
 
 
 def hub_entry(path: Column, revision: Column, training: bool, found: Column, http_status: Column,
-              disabled: Column, gated: Column, siblings: Column) -> tuple[Column, Column]:
+              disabled: Column, gated: Column, siblings: Column, detail: Column) -> tuple[Column, Column]:
     """CL1: (findings array, proceed). Missing / 401 / 404 → error naming the
-    revision when pinned; other status → error; disabled → error; then the
+    revision when pinned; other status → error; no status, the host could not
+    be reached → error with its `detail`; disabled → error; then the
     layout warning (training only); gated → warning — a gated training
     source stops, a gated benchmark goes on."""
     missing = ~found | F.coalesce(http_status.isin(401, 404), F.lit(False))
     what = F.when(truthy(revision), F.concat(F.lit("revision "), revision, F.lit(" of "), path)).otherwise(path)
     other = found & ~missing & F.coalesce(http_status != 200, F.lit(False))
-    stop = missing | other | F.coalesce(disabled, F.lit(False))
+    silent = found & http_status.isNull()
+    stop = missing | other | silent | F.coalesce(disabled, F.lit(False))
     is_gated = truthy(gated)
     findings = [
         _f(1, "error", message(K.MSG_NOT_ON_HUB, what=what), missing),
         _f(1, "error", message(K.MSG_HUB_STATUS, code=http_status, path=path), ~missing & other),
-        _f(1, "error", message(K.MSG_DISABLED, path=path), ~missing & ~other & F.coalesce(disabled, F.lit(False))),
+        _f(1, "error", message(K.MSG_UNREACHABLE, detail=F.coalesce(detail, F.lit(""))), silent),
+        _f(1, "error", message(K.MSG_DISABLED, path=path), ~missing & ~other & ~silent & F.coalesce(disabled, F.lit(False))),
     ]
     if training:
         layout = unshardable_warning(path, siblings)
@@ -103,22 +108,42 @@ def timeout_text(path: Column, rows: int, seconds: float) -> Column:
     return F.concat(F.lit(f"streaming {rows} rows of "), path, F.lit(f" took longer than {seconds:.0f}s"))
 
 
-def with_catalog(df: DataFrame, path_col: str, catalog: DataFrame, prefix: str = "c_") -> DataFrame:
-    """JO1 / JO2: left join on the dataset path; `found` marks a hit."""
-    cat = catalog.select(F.col("path").alias(f"{prefix}path"), F.lit(True).alias(f"{prefix}found"),
-                         F.col("http_status").alias(f"{prefix}http_status"),
-                         F.col("disabled").alias(f"{prefix}disabled"), F.col("gated").alias(f"{prefix}gated"),
-                         F.col("siblings").alias(f"{prefix}siblings"))
-    out = df.join(cat, df[path_col] == cat[f"{prefix}path"], "left").drop(f"{prefix}path")
+def _same(left: Column, right: Column) -> Column:
+    """Equality of optional text where absent ('' or null) equals absent, as a plain equi-join key."""
+    return F.coalesce(F.nullif(left, F.lit("")), F.lit(NUL)) == F.coalesce(F.nullif(right, F.lit("")), F.lit(NUL))
+
+
+def with_catalog(df: DataFrame, path_col: str, catalog: DataFrame, revision: Column | None = None,
+                 prefix: str = "c_") -> DataFrame:
+    """JO1 / JO2: left join on (path, revision); `found` marks a hit. Without a
+    `revision` (benchmarks) the record at no revision is meant. `catalog` may
+    leave out `revision` and `detail`: no record is pinned, none unreachable."""
+    none = F.lit(None).cast("string")
+    optional = {c: F.col(c) if c in catalog.columns else none for c in ("revision", "detail")}
+    cat = catalog.select(*[c.alias(f"{prefix}{n}") for n, c in optional.items()], F.lit(True).alias(f"{prefix}found"),
+                         *[F.col(c).alias(f"{prefix}{c}") for c in ("path", "http_status", "disabled", "gated", "siblings")])
+    at = none if revision is None or "revision" not in catalog.columns else revision
+    out = df.withColumn("__at", at).join(
+        cat, (F.col(path_col) == F.col(f"{prefix}path")) & _same(F.col("__at"), F.col(f"{prefix}revision")), "left")
+    out = out.drop("__at", f"{prefix}path", f"{prefix}revision")
     return out.withColumn(f"{prefix}found", F.coalesce(F.col(f"{prefix}found"), F.lit(False)))
 
 
-def with_loads(df: DataFrame, path_col: str, loads: DataFrame, splits: DataFrame | None, prefix: str = "l_"):
-    """Join the load outcome and the split list of each dataset."""
-    ld = loads.select(F.col("path").alias(f"{prefix}path"), F.col("status").alias(f"{prefix}status"),
-                      F.col("error_type").alias(f"{prefix}error_type"),
-                      F.col("error_msg").alias(f"{prefix}error_msg"))
-    out = df.join(ld, df[path_col] == ld[f"{prefix}path"], "left").drop(f"{prefix}path")
+def with_loads(df: DataFrame, path_col: str, loads: DataFrame, splits: DataFrame | None, name: Column, split: Column,
+               revision: Column | None = None, prefix: str = "l_"):
+    """Join the load outcome of each (path, config, split, revision) and the
+    split list of each dataset. `loads` may leave out `config`, `split` or
+    `revision`: its outcomes then hold for all of them."""
+    none = F.lit(None).cast("string")
+    asked = {"config": F.coalesce(F.nullif(name, F.lit("")), F.lit("default")), "split": split,
+             "revision": none if revision is None else revision}
+    keys = [k for k in asked if k in loads.columns]
+    ld = loads.select(*[F.col(c).alias(f"{prefix}{c}") for c in ("path", "status", "error_type", "error_msg", *keys)])
+    out = df.withColumns({f"__{k}": asked[k] for k in keys}) if keys else df
+    cond = F.col(path_col) == F.col(f"{prefix}path")
+    for k in keys:
+        cond &= _same(F.col(f"__{k}"), F.col(f"{prefix}{k}"))
+    out = out.join(ld, cond, "left").drop(f"{prefix}path", *[x for k in keys for x in (f"__{k}", f"{prefix}{k}")])
     if splits is not None:
         sl = split_lists(splits).select(F.col("path").alias(f"{prefix}spath"), "known_pairs", "known_text")
         out = out.join(sl, out[path_col] == sl[f"{prefix}spath"], "left").drop(f"{prefix}spath")

@@ -24,20 +24,13 @@ from corpusgate.operators.rules import py_repr_or_none
 from corpusgate.operators import catalog as C
 from corpusgate.operators import profile as P
 
-NUL = "\u0000"  # stands for "absent" inside join keys
-
-
-def request_key(path: Column, text_column: Column, text_template: Column, seq_len: Column) -> list[Column]:
-    return [path, F.coalesce(text_column, F.lit(NUL)), F.coalesce(text_template, F.lit(NUL)), seq_len]
-
-
-def profile_requests(requests: DataFrame, corpus: DataFrame, corpus_key: str, corpus_schema: T.StructType,
+def profile_requests(requests: DataFrame, corpus: DataFrame, corpus_key: Column, corpus_schema: T.StructType,
                      order: str, sample_rows: int | None = None) -> DataFrame:
     """JO7 + AG6 per request.
 
     requests: (corpus_key, text_column, text_template, seq_len), distinct; paths
               that share a corpus share a request.
-    corpus:   rows with `corpus_key`, an ordinal `order` and the data columns.
+    corpus:   rows whose key the Column `corpus_key` gives, an ordinal `order` and the data columns.
     Returns per request: rows, non_text, median_chars, short/dup/long shares.
     The request table is written first, so its bytes decide how it is joined;
     the scan reads only the columns that some request renders (their number is
@@ -50,7 +43,7 @@ def profile_requests(requests: DataFrame, corpus: DataFrame, corpus_key: str, co
     fields = [f for f in corpus_schema.fields if f.name in used]
     string_cols = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
     values = row_values_map(corpus_schema, [f.name for f in fields]) if fields else F.create_map().cast("map<string,string>")
-    rows = corpus.select(F.col(corpus_key).alias("c_key"), F.col(order).alias("c_ord"), values.alias("values"))
+    rows = corpus.select(corpus_key.alias("c_key"), F.col(order).alias("c_ord"), values.alias("values"))
     if sample_rows is not None:  # SC2 / WI1: first n rows per corpus, before the fan-out to requests
         rows = P.first_n(rows, ["c_key"], ["c_ord"], sample_rows)
     joined = rows.join(req, rows.c_key == req.r_key)
@@ -91,7 +84,7 @@ def c_profile_wanted(corpus_columns: tuple) -> Column:
     """Sources worth profiling: the catalog lets them proceed, the load
     succeeded and the corpus has every column they read."""
     _, proceed = C.hub_entry(F.col("path"), F.col("revision"), True, F.col("c_found"), F.col("c_http_status"),
-                             F.col("c_disabled"), F.col("c_gated"), F.col("c_siblings"))
+                             F.col("c_disabled"), F.col("c_gated"), F.col("c_siblings"), F.col("c_detail"))
     return (proceed & (F.coalesce(F.col("l_status"), F.lit("ok")) == "ok")
             & (F.size(missing_columns(F.col("text_column"), F.col("text_template"), list(corpus_columns))) == 0))
 
@@ -115,7 +108,7 @@ def source_findings(df: DataFrame, corpus_columns: list[str], sample_rows: int =
 def _source_findings_cols(corpus_columns: tuple, sample_rows: int, timeout: float):
     corpus_columns = list(corpus_columns)
     hub, proceed = C.hub_entry(F.col("path"), F.col("revision"), True, F.col("c_found"), F.col("c_http_status"),
-                               F.col("c_disabled"), F.col("c_gated"), F.col("c_siblings"))
+                               F.col("c_disabled"), F.col("c_gated"), F.col("c_siblings"), F.col("c_detail"))
     status = F.coalesce(F.col("l_status"), F.lit("ok"))
     timed_out = proceed & (status == "timeout")
     failed = proceed & (status == "error")
@@ -171,7 +164,7 @@ def _benchmark_findings_col(has_registry: bool, sample_timeout: float) -> Column
     `df` has: subject, ds_path, ds_name, ds_split, harness, task, catalog
     and load columns, `corpus_rows` (nullable) and `task_known` (nullable)."""
     hub, proceed = C.hub_entry(F.col("ds_path"), F.lit(None).cast("string"), False, F.col("c_found"),
-                               F.col("c_http_status"), F.col("c_disabled"), F.col("c_gated"), F.col("c_siblings"))
+                               F.col("c_http_status"), F.col("c_disabled"), F.col("c_gated"), F.col("c_siblings"), F.col("c_detail"))
     status = F.coalesce(F.col("l_status"), F.lit("ok"))
     timed_out = proceed & (status == "timeout")
     failed = proceed & (status == "error")
@@ -207,7 +200,7 @@ SPEC = ["path", "name", "split", "revision", "text_column", "text_template", "se
 
 
 def check_sources(sources: DataFrame, catalog: DataFrame, loads: DataFrame, splits: DataFrame | None,
-                  corpus: DataFrame, corpus_key, corpus_key_col: str, order: str,
+                  corpus: DataFrame, corpus_key, row_key: Column, order: str,
                   sample_rows: int | None = None, timeout: float = 60.0) -> DataFrame:
     """CL4 for every source (with subject and the SPEC columns).
 
@@ -216,16 +209,19 @@ def check_sources(sources: DataFrame, catalog: DataFrame, loads: DataFrame, spli
     joined back to the sources (AQE sizes that join). Within the specs the
     cheap checks run first and only one profiling request per distinct
     (corpus, rendering, sequence length) that survives them reads the corpus.
-    `corpus_key(path_column)` maps a dataset path to the corpus key."""
+    `corpus_key(path, name, split, revision)` maps a source to the key of the
+    rows it names, and `row_key` gives a corpus row's own key: config, split and
+    revision pick rows, load outcomes and catalog records alike."""
     columns = sorted(c for c in corpus.columns)
-    specs = C.with_loads(C.with_catalog(sources.select(*SPEC).distinct(), "path", catalog), "path", loads, splits)
-    specs = specs.withColumn("corpus_key", corpus_key(F.col("path")))
+    specs = C.with_catalog(sources.select(*SPEC).distinct(), "path", catalog, F.col("revision"))
+    specs = C.with_loads(specs, "path", loads, splits, F.col("name"), F.col("split"), F.col("revision"))
+    specs = specs.withColumn("corpus_key", corpus_key(*[F.col(c) for c in ("path", "name", "split", "revision")]))
     asked = ["corpus_key", "text_column", "text_template", "seq_len"]
     requests = specs.where(c_profile_wanted(tuple(columns))).select(*asked).distinct()
-    stats = profile_requests(requests, corpus, corpus_key_col, corpus.schema, order, sample_rows)
+    stats = profile_requests(requests, corpus, row_key, corpus.schema, order, sample_rows)
     specs = null_safe_join(specs, stats, asked, "left")
     # FI5 needs the row count of every corpus, profiled or not (one small aggregate)
-    counts = corpus.groupBy(F.col(corpus_key_col).alias("__k")).agg(F.count(F.lit(1)).alias("corpus_rows"))
+    counts = corpus.groupBy(row_key.alias("__k")).agg(F.count(F.lit(1)).alias("corpus_rows"))
     if sample_rows is not None:
         counts = counts.withColumn("corpus_rows", F.least(F.col("corpus_rows"), F.lit(sample_rows)))
     specs = specs.join(counts, specs["corpus_key"] == counts["__k"], "left").drop("__k")
@@ -242,8 +238,10 @@ def check_benchmarks(benchmarks: DataFrame, catalog: DataFrame, loads: DataFrame
     from corpusgate.functions.render import benchmark_subject
 
     bench = benchmarks.withColumn("subject", benchmark_subject(F.col("name")))
-    bench = C.with_loads(C.with_catalog(bench, "ds_path", catalog), "ds_path", loads, splits)
-    bench = bench.join(corpus_counts, corpus_key(F.col("ds_path")) == corpus_counts.k, "left").drop("k")
+    bench = C.with_loads(C.with_catalog(bench, "ds_path", catalog), "ds_path", loads, splits, F.col("ds_name"),
+                         F.col("ds_split"))
+    key = corpus_key(F.col("ds_path"), F.col("ds_name"), F.col("ds_split"), F.lit(None).cast("string"))
+    bench = bench.join(corpus_counts, key == corpus_counts.k, "left").drop("k")
     if tasks is not None:
         t = tasks.select(F.col("task").alias("t_task"), F.lit(True).alias("task_known")).distinct()
         bench = bench.join(t, bench.task == t.t_task, "left").drop("t_task")

@@ -2,7 +2,8 @@
 verdicts and the per-proposal report, over the derived fixtures.
 
 The fixture corpus store: dataset `org/corpus-<k>` is the `documents` rows
-of source `src<k mod 20>`, ordinal `doc_id`. Benchmarks read the same store.
+of source `src<k mod 20>`, ordinal `doc_id`; its configs are languages, and
+every third document is in the split `validation`, the others in `train`. Benchmarks read the same store.
 """
 from __future__ import annotations
 
@@ -24,14 +25,24 @@ SAMPLE_ROWS = K.DEFAULT_SAMPLE_ROWS
 TIMEOUT = 60.0
 
 
-def corpus_key(path):
+CONFIG_LANGS = {"default": "en", "a": "de", "r": "fr"}
+
+
+def corpus_key(path, name, split, revision):
     k = F.regexp_extract(path, r"^org/corpus-([0-9]+)$", 1)
-    return F.when(k != "", F.concat(F.lit("src"), (k.cast("int") % 20).cast("string")))
+    config = F.coalesce(F.nullif(name, F.lit("")), F.lit("default"))
+    langs = F.create_map(*[F.lit(x) for pair in CONFIG_LANGS.items() for x in pair])
+    return F.when(k != "", F.concat_ws("|", F.concat(F.lit("src"), (k.cast("bigint") % 20).cast("string")),
+                                       F.try_element_at(langs, config), split))
+
+
+def row_key():
+    return F.concat_ws("|", "source", "lang", F.when(F.col("doc_id") % 3 == 0, "validation").otherwise("train"))
 
 
 def catalog(spark, sf_dir) -> DataFrame:
     return fixture(spark, sf_dir, "fx_catalog").select(
-        "path", "http_status", "disabled", "gated", F.split("sibling_list", ",").alias("siblings"))
+        "path", "revision", "http_status", "detail", "disabled", "gated", F.split("sibling_list", ",").alias("siblings"))
 
 
 def _sources(spark, sf_dir) -> DataFrame:
@@ -41,27 +52,22 @@ def _sources(spark, sf_dir) -> DataFrame:
             .withColumn("subject", source_subject(F.col("path"), F.col("name"), F.col("split"))))
 
 
-def _with_catalog_and_loads(spark, sf_dir, df, path_col) -> DataFrame:
-    df = C.with_catalog(df, path_col, catalog(spark, sf_dir))
-    return C.with_loads(df, path_col, fixture(spark, sf_dir, "fx_loads"), fixture(spark, sf_dir, "fx_splits"))
-
-
 def _explode(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.inline("findings"))
 
 
 def q_hub_entry_findings(spark, sf_dir):
     """JO1, CL1, FI6, FI7: catalog findings of every training source."""
-    src = C.with_catalog(_sources(spark, sf_dir), "path", catalog(spark, sf_dir))
+    src = C.with_catalog(_sources(spark, sf_dir), "path", catalog(spark, sf_dir), F.col("revision"))
     hub, _ = C.hub_entry(F.col("path"), F.col("revision"), True, F.col("c_found"), F.col("c_http_status"),
-                         F.col("c_disabled"), F.col("c_gated"), F.col("c_siblings"))
+                         F.col("c_disabled"), F.col("c_gated"), F.col("c_siblings"), F.col("c_detail"))
     return src.select("manifest_id", "pos", "subject", F.inline(hub))
 
 
 def q_load_error_findings(spark, sf_dir):
     """CL2, CL3, JO3, SO2: what a failed or stalled load of each source reports."""
     src = C.with_loads(_sources(spark, sf_dir), "path", fixture(spark, sf_dir, "fx_loads"),
-                       fixture(spark, sf_dir, "fx_splits"))
+                       fixture(spark, sf_dir, "fx_splits"), F.col("name"), F.col("split"), F.col("revision"))
     msg = (F.when(F.col("l_status") == "timeout",
                   message(K.MSG_STALL, detail=C.timeout_text(F.col("path"), SAMPLE_ROWS, TIMEOUT)))
            .when(F.col("l_status") == "error",
@@ -77,7 +83,7 @@ def checked_sources(spark, sf_dir, sources: DataFrame | None = None) -> DataFram
     src = sources if sources is not None else _sources(spark, sf_dir)
     return D.check_sources(src, catalog(spark, sf_dir), fixture(spark, sf_dir, "fx_loads"),
                            fixture(spark, sf_dir, "fx_splits"), table(spark, sf_dir, "documents"), corpus_key,
-                           "source", "doc_id", None, TIMEOUT)
+                           row_key(), "doc_id", None, TIMEOUT)
 
 
 def q_source_findings(spark, sf_dir):
@@ -87,7 +93,7 @@ def q_source_findings(spark, sf_dir):
 def checked_benchmarks(spark, sf_dir, benchmarks: DataFrame | None = None) -> DataFrame:
     """CL5 for every benchmark: catalog, one-row readability, task registry."""
     bench = benchmarks if benchmarks is not None else fixture(spark, sf_dir, "fx_benchmarks")
-    counts = (table(spark, sf_dir, "documents").groupBy(F.col("source").alias("k"))
+    counts = (table(spark, sf_dir, "documents").groupBy(row_key().alias("k"))
               .agg(F.count(F.lit(1)).alias("corpus_rows")))
     return D.check_benchmarks(bench, catalog(spark, sf_dir), fixture(spark, sf_dir, "fx_loads"),
                               fixture(spark, sf_dir, "fx_splits"), counts, corpus_key,
@@ -168,7 +174,7 @@ def q_nontext_missing(spark, sf_dir):
     cat = names.select("path", F.lit(200).alias("http_status"), F.lit(False).alias("disabled"),
                        F.lit(None).cast("string").alias("gated"), F.array(F.lit("data.parquet")).alias("siblings"))
     loads = spark.createDataFrame([], "path string, status string, error_type string, error_msg string")
-    out = D.check_sources(src, cat, loads, None, docs, lambda p: p, "source", "doc_id", None, TIMEOUT)
+    out = D.check_sources(src, cat, loads, None, docs, lambda path, *_: path, F.col("source"), "doc_id", None, TIMEOUT)
     return out.select(F.col("path").alias("source"), F.inline("findings"))
 
 

@@ -27,9 +27,18 @@ def _fx(*names: str) -> str:
     return ",\n".join(f"{n} as ({FIXTURE_SQL[n].strip()})" for n in names)
 
 
-def corpus_key(path: str) -> str:
-    return (f"(case when regexp_full_match({path}, 'org/corpus-[0-9]+') then "
-            f"'src' || cast(cast(regexp_extract({path}, 'org/corpus-([0-9]+)', 1) as integer) % 20 as varchar) end)")
+def corpus_key(path: str, name: str, split: str) -> str:
+    return (f"(case when regexp_full_match({path}, 'org/corpus-[0-9]+') then concat_ws('|', "
+            f"'src' || cast(cast(regexp_extract({path}, 'org/corpus-([0-9]+)', 1) as bigint) % 20 as varchar), "
+            f"case coalesce(nullif({name}, ''), 'default') when 'default' then 'en' when 'a' then 'de' when 'r' then 'fr' end, "
+            f"{split}) end)")
+
+
+ROW_KEY = "concat_ws('|', d.source, d.lang, case when d.doc_id % 3 = 0 then 'validation' else 'train' end)"
+
+
+def load_on(path: str, name: str, split: str) -> str:
+    return f"l.l_path = {path} and l.config = coalesce(nullif({name}, ''), 'default') and l.split = {split}"
 
 
 def _data_files(sib: str) -> str:
@@ -38,14 +47,14 @@ def _data_files(sib: str) -> str:
 
 
 COMMON = f"""
-cat as (select path as c_path, http_status, disabled, gated, string_split(sibling_list, ',') as siblings
+cat as (select path as c_path, revision as c_rev, http_status, detail, disabled, gated, string_split(sibling_list, ',') as siblings
         from fx_catalog),
 known as (select path as k_path, list(struct_pack(config := config, split := split)) as pairs,
             list_sort(list_distinct(list('name=''' || config || ''' split=''' || split || ''''))) as txt
           from fx_splits group by path),
-loads as (select path as l_path, status, error_type, error_msg,
+loads as (select path as l_path, config, split, status, error_type, error_msg,
             {strip("error_type || ': ' || coalesce(error_msg, '')")} as raw_msg from fx_loads),
-counts as (select source as key, count(*) as corpus_rows from documents group by source)"""
+counts as (select {ROW_KEY} as key, count(*) as corpus_rows from documents d group by 1)"""
 
 
 def load_text(path: str, name: str, split: str) -> str:
@@ -64,34 +73,38 @@ def _hub_rows(table: str, path: str, rev: str | None, training: bool) -> str:
     what = (f"(case when coalesce({rev}, '') <> '' then 'revision ' || {rev} || ' of ' || {path} else {path} end)"
             if rev else path)
     data = _data_files("c.siblings")
+    on = f"c.c_path = {path} and c.c_rev is not distinct from " + (f"nullif({rev}, '')" if rev else "null")
     rows = f"""
   select t.*, 1 as ord, 'error' as level, {what} || ' does not exist on the Hub (or is private)' as message
-  from {table} t left join cat c on c.c_path = {path} where c.c_path is null or c.http_status in (401, 404)
+  from {table} t left join cat c on {on} where c.c_path is null or c.http_status in (401, 404)
   union all
   select t.*, 1, 'error', 'the Hub answered ' || cast(c.http_status as varchar) || ' for ' || {path}
-  from {table} t join cat c on c.c_path = {path} where c.http_status not in (401, 404, 200)
+  from {table} t join cat c on {on} where c.http_status not in (401, 404, 200)
+  union all
+  select t.*, 1, 'error', 'could not reach the Hub: ' || coalesce(c.detail, '')
+  from {table} t join cat c on {on} where c.http_status is null
   union all
   select t.*, 1, 'error', {path} || ' is disabled on the Hub'
-  from {table} t join cat c on c.c_path = {path} where c.http_status = 200 and c.disabled"""
+  from {table} t join cat c on {on} where c.http_status = 200 and c.disabled"""
     if training:
         rows += f"""
   union all
   select t.*, 2, 'warning', {path} || ' is published as ' || cast(len({data}) as varchar) || ' file(s) ('
     || array_to_string(({data})[1:2], ', ') || ') in a format a streaming reader cannot read a piece at a time; '
     || 'every miner would pull and parse the whole file each round. Prefer a parquet-sharded export.'
-  from {table} t join cat c on c.c_path = {path}
+  from {table} t join cat c on {on}
   where c.http_status = 200 and not c.disabled and len({data}) between 1 and 2
     and len(list_filter({data}, lambda f: ends_with(lower(f), '.parquet') or ends_with(lower(f), '.arrow'))) = 0
   union all
   select t.*, 3, 'warning', {path} || ' is gated (' || c.gated || '): every miner and validator must accept its '
     || 'terms on HuggingFace before the task runs. Its rows were not checked.'
-  from {table} t join cat c on c.c_path = {path}
+  from {table} t join cat c on {on}
   where c.http_status = 200 and not c.disabled and coalesce(c.gated, '') <> ''"""
     else:
         rows += f"""
   union all
   select t.*, 3, 'warning', {path} || ' is gated (' || c.gated || '); the owner needs access to score it'
-  from {table} t join cat c on c.c_path = {path}
+  from {table} t join cat c on {on}
   where c.http_status = 200 and not c.disabled and coalesce(c.gated, '') <> ''"""
     return rows
 
@@ -104,22 +117,23 @@ def _source_chain(src_table: str) -> str:
     return f"""
 hub_s as ({_hub_rows(src_table, "t.path", "t.revision", True)}),
 src_p as (
-  select s.*, (c.c_path is not null and c.http_status = 200 and not c.disabled and coalesce(c.gated, '') = '')
-           as proceed,
+  select s.*, coalesce(c.c_path is not null and c.http_status = 200 and not c.disabled and coalesce(c.gated, '') = '',
+                       false) as proceed, {corpus_key("s.path", "s.name", "s.split")} as ck,
          coalesce(l.status, 'ok') as status,
          {load_text("s.path", "s.name", "s.split")} as load_msg
-  from {src_table} s left join cat c on c.c_path = s.path left join loads l on l.l_path = s.path
+  from {src_table} s left join cat c on c.c_path = s.path and c.c_rev is not distinct from nullif(s.revision, '')
+  left join loads l on {load_on("s.path", "s.name", "s.split")}
   left join known k on k.k_path = s.path),
 src_m as (select x.*, {missing} as missing from src_p x),
-req as (select distinct path, text_column, text_template, seq_len from src_m
+req as (select distinct ck, text_column, text_template, seq_len from src_m
         where proceed and status = 'ok' and len(missing) = 0),
 req_rows as (
   select r.*, case when coalesce(r.text_column, '') <> '' then coalesce(d.text, '')
                    else replace(replace(r.text_template, '{{{{', '{{'), '}}}}', '}}') end as txt,
          d.text is null as null_text
-  from req r join documents d on d.source = {corpus_key("r.path")}),
+  from req r join documents d on {ROW_KEY} = r.ck),
 req_stats as (
-  select path, text_column, text_template, seq_len, count(*) as rows,
+  select ck, text_column, text_template, seq_len, count(*) as rows,
     count(*) filter (where null_text and coalesce(text_column, '') <> '') as non_text,
     cast(floor(median(length(txt))) as bigint) as median_chars,
     1 - count(*) filter (where length(txt) >= 200) / count(*) as short_share,
@@ -127,13 +141,13 @@ req_stats as (
          else 1 - count(distinct case when length(txt) >= 200 then substring(txt, 1, 200) end)
                   / count(*) filter (where length(txt) >= 200) end as dup_share,
     count(*) filter (where length(txt) > seq_len * 4) / count(*) as long_share
-  from req_rows group by path, text_column, text_template, seq_len),
+  from req_rows group by ck, text_column, text_template, seq_len),
 src_x as (
   select m.*, coalesce(st.rows, cn.corpus_rows, 0) as n_rows, coalesce(cn.corpus_rows, 0) as c_rows,
          coalesce(st.non_text, 0) as n_non_text, st.median_chars, st.short_share, st.dup_share, st.long_share
-  from src_m m left join req_stats st on st.path = m.path and st.text_column is not distinct from m.text_column
+  from src_m m left join req_stats st on st.ck = m.ck and st.text_column is not distinct from m.text_column
     and st.text_template is not distinct from m.text_template and st.seq_len = m.seq_len
-  left join counts cn on cn.key = {corpus_key("m.path")}),
+  left join counts cn on cn.key = m.ck),
 src_s as (
   select x.*, proceed and status = 'ok' and c_rows > 0 and len(missing) = 0
            and not (coalesce(text_column, '') <> '' and n_non_text > 0) as stats_ok
@@ -187,12 +201,13 @@ def _bench_chain(b_table: str) -> str:
     return f"""
 hub_b as ({_hub_rows(b_table, "t.ds_path", None, False)}),
 b_s as (
-  select b.*, (c.c_path is not null and c.http_status = 200 and not c.disabled) as proceed,
+  select b.*, coalesce(c.c_path is not null and c.http_status = 200 and not c.disabled, false) as proceed,
     coalesce(l.status, 'ok') as status, coalesce(n.corpus_rows, 0) as corpus_rows,
     tk.task is not null as task_known,
     {load_text("b.ds_path", "b.ds_name", "b.ds_split")} as load_msg
-  from {b_table} b left join cat c on c.c_path = b.ds_path left join loads l on l.l_path = b.ds_path
-  left join known k on k.k_path = b.ds_path left join counts n on n.key = {corpus_key("b.ds_path")}
+  from {b_table} b left join cat c on c.c_path = b.ds_path and c.c_rev is null
+  left join loads l on {load_on("b.ds_path", "b.ds_name", "b.ds_split")}
+  left join known k on k.k_path = b.ds_path left join counts n on n.key = {corpus_key("b.ds_path", "b.ds_name", "b.ds_split")}
   left join (select distinct task from fx_tasks) tk on tk.task = b.task),
 b_go as (select *, proceed and status <> 'error' and not (status = 'ok' and corpus_rows = 0) as go from b_s),
 b_find as (
@@ -233,7 +248,7 @@ select s.manifest_id, s.pos, s.subject, 'error' as level,
   case when l.status = 'timeout' then 'streaming 200 rows of ' || s.path
          || ' took longer than 60s; a miner''s dataloader would stall the same way'
        else 'cannot be streamed: ' || {load_text("s.path", "s.name", "s.split")} end as message
-from src_all s join loads l on l.l_path = s.path left join known k on k.k_path = s.path
+from src_all s join loads l on {load_on("s.path", "s.name", "s.split")} left join known k on k.k_path = s.path
 where l.status in ('timeout', 'error')""",
     "source_findings": f"with {FX_ALL}, {COMMON}, {SRC_ALL}, {_source_chain('src_all')}\n"
                        "select manifest_id, pos, subject, ord, level, message from src_find",

@@ -57,26 +57,34 @@ select o_orderkey as manifest_id, cast(k as int) as pos, concat('bench_', cast(c
 from (select *, 1 as k from orders union all select *, 2 as k from orders where o_orderkey % 4 = 0) x
 """,
     "fx_catalog": """
-select concat('org/corpus-', cast(p_partkey as string)) as path,
-  case when p_size % 12 = 0 then 404 when p_size % 13 = 0 then 500 else 200 end as http_status,
-  (p_partkey % 10 = 3) as disabled,
-  case when p_partkey % 7 = 0 then 'manual' when p_partkey % 7 = 1 then 'auto' end as gated,
-  case when p_partkey % 4 = 0 then 'README.md,data.json' when p_partkey % 4 = 1 then 'README.md,a.jsonl,b.jsonl,c.jsonl'
-       when p_partkey % 4 = 2 then 'README.MD,logo.PNG' else 'README.md,data/train-0.PARQUET' end as sibling_list
-from part
+select path, cast(null as string) as revision, http_status, detail, disabled, gated, sibling_list from (
+  select concat('org/corpus-', cast(p_partkey as string)) as path,
+    case when p_size % 12 = 0 then 404 when p_size % 13 = 0 then 500 when p_size % 14 = 0 then cast(null as int) else 200 end as http_status,
+    case when p_size % 14 = 0 then 'the read operation timed out' end as detail,
+    (p_partkey % 10 = 3) as disabled,
+    case when p_partkey % 7 = 0 then 'manual' when p_partkey % 7 = 1 then 'auto' end as gated,
+    case when p_partkey % 4 = 0 then 'README.md,data.json' when p_partkey % 4 = 1 then 'README.md,a.jsonl,b.jsonl,c.jsonl'
+         when p_partkey % 4 = 2 then 'README.MD,logo.PNG' else 'README.md,data/train-0.PARQUET' end as sibling_list
+  from part) x
+union all
+select concat('org/corpus-', cast(p_partkey as string)), repeat('0a', 20), 200, cast(null as string), (p_partkey % 10 = 3),
+  case when p_partkey % 7 = 0 then 'manual' when p_partkey % 7 = 1 then 'auto' end, 'README.md,data/train-0.PARQUET'
+from part where p_partkey % 4 <> 1
 """,
     "fx_splits": """
 select concat('org/corpus-', cast(p_partkey as string)) as path, 'default' as config, 'train' as split from part where p_partkey % 5 <> 0
 union all select concat('org/corpus-', cast(p_partkey as string)) as path, 'a' as config, 'validation' as split from part where p_partkey % 5 <> 0
 union all select concat('org/corpus-', cast(p_partkey as string)) as path, 'r' as config, 'train' as split from part where p_partkey % 5 <> 0
 """,
-    "fx_loads": """
-select concat('org/corpus-', cast(p_partkey as string)) as path,
-  case when p_partkey % 6 = 1 then 'timeout' when p_partkey % 6 in (2, 4) then 'error' else 'ok' end as status,
-  case when p_partkey % 6 = 2 then 'KeyError' when p_partkey % 6 = 4 then 'RuntimeError' end as error_type,
-  case when p_partkey % 6 = 2 then repeat('train ', 80) when p_partkey % 6 = 4 then 'Dataset scripts are no longer supported, but found x.py' end as error_msg
-from part
-""",
+    "fx_loads": "\nunion all ".join(f"""
+select concat('org/corpus-', cast(p_partkey as string)) as path, '{config}' as config, '{split}' as split,
+  case when (p_partkey + {i}) % 6 = 1 then 'timeout' when (p_partkey + {i}) % 6 in (2, 4) then 'error' else 'ok' end as status,
+  case when (p_partkey + {i}) % 6 = 2 then 'KeyError' when (p_partkey + {i}) % 6 = 4 then 'RuntimeError' end as error_type,
+  case when (p_partkey + {i}) % 6 = 2 then repeat('train ', 80)
+       when (p_partkey + {i}) % 6 = 4 then 'Dataset scripts are no longer supported, but found x.py' end as error_msg
+from part""" for i, (config, split) in enumerate([
+        ("default", "train"), ("a", "validation"), ("r", "train"), ("default", "validation"), ("a", "train"),
+        ("r", "validation")])) + "\n",
     "fx_tasks": """
 select distinct concat('task_', cast(p_partkey as string)) as task from part
 """,

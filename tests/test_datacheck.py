@@ -22,7 +22,7 @@ def run(spark, sources, catalog, loads=(), splits=(), rows_by_path=None):
     ld = spark.createDataFrame(list(loads), LOADS)
     sp = spark.createDataFrame(list(splits), SPLITS)
     corp = corpus(spark, rows_by_path or {})
-    out = D.check_sources(src, cat, ld, sp, corp, lambda p: p, "ds", "ord", None, 60.0)
+    out = D.check_sources(src, cat, ld, sp, corp, lambda path, *_: path, F.col("ds"), "ord", None, 60.0)
     rows = out.select("pos", F.inline("findings")).orderBy("pos", "ord").collect()
     return [(r.level, r.message) for r in rows]
 
@@ -104,7 +104,7 @@ def test_benchmark_verdicts(spark):
     loads = spark.createDataFrame([("org/t", "timeout", None, None)], LOADS)
     counts = spark.createDataFrame([("org/a", 5), ("org/g", 1), ("org/t", 1)], "k string, corpus_rows long")
     tasks = spark.createDataFrame([("t_known",)], "task string")
-    out = D.check_benchmarks(bench, cat, loads, None, counts, lambda p: p, tasks)
+    out = D.check_benchmarks(bench, cat, loads, None, counts, lambda path, *_: path, tasks)
     got = [(r.pos, r.level, r.message) for r in out.select("pos", F.inline("findings")).orderBy("pos", "ord").collect()]
     assert got == [
         (1, "ok", "org/a / test is readable and lm-eval knows 't_known'"),
@@ -115,3 +115,47 @@ def test_benchmark_verdicts(spark):
         (4, "warning", "streaming 1 rows of org/t took longer than 60s; could not confirm the split is readable"),
         (4, "ok", "org/t / test is readable for a held-out loss"),
     ]
+
+
+FULL_CAT = "path string, revision string, http_status int, detail string, disabled boolean, gated string, siblings array<string>"
+FULL_LOADS = "path string, config string, split string, revision string, status string, error_type string, error_msg string"
+PIN = "0a" * 20
+
+
+def run_full(spark, sources, catalog, loads, rows):
+    """`rows`: (path, config, split, text); what a source reads is its own config and split."""
+    corp = spark.createDataFrame([(p, c, s, i, t) for i, (p, c, s, t) in enumerate(rows)],
+                                 "ds string, cfg string, part string, ord long, contents string")
+    out = D.check_sources(
+        spark.createDataFrame(sources, SRC), spark.createDataFrame(catalog, FULL_CAT), spark.createDataFrame(loads, FULL_LOADS),
+        None, corp, lambda path, name, split, _: F.concat_ws("|", path, F.coalesce(name, F.lit("default")), split),
+        F.concat_ws("|", "ds", "cfg", "part"), "ord", None, 60.0)
+    return {r.pos: [f.message for f in r.findings] for r in out.collect()}
+
+
+def test_config_and_split_choose_the_rows_and_the_outcome(spark):
+    data = ["README.md", "data/a.parquet"]
+    rows = ([("org/a", "default", "train", t) for t in good(40)] + [("org/a", "x", "train", t) for t in good(7)]
+            + [("org/a", "default", "test", "short")] * 5)
+    got = run_full(spark, [source("org/a"), source("org/a", name="x", pos=2), source("org/a", split="test", pos=3),
+                           source("org/a", split="dev", pos=4), source("org/a", name="y", pos=5)],
+                   [("org/a", None, 200, None, False, None, data)],
+                   [("org/a", "y", "train", None, "error", "KeyError", "'y'")], rows)
+    assert got[1] == ["streams, and 'contents' is usable text (40 rows sampled)"]
+    assert got[2] == ["streams, and 'contents' is usable text (7 rows sampled)"]
+    assert got[3] == ["100% of sampled rows are under 200 characters; the validator's eval drops those, so there would be "
+                      "too little to score on"]
+    assert got[4] == ["split 'dev' streamed zero rows"]
+    assert got[5] == ["cannot be streamed: KeyError: 'y'"]
+
+
+def test_a_revision_must_be_known_and_the_host_in_reach(spark):
+    rows = [(p, "default", "train", t) for p in ("org/a", "org/b") for t in good(3)]
+    data = ["README.md", "data/a.parquet"]
+    got = run_full(spark, [source("org/a", revision=PIN), source("org/b", revision=PIN, pos=2), source("org/c", pos=3)],
+                   [("org/a", None, 200, None, False, None, data), ("org/a", PIN, 200, None, False, None, data),
+                    ("org/b", None, 200, None, False, None, data), ("org/c", None, None, "timed out", False, None, [])],
+                   [], rows)
+    assert got == {1: ["streams, and 'contents' is usable text (3 rows sampled)"],
+                   2: [f"revision {PIN} of org/b does not exist on the Hub (or is private)"],
+                   3: ["could not reach the Hub: timed out"]}
