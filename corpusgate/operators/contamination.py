@@ -38,6 +38,31 @@ def _row_tokens(rows: DataFrame, row_id: str, row_text: str) -> DataFrame:
                        F.explode(F.array_distinct(F.split(F.col(row_text), TOKEN_SPLIT))).alias("token"))
 
 
+def ngram_overlap(items: DataFrame, rows: DataFrame, n: int = 8, item_id: str = "item_id", item_text: str = "text",
+                  row_id: str = "doc_id", row_text: str = "text") -> DataFrame:
+    """(item_id, row_id, shared, total): how many of an item's distinct word
+    n-grams (lower-cased) occur in a row, for every pair that shares one. Items
+    and rows of fewer than n words have none.
+
+    An n-gram travels as two 64-bit hashes. The items' n-grams are a table of
+    known size, so the join keeps the rows' n-grams where they are while that
+    table is small; only pairs that share one are counted, per (item, row)."""
+    def grams(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
+        words = tokens(F.lower(F.col(text)))
+        cut = df.select(F.col(key).alias(name), words.alias("w")).where(F.size("w") >= n)
+        at = F.explode(F.sequence(F.lit(1), F.size("w") - (n - 1)))
+        gram = F.array_join(F.slice("w", F.col("i"), n), " ")
+        return cut.select(name, "w", at.alias("i")).select(
+            name, F.xxhash64(gram).alias("g1"), F.xxhash64(F.lit(1), gram).alias("g2"))
+
+    wanted = sized(grams(items, item_id, item_text, "item_id").distinct(), "item-ngrams")
+    total = wanted.groupBy("item_id").agg(F.count(F.lit(1)).alias("total"))
+    shared = (grams(rows, row_id, row_text, "row_id").join(wanted, ["g1", "g2"])
+              .groupBy("item_id", "row_id").agg(F.count_distinct("g1", "g2").alias("shared")))
+    return shared.join(total, "item_id").select(F.col("item_id").alias(item_id), F.col("row_id").alias(row_id),
+                                                "shared", "total")
+
+
 def contamination(items: DataFrame, rows: DataFrame, item_id: str = "item_id", item_text: str = "text",
                   row_id: str = "doc_id", row_text: str = "text") -> DataFrame:
     """(item_id, row_id) for every row whose text contains the item's text.

@@ -7,7 +7,7 @@ ever reach the driver.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgate import constants as K
@@ -54,6 +54,18 @@ def _stats_line(s: Column) -> Column:
                     percent(s["dup_share"]), F.lit(" | "), percent(s["long_share"]), F.lit(" |"))
 
 
+def settled(findings: DataFrame) -> DataFrame:
+    """CL4 across a manifest: a subject that an earlier entry of the same
+    manifest has an error for is not "ok" (two entries can share a subject,
+    an empty and a missing config for one)."""
+    earlier = Window.partitionBy("manifest_id", "subject").orderBy("kind", "pos").rowsBetween(
+        Window.unboundedPreceding, -1)
+    bad = F.exists("findings", lambda f: f["level"] == "error")
+    return (findings.withColumn("__bad", F.coalesce(F.max(bad).over(earlier), F.lit(False)))
+            .withColumn("findings", F.filter("findings", lambda f: ~(F.col("__bad") & (f["level"] == "ok"))))
+            .drop("__bad"))
+
+
 def dataset_reports(findings: DataFrame) -> DataFrame:
     """RE1 per manifest.
 

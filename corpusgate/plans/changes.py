@@ -1,10 +1,14 @@
 """Change-log queries over the derived `fx_changes` fixture."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusgate.operators import changes as CH
+from corpusgate.session import checkpoint_dir
 from corpusgate.sources.fixtures import cte, fixture
+from corpusgate.sources.sinks import write_reports
 
 # The trusted list as a workflow would pass it.
 TRUSTED = " user7,\nUser13 "
@@ -38,7 +42,17 @@ def q_change_log_parse(spark, sf_dir):
     return CH.parse_name_status(lines, keep=["pr_id", "seq"])
 
 
+def q_written_reports(spark, sf_dir):
+    """SC8: pull-request reports written, more appended, and read back."""
+    path = f"{checkpoint_dir(spark)}/reports-{uuid.uuid4().hex}"
+    reports = q_pr_reports(spark, sf_dir)
+    write_reports(reports.where("violations > 0"), path, "pr_id")
+    write_reports(reports.where("violations = 0"), path, "pr_id", mode="append")
+    return spark.read.schema("pr_id string, markdown string").json(path)
+
+
 QUERIES = {
+    "written_reports": q_written_reports,
     "pr_violations": q_pr_violations,
     "pr_reports": q_pr_reports,
     "layout_problems": q_layout_problems,
@@ -109,3 +123,5 @@ from r where len(list_filter(rel, lambda q: starts_with(q, '.'))) = 0
     "change_log_parse": cte("fx_changes") + """
 select pr_id, seq, status, path, old_path from fx_changes""",
 }
+
+ORACLES["written_reports"] = f"select cast(pr_id as varchar) as pr_id, markdown from ({ORACLES['pr_reports']}) r"

@@ -137,7 +137,7 @@ def proposal_findings(spark, sf_dir, valid: DataFrame | None = None) -> DataFram
         *[F.lit(None).cast(t).alias(c) for c, t in (("rows", "bigint"), ("median_chars", "bigint"),
                                                      ("short_share", "double"), ("dup_share", "double"),
                                                      ("long_share", "double"))])
-    return s.unionByName(b).join(valid.select("manifest_id", "name"), "manifest_id")
+    return RP.settled(s.unionByName(b)).join(valid.select("manifest_id", "name"), "manifest_id")
 
 
 def q_proposal_report(spark, sf_dir):

@@ -2,14 +2,18 @@
 contamination operators, over the fixtures and the input tables."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusgate.operators import export as X
-from corpusgate.operators.contamination import contamination
+from corpusgate.operators.contamination import contamination, ngram_overlap
 from corpusgate.operators.mixture import weighted_mixture
 from corpusgate.plans.datacheck import valid_manifests
 from corpusgate.plans.datacheck_sql import _VALID
 from corpusgate.plans.manifests_sql import BASE as MANIFEST_BASE
+from corpusgate.session import checkpoint_dir
+from corpusgate.sources.sinks import write_configs
 from corpusgate.sources.tables import table
 
 GROUP_ID = 99
@@ -73,7 +77,26 @@ def q_contamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
 
+def q_ngram_contamination(spark, sf_dir):
+    """RA3 by word n-grams: what each document shares with each benchmark item."""
+    return ngram_overlap(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+def q_written_configs(spark, sf_dir):
+    """SC9: configuration documents written, and read back."""
+    path = f"{checkpoint_dir(spark)}/configs-{uuid.uuid4().hex}"
+    write_configs(X.export_documents(_valid_nested(spark, sf_dir), F.lit(GROUP_ID)), path)
+    back = spark.read.schema("name string, document string, config string").json(f"{path}/configs")
+    at = lambda p, kind: F.get_json_object("config", p).cast(kind)
+    return back.select("name", at("$.group_id", "int").alias("group_id"),
+                       at("$.data.sequence_length", "int").alias("sequence_length"),
+                       F.json_array_length(F.get_json_object("config", "$.data.dataset_sources")).alias("n_sources"),
+                       F.col("document").startswith(F.concat(F.lit("# "), "name")).alias("headed"))
+
+
 QUERIES = {
+    "ngram_contamination": q_ngram_contamination,
+    "written_configs": q_written_configs,
     "task_config": q_task_config,
     "revision_pins": q_revision_pins,
     "task_header": q_task_header,
@@ -85,6 +108,19 @@ QUERIES = {
 _V = MANIFEST_BASE + _VALID
 
 ORACLES = {
+    "ngram_contamination": """
+with i as (select item_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') as w from benchmark),
+d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') as w from documents),
+ig as (select distinct item_id, array_to_string(w[k:k + 7], ' ') as g
+       from (select *, unnest(range(1, len(w) - 6)) as k from i where len(w) >= 8) x),
+dg as (select distinct doc_id, array_to_string(w[k:k + 7], ' ') as g
+       from (select *, unnest(range(1, len(w) - 6)) as k from d where len(w) >= 8) x),
+t as (select item_id, count(*) as total from ig group by item_id)
+select item_id, doc_id, count(*) as shared, any_value(total) as total from ig join dg using (g) join t using (item_id)
+group by item_id, doc_id""",
+    "written_configs": _V + f"""
+select m.name, {GROUP_ID} as group_id, m.sequence_length, cast(m.n_sources as integer) as n_sources, true as headed
+from m where m.manifest_id in (select manifest_id from valid)""",
     "task_config": _V + """
 select s.manifest_id, s.pos, s.path, case when coalesce(s.name, '') <> '' then s.name end as name, s.split, s.weight,
   case when coalesce(s.text_column, '') <> '' then s.text_column end as text_column,

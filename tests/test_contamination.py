@@ -1,5 +1,5 @@
 """Contamination against brute-force containment."""
-from corpusgate.operators.contamination import contamination
+from corpusgate.operators.contamination import contamination, ngram_overlap
 
 
 def test_contamination_matches_brute_force(spark):
@@ -18,3 +18,19 @@ def test_items_without_words_are_contained_in_nothing(spark):
     rows = spark.createDataFrame([(1, "any text"), (2, ""), (3, None)], "doc_id long, text string")
     its = spark.createDataFrame([(1, ""), (2, "  \n"), (3, None)], "item_id long, text string")
     assert contamination(its, rows).collect() == []
+
+
+def test_ngram_overlap_counts_distinct_shared_ngrams(spark):
+    items = [(1, "The tide runs OUT at noon and the tide runs out"), (2, "too short"), (3, None), (4, "a b c d")]
+    docs = [(1, "say: the tide runs out at\nnoon today"), (2, "a b c d a b c d"), (3, "d c b a"), (4, None)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    its = spark.createDataFrame(items, "item_id long, text string")
+
+    def grams(text, n):
+        w = (text or "").lower().split()
+        return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)}
+
+    for n in (3, 4):
+        got = {(r.item_id, r.doc_id): (r.shared, r.total) for r in ngram_overlap(its, rows, n).collect()}
+        assert got == {(i, d): (len(grams(t, n) & grams(x, n)), len(grams(t, n)))
+                       for i, t in items for d, x in docs if grams(t, n) & grams(x, n)}

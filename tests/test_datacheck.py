@@ -159,3 +159,14 @@ def test_a_revision_must_be_known_and_the_host_in_reach(spark):
     assert got == {1: ["streams, and 'contents' is usable text (3 rows sampled)"],
                    2: [f"revision {PIN} of org/b does not exist on the Hub (or is private)"],
                    3: ["could not reach the Hub: timed out"]}
+
+
+def test_a_subject_with_an_earlier_error_is_not_ok(spark):
+    from corpusgate.operators.report import settled
+
+    rows = [(1, 0, 1, "org/a / train", [(4, "error", "no")]), (1, 0, 2, "org/a / train", [(5, "warning", "w"), (7, "ok", "yes")]),
+            (1, 0, 3, "org/b / train", [(7, "ok", "yes")]), (2, 0, 1, "org/a / train", [(7, "ok", "yes")])]
+    df = spark.createDataFrame(rows, "manifest_id long, kind int, pos int, subject string, "
+                                     "findings array<struct<ord:int,level:string,message:string>>")
+    got = {(r.manifest_id, r.pos): [f.level for f in r.findings] for r in settled(df).collect()}
+    assert got == {(1, 1): ["error"], (1, 2): ["warning"], (1, 3): ["ok"], (2, 1): ["ok"]}
