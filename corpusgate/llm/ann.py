@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusgate.llm.common import Batches, share, staged, table
+from corpusgate.llm.common import Batches, drawn, share, staged, table
 
 CENTROIDS = 32
 SAMPLE = 20_000
@@ -149,11 +149,11 @@ def search(base: DataFrame, queries: DataFrame, k: int = K, centroids: int = CEN
     spark = base.sparkSession
     empty = "query_id bigint, rank int, vec_id bigint, score double"
     vectors = staged(folded(usable(base), k), "vectors")
-    sample = vectors.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE).collect()
+    sample = drawn(vectors.select("v"), SAMPLE, "v").collect()
     if not sample:
         return spark.createDataFrame([], empty)
-    drawn = np.array([r.v for r in sample])
-    books = Codebooks(drawn, centroids)
+    known = np.array([r.v for r in sample])
+    books = Codebooks(known, centroids)
     shared = share(spark, books)
 
     def assign(batches: Batches) -> Batches:
@@ -165,7 +165,7 @@ def search(base: DataFrame, queries: DataFrame, k: int = K, centroids: int = CEN
     counts = np.zeros(len(books.books[0]) * books.width, np.int64)  # one number per cell: bounded
     for row in index.groupBy("cell").count().collect():
         counts[row["cell"]] = row["count"]
-    wanted = measured_share(index, drawn[:PROBES], books, counts, k)
+    wanted = measured_share(index, known[:PROBES], books, counts, k)
     plan = share(spark, (books, counts, wanted))
 
     def visits(batches: Batches) -> Batches:

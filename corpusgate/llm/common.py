@@ -48,6 +48,21 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def low_hash(share: Column | float, *key: str) -> Column:
+    """Whether the hash of `key` lies in the lowest `share` of all hashes."""
+    return F.shiftrightunsigned(F.xxhash64(*key), 1) / float(1 << 63) <= share
+
+
+def drawn(df: DataFrame, n: int, *key: str) -> DataFrame:
+    """The n rows whose hash of `key` is lowest (ties by key).
+
+    Only rows in the lowest 4 n / count of all hashes are sorted: that some n
+    are among them is certain but for chances far below one in a billion, and
+    what meets in one task stays a few n however large the table is."""
+    part = df.filter(low_hash(4.0 * n / max(1, df.count()), *key))
+    return part.orderBy(F.xxhash64(*key), *key).limit(n)
+
+
 def worker_cache(name: str, make: Callable[[], object]) -> object:
     """An object that lives as long as the Python worker and is shared by its tasks."""
     store = sys.modules.setdefault("_llm_worker_store", types.ModuleType("_llm_worker_store"))

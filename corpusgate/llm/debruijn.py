@@ -30,6 +30,7 @@ length is one row, as it is in the table.
 """
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ from corpusgate.llm.common import Batches, staged, table, texts_of, worker_cache
 WINDOW = 13
 ANCHOR = 5
 CHUNK_WORDS = 1 << 19
-CACHE = 500_000
+CACHE = 300_000
 SPREAD = 8  # buckets per shuffle partition, so that partitions even out
 LAST = (1 << 63) - 1  # the id that stands for null: larger than any
 _A, _B, _C = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
@@ -96,8 +97,15 @@ def edges(hashes: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.
     return flat, at, doc[ok], low[at]
 
 
-def chunks(batch: pa.RecordBatch, texts: list[bytes]):
-    """Documents of a batch in groups of about CHUNK_WORDS words: (indices, word hashes)."""
+def utf8(batch: pa.RecordBatch) -> Iterator[bytes]:
+    """The texts of a batch, a few at a time in memory."""
+    for a in range(0, len(batch), 256):
+        for text in texts_of(batch.slice(a, 256)):
+            yield text.encode("utf-8", "surrogatepass")
+
+
+def chunks(texts: Iterable[bytes]):
+    """Documents in groups of about CHUNK_WORDS words: (indices, word hashes)."""
     words = worker_cache("debruijn_words", WordHash)
     rows, hashes, size = [], [], 0
     for i, text in enumerate(texts):
@@ -117,7 +125,7 @@ def packed(docs: DataFrame) -> DataFrame:
     def run(batches: Batches) -> Batches:
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            z = [squeeze(t.encode("utf-8", "surrogatepass")) for t in texts_of(batch)]
+            z = [squeeze(t) for t in utf8(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(z, pa.binary())],
                                              ["id", "mark", "z"])
 
@@ -129,9 +137,11 @@ def keyed(docs: DataFrame) -> DataFrame:
         "mark", F.xxhash64("text"))
 
 
-def unpacked(batch: pa.RecordBatch) -> list[bytes]:
+def unpacked(batch: pa.RecordBatch) -> Iterator[bytes]:
     expand = zstandard.ZstdDecompressor().decompress
-    return [expand(z) if z else b"" for z in batch.column("z").to_pylist()]
+    for a in range(0, len(batch), 256):
+        for z in batch.column("z").slice(a, 256).to_pylist():
+            yield expand(z) if z else b""
 
 
 def lists(values: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
@@ -158,8 +168,7 @@ def candidates(docs: DataFrame, k: int, buckets: int) -> DataFrame:
     def ship(batches: Batches) -> Batches:
         for batch in batches:
             ids, marks = batch.column("id").to_numpy(), batch.column("mark").to_numpy()
-            texts = [t.encode("utf-8", "surrogatepass") for t in texts_of(batch)]
-            for rows, hashes in chunks(batch, texts):
+            for rows, hashes in chunks(utf8(batch)):
                 _, _, doc, anchor = edges(hashes, k)
                 if not len(anchor):
                     continue
@@ -280,7 +289,7 @@ def paths(docs: DataFrame, k: int, buckets: int) -> DataFrame:
         for batch in batches:
             ids, marks = batch.column("id").to_numpy(), batch.column("mark").to_numpy()
             wanted = batch.column("anchors")
-            for rows, hashes in chunks(batch, unpacked(batch)):
+            for rows, hashes in chunks(unpacked(batch)):
                 flat, at, doc, anchor = edges(hashes, k)
                 if not len(at):
                     continue

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusgate.llm.common import Batches, fold, share, spare, table, with_columns
+from corpusgate.llm.common import Batches, fold, low_hash, share, spare, table, with_columns
 
 SPECTRUM = (1, 2, 3, 4)
 BINS = 2048
@@ -76,9 +76,11 @@ class Model:
 def train_sample(docs: DataFrame) -> DataFrame:
     """The bounded sample of labelled rows: ids first, so that no text is ranked or shuffled."""
     rows = docs.filter((fold(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull())
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
+    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (rows.select("lang", "doc_id").join(F.broadcast(langs), "lang", "left_semi")
+    # bounded: MAX_LANGS rows. Of each language only the lowest hashes are ranked, a few PER_LANG at any size
+    ids = (rows.select("lang", "doc_id").join(F.broadcast(langs), "lang")
+           .filter(low_hash(4.0 * PER_LANG / F.col("count"), "doc_id"))
            .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PER_LANG)
            .select("doc_id").distinct())
     # bounded: MAX_LANGS * PER_LANG ids at most

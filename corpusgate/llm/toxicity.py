@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgate.llm.common import Batches, fold, share, spare, staged, table, texts_of, with_columns
+from corpusgate.llm.common import Batches, drawn, fold, share, spare, staged, table, texts_of, with_columns
 
 GRAMS = (3, 4, 5, 6)
 BITS = 20
@@ -136,8 +136,7 @@ def training_bags(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, kind)
 
     marks = learning(labels)
-    part = lambda toxic, n: marks.filter((F.col("toxic") > 0) == toxic).orderBy(
-        F.xxhash64("doc_id"), "doc_id").limit(n)
+    part = lambda toxic, n: drawn(marks.filter((F.col("toxic") > 0) == toxic), n, "doc_id")
     sample = staged(part(True, TOXIC).unionByName(part(False, SAMPLE - TOXIC)), "labelled")
     # bounded: SAMPLE rows of two numbers
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
