@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import corpusgate
 from corpusgate.session import checkpoint_dir
@@ -43,6 +44,11 @@ def spare(docs: DataFrame, name: str) -> str:
     return name
 
 
+def with_field(df: DataFrame, name: str, ddl: str) -> T.StructType:
+    """The schema of `df` and one more column."""
+    return T.StructType([*df.schema.fields, T.StructField(name, T.DataType.fromDDL(ddl))])
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

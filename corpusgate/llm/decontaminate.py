@@ -19,7 +19,7 @@ nothing; extra columns pass through untouched.
 """
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,7 @@ from corpusgate.llm.common import Batches, share, spare, table, with_columns
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
+LEAK = "struct<n_words: bigint, n_hit: bigint, items: array<string>, spans: array<struct<start: int, stop: int>>>"
 # byte -> byte: A-Z to a-z, ASCII that is neither digit nor letter to a space, the rest as it is
 _NORMAL = bytes(
     c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20
@@ -82,6 +83,44 @@ class WindowSet:
         return hit, found
 
 
+def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
+    """The benchmark's items in blocks of at most `block_bytes` of text (one item at least), one at a
+    time; an empty benchmark is one empty block."""
+    block, size = [], 0
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text")
+    for item_id, text in rows.toLocalIterator():
+        n = len(text or "") * 4 + 64
+        if block and size + n > block_bytes:
+            yield block
+            block, size = [], 0
+        block.append((item_id, text))
+        size += n
+    yield block
+
+
+def scan(self, words: list[bytes]) -> tuple[np.ndarray | None, set[str]]:
+        """Which words are hit (None: none) and the items whose windows occur."""
+        if not self.windows or len(words) < self.shortest:
+            return None, set()
+        seq = np.fromiter(map(self.ids.get, words, (0,) * len(words)), np.int32, len(words))
+        # only runs of benchmark words as long as the shortest window can hold one
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], seq != 0, [0]]).astype(np.int8)))
+        starts, ends = edge[::2], edge[1::2]
+        long = np.flatnonzero(ends - starts >= self.shortest)
+        hit, found = None, set()
+        for a, b in zip(starts[long].tolist(), ends[long].tolist()):
+            raw = seq[a:b].tobytes()
+            for k, known in self.windows.items():
+                for i in range(b - a - k + 1):
+                    owners = known.get(raw[4 * i:4 * (i + k)])
+                    if owners:
+                        if hit is None:
+                            hit = np.zeros(len(words), bool)
+                        hit[a + i:a + i + k] = True
+                        found.update(owners)
+        return hit, found
+
+
 def blocks_of(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, str | None]]]:
     """The benchmark's items in blocks of at most `block_bytes` of text (one item at least)."""
     out, size = [[]], 0
@@ -105,10 +144,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: in
     """
     spark = docs.sparkSession
     out = spare(docs, out)
-    state = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start: int, stop: int>>"
     kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())),
                       ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))])
-    df = docs.withColumn(out, F.lit(None).cast(f"struct<{state.replace(' bigint', ': bigint').replace('items ', 'items: ').replace('spans ', 'spans: ')}>"))
+    df = docs.withColumn(out, F.lit(None).cast(LEAK))
     for block in blocks_of(benchmark, block_bytes):
         shared = share(spark, WindowSet(block, n))
 

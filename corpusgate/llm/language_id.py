@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusgate.llm.common import Batches, fold, low_hash, share, spare, table, with_columns
+from corpusgate.llm.common import Batches, fold, low_hash, share, spare, table, with_columns, with_field
 
 SPECTRUM = (1, 2, 3, 4)
 BINS = 2048
@@ -148,8 +148,7 @@ def identify(docs: DataFrame, model: Model | None, out: str = "lang_id") -> Data
             yield with_columns(batch, **{out: pa.StructArray.from_arrays(
                 [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], fields=list(kind))})
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, `{out}` struct<lang: string, score: double>")
+    return docs.mapInArrow(run, with_field(docs, out, "struct<lang: string, score: double>"))
 
 
 def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgate.llm.common import Batches, spare, staged, table, texts_of, with_columns, worker_cache
+from corpusgate.llm.common import Batches, spare, staged, table, texts_of, with_columns, with_field, worker_cache
 from corpusgate.llm.tokens import LONG, Pieces
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -128,8 +128,7 @@ def count(docs: DataFrame, path: str, keep: int = TABLE, out: str = "token_count
             yield with_columns(batch, **{out: pa.StructArray.from_arrays(
                 [pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], fields=list(kind))})
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, `{out}` struct<n_bytes: bigint, n_tokens: bigint>")
+    return docs.mapInArrow(run, with_field(docs, out, "struct<n_bytes: bigint, n_tokens: bigint>"))
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgate.llm.common import Batches, drawn, fold, share, spare, staged, table, texts_of, with_columns
+from corpusgate.llm.common import Batches, drawn, fold, share, spare, staged, table, texts_of, with_columns, with_field
 
 GRAMS = (3, 4, 5, 6)
 BITS = 20
@@ -208,8 +208,7 @@ def score(docs: DataFrame, model: Model, out: str = "toxicity") -> DataFrame:
         for batch in batches:
             yield with_columns(batch, **{out: pa.array(model.score(texts_of(batch)), pa.float64())})
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, `{out}` double")
+    return docs.mapInArrow(run, with_field(docs, out, "double"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
