@@ -195,3 +195,20 @@ def test_kernel_is_the_mean_of_cosines(a, b):
     plain = np.mean([len(grams(a, n) & grams(b, n)) / math.sqrt(len(grams(a, n)) * len(grams(b, n)))
                      for n in language_id.SPECTRUM])
     assert math.isclose(x @ y, plain, abs_tol=0.02)  # a hash may join two n-grams
+
+
+def test_words_are_counted_exactly_and_all_frequent_ones_get_a_class(spark):
+    """Order tells among words outside the table, long ones too, that occur MIN_COUNT times; not among rarer ones."""
+    long = "w" * 3000
+    filler = [" ".join(f"u{40 * i + j}" for j in range(40)) for i in range(60)]  # once each, over many partitions
+    texts = ["a1 b1"] * 30 + ["a2 b2"] * 20 + [f"{long} b1", "a1 q"] * 10 + ["r b1", "a1 s"] * 7 + filler
+    asked = [f"{long} q", f"q {long}", "r s", "s r"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in enumerate(asked)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(30)
+    got = {r.doc_id: r.score for r in brown.score(docs, F.col("doc_id") >= 1000, size=4, n_classes=2).collect()}
+    assert got[1000] > got[1001] + 0.5
+    assert math.isclose(got[1002], got[1003], rel_tol=1e-9)
+    counts = brown.word_counts(docs)
+    assert {bytes(r.word).decode(): r.n for r in counts.collect()} == Counter(w for _, t in rows for w in words(t))
+    assert brown.most_frequent(counts, 6) == [b"a1", b"b1", b"a2", b"b2", b"q", long.encode()]
+    assert brown.most_frequent(counts, 5) == [b"a1", b"b1", b"a2", b"b2", b"q"]
