@@ -19,9 +19,10 @@ What is gathered or broadcast is bounded by the parameters: codebooks, one
 count per cell, the probes.
 
 Cases: vectors that are null, all zero or hold null or non-finite components
-take no part, nor do those whose length is not the most frequent one (ties: the
-longest); a null vec_id is no query and no candidate; rows with one vec_id are
-one candidate each, and none is a candidate of its own query id; fewer than k
+take no part, nor do those, as candidates or queries, whose length is not the most frequent one of the
+candidates (ties: the longest); a null vec_id is no query and no candidate; rows
+that repeat a vec_id and its vector are one candidate or one query, other rows with
+one vec_id are one each, and none is a candidate of its own query id; fewer than k
 candidates give fewer rows; an empty table gives none.
 """
 from __future__ import annotations
@@ -45,15 +46,16 @@ K = 10
 KEEP = 1 << 20  # results held by a task before they are passed on
 
 
-def usable(df: DataFrame) -> DataFrame:
-    """(vec_id, v) of the rows that take part, v in doubles."""
+def usable(df: DataFrame, length: int | None = None) -> DataFrame:
+    """(vec_id, v), v in doubles, of the rows that take part, each pair once; `length` None is the most frequent one."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = df.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite
                      & F.exists("embedding", lambda x: x != 0))
-    usual = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    n = usual["n"] if usual else 0
-    return rows.filter(F.size("embedding") == n).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    if length is None:
+        usual = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+        length = usual["n"] if usual else 0
+    return rows.filter(F.size("embedding") == length).select(
+        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).distinct()
 
 
 def folded(rows: DataFrame, k: int) -> DataFrame:
@@ -145,7 +147,8 @@ def measured_share(index: DataFrame, probes: np.ndarray, books: Codebooks, count
 
 
 def search(base: DataFrame, queries: DataFrame, k: int = K, centroids: int = CENTROIDS) -> DataFrame:
-    """(query_id, rank, vec_id, score): for every row of `queries` its nearest rows of `base` (vec_id, embedding)."""
+    """(query_id, rank, vec_id, score): for every distinct row of `queries` its nearest distinct rows of
+    `base` (vec_id, embedding)."""
     spark = base.sparkSession
     empty = "query_id bigint, rank int, vec_id bigint, score double"
     vectors = staged(folded(usable(base), k), "vectors")
@@ -174,19 +177,21 @@ def search(base: DataFrame, queries: DataFrame, k: int = K, centroids: int = CEN
         for batch in batches:
             x = matrix(batch.column("v"))
             for a in range(0, len(x), 64):  # a slice at a time: a walk has many cells
-                ids, cells, rows = [], [], []
-                for query, q in zip(batch.column("vec_id")[a:a + 64].to_pylist(), x[a:a + 64]):
+                ids, asks, cells, rows = [], [], [], []
+                part = batch.slice(a, 64)
+                for query, ask, q in zip(part.column("vec_id").to_pylist(), part.column("ask").to_pylist(), x[a:a + 64]):
                     got = 0
                     for cell in books.walk(q):
                         if counts[cell]:
                             ids.append(query)
+                            asks.append(ask)
                             cells.append(cell)
                             rows.append(q.tobytes())
                             got += counts[cell]
                             if got >= stop:
                                 break
                 yield pa.RecordBatch.from_pydict({"cell": pa.array(cells, pa.int32()), "query": pa.array(ids, pa.int64()),
-                                                  "q": pa.array(rows, pa.binary())})
+                                                  "ask": pa.array(asks, pa.int64()), "q": pa.array(rows, pa.binary())})
 
     def pack(rows: pa.Table) -> pa.Table:
         ids = rows.column("ids").combine_chunks()
@@ -197,6 +202,7 @@ def search(base: DataFrame, queries: DataFrame, k: int = K, centroids: int = CEN
     def gather(rows: pa.Table) -> pa.Table:
         return pa.table({"cell": rows.column("cell")[:1].cast(pa.int32()),
                          "queries": pa.array([rows.column("query").to_pylist()], pa.list_(pa.int64())),
+                         "asks": pa.array([rows.column("ask").to_pylist()], pa.list_(pa.int64())),
                          "qs": pa.array([b"".join(rows.column("q").to_pylist())], pa.binary())})
 
     # cells of many vectors or queries are cut by a hash into pieces of about BLOCK
@@ -204,42 +210,48 @@ def search(base: DataFrame, queries: DataFrame, k: int = K, centroids: int = CEN
     cut = F.pmod(F.xxhash64("v"), F.element_at(pieces, F.col("cell") + 1))
     blocks = (index.withColumn("cut", cut).groupBy("cell", "cut")
               .applyInArrow(pack, "cell int, ids array<array<bigint>>, block binary"))
-    asked = usable(queries)
+    # rows of one vec_id with different vectors are told apart by a staged number
+    asked = staged(usable(queries, known.shape[1]).withColumn("ask", F.monotonically_increasing_id()), "queries")
     n_cuts = max(1, asked.count() // BLOCK)
-    batches_ = (asked.mapInArrow(visits, "cell int, query bigint, q binary")
-                .withColumn("cut", F.pmod(F.xxhash64("query"), F.lit(n_cuts)))
-                .groupBy("cell", "cut").applyInArrow(gather, "cell int, queries array<bigint>, qs binary"))
+    batches_ = (asked.mapInArrow(visits, "cell int, query bigint, ask bigint, q binary")
+                .withColumn("cut", F.pmod(F.xxhash64("ask"), F.lit(n_cuts)))
+                .groupBy("cell", "cut").applyInArrow(gather, "cell int, queries array<bigint>, asks array<bigint>, qs binary"))
 
     def rank(batches: Batches) -> Batches:
-        best: dict[int, list] = {}
+        best: dict[tuple[int, int], list] = {}
         for batch in batches:
             for i in range(len(batch)):
                 x = np.frombuffer(batch.column("block")[i].as_py(), np.float64)
                 owners = batch.column("ids")[i].as_py()
                 x = x.reshape(len(owners), -1)
+                shared_by = np.array([len(o) > 1 for o in owners])
+                first = np.array([o[0] for o in owners])
                 queries = batch.column("queries")[i].as_py()
                 qs = np.frombuffer(batch.column("qs")[i].as_py(), np.float64).reshape(len(queries), -1)
-                for query, q in zip(queries, qs):
-                    d = np.sqrt(((x - q) ** 2).sum(axis=1))
+                for query, ask, q in zip(queries, batch.column("asks")[i].as_py(), qs):
+                    # a vector of the query's id alone is no candidate and takes no candidate's place
+                    d = np.where((first != query) | shared_by, np.sqrt(((x - q) ** 2).sum(axis=1)), np.inf)
                     top = np.argsort(d, kind="stable")[:k + 1] if len(d) <= 4 * k else np.argpartition(d, k + 1)[:k + 2]
                     edge = d[top].max()
                     if len(top) < len(d):  # vectors as far as the last one may have smaller ids
                         top = np.flatnonzero(d <= edge)
                     new = [(float(d[j]), v) for j in top for v in owners[j] if v != query]
-                    best[query] = heapq.nsmallest(k, best.get(query, []) + new)
+                    best[query, ask] = heapq.nsmallest(k, best.get((query, ask), []) + new)
             if len(best) * k > KEEP:
                 yield flush(best)
                 best = {}
         yield flush(best)
 
-    def flush(best: dict[int, list]) -> pa.RecordBatch:
-        rows = [(q, v, d) for q, found in best.items() for d, v in found]
+    def flush(best: dict[tuple[int, int], list]) -> pa.RecordBatch:
+        rows = [(q, v, d, ask) for (q, ask), found in best.items() for d, v in found]
         return pa.RecordBatch.from_pydict({"query_id": pa.array([r[0] for r in rows], pa.int64()),
                                            "vec_id": pa.array([r[1] for r in rows], pa.int64()),
-                                           "score": pa.array([r[2] for r in rows], pa.float64())})
+                                           "score": pa.array([r[2] for r in rows], pa.float64()),
+                                           "ask": pa.array([r[3] for r in rows], pa.int64())})
 
-    found = blocks.join(batches_, "cell").mapInArrow(rank, "query_id bigint, vec_id bigint, score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    # Spark takes the batches to be as small as the staged queries and would broadcast them
+    found = blocks.join(batches_.hint("merge"), "cell").mapInArrow(rank, "query_id bigint, vec_id bigint, score double, ask bigint")
+    place = F.row_number().over(Window.partitionBy("query_id", "ask").orderBy("score", "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -65,6 +65,25 @@ def test_odd_vectors_copies_and_ties(spark):
     assert {r.query_id for r in got.collect()} == {0, 7}
 
 
+def test_repeated_rows_push_no_neighbour_out(spark):
+    """Equal rows are one query and one candidate; rows of one id with different vectors are one each."""
+    rng = np.random.default_rng(3)
+    single = lambda v: np.float32(v).astype(float).tolist()
+    rows = [(i, single(rng.normal(size=6))) for i in range(80)]
+    rows += [(7, single(np.array(rows[7][1]) + 1e-3 * j)) for j in range(1, 20)]  # nearer to 7 than any other id
+    rows += [(99, rows[9][1])] * 30 + [(98, rows[9][1])]  # copies of one id at one vector
+    base = vectors(spark, rows + rows[:40])
+    asked = [rows[7], rows[7], rows[81], rows[9], rows[9], rows[9]]
+    other = [(5, [1.0, 0.0])] * 9  # the most frequent length of the queries is not the candidates'
+    got = ann.search(base, vectors(spark, asked + other), centroids=2).collect()
+    distinct = {(i, tuple(v)) for i, v in rows}
+    expected = []
+    for query, v in (rows[7], rows[81], rows[9]):
+        near = sorted((math.dist(v, w), i) for i, w in distinct if i != query)[:10]
+        expected += [(query, n + 1, i, round(d, 9)) for n, (d, i) in enumerate(near)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == sorted(expected)
+
+
 def test_few_or_no_candidates(spark):
     two = vectors(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0])])
     assert [tuple(r) for r in ann.search(two, two).orderBy("query_id").collect()] == [
