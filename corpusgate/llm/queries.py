@@ -15,12 +15,14 @@ from corpusgate.llm.mixing import op8_pareto_mix
 from corpusgate.llm.simhash import op4_simhash
 from corpusgate.llm.token_counts import op1_token_counts
 from corpusgate.llm.toxicity import op6_toxicity
+from corpusgate.llm.trie import op11_prefix_trie
 from corpusgate.llm.wavelet import op3_wavelet_files
 
 
 def queries() -> dict:
     return {f.__name__: f for f in (op1_token_counts, op2_brown_lm, op3_wavelet_files, op4_simhash, op5_debruijn_dedup,
-                                    op6_toxicity, op7_multi_index, op8_pareto_mix, op9_decontaminate, op10_language_id)}
+                                    op6_toxicity, op7_multi_index, op8_pareto_mix, op9_decontaminate, op10_language_id,
+                                    op11_prefix_trie)}
 
 
 WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
@@ -86,6 +88,34 @@ items as (select doc_id, count(distinct item_id) as n, string_agg(distinct item_
 select d.doc_id, len(ws) as n_words, coalesce(cov.n, 0) as n_hit, coalesce(items.n, 0) as n_items,
   sha256(coalesce(items.ids, '')) as items_sha256, coalesce(cov.n, 0) > 0 as contaminated
 from d left join cov using (doc_id) left join items using (doc_id)""",
+    # crc32 bit by bit; a node is the list of its turns
+    "op11_prefix_trie": """
+with t as (select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id
+    order by turn nulls first, md5(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, ''))) as i
+  from conversations where conv_id is not null),
+k as (select distinct c, c - c % 100 as base, xor(list_reduce(list_concat([4294967295::ubigint],
+        list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::ubigint)),
+      lambda a, b: list_reduce(list_concat([xor(a, b)], list_transform(range(8), lambda z: 0::ubigint)),
+        lambda v, z: case when v % 2 = 1 then xor(v // 2, 3988292384::ubigint) else v // 2 end)), 4294967295::ubigint) % 6 as h from t),
+turns as (select k.c, 0 as part, t.i, t.role, t.text from k join t on t.c = k.base where t.i <= k.h
+  union all select k.c, 1, t.i, t.role, t.text from k join t on t.c = k.c where t.i > k.h),
+seqs as (select k.c, coalesce(list(struct_pack(r := role, x := text) order by part, i) filter (i is not null), []) as s
+  from k left join turns using (c) group by k.c),
+pre as (select c, d, s[1:d] as node, d = len(s) as ends from (select *, unnest(range(0, len(s) + 1)) as d from seqs) z),
+nodes as (select node, any_value(d) as d, min(c) as conv, count(*) as n,
+    case when any_value(d) = 0 then 0 else length(any_value(node[len(node)].x)) end as chars,
+    sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (ends), '')) as ends from pre group by node),
+named as (select pre.c, pre.d, nodes.conv from pre join nodes on nodes.node = pre.node),
+up as (select n.conv, n.d, named.conv as parent from nodes n left join named on named.c = n.conv and named.d = n.d - 1),
+kids as (select parent as conv, d - 1 as d, count(*) as n_children from up where d > 0 group by 1, 2),
+each as (select n.conv, n.d, (n.n - 1) * n.chars as saved, case when kids.n_children is null then 1 else 0 end as leaf
+  from nodes n left join kids on kids.conv = n.conv and kids.d = n.d),
+sums as (select named.conv, named.d, sum(leaf) as n_leaves, sum(saved) as saved_tokens
+  from each join named on named.c = each.conv and named.d <= each.d group by 1, 2)
+select n.conv as conv_id, n.d as depth, up.parent as parent_conv_id, n.n as n_convs, coalesce(n_children, 0) as n_children,
+  n_leaves::bigint as n_leaves, saved_tokens::bigint as saved_tokens, ends as ends_sha256
+from nodes n join up on up.conv = n.conv and up.d = n.d join sums on sums.conv = n.conv and sums.d = n.d
+left join kids on kids.conv = n.conv and kids.d = n.d""",
 }
 
 
