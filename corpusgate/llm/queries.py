@@ -6,6 +6,7 @@ the tokenizers library, brute force and held-out rows.
 """
 from __future__ import annotations
 
+from corpusgate.llm.alignment import op13_token_alignment
 from corpusgate.llm.ann import op7_multi_index
 from corpusgate.llm.brown import op2_brown_lm
 from corpusgate.llm.debruijn import op5_debruijn_dedup
@@ -22,7 +23,7 @@ from corpusgate.llm.wavelet import op3_wavelet_files
 def queries() -> dict:
     return {f.__name__: f for f in (op1_token_counts, op2_brown_lm, op3_wavelet_files, op4_simhash, op5_debruijn_dedup,
                                     op6_toxicity, op7_multi_index, op8_pareto_mix, op9_decontaminate, op10_language_id,
-                                    op11_prefix_trie)}
+                                    op11_prefix_trie, op13_token_alignment)}
 
 
 WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
