@@ -11,6 +11,7 @@ from corpusgate.llm.ann import op7_multi_index
 from corpusgate.llm.brown import op2_brown_lm
 from corpusgate.llm.debruijn import op5_debruijn_dedup
 from corpusgate.llm.decontaminate import op9_decontaminate
+from corpusgate.llm.jaccard import PERCENT, op12_ngram_jaccard
 from corpusgate.llm.language_id import op10_language_id
 from corpusgate.llm.mixing import op8_pareto_mix
 from corpusgate.llm.simhash import op4_simhash
@@ -23,7 +24,7 @@ from corpusgate.llm.wavelet import op3_wavelet_files
 def queries() -> dict:
     return {f.__name__: f for f in (op1_token_counts, op2_brown_lm, op3_wavelet_files, op4_simhash, op5_debruijn_dedup,
                                     op6_toxicity, op7_multi_index, op8_pareto_mix, op9_decontaminate, op10_language_id,
-                                    op11_prefix_trie, op13_token_alignment)}
+                                    op11_prefix_trie, op12_ngram_jaccard, op13_token_alignment)}
 
 
 WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
@@ -117,6 +118,19 @@ select n.conv as conv_id, n.d as depth, up.parent as parent_conv_id, n.n as n_co
   n_leaves::bigint as n_leaves, saved_tokens::bigint as saved_tokens, ends as ends_sha256
 from nodes n join up on up.conv = n.conv and up.d = n.d join sums on sums.conv = n.conv and sums.d = n.d
 left join kids on kids.conv = n.conv and kids.d = n.d""",
+    "op12_ngram_jaccard": rf"""
+with recursive w as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as ws from documents),
+s as (select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+    else list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) end) as sh from w),
+e as (select doc_id, len(sh) as n, unnest(sh) as t from s),
+l as (select a.doc_id as a, b.doc_id as b from e a join e b on a.t = b.t and a.doc_id < b.doc_id
+    and 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n) group by a.doc_id, b.doc_id, a.n, b.n
+    having 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))),
+both as (select a, b from l union all select b, a from l),
+r as (select doc_id, doc_id as other from s union select r.doc_id, both.b from r join both on both.a = r.other)
+select s.doc_id, len(sh) as n_shingles, c.component_id
+from s join (select doc_id, min(other) as component_id from r group by doc_id) c using (doc_id)""",
 }
 
 
