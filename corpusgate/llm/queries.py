@@ -127,8 +127,8 @@ e as (select doc_id, len(sh) as n, unnest(sh) as t from s),
 l as (select a.doc_id as a, b.doc_id as b from e a join e b on a.t = b.t and a.doc_id < b.doc_id
     and 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n) group by a.doc_id, b.doc_id, a.n, b.n
     having 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))),
-both as (select a, b from l union all select b, a from l),
-r as (select doc_id, doc_id as other from s union select r.doc_id, both.b from r join both on both.a = r.other)
+sym as (select a, b from l union all select b, a from l),
+r as (select doc_id, doc_id as other from s union select r.doc_id, sym.b from r join sym on sym.a = r.other)
 select s.doc_id, len(sh) as n_shingles, c.component_id
 from s join (select doc_id, min(other) as component_id from r group by doc_id) c using (doc_id)""",
 }
