@@ -52,17 +52,17 @@ def parts(df: DataFrame, n: int) -> int:
     return max(1, -(-n // PART_ROWS), min(shuffle, -(-n // FEW)))
 
 
-def passed(df: DataFrame, keys: list, run: Callable, ddl: str, name: str) -> DataFrame:
-    """`run(table) -> record batch` over each partition of `df` ranged and sorted by `keys`; staged.
+def passed(df: DataFrame, n: int, keys: list, run: Callable, ddl: str, name: str) -> DataFrame:
+    """`run(table) -> record batch` over each partition of `df` (about n rows) ranged and sorted by `keys`; staged.
 
-    The ranges are sampled from a staged table, so that a task run again meets the same rows."""
+    `df` is a few narrow steps or a join away from a staged table and gives the same rows whenever it is
+    read, so drawing the range bounds reads it once more instead of writing it."""
     def each(batches: Batches) -> Batches:
         whole = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if len(b)]) else None
         if whole is not None:
             yield run(whole)
 
-    base = staged(df, f"{name}-in")
-    cut = base.repartitionByRange(parts(base, base.count()), *keys).sortWithinPartitions(*keys)
+    cut = df.repartitionByRange(parts(df, n), *keys).sortWithinPartitions(*keys)
     return staged(cut.withColumn("part", F.spark_partition_id()).mapInArrow(each, ddl), name)
 
 
@@ -91,7 +91,7 @@ def run_starts(*cols: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
 
 
-def turns(conversations: DataFrame) -> DataFrame:
+def turns(conversations: DataFrame, n: int) -> DataFrame:
     """(conv, i, digest, chars): the own turns of every conversation, numbered from 1."""
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = conversations.filter(F.col("conv_id").isNotNull()).select(
@@ -108,7 +108,7 @@ def turns(conversations: DataFrame) -> DataFrame:
                                            "part": whole.column("part").combine_chunks()})
 
     # the row number only spreads equal turns over the ranges
-    found = passed(rows, ["conv", F.col("turn").asc_nulls_first(), "digest", "row"], count,
+    found = passed(rows, n, ["conv", F.col("turn").asc_nulls_first(), "digest", "row"], count,
                    "conv bigint, at bigint, digest binary, chars bigint, part int", "turns")
     carried, last, before = [], None, 0
     for p in by_part(found, F.min("conv").alias("first"), F.max(F.struct("conv", "at")).alias("end")):
@@ -125,10 +125,10 @@ def shared_turns(conv: Column) -> Column:
     return F.crc32(conv.cast("string").cast("binary")) % 6
 
 
-def rebuilt(conversations: DataFrame) -> DataFrame:
+def rebuilt(conversations: DataFrame, n: int) -> DataFrame:
     """(conv, kind, i, digest, chars): kind 0 stands for the conversation itself (the root), 1 for the
     first turns taken over from conversation conv - conv % 100, 2 for its own turns after as many."""
-    own = staged(turns(conversations), "own")
+    own = turns(conversations, n)
     convs = own.groupBy("conv").agg(F.lit(0).alias("kind"))
     root = convs.select("conv", "kind", F.lit(0).cast("long").alias("i"), F.lit(None).cast("binary").alias("digest"),
                         F.lit(0).cast("long").alias("chars"))
@@ -155,7 +155,7 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-def prefixes(rows: DataFrame) -> DataFrame:
+def prefixes(rows: DataFrame, n: int) -> DataFrame:
     """(conv, depth, f0..f3, g0..g3, chars, ends): the fingerprint f of every prefix of `rows` (`rebuilt`),
     that of its parent g, and whether the conversation ends there."""
     def run(whole: pa.Table) -> pa.RecordBatch:
@@ -177,14 +177,14 @@ def prefixes(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_pydict(out)
 
     lanes = ", ".join(f"{a}{i} bigint" for i in range(4) for a in "fg")
-    found = passed(rows, ["conv", "kind", "i"], run,
+    found = passed(rows, n, ["conv", "kind", "i"], run,
                    f"conv bigint, depth bigint, {lanes}, chars bigint, ends boolean, part int", "prefixes")
     told, last, depth, prints = [], None, 0, [0] * 4
     seen = by_part(found, F.min("conv").alias("first"), F.max(F.struct("conv", "depth", *LANES)).alias("end"))
-    for n, p in enumerate(seen):
+    for k, p in enumerate(seen):
         if last != p.first:
             depth, prints = 0, [0] * 4
-        goes_on = n + 1 < len(seen) and seen[n + 1].first == p.end.conv
+        goes_on = k + 1 < len(seen) and seen[k + 1].first == p.end.conv
         told.append((p.part, p.first, p.end.conv if goes_on else None, depth, *prints,
                      *[pow(b, depth, PRIME) for b in BASES]))
         if p.end.conv == p.first:  # still the run that came in
@@ -203,7 +203,7 @@ def prefixes(rows: DataFrame) -> DataFrame:
                      (F.col("ends") & ~F.coalesce(F.col("conv") == F.col("goes_on"), F.lit(False))).alias("ends"))
 
 
-def member_lists(members: DataFrame) -> DataFrame:
+def member_lists(members: DataFrame, n: int) -> DataFrame:
     """(depth, f0..f3, ends_sha256): the digest of the comma-joined ascending `conv`s of each key.
 
     A list that lies inside one sorted partition is digested there. Of lists that cross a border, pieces
@@ -247,13 +247,13 @@ def member_lists(members: DataFrame) -> DataFrame:
 
     schema = pa.schema([*[(k, pa.int64()) for k in key], ("ends_sha256", pa.string())])
     lanes = ", ".join(f"{k} bigint" for k in key)
-    found = passed(members, [*key, "conv"], run, f"{lanes}, conv bigint, ends_sha256 string, piece binary", "lists")
+    found = passed(members, n, [*key, "conv"], run, f"{lanes}, conv bigint, ends_sha256 string, piece binary", "lists")
     cut = found.filter("piece is not null").repartition(*key).sortWithinPartitions(*key, "conv")
     return (found.filter("piece is null").select(*key, "ends_sha256")
             .unionByName(cut.select(*key, "piece").mapInArrow(join, f"{lanes}, ends_sha256 string")))
 
 
-def linked(nodes: DataFrame) -> DataFrame:
+def linked(nodes: DataFrame, n: int) -> DataFrame:
     """`nodes` and, for each, parent_conv and next_conv (its next sibling by conv; null: none)."""
     up = ["depth", *[f"g{i}" for i in range(4)]]
     stats = (nodes.filter("depth > 0").groupBy(*up)
@@ -284,7 +284,7 @@ def linked(nodes: DataFrame) -> DataFrame:
 
     types = (", ".join(f"{c} bigint" for c in key) + ", kind int, " + ", ".join(f"{c} bigint" for c in carry)
              + ", part int, parent_conv bigint, next_conv bigint, edge boolean, lead boolean")
-    found = passed(itself.unionByName(below), [*key, "kind", "conv"], run, types, "links")
+    found = passed(itself.unionByName(below), 2 * n, [*key, "kind", "conv"], run, types, "links")
     # of each partition its first and last row: bounded by the number of partitions
     ends: dict[int, dict] = {}
     for r in found.filter("edge or lead").select("part", "edge", "lead", "kind", "conv", "parent_conv", *key).collect():
@@ -293,11 +293,11 @@ def linked(nodes: DataFrame) -> DataFrame:
                 ends.setdefault(r.part, {})[side] = r
     told, parent, before = [], None, None
     order = sorted(ends)
-    for n, part in enumerate(order):
+    for k, part in enumerate(order):
         lead, edge = ends[part]["lead"], ends[part]["edge"]
         same = lambda a, b: a is not None and all(a[k] == b[k] for k in key)
         carried = parent if lead.kind == 1 and same(before, lead) else None
-        follows = ends[order[n + 1]]["lead"] if n + 1 < len(order) else None
+        follows = ends[order[k + 1]]["lead"] if k + 1 < len(order) else None
         told.append((part, carried, follows.conv if follows is not None and follows.kind == 1 and same(edge, follows) else None))
         parent = edge.conv if edge.kind == 0 else edge.parent_conv if edge.parent_conv is not None else carried
         before = edge
@@ -375,32 +375,33 @@ def filled(df: DataFrame, ranks: DataFrame) -> DataFrame:
         "conv", "pos", *[(F.col(c) + F.coalesce(f"r_{c}", F.lit(0))).alias(c) for c in ("leaves", "saved")])
 
 
-def suffix_sums(df: DataFrame, level: int = 0) -> DataFrame:
-    """(conv, pos, leaves, saved): for every arc of a list the sums over it and all arcs after it."""
-    runs = passed(df.select("conv", "pos", "s_conv", "s_pos", "leaves", "saved"), ["conv", "pos"], joined_runs,
+def suffix_sums(df: DataFrame, n: int, level: int = 0) -> DataFrame:
+    """(conv, pos, leaves, saved): for every arc of a list (about n arcs) the sums over it and all arcs after it."""
+    runs = passed(df.select("conv", "pos", "s_conv", "s_pos", "leaves", "saved"), n, ["conv", "pos"], joined_runs,
                   ARC + ", head boolean", "runs")
-    heads = staged(runs.filter("head").drop("head"), "heads")
-    n, shorter = runs.count(), heads.count()
+    n, shorter = runs.agg(F.count(F.lit(1)), F.count_if("head")).first()
+    heads = runs.filter("head").drop("head")
     if shorter <= 1:
         return runs.select("conv", "pos", "leaves", "saved")
     if shorter <= 0.7 * n:
-        return filled(runs, staged(suffix_sums(heads, level + 1), "ranks"))
+        return filled(runs, suffix_sums(heads, shorter, level + 1))
     rest, gone = paired(heads, level)
-    ranks = staged(suffix_sums(rest, level + 1), "ranks")
+    ranks = staged(suffix_sums(rest, shorter, level + 1), "ranks")
     return filled(runs, ranks.unionByName(filled(gone, ranks)))
 
 
 def trie(conversations: DataFrame) -> DataFrame:
     """One row per node: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
-    rows = staged(prefixes(rebuilt(conversations)), "members")
+    n = conversations.count()
+    rows = prefixes(rebuilt(conversations, n), 2 * n)
     key = ["depth", *LANES]
     nodes = rows.groupBy(*key).agg(F.min("conv").alias("conv"), F.count(F.lit(1)).alias("n_convs"),
                                    F.max("chars").alias("chars"), *[F.max(f"g{i}").alias(f"g{i}") for i in range(4)])
-    tree = staged(linked(nodes), "tree")
+    tree = linked(nodes, n)
     sign = F.when(F.col("pos") % 2 == 0, 1).otherwise(-1)
-    sums = (suffix_sums(arcs(tree)).groupBy("conv", F.shiftright("pos", 1).alias("depth"))
+    sums = (suffix_sums(arcs(tree), 2 * n).groupBy("conv", F.shiftright("pos", 1).alias("depth"))
             .agg(F.sum(sign * F.col("leaves")).alias("n_leaves"), F.sum(sign * F.col("saved")).alias("saved_tokens")))
-    lists = member_lists(rows.filter("ends").select(*key, "conv"))
+    lists = member_lists(rows.filter("ends").select(*key, "conv"), n)
     nothing = hashlib.sha256(b"").hexdigest()
     return (tree.join(sums, ["conv", "depth"]).join(lists, key, "left")
             .select(F.col("conv").alias("conv_id"), "depth", F.col("parent_conv").alias("parent_conv_id"), "n_convs",

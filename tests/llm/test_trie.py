@@ -84,7 +84,7 @@ def test_lists_are_ranked_in_any_order(spark, monkeypatch, order):
     if order == "shuffled":
         np.random.default_rng(4).shuffle(ids)
     rows = [(int(ids[i]), 0, int(ids[i + 1]) if i < 599 else None, 0 if i < 599 else None, i % 2, i) for i in range(600)]
-    got = {r.conv: (r.leaves, r.saved) for r in trie.suffix_sums(spark.createDataFrame(rows, trie.ARC)).collect()}
+    got = {r.conv: (r.leaves, r.saved) for r in trie.suffix_sums(spark.createDataFrame(rows, trie.ARC), 600).collect()}
     assert got == {int(ids[i]): (sum(j % 2 for j in range(i, 600)), sum(range(i, 600))) for i in range(600)}
 
 
