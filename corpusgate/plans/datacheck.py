@@ -1,9 +1,12 @@
 """Data-check queries: catalog findings, load errors, source and benchmark
 verdicts and the per-proposal report, over the derived fixtures.
 
-The fixture corpus store: dataset `org/corpus-<k>` is the `documents` rows
-of source `src<k mod 20>`, ordinal `doc_id`; its configs are languages, and
-every third document is in the split `validation`, the others in `train`. Benchmarks read the same store.
+The fixture corpus store (`fx_store`): dataset `org/corpus-<k>` is the `documents`
+rows of source `src<k mod 20>`, ordinal `doc_id`. German rows are its config `a`,
+French ones `r`, and all others, a null language included, `default`; every third
+document is in the split `validation`, the others in `train`; every fourth was added
+after the pinned revision. So every document belongs to a corpus that a request can
+name. Benchmarks read the same store.
 """
 from __future__ import annotations
 
@@ -18,6 +21,7 @@ from corpusgate.operators import datacheck as D
 from corpusgate.operators import report as RP
 from corpusgate.plans.manifests import _ruled
 from corpusgate.functions.joins import sized
+from corpusgate.sources import store
 from corpusgate.sources.fixtures import fixture
 from corpusgate.sources.tables import table
 
@@ -25,19 +29,23 @@ SAMPLE_ROWS = K.DEFAULT_SAMPLE_ROWS
 TIMEOUT = 60.0
 
 
-CONFIG_LANGS = {"default": "en", "a": "de", "r": "fr"}
+PIN = "0a" * 20
+PARTITIONS = ["config", "split", "added"]
 
 
 def corpus_key(path, name, split, revision):
+    """What a (path, config, split, revision) names: a null dataset for paths of no known shape."""
     k = F.regexp_extract(path, r"^org/corpus-([0-9]+)$", 1)
-    config = F.coalesce(F.nullif(name, F.lit("")), F.lit("default"))
-    langs = F.create_map(*[F.lit(x) for pair in CONFIG_LANGS.items() for x in pair])
-    return F.when(k != "", F.concat_ws("|", F.concat(F.lit("src"), (k.cast("bigint") % 20).cast("string")),
-                                       F.try_element_at(langs, config), split))
+    return {"dataset": F.when(k != "", F.concat(F.lit("src"), (k.cast("bigint") % 20).cast("string"))),
+            "config": F.coalesce(F.nullif(name, F.lit("")), F.lit("default")), "split": split,
+            "added": F.coalesce(F.nullif(revision, F.lit("")), F.lit("head"))}
 
 
-def row_key():
-    return F.concat_ws("|", "source", "lang", F.when(F.col("doc_id") % 3 == 0, "validation").otherwise("train"))
+def corpora(spark, sf_dir) -> D.Corpora:
+    docs = table(spark, sf_dir, "documents")
+    rows = store.opened(spark, "documents", sf_dir, lambda: fixture(spark, sf_dir, "fx_store"), PARTITIONS)
+    visible = spark.createDataFrame([("head", PIN), ("head", "later"), (PIN, PIN)], "k_added string, added string")
+    return D.Corpora(rows, ["dataset", *PARTITIONS], corpus_key, docs.schema, "doc_id", visible=visible)
 
 
 def catalog(spark, sf_dir) -> DataFrame:
@@ -82,8 +90,7 @@ def checked_sources(spark, sf_dir, sources: DataFrame | None = None) -> DataFram
     """CL4 for the fixture sources against the fixture corpus store."""
     src = sources if sources is not None else _sources(spark, sf_dir)
     return D.check_sources(src, catalog(spark, sf_dir), fixture(spark, sf_dir, "fx_loads"),
-                           fixture(spark, sf_dir, "fx_splits"), table(spark, sf_dir, "documents"), corpus_key,
-                           row_key(), "doc_id", None, TIMEOUT)
+                           fixture(spark, sf_dir, "fx_splits"), corpora(spark, sf_dir), TIMEOUT)
 
 
 def q_source_findings(spark, sf_dir):
@@ -93,10 +100,8 @@ def q_source_findings(spark, sf_dir):
 def checked_benchmarks(spark, sf_dir, benchmarks: DataFrame | None = None) -> DataFrame:
     """CL5 for every benchmark: catalog, one-row readability, task registry."""
     bench = benchmarks if benchmarks is not None else fixture(spark, sf_dir, "fx_benchmarks")
-    counts = (table(spark, sf_dir, "documents").groupBy(row_key().alias("k"))
-              .agg(F.count(F.lit(1)).alias("corpus_rows")))
     return D.check_benchmarks(bench, catalog(spark, sf_dir), fixture(spark, sf_dir, "fx_loads"),
-                              fixture(spark, sf_dir, "fx_splits"), counts, corpus_key,
+                              fixture(spark, sf_dir, "fx_splits"), corpora(spark, sf_dir),
                               fixture(spark, sf_dir, "fx_tasks"), TIMEOUT)
 
 
@@ -129,10 +134,13 @@ def proposal_findings(spark, sf_dir, valid: DataFrame | None = None) -> DataFram
         "manifest_id", "pos", "name", "harness", "task", "num_fewshot", "metric", "higher_is_better",
         F.col("dataset.path").alias("ds_path"), F.col("dataset.name").alias("ds_name"),
         F.col("dataset.split").alias("ds_split"))
-    s = checked_sources(spark, sf_dir, src).select(
+    src_found, bench_found = D.check(src, bench, catalog(spark, sf_dir), fixture(spark, sf_dir, "fx_loads"),
+                                     fixture(spark, sf_dir, "fx_splits"), corpora(spark, sf_dir),
+                                     fixture(spark, sf_dir, "fx_tasks"), TIMEOUT)
+    s = src_found.select(
         "manifest_id", F.lit(0).alias("kind"), "pos", "subject", "findings", "stats_ok",
         "rows", "median_chars", "short_share", "dup_share", "long_share")
-    b = checked_benchmarks(spark, sf_dir, bench).select(
+    b = bench_found.select(
         "manifest_id", F.lit(1).alias("kind"), "pos", "subject", "findings", F.lit(False).alias("stats_ok"),
         *[F.lit(None).cast(t).alias(c) for c, t in (("rows", "bigint"), ("median_chars", "bigint"),
                                                      ("short_share", "double"), ("dup_share", "double"),
@@ -174,7 +182,9 @@ def q_nontext_missing(spark, sf_dir):
     cat = names.select("path", F.lit(200).alias("http_status"), F.lit(False).alias("disabled"),
                        F.lit(None).cast("string").alias("gated"), F.array(F.lit("data.parquet")).alias("siblings"))
     loads = spark.createDataFrame([], "path string, status string, error_type string, error_msg string")
-    out = D.check_sources(src, cat, loads, None, docs, lambda path, *_: path, F.col("source"), "doc_id", None, TIMEOUT)
+    rows = D.Corpora(docs.withColumn("dataset", F.col("source")), ["dataset"], lambda path, *_: {"dataset": path},
+                     docs.schema, "doc_id")
+    out = D.check_sources(src, cat, loads, None, rows, TIMEOUT)
     return out.select(F.col("path").alias("source"), F.inline("findings"))
 
 

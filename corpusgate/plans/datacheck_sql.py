@@ -1,8 +1,9 @@
 """Oracle SQL (DuckDB) for the data-check queries.
 
 Flat and relational: every finding is one SELECT with its own condition.
-The corpus store is `documents` keyed by `'src' || (k % 20)` for dataset
-`org/corpus-<k>`. Templates are rendered here only when they have no field
+The corpus store is `fx_store`; dataset `org/corpus-<k>` is its `'src' || (k % 20)`.
+A request sees the rows of its config and split, at the pinned revision only those
+added by then. Templates are rendered here only when they have no field
 (the fixture's only template whose columns all exist).
 """
 from __future__ import annotations
@@ -12,6 +13,7 @@ from corpusgate.plans.manifests_sql import BASE as MANIFEST_BASE
 from corpusgate.plans.manifests_sql import q, repr_none, strip
 from corpusgate.sources.fixtures import FIXTURE_SQL
 
+K = "k_dataset, k_config, k_split, k_rev"
 COLUMNS_TEXT = "['doc_id', 'lang', 'n_chars', 'source', 'text']"
 COLUMNS_SQL = "['doc_id', 'lang', 'n_chars', 'source', 'text']"
 SUBJECT = "(path || case when coalesce(name, '') <> '' then ' [' || name || ']' else '' end || ' / ' || split)"
@@ -27,14 +29,18 @@ def _fx(*names: str) -> str:
     return ",\n".join(f"{n} as ({FIXTURE_SQL[n].strip()})" for n in names)
 
 
-def corpus_key(path: str, name: str, split: str) -> str:
-    return (f"(case when regexp_full_match({path}, 'org/corpus-[0-9]+') then concat_ws('|', "
-            f"'src' || cast(cast(regexp_extract({path}, 'org/corpus-([0-9]+)', 1) as bigint) % 20 as varchar), "
-            f"case coalesce(nullif({name}, ''), 'default') when 'default' then 'en' when 'a' then 'de' when 'r' then 'fr' end, "
-            f"{split}) end)")
+def corpus_key(path: str, name: str, split: str, revision: str) -> str:
+    """The four columns that name a corpus."""
+    return (f"(case when regexp_full_match({path}, 'org/corpus-[0-9]+') then "
+            f"'src' || cast(cast(regexp_extract({path}, 'org/corpus-([0-9]+)', 1) as bigint) % 20 as varchar) end) as k_dataset, "
+            f"coalesce(nullif({name}, ''), 'default') as k_config, {split} as k_split, "
+            f"coalesce(nullif({revision}, ''), 'head') as k_rev")
 
 
-ROW_KEY = "concat_ws('|', d.source, d.lang, case when d.doc_id % 3 = 0 then 'validation' else 'train' end)"
+def seen(d: str, r: str) -> str:
+    """A store row that a request sees."""
+    return (f"{d}.dataset = {r}.k_dataset and {d}.config = {r}.k_config and {d}.split = {r}.k_split "
+            f"and ({r}.k_rev = 'head' or {d}.added = {r}.k_rev)")
 
 
 def load_on(path: str, name: str, split: str) -> str:
@@ -54,7 +60,9 @@ known as (select path as k_path, list(struct_pack(config := config, split := spl
           from fx_splits group by path),
 loads as (select path as l_path, config, split, status, error_type, error_msg,
             {strip("error_type || ': ' || coalesce(error_msg, '')")} as raw_msg from fx_loads),
-counts as (select {ROW_KEY} as key, count(*) as corpus_rows from documents d group by 1)"""
+fx_store as ({FIXTURE_SQL["fx_store"].strip()}),
+counts as (select dataset, config, split, 'head' as rev, count(*) as corpus_rows from fx_store group by 1, 2, 3
+  union all select dataset, config, split, added, count(*) from fx_store where added <> 'later' group by 1, 2, 3, 4)"""
 
 
 def load_text(path: str, name: str, split: str) -> str:
@@ -118,22 +126,22 @@ def _source_chain(src_table: str) -> str:
 hub_s as ({_hub_rows(src_table, "t.path", "t.revision", True)}),
 src_p as (
   select s.*, coalesce(c.c_path is not null and c.http_status = 200 and not c.disabled and coalesce(c.gated, '') = '',
-                       false) as proceed, {corpus_key("s.path", "s.name", "s.split")} as ck,
+                       false) as proceed, {corpus_key("s.path", "s.name", "s.split", "s.revision")},
          coalesce(l.status, 'ok') as status,
          {load_text("s.path", "s.name", "s.split")} as load_msg
   from {src_table} s left join cat c on c.c_path = s.path and c.c_rev is not distinct from nullif(s.revision, '')
   left join loads l on {load_on("s.path", "s.name", "s.split")}
   left join known k on k.k_path = s.path),
 src_m as (select x.*, {missing} as missing from src_p x),
-req as (select distinct ck, text_column, text_template, seq_len from src_m
+req as (select distinct {K}, text_column, text_template, seq_len from src_m
         where proceed and status = 'ok' and len(missing) = 0),
 req_rows as (
   select r.*, case when coalesce(r.text_column, '') <> '' then coalesce(d.text, '')
                    else replace(replace(r.text_template, '{{{{', '{{'), '}}}}', '}}') end as txt,
          d.text is null as null_text
-  from req r join documents d on {ROW_KEY} = r.ck),
+  from req r join fx_store d on {seen("d", "r")}),
 req_stats as (
-  select ck, text_column, text_template, seq_len, count(*) as rows,
+  select {K}, text_column, text_template, seq_len, count(*) as rows,
     count(*) filter (where null_text and coalesce(text_column, '') <> '') as non_text,
     cast(floor(median(length(txt))) as bigint) as median_chars,
     1 - count(*) filter (where length(txt) >= 200) / count(*) as short_share,
@@ -141,13 +149,14 @@ req_stats as (
          else 1 - count(distinct case when length(txt) >= 200 then substring(txt, 1, 200) end)
                   / count(*) filter (where length(txt) >= 200) end as dup_share,
     count(*) filter (where length(txt) > seq_len * 4) / count(*) as long_share
-  from req_rows group by ck, text_column, text_template, seq_len),
+  from req_rows group by {K}, text_column, text_template, seq_len),
 src_x as (
   select m.*, coalesce(st.rows, cn.corpus_rows, 0) as n_rows, coalesce(cn.corpus_rows, 0) as c_rows,
          coalesce(st.non_text, 0) as n_non_text, st.median_chars, st.short_share, st.dup_share, st.long_share
-  from src_m m left join req_stats st on st.ck = m.ck and st.text_column is not distinct from m.text_column
+  from src_m m left join req_stats st on st.k_dataset = m.k_dataset and st.k_config = m.k_config and st.k_split = m.k_split
+    and st.k_rev = m.k_rev and st.text_column is not distinct from m.text_column
     and st.text_template is not distinct from m.text_template and st.seq_len = m.seq_len
-  left join counts cn on cn.key = m.ck),
+  left join counts cn on cn.dataset = m.k_dataset and cn.config = m.k_config and cn.split = m.k_split and cn.rev = m.k_rev),
 src_s as (
   select x.*, proceed and status = 'ok' and c_rows > 0 and len(missing) = 0
            and not (coalesce(text_column, '') <> '' and n_non_text > 0) as stats_ok
@@ -205,9 +214,10 @@ b_s as (
     coalesce(l.status, 'ok') as status, coalesce(n.corpus_rows, 0) as corpus_rows,
     tk.task is not null as task_known,
     {load_text("b.ds_path", "b.ds_name", "b.ds_split")} as load_msg
-  from {b_table} b left join cat c on c.c_path = b.ds_path and c.c_rev is null
+  from (select b0.*, {corpus_key("ds_path", "ds_name", "ds_split", "null::varchar")} from {b_table} b0) b
+  left join cat c on c.c_path = b.ds_path and c.c_rev is null
   left join loads l on {load_on("b.ds_path", "b.ds_name", "b.ds_split")}
-  left join known k on k.k_path = b.ds_path left join counts n on n.key = {corpus_key("b.ds_path", "b.ds_name", "b.ds_split")}
+  left join known k on k.k_path = b.ds_path left join counts n on n.dataset = b.k_dataset and n.config = b.k_config and n.split = b.k_split and n.rev = b.k_rev
   left join (select distinct task from fx_tasks) tk on tk.task = b.task),
 b_go as (select *, proceed and status <> 'error' and not (status = 'ok' and corpus_rows = 0) as go from b_s),
 b_find as (

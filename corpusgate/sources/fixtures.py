@@ -107,6 +107,13 @@ select pr_id, concat('user', cast(pr_id % 40 as string)) as author,
        else 'CONTRIBUTOR' end as association
 from (select distinct cast(floor(event_id / 3) as bigint) as pr_id from events
       union all select cast(1000000000 + c_custkey as bigint) as pr_id from customer) x
+""",
+    "fx_store": """
+select doc_id, text, lang, source, n_chars, coalesce(source, 'src0') as dataset,
+  case lang when 'de' then 'a' when 'fr' then 'r' else 'default' end as config,
+  case when doc_id % 3 = 0 then 'validation' else 'train' end as split,
+  case when doc_id % 4 = 3 then 'later' else repeat('0a', 20) end as added
+from documents
 """,
     "fx_pairs": """
 select u.conv_id, u.turn, u.text as question, a.text as answer
@@ -127,6 +134,7 @@ FIXTURE_TABLES = {
     "fx_tasks": ("part",),
     "fx_changes": ("events",),
     "fx_prs": ("events", "customer"),
+    "fx_store": ("documents",),
     "fx_pairs": ("conversations",),
 }
 

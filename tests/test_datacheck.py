@@ -22,7 +22,7 @@ def run(spark, sources, catalog, loads=(), splits=(), rows_by_path=None):
     ld = spark.createDataFrame(list(loads), LOADS)
     sp = spark.createDataFrame(list(splits), SPLITS)
     corp = corpus(spark, rows_by_path or {})
-    out = D.check_sources(src, cat, ld, sp, corp, lambda path, *_: path, F.col("ds"), "ord", None, 60.0)
+    out = D.check_sources(src, cat, ld, sp, D.Corpora(corp, ["ds"], lambda path, *_: {"ds": path}, corp.schema, "ord"), 60.0)
     rows = out.select("pos", F.inline("findings")).orderBy("pos", "ord").collect()
     return [(r.level, r.message) for r in rows]
 
@@ -102,9 +102,10 @@ def test_benchmark_verdicts(spark):
         "ds_split string")
     cat = spark.createDataFrame([ok_entry("org/a"), ok_entry("org/g", gated="auto"), ok_entry("org/t")], CAT)
     loads = spark.createDataFrame([("org/t", "timeout", None, None)], LOADS)
-    counts = spark.createDataFrame([("org/a", 5), ("org/g", 1), ("org/t", 1)], "k string, corpus_rows long")
+    rows = corpus(spark, {"org/a": good(5), "org/g": good(1), "org/t": good(1)})
     tasks = spark.createDataFrame([("t_known",)], "task string")
-    out = D.check_benchmarks(bench, cat, loads, None, counts, lambda path, *_: path, tasks)
+    corpora = D.Corpora(rows, ["ds"], lambda path, *_: {"ds": path}, rows.schema, "ord")
+    out = D.check_benchmarks(bench, cat, loads, None, corpora, tasks)
     got = [(r.pos, r.level, r.message) for r in out.select("pos", F.inline("findings")).orderBy("pos", "ord").collect()]
     assert got == [
         (1, "ok", "org/a / test is readable and lm-eval knows 't_known'"),
@@ -128,8 +129,9 @@ def run_full(spark, sources, catalog, loads, rows):
                                  "ds string, cfg string, part string, ord long, contents string")
     out = D.check_sources(
         spark.createDataFrame(sources, SRC), spark.createDataFrame(catalog, FULL_CAT), spark.createDataFrame(loads, FULL_LOADS),
-        None, corp, lambda path, name, split, _: F.concat_ws("|", path, F.coalesce(name, F.lit("default")), split),
-        F.concat_ws("|", "ds", "cfg", "part"), "ord", None, 60.0)
+        None, D.Corpora(corp, ["ds", "cfg", "part"],
+                        lambda path, name, split, _: {"ds": path, "cfg": F.coalesce(name, F.lit("default")), "part": split},
+                        corp.schema, "ord"), 60.0)
     return {r.pos: [f.message for f in r.findings] for r in out.collect()}
 
 
@@ -170,3 +172,76 @@ def test_a_subject_with_an_earlier_error_is_not_ok(spark):
                                      "findings array<struct<ord:int,level:string,message:string>>")
     got = {(r.manifest_id, r.pos): [f.level for f in r.findings] for r in settled(df).collect()}
     assert got == {(1, 1): ["error"], (1, 2): ["warning"], (1, 3): ["ok"], (2, 1): ["ok"]}
+
+
+def test_a_hot_corpus_is_dealt_over_all_tasks(spark, monkeypatch):
+    rows = spark.range(10_000).selectExpr("case when id % 10 = 0 then concat('c', id % 70) else 'hot' end as ds", "id as ord")
+    wanted = spark.createDataFrame([("hot", 1), ("hot", 2), ("c0", 3), ("nowhere", 4), (None, 5)], "k_ds string, rid long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = D.salted(rows, wanted, ["ds"], "ord", most=0)
+        spread = {r.p: r.n for r in got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
+        counts = {r.rid: r.n for r in got.groupBy("rid").agg(F.countDistinct("ord").alias("n"), F.count("*").alias("m"))
+                  .where("n = m").collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert counts == {1: 9000, 2: 9000, 3: 143}
+    assert max(spread.values()) < 0.5 * sum(spread.values()) and len(spread) >= 4
+    monkeypatch.setattr(D, "SALT_ABOVE", 0)
+    assert D.salted(rows, wanted, ["ds"], "ord").where("rid < 4").count() == 18_143
+
+
+def test_salting_changes_no_verdict(spark, monkeypatch):
+    monkeypatch.setattr(D.salted, "__defaults__", (0,))
+    out = run(spark, [source("org/a"), source("org/b", pos=2)], [ok_entry("org/a"), ok_entry("org/b")],
+              rows_by_path={"org/a": good(400), "org/b": good(3)})
+    assert out == [("ok", "streams, and 'contents' is usable text (400 rows sampled)"),
+                   ("ok", "streams, and 'contents' is usable text (3 rows sampled)")]
+
+
+def test_every_document_belongs_to_a_corpus_that_can_be_named(spark, tmp_path):
+    from corpusgate.plans import datacheck as plan
+
+    text = "y" * 250
+    langs = [None, "es", "en", "de", "fr", "", "xx"]
+    docs = spark.createDataFrame([(i, f"{i} {text}", langs[i % 7], None if i % 5 == 0 else "src0", 250) for i in range(140)]
+                                 + [(None, text, None, None, None)],
+                                 "doc_id long, text string, lang string, source string, n_chars int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    corpora = plan.corpora(spark, str(tmp_path))
+    asked = [(f"org/corpus-{k}", c, s, r) for k in (0, 20) for c in (None, "", "a", "r", "zzz") for s in ("train", "validation")
+             for r in (None, "0a" * 20, "main")] + [("no/such", None, "train", None)]
+    req = corpora.named(spark.createDataFrame(asked, "path string, name string, split string, revision string")
+                        .selectExpr("*", "'text' as text_column", "cast(null as string) as text_template", "1024 as seq_len"),
+                        "path", "name", "split", F.col("revision")).drop("path", "name", "split", "revision")
+    got = {(r.k_dataset, r.k_config, r.k_split, r.k_added): r for r in D.profile(req, corpora).collect()}
+    rows = {k: r.rows or 0 for k, r in got.items()}
+    assert sum(n for (d, *_, a), n in rows.items() if a == "head") == 141  # each document once
+    assert rows["src0", "default", "train", "0a" * 20] + rows["src0", "default", "validation", "0a" * 20] \
+        == sum(1 for i in range(140) if langs[i % 7] not in ("de", "fr") and i % 4 != 3) + 1
+    assert all(n == 0 for (d, c, s, a), n in rows.items() if c == "zzz" or a == "main" or d is None)
+
+
+def test_only_named_partitions_are_opened(spark, tmp_path):
+    from corpusgate.sources import store
+
+    docs = spark.range(300).selectExpr("id as ord", "concat('d', id % 3) as ds", "concat('c', id % 5) as config", "'x' as contents")
+    rows = store.opened(spark, "t", str(tmp_path), lambda: docs, ["config"])
+    assert rows.count() == 300 and store.opened(spark, "t", str(tmp_path), lambda: None, ["config"]).count() == 300
+    pinned = rows.where("config = 'c1'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(config" in pinned
+    spark.createDataFrame([("c2", 0)], "k_config string, rid long").write.parquet(str(tmp_path / "req"))
+    wanted = spark.read.parquet(str(tmp_path / "req")).where("rid >= 0")
+    joined = D.salted(rows, wanted, ["config"], "ord")
+    assert "dynamicpruning" in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 60
+
+
+def test_histograms_serve_every_window_from_one_table(spark):
+    texts = spark.createDataFrame([(0, c * n, False) for c, n in (("x", 5000), ("y", 300), ("", 0), ("", 0))] + [(1, None, True), (1, "ab", False)],
+                                  "rid long, text string, bad boolean")
+    windows = spark.createDataFrame([(0, 1024), (0, 2048), (0, 64), (1, None), (2, 1024)], "rid long, seq_len int")
+    got = {(r.rid, r.seq_len): tuple(r)[2:] for r in D.histograms(texts, windows).collect()}
+    assert got == {(0, 1024): (4, 0, 150, 0.5, 0.0, 0.25), (0, 2048): (4, 0, 150, 0.5, 0.0, 0.0),
+                   (0, 64): (4, 0, 150, 0.5, 0.0, 0.5), (1, None): (2, 1, 1, 1.0, 0.0, 0.0)}
