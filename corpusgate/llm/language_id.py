@@ -8,14 +8,15 @@ one-versus-rest, gives one weight vector per language in the Nyström space, and
 the weights are carried back to the landmarks, so a batch is scored by two
 matrix products: texts x landmarks (the kernel), then landmarks x languages.
 
-What is fitted sees a bounded sample: at most `PER_LANG` labelled texts of each
-of the `MAX_LANGS` most frequent languages, the first by hash of the id. Every
-text is scored whole. Learning reads only text and lang of rows outside the
-held-out fold.
+What is fitted sees a bounded sample: at most `PER_LANG` different labelled texts
+of each of the `MAX_LANGS` most frequent languages, the first by hash of the text;
+copies of a text are one, and ids play no part. Every text is scored whole.
+Learning reads only text and lang of rows outside the held-out fold.
 
 Cases: a null text, or one without any letter, gives `und` with score 0; rows
 with null lang, or with text that gives `und`, are not learned from; with no
-row to learn from everything is `und`; one language only is then always that
+row to learn from everything is `und`, and the filter keeps every text that has
+a letter; null and repeated ids change nothing; one language only is then always that
 one; ties go to the smaller language value; extra columns pass through.
 """
 from __future__ import annotations
@@ -74,28 +75,31 @@ class Model:
 
 
 def train_sample(docs: DataFrame) -> DataFrame:
-    """The bounded sample of labelled rows: ids first, so that no text is ranked or shuffled."""
-    rows = docs.filter((fold(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull())
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # bounded: MAX_LANGS rows. Of each language only the lowest hashes are ranked, a few PER_LANG at any size
-    ids = (rows.select("lang", "doc_id").join(F.broadcast(langs), "lang")
-           .filter(low_hash(4.0 * PER_LANG / F.col("count"), "doc_id"))
-           .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PER_LANG)
-           .select("doc_id").distinct())
-    # bounded: MAX_LANGS * PER_LANG ids at most
-    return rows.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    """(lang, hash, text) of the bounded sample: different labelled texts, about 4 PER_LANG of each language."""
+    rows = (docs.filter((fold(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+            .select("lang", "text"))
+    # one row per language; different texts, not rows, are counted, so that copies thin nothing out
+    langs = (rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("text")).alias("texts"))
+             .orderBy(F.desc("n"), "lang").limit(MAX_LANGS).select("lang", "texts"))
+    # bounded: MAX_LANGS rows. Of each language only the lowest hashes go on, a few PER_LANG at any size
+    return (rows.join(F.broadcast(langs), "lang").filter(low_hash(4.0 * PER_LANG / F.col("texts"), "text"))
+            .groupBy("lang", F.xxhash64("text").alias("hash")).agg(F.first("text").alias("text")))
 
 
 def fit(docs: DataFrame) -> Model | None:
+    kind = pa.schema([("lang", pa.string()), ("hash", pa.int64()), ("bits", pa.binary())])
+
     def features(batches: Batches) -> Batches:
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            for lang, mark, text in zip(*[batch.column(c).to_pylist() for c in kind.names[:2]], batch.column("text").to_pylist()):
                 if has_letter(text):
-                    bits = np.packbits(presence([text])[0] > 0)
-                    yield pa.RecordBatch.from_pydict({"lang": [lang], "bits": pa.array([bits.tobytes()], pa.binary())})
+                    yield pa.RecordBatch.from_pylist([{"lang": lang, "hash": mark, "bits": np.packbits(presence([text])[0] > 0).tobytes()}], kind)
 
-    rows = train_sample(docs).mapInArrow(features, "lang string, bits binary").orderBy("lang", "bits").collect()
+    order = Window.partitionBy("lang").orderBy("hash", "bits")
+    # bounded: MAX_LANGS * PER_LANG rows of a kilobyte
+    rows = (train_sample(docs).mapInArrow(features, "lang string, hash bigint, bits binary")
+            .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PER_LANG)
+            .select("lang", "bits").orderBy("lang", "bits").collect())
     if not rows:
         return None
     langs = sorted({r.lang for r in rows})
@@ -152,7 +156,13 @@ def identify(docs: DataFrame, model: Model | None, out: str = "lang_id") -> Data
 
 
 def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """`docs` without the rows whose language cannot be told (`und`)."""
+    """`docs` without the rows whose language cannot be told (`und`); without a model, those without a letter."""
+    if model is None:
+        def lettered(batches: Batches) -> Batches:
+            for batch in batches:
+                yield batch.filter(pa.array(map(has_letter, batch.column("text").to_pylist()), pa.bool_()))
+
+        return docs.mapInArrow(lettered, docs.schema)
     out = spare(docs, "lang_id")
     return identify(docs, model, out).filter(F.col(out)["lang"] != UND).drop(out)
 

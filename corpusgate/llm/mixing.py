@@ -12,15 +12,16 @@ kappa makes the expected words equal to what is left. Pareto order sampling
 ranks the documents by (U / (1 - U)) / (lambda / (1 - lambda)), U being a fixed
 hash of the id, and takes the smallest ranks until their words come nearest to
 what is left. So every source meets its target to within half a document, and
-reruns agree.
+reruns agree. In a table where an id stands on several rows, null included, U is a
+hash of the id and the row's number in a staged copy, so such rows spread too.
 
 The cut in a source's order is found without sorting the source: words are
 summed per rank bucket before they are shuffled, a running sum over the
 `BUCKETS` buckets finds the one that holds the cut, and only that bucket's
 documents are ordered. The running sum over sources sees one row per source.
 
-Cases: null and wordless texts have size 0 and are never taken; rows with the
-same id and size (repeated rows) are taken or left together; null sources are
+Cases: null and wordless texts have size 0 and are never taken; repeated rows and
+rows with one id or none are drawn each for itself; null sources are
 one source, last in order; a source of size 0 has target 0; an empty table
 gives no row; extra columns pass through.
 """
@@ -41,9 +42,11 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(doc_id: Column, seed: str = SEED) -> Column:
-    """A number strictly between 0 and 1 that depends on the id alone (52 bits of its MD5)."""
+def uniform(doc_id: Column, row: Column | None = None, seed: str = SEED) -> Column:
+    """A number strictly between 0 and 1 that depends on the id, and the row if given, alone (52 bits of an MD5)."""
     text = F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))
+    if row is not None:
+        text = F.concat(text, F.lit(":"), row.cast("string"))
     bits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
     return (bits.cast("double") + 0.5) / float(1 << 52)
 
@@ -131,15 +134,21 @@ def rank(u: Column, size: Column, kappa: Column) -> Column:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, out: str = "mix") -> DataFrame:
     """`docs` with a struct column `out`: size, source_size, target, copies, taken."""
-    out = spare(docs, out)
-    sized = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source",
-                               words(F.col("text")).alias("size"), uniform(F.col("doc_id")).alias("u")), "sizes")
+    out, row = spare(docs, out), spare(docs, "row_number")
+    measured = lambda d, u: staged(d.select(F.col("doc_id").cast("long").alias("doc_id"), "source",
+                                            words(F.col("text")).alias("size"), u.alias("u")), "sizes")
+    u = uniform(F.col("doc_id"))
+    sized = measured(docs, u)
+    if not sized.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        docs = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        u = uniform(F.col("doc_id"), F.col(row))
+        sized = measured(docs, u)
     rules = staged(plan(sized, targets(sized, weights, cap)), "mix-plan")
     rules = rules.select(F.col("source").alias("__s"), F.struct(
         "source_size", "target", "whole", "rest", "kappa", "last").alias("__r"))
     r = F.col("__r")
     size = F.col("__size")
-    p = rank(uniform(F.col("doc_id")), size, r["kappa"])
+    p = rank(u, size, r["kappa"])
     more = (size > 0) & (r["rest"] > 0) & F.coalesce(
         F.struct(p.alias("p"), F.col("doc_id").cast("long").alias("doc_id")) <= r["last"], F.lit(False))
     copies = F.when(size > 0, r["whole"]).otherwise(0) + more.cast("long")
@@ -148,7 +157,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, o
             .withColumn(out, F.struct(size.alias("size"), r["source_size"].alias("source_size"),
                                       r["target"].alias("target"), copies.alias("copies"),
                                       (copies * size).alias("taken")))
-            .drop("__size", "__s", "__r"))
+            .drop("__size", "__s", "__r", row))
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusgate.llm.common import Batches, staged, table, texts_of
+from corpusgate.llm.common import Batches, spare, staged, table, texts_of
 from corpusgate.llm.graph import components
 
 SHINGLE = 3
@@ -56,15 +56,19 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(starts)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row of `docs` (doc_id, text)."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, row: str | None = None) -> DataFrame:
+    """(doc_id, row, text_hash, fp) of every row of `docs` (doc_id, text); row: the column of that name, or null."""
     def run(batches: Batches) -> Batches:
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([fingerprint(t, shingle) for t in texts_of(batch)], pa.int64())],
-                ["doc_id", "fp"])
+                [*[batch.column(c) for c in ("doc_id", "row", "text_hash")],
+                 pa.array([fingerprint(t, shingle) for t in texts_of(batch)], pa.int64())],
+                ["doc_id", "row", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    number = F.col(row) if row else F.lit(None).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), number.alias("row"),
+                       F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        run, "doc_id bigint, row bigint, text_hash bigint, fp bigint")
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -77,6 +81,8 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     half = (radius + 1) // 2
     masks = [sum(1 << b for b in bits) for n in range(half + 1) for bits in combinations(range(64), n)]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
+    # dealt out before each row becomes a ball: a plan sized by the few bytes before would use a few tasks
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     balls = fps.select("fp", F.explode(F.array([F.col("fp").bitwiseXOR(F.lit(m)) for m in masks])).alias("variant"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     if radius == 2:
@@ -88,32 +94,36 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.filter(close).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row per row of `docs`: doc_id, fp, component_id."""
-    found = staged(fingerprints(docs, shingle), "fingerprints")
+def classes(found: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, first, root): every fingerprint of `found` (doc_id, fp), its smallest doc_id and its class."""
     distinct = found.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(distinct.select("fp"), radius))
     # classes of several fingerprints only; a fingerprint alone is its own class
-    member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
-    classes = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = member.join(classes, "root").select("fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row per row of `docs`: doc_id, fp, component_id."""
+    found = staged(fingerprints(docs, shingle).select("doc_id", "fp"), "fingerprints")
+    member = classes(found, radius)
+    least = member.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = member.join(least, "root").select("fp", "component_id")
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """`docs` with one row of each class: the one whose doc_id is smallest.
-
-    Of rows that share that doc_id the one with the smallest text hash stays.
-    Rows without a doc_id cannot be named by the class and stay as they are.
-    """
-    found = near_duplicates(docs, shingle, radius)
-    heads = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__head")).distinct()
-    named = docs.filter(F.col("doc_id").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = (named.join(heads, named["doc_id"] == heads["__head"], "left_semi")
-            .withColumn("__rank", rank).filter("__rank = 1").drop("__rank"))
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """`docs` with one row of each class: of smallest doc_id (null last), then smallest text hash, then first read.
+
+    The rows are numbered in a staged copy, so ids may be null or stand on many rows, and a lost executor
+    changes no number."""
+    row = spare(docs, "row_number")
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = staged(fingerprints(numbered, shingle, row), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "row")
+    heads = (found.join(classes(found, radius), "fp").groupBy("root").agg(F.min(order)["row"].alias("head"))
+             .select("head"))
+    return numbered.join(staged(heads, "heads"), F.col(row) == F.col("head"), "left_semi").drop(row)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

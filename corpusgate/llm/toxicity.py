@@ -10,11 +10,13 @@ label 1. Vectors and softmax are trained
 jointly in numpy (gradient steps on mini-batches), so an unseen misspelling scores through
 the n-grams it shares with words that were seen.
 
-Learning sees a bounded sample: at most `SAMPLE` labelled rows of the learning
+Learning sees a bounded sample: at most `SAMPLE` labelled ids of the learning
 folds, `TOXIC` of them toxic, the first of each by hash of the id (the scores
-are carried back to the share of toxic rows among all labels); their bags, not their texts, are gathered,
-up to `SAMPLE_GRAMS` distinct n-grams each (long texts are whole in scoring, and
-in learning longer ones are left to the next row). Every text is scored whole,
+are carried back to the share of toxic rows among all labels); their bags, not their
+texts, are gathered. A bag is made from the whole text, however long; of more than
+`SAMPLE_GRAMS` distinct n-grams it keeps those of lowest hash, which stand for all
+by weight (an n-gram counts 255 times at most). Where an id stands on several rows
+the text of lowest hash is learned from. Every text is scored whole,
 batch by batch, from one number per bucket (vectors times softmax).
 
 Cases: a null or empty text has no n-gram and gets the learned prior; a
@@ -113,6 +115,26 @@ class Model:
         count[list(rows)] += np.bincount(owner, minlength=len(raws))
 
 
+def bag(text: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Distinct n-grams of a whole text, how often each occurs (255 at most), and how many there are in all;
+    of more than SAMPLE_GRAMS those whose hash is lowest."""
+    raw = np.frombuffer(normal(text), np.uint8)
+    if len(raw) <= PIECE:
+        ids, counts = np.unique(grams(raw)[0], return_counts=True)
+    else:
+        full = np.zeros(BUCKETS, np.int64)
+        for a in range(0, len(raw), PIECE):
+            codes, places = grams(raw[a:a + PIECE + max(GRAMS) - 1])
+            full += np.bincount(codes[places < PIECE], minlength=BUCKETS)
+        ids = np.flatnonzero(full)
+        counts = full[ids]
+    total = int(counts.sum())
+    if len(ids) > SAMPLE_GRAMS:  # bucket numbers are hashes already; this spreads them once more
+        low = np.argsort((ids.astype(np.uint64) + np.uint64(1)) * np.uint64(_MULT[0]), kind="stable")[:SAMPLE_GRAMS]
+        ids, counts = ids[np.sort(low)], counts[np.sort(low)]
+    return ids, np.minimum(counts, 255), total
+
+
 def learning(labels: DataFrame) -> DataFrame:
     """(doc_id, toxic) of the learning folds."""
     return (labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
@@ -120,27 +142,24 @@ def learning(labels: DataFrame) -> DataFrame:
 
 
 def training_bags(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(toxic, ids, counts) of the bounded sample of labelled rows."""
+    """(toxic, ids, counts, total) of the bounded sample of labelled ids."""
     def run(batches: Batches) -> Batches:
-        kind = pa.schema([("toxic", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary())])
+        kind = pa.schema([("toxic", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("total", pa.int64())])
         for batch in batches:
             rows = []
             for toxic, text in zip(batch.column("toxic").to_pylist(), texts_of(batch)):
-                raw = normal(text)
-                if len(raw) > PIECE:
-                    continue
-                ids, counts = np.unique(grams(np.frombuffer(raw, np.uint8))[0], return_counts=True)
-                if len(ids) <= SAMPLE_GRAMS:
-                    rows.append({"toxic": toxic, "ids": ids.astype("<u4").tobytes(),
-                                 "counts": np.minimum(counts, 255).astype(np.uint8).tobytes()})
+                ids, counts, total = bag(text)
+                rows.append({"toxic": toxic, "ids": ids.astype("<u4").tobytes(), "total": total,
+                             "counts": counts.astype(np.uint8).tobytes()})
             yield pa.RecordBatch.from_pylist(rows, kind)
 
     marks = learning(labels)
     part = lambda toxic, n: drawn(marks.filter((F.col("toxic") > 0) == toxic), n, "doc_id")
     sample = staged(part(True, TOXIC).unionByName(part(False, SAMPLE - TOXIC)), "labelled")
-    # bounded: SAMPLE rows of two numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    return rows.select("toxic", "text").mapInArrow(run, "toxic int, ids binary, counts binary")
+    # bounded: SAMPLE rows of two numbers; one text of each id
+    rows = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id")
+            .agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"), F.first("toxic").alias("toxic")))
+    return rows.select("toxic", "text").mapInArrow(run, "toxic int, ids binary, counts binary, total bigint")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -148,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows = training_bags(docs, labels).orderBy("toxic", "ids").toLocalIterator()
     bags, marks = [], []
     for row in rows:
-        bags.append((np.frombuffer(row.ids, "<u4"), np.frombuffer(row.counts, np.uint8)))
+        bags.append((np.frombuffer(row.ids, "<u4"), np.frombuffer(row.counts, np.uint8), row.total))
         marks.append(row.toxic > 0)
     y = np.array(marks, np.float32)
     if not len(y):
@@ -156,14 +175,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), 20.0 if y[0] else -20.0)
     seen = np.zeros(BUCKETS, np.int32)
-    for ids, _ in bags:
+    for ids, *_ in bags:
         seen[ids] += 1
     kept = np.flatnonzero(seen >= MIN_DOCS)
     dense = np.full(BUCKETS, -1, np.int32)
     dense[kept] = np.arange(len(kept))
-    for i, (ids, counts) in enumerate(bags):
+    for i, (ids, counts, total) in enumerate(bags):
         at = dense[ids] >= 0
-        bags[i] = dense[ids[at]], counts[at], np.float32(GAIN / (PRIOR + counts.sum(dtype=np.int64)))
+        part = total / max(1, counts.sum(dtype=np.int64))  # what the kept n-grams stand for
+        bags[i] = dense[ids[at]], counts[at], np.float32(GAIN * part / (PRIOR + total))
     # plain gradient steps: n-grams that few texts share move little, which keeps them from being learned by heart
     rng = np.random.default_rng(6)
     vectors = rng.normal(0, 0.01, (len(kept), DIM)).astype(np.float32)

@@ -1,6 +1,6 @@
 """Operator 3: token ids in wavelet-matrix files, one succinct matrix per shard.
 
-Writing. Documents are range-partitioned by doc_id (nulls first) and sorted;
+Writing. Documents are range-partitioned by doc_id (nulls first) and text and sorted;
 each task encodes its texts, appends the end id, and closes a shard at the first
 document border after `SHARD` tokens, so a task's shards follow each other and
 every shard is one row of one file in the output folder:
@@ -45,6 +45,7 @@ SHARD = 1 << 18  # tokens; small enough that a plane and its ids stay in a core'
 END = 2
 GROUP = 64   # texts encoded together
 BLOCK = 512  # bits of a rank block
+HEAD = 128   # characters of a text that help to range documents
 LAYOUT = ("part int, shard int, start bigint, n_tokens bigint, doc_ids array<bigint>, doc_tokens array<bigint>, "
           "zeros array<bigint>, planes array<binary>, ranks array<binary>")
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -182,7 +183,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, shard: int
                         ("zeros", pa.list_(pa.int64())), ("planes", pa.list_(pa.binary())),
                         ("ranks", pa.list_(pa.binary()))])
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-               .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+               # the beginning of the text orders as the text does and lets rows of one id (or none) spread
+               .repartitionByRange("doc_id", F.substring("text", 1, HEAD)).sortWithinPartitions("doc_id", "text")
                .withColumn("part", F.spark_partition_id()))
     ordered.mapInArrow(run, LAYOUT).write.option("compression", "zstd").parquet(path)
 

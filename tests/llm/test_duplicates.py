@@ -77,14 +77,21 @@ def test_components_of_long_paths_and_hubs(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-def test_keep_one_leaves_one_row_of_each_class(spark):
+def test_keep_one_leaves_one_row_of_each_class_whatever_its_id(spark):
+    prints = lambda rows: {print_of(r.text) for r in rows}
     docs = odd(spark)
     kept = simhash.keep_one(docs)
     rows = kept.collect()
+    of = classes([print_of(t) for _, t, *_ in odd_rows()])
+    assert sorted(of[p] for p in prints(rows)) == sorted(set(of.values())) and len(rows) == len(set(of.values()))
+    assert kept.columns == docs.columns
     heads = {c for _, _, c in expected_classes([r[:2] for r in odd_rows()]) if c is not None}
-    assert sorted(r.doc_id for r in rows if r.doc_id is not None) == sorted(heads)
-    assert kept.columns == docs.columns and sum(r.doc_id is None for r in rows) == 2
+    assert {r.doc_id for r in rows if r.doc_id is not None} == heads
     assert simhash.near_duplicates(spark.createDataFrame([], EMPTY)).collect() == []
+    one, two = prose(1, 50), prose(2, 50, "oak elm ash fir yew box")
+    rows = [(None, one)] * 50 + [(3, two), (3, prose(3, 50, "a b c d e")), (4, two), (4, one)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(3, two), (3, prose(3, 50, "a b c d e")), (4, one)])
 
 
 def removed(rows, k=13):

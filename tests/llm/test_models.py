@@ -136,6 +136,65 @@ def test_a_long_text_scores_as_its_pieces_do_together(monkeypatch):
     assert math.isclose(model.score(["other", text])[1], whole[0], rel_tol=1e-6)
 
 
+def test_long_toxic_texts_are_learned_from(spark):
+    """Toxic texts of 1,500 distinct words, more n-grams than a bag keeps."""
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4))
+    rows = []
+    for i in range(160):
+        ws = [word() for _ in range(1500 if i % 3 == 0 else 20)]
+        for _ in range(len(ws) // 5 if i % 3 == 0 else 0):
+            ws.insert(rng.randrange(len(ws)), rng.choice(["grukk", "zwarp", "hixxq"]) + word())
+        rows.append((i, " ".join(ws), int(i % 3 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    bags = toxicity.training_bags(docs, labels).collect()
+    assert sum(r.toxic for r in bags) == sum(t for i, _, t in rows if crc(i) % 4 != 2)
+    assert all(len(r.ids) // 4 <= toxicity.SAMPLE_GRAMS < r.total for r in bags if r.toxic)
+    got = {r.doc_id: r.toxicity for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert all((got[i] >= toxicity.THRESHOLD) == bool(t) for i, _, t in rows if crc(i) % 4 == 2)
+
+
+def test_a_bag_is_the_plain_count_and_a_part_of_it_stands_for_all(monkeypatch):
+    text = " ".join(f"word{i} and{i % 7}" for i in range(400))
+    raw = toxicity.normal(text)
+    cut = [raw[i:i + n] for n in toxicity.GRAMS for i in range(len(raw) - n + 1) if b" " not in raw[i + 1:i + n - 1]]
+    plain = Counter(int(toxicity.grams(np.frombuffer(g, np.uint8))[0][-1]) for g in cut)  # the whole gram is the last one cut
+    ids, counts, total = toxicity.bag(text)
+    assert total == len(cut) and dict(zip(ids.tolist(), counts.tolist())) == {i: min(255, n) for i, n in plain.items()}
+    monkeypatch.setattr(toxicity, "PIECE", 100)
+    again = toxicity.bag(text)
+    assert again[0].tolist() == ids.tolist() and again[1].tolist() == counts.tolist() and again[2] == total
+    monkeypatch.setattr(toxicity, "SAMPLE_GRAMS", 500)
+    some = toxicity.bag(text)
+    assert len(some[0]) == 500 and set(some[0].tolist()) < set(ids.tolist()) and some[2] == total
+
+
+def test_repeated_ids_do_not_widen_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 40)
+    monkeypatch.setattr(toxicity, "TOXIC", 10)
+    rows = labelled(spark, 300)
+    docs = spark.createDataFrame([(r[0], f"{r[1]} v{j}") for r in rows for j in range(3)], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows] * 2, "doc_id long, toxic int")
+    assert toxicity.training_bags(docs, labels).groupBy("toxic").count().orderBy("toxic").collect() == [(0, 30), (1, 10)]
+
+
+def test_toxicity_query_is_the_plain_score_of_the_learned_model(spark):
+    """Every n-gram cut and looked up by itself; the model is learned from the other folds alone."""
+    docs, labels = small(spark).select("doc_id", "text"), small(spark, "labels")
+    model = toxicity.fit(docs, labels)
+    outside = lambda df: df.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    again = toxicity.fit(outside(docs), outside(labels))
+    assert (model.logit == again.logit).all() and model.offset == again.offset
+    got = {r.doc_id: r for r in toxicity.op6_toxicity(spark, SMALL).collect()}
+    for r in docs.collect()[::7]:
+        raw = toxicity.normal(r.text or "")
+        cut = [raw[i:i + n] for n in toxicity.GRAMS for i in range(len(raw) - n + 1) if b" " not in raw[i + 1:i + n - 1]]
+        z = sum(float(model.logit[toxicity.grams(np.frombuffer(g, np.uint8))[0][-1]]) if len(g) in toxicity.GRAMS else 0
+                for g in cut) / (len(cut) + toxicity.PRIOR) + model.offset
+        assert math.isclose(got[r.doc_id].score, 1 / (1 + math.exp(-z)), rel_tol=1e-4), r.doc_id
+
+
 def test_grams_match_a_plain_count():
     raw = toxicity.normal("Aa bcd  aa EFGHIJ")
     assert raw == b" aa bcd efghij "
@@ -185,6 +244,59 @@ def test_language_without_anything_to_learn(spark):
     assert language_id.identify(spark.createDataFrame([], EMPTY), None).collect() == []
 
 
+def test_null_and_repeated_ids_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "PER_LANG", 60)
+    rng = random.Random(3)
+    kinds = {"aa": "ba be bi bo bu", "bb": "ka ke ki ko ku", "cc": "la le li lo lu"}
+    text = lambda lang: " ".join("".join(rng.choice(kinds[lang].split()) for _ in range(3)) for _ in range(12))
+    named = [(i, text(lang), lang) for i, lang in enumerate(list(kinds) * 80)]
+    nobody = [(None, text(lang), lang) for lang in kinds for _ in range(100)]
+    copies = [(1, named[1][1], named[1][2])] * 500 + [(None, named[2][1], named[2][2])] * 500
+    docs = spark.createDataFrame(named + nobody + copies, "doc_id long, text string, lang string")
+    sample = language_id.train_sample(docs).groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("text").alias("d")).collect()
+    assert len(sample) == 3 and all(60 <= r.n == r.d <= 240 for r in sample)
+    got = language_id.identify(docs, language_id.fit(docs)).collect()
+    assert len(got) == 240 + 300 + 1000 and sum(r.lang_id.lang == r.lang for r in got) > 0.98 * len(got)
+    none = docs.withColumn("lang", F.lit(None).cast("string")).unionByName(
+        spark.createDataFrame([(5, "12 ...", None), (6, None, None)], "doc_id long, text string, lang string"))
+    assert language_id.keep_identified(none, language_id.fit(none)).count() == docs.count()
+
+
+def test_language_model_is_the_plain_ridge_solution(spark, monkeypatch):
+    """Presence sets, kernel and normal equations written out; the landmarks are the rows that the model kept."""
+    monkeypatch.setattr(language_id, "LANDMARKS", 12)
+    docs = small(spark).filter("lang is not null").limit(120)
+    model = language_id.fit(docs)
+    bins = language_id.BINS
+
+    def vector(text):
+        raw = b" " + b" ".join(text.lower().encode().split()) + b" "
+        sets = [set() for _ in language_id.SPECTRUM]
+        for k, n in enumerate(language_id.SPECTRUM):
+            for i in range(len(raw) - n + 1):
+                code = int.from_bytes(raw[i:i + n], "little")
+                sets[k].add(((code ^ code >> 15) * int(language_id._MULT[n]) & 0xFFFFFFFF) >> 32 - bins.bit_length() + 1)
+        return sets
+
+    kernel = lambda x, y: sum(len(a & b) / math.sqrt(len(a) * len(b)) for a, b in zip(x, y) if a and b) / len(x)
+    marks = []
+    for row in model.landmarks:
+        cube = row.reshape(len(language_id.SPECTRUM), bins)
+        marks.append([set(np.flatnonzero(c).tolist()) for c in cube])
+    learned = {r.text: r.lang for r in docs.collect() if crc(r.doc_id) % 4 != 2 and language_id.has_letter(r.text)}
+    texts, langs = list(learned), list(learned.values())
+    k = np.array([[kernel(vector(t), m) for m in marks] for t in texts])
+    mm = np.array([[kernel(a, b) for b in marks] for a in marks])
+    y = np.array([[1.0 if g == lang else -1.0 for g in model.langs] for lang in langs])
+    d = np.array([1 / langs.count(lang) for lang in langs])
+    d *= len(texts) / d.sum()
+    x = np.hstack([k, np.ones((len(texts), 1))])
+    penalty = np.zeros((len(marks) + 1, len(marks) + 1))
+    penalty[:-1, :-1], penalty[-1, -1] = language_id.RIDGE * mm, 1e-9
+    w = np.linalg.solve(x.T @ (d[:, None] * x) + penalty, x.T @ (d[:, None] * y))
+    assert np.allclose(model.score(texts), x @ w, atol=2e-3)
+
+
 @pytest.mark.parametrize("a,b", [("sea and tide", "tide and sea"), ("abc", "xyz"), ("Same", "same")])
 def test_kernel_is_the_mean_of_cosines(a, b):
     def grams(text, n):

@@ -166,6 +166,18 @@ def test_mix_with_one_huge_source_and_empty_ones(spark):
     assert all(abs(taken[s] - target[s]) <= max(1, largest[s]) / 2 for s in sizes)
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_rows_with_one_id_or_none_meet_their_targets(spark, same):
+    """100 rows of 10 words without an id and 50 of one id, equal texts or not, are drawn each for itself."""
+    rows = [(None, " ".join(["w" if same else f"w{i}"] * 10), "a") for i in range(100)]
+    rows += [(7, " ".join(["v" if same else f"v{i}"] * 10), "a") for i in range(50)] + [(1000 + i, "x " * 10, "b") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for weights in ((1.0, 3.0), (3.0, 1.0)):
+        found = mixing.mix(docs, weights=weights).select("source", "mix.*").groupBy("source").agg(
+            F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n")).collect()
+        assert sorted(r.n for r in found) == [150, 200] and all(abs(r.taken - r.target) <= 5 for r in found)
+
+
 def test_longer_documents_are_likelier(spark):
     rows = [(i, "w " * (4 if i % 2 else 256), "a") for i in range(4000)] + [(9000 + i, "w " * 100_000, "b") for i in range(2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -205,6 +217,41 @@ def test_leaks_in_odd_rows(spark, block_bytes):
     assert found == sorted(windows_hit([r[:2] for r in odd_rows()], items), key=str)
 
 
+def test_one_block_is_alive_at_a_time(spark, monkeypatch):
+    """Driver: the block at work and the one read ahead; a worker: the last set it was given."""
+    import gc
+    import weakref
+
+    alive, most = weakref.WeakSet(), []
+    make = decontaminate.WindowSet.__init__
+
+    def counted(self, *a):
+        gc.collect()
+        make(self, *a)
+        alive.add(self)
+        most.append(len(alive))
+
+    monkeypatch.setattr(decontaminate.WindowSet, "__init__", counted)
+    items = spark.createDataFrame([(i, f"item {i} secret") for i in range(6)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "item 0 secret and item 5 secret"), (2, "item 3 secret"), (3, "clean")],
+                                 "doc_id long, text string")
+    got = decontaminate.scan(docs, items, block_bytes=1)
+    assert {r.doc_id: (r.leak.n_hit, r.leak["items"]) for r in got.collect()} == {
+        1: (6, ["0", "5"]), 2: (3, ["3"]), 3: (0, [])}
+    assert len(most) == 6 and max(most) <= 2
+
+    def held(batches):
+        import sys
+
+        import pyarrow
+
+        for batch in batches:
+            store = getattr(sys.modules.get("_llm_worker_store"), "leak_windows", {})
+            yield pyarrow.RecordBatch.from_pydict({"n": pyarrow.array([len(store)] * len(batch), pyarrow.int32())})
+
+    assert spark.range(64).repartition(16).mapInArrow(held, "n int").agg({"n": "max"}).first()[0] <= 1
+
+
 def test_leaks_are_removed_as_spans_or_documents(spark):
     docs = spark.createDataFrame([(1, "Keep, this. SECRET answer here; and this"), (2, "All clean,  here")],
                                  "doc_id long, text string")
