@@ -38,12 +38,13 @@ from pyspark.sql import functions as F
 
 from corpusgate.llm.common import Batches, share, staged, table, texts_of, worker_cache
 from corpusgate.llm.token_counts import TOKENIZER, tokenizer_path
-from corpusgate.llm.tokens import LONG, Pieces
+from corpusgate.llm.tokens import LONG, Pieces, safe
 from corpusgate.session import checkpoint_dir
 
 MODEL = "piece_bpe_32k.model"
 TABLE = 1 << 20  # pairs whose counts are broadcast: 17 bytes each
-CACHE = 500_000  # pieces remembered by one worker and tokenizer
+CACHE = 500_000  # pieces remembered by one worker
+CHUNK = 256      # pieces encoded by one call
 GROUP = 32       # texts aligned together
 SPACE = "▁"
 DIGEST = ("rid bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, "
@@ -62,7 +63,7 @@ class SideA:
     """Token ids of space + text, special strings as plain text."""
 
     def __init__(self, path: str):
-        self.pieces = Pieces(path, limit=CACHE)
+        self.pieces = Pieces(path, limit=1 << 62)  # its cache is cleared together with B's
         self.pieces.lib.encode_special_tokens = True
         self.pieces.split = re.compile(r"(?!)")
         self.pieces.simple = True
@@ -75,8 +76,8 @@ class SideA:
         self.kind = np.uint16 if self.pieces.code == "H" else np.uint32
         self.lossless = lib.normalizer is None
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(b"".join(v), self.kind).astype(np.int64) for v in self.pieces.encode([" " + t for t in texts])]
+    def whole(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(self.pieces.encode([" " + text])[0]), self.kind).astype(np.int64)
 
 
 class SideB:
@@ -92,8 +93,9 @@ class SideB:
         # pieces may only begin with a space (or be nothing else), and no line end may stand beside another character
         self.cuts = all(not (SPACE in n[1:] and n.strip(SPACE)) and not ("\n" in n and len(n) > 1) for n in names)
         self.space = self.lib.piece_to_id(SPACE)
-        self.cuts &= names[self.space] == SPACE
-        self.cache: dict[str, bytes | None] = {}
+        self.cuts &= names[self.space] == SPACE and len(names) < 1 << 16
+        self.starts = np.array([n.startswith(SPACE) for n in names])
+        self.cache: dict[str, bytes | None] = {}  # ids as little-endian uint16; None: bytes differ
 
     def checked(self, ids: list[int], wanted: bytes) -> np.ndarray | None:
         return np.array(ids, np.int64) if b"".join([self.bytes[i] for i in ids]) == wanted else None
@@ -102,32 +104,24 @@ class SideB:
         return self.checked(self.lib.encode(text), b" " + text.encode("utf-8", "surrogatepass"))
 
     def learn(self, pieces: list[str]) -> None:
-        for piece, ids in zip(pieces, self.lib.encode(pieces)):
-            raw = piece.encode("utf-8", "surrogatepass")
-            if piece[:1] == "\n":  # the space that the model puts in front belongs to no piece that begins with a line end
-                good = ids[:1] == [self.space] and self.checked(ids[1:], raw) is not None
-                ids = ids[1:]
-            else:
-                good = self.checked(ids, b" " + raw) is not None
-            self.cache[piece] = np.array(ids, "<u4").tobytes() if good else None
-
-    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cut = [t.replace("\n", " \n").split(" ") if self.cuts and t[:1] != " " and "  " not in t else None for t in texts]
-        need = {p for parts in cut if parts for p in parts}
-        need.difference_update(self.cache)
-        need.discard("")
-        self.learn(list(need))
-        self.cache[""] = np.array([self.space], "<u4").tobytes()
-        out = []
-        for text, parts in zip(texts, cut):
-            values = [self.cache[p] for p in parts] if parts else [None]
-            out.append(self.whole(text) if None in values else np.frombuffer(b"".join(values), "<u4").astype(np.int64))
-        for p in need:
-            if len(p) > LONG:
-                del self.cache[p]
-        return out
+        """Remember the ids of pieces, many to a call: a space between pieces is where the next one's first id begins."""
+        for a in range(0, len(pieces), CHUNK):
+            part = pieces[a:a + CHUNK]
+            if not self.learn_joined(part):
+                for piece in part:
+                    if not self.learn_joined([piece]):
+                        self.cache[piece] = None
+
+    def learn_joined(self, part: list[str]) -> bool:
+        text = " ".join(part)
+        ids = np.array(self.lib.encode(text), "<u2")
+        cuts = np.flatnonzero(self.starts[ids])
+        if len(cuts) != len(part) or b"".join(map(self.bytes.__getitem__, ids.tolist())) != b" " + text.encode("utf-8", "surrogatepass"):
+            return False
+        raw, ends = ids.tobytes(), [*(cuts * 2).tolist(), 2 * len(ids)]
+        # before a line end the space that joins is a token of its own and no part of the piece
+        self.cache.update((p, raw[x + 2 * (p[:1] == "\n"):y]) for p, x, y in zip(part, ends, ends[1:]))
+        return True
 
 
 class Aligner:
@@ -138,14 +132,42 @@ class Aligner:
         self.size_a = np.array([len(x) for x in self.a.bytes], np.int64)
         self.size_b = np.array([len(x) for x in self.b.bytes], np.int64)
         self.wide = len(self.size_b)
+        self.key = np.uint32 if len(self.size_a) * self.wide < 1 << 32 else np.int64  # of a linked pair of ids
         # what is printed after an id: a comma, or the mark that ends its side
         self.names = ([f"{i}{m}" for i in range(len(self.size_a)) for m in ",|"]
                       + [f"{i}{m}" for i in range(self.wide) for m in ",;"])
 
+    def encoded(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray | None]]:
+        """A's and B's ids of each text. Both sides are cut at the same places and remember the same pieces."""
+        one, two = self.a.pieces.cache, self.b.cache
+        if max(len(one), len(two)) > CACHE:
+            one.clear()
+            two.clear()
+        cut = [t.replace("\n", " \n").split(" ") if self.b.cuts and t[:1] != " " and "  " not in t and safe(" " + t) else None
+               for t in texts]
+        need = {p for parts in cut if parts for p in parts}
+        need.difference_update(two)
+        need.discard("")
+        self.a.pieces.learn(need | {""} if "" not in one else need)
+        self.b.learn(list(need))
+        two[""] = np.array([self.b.space], "<u2").tobytes()
+        out = []
+        for text, parts in zip(texts, cut):
+            if parts is None:
+                out.append((self.a.whole(text), self.b.whole(text)))
+                continue
+            values = list(map(two.__getitem__, parts))
+            out.append((np.frombuffer(b"".join(map(one.__getitem__, parts)), self.a.kind).astype(np.int64),
+                        self.b.whole(text) if None in values else np.frombuffer(b"".join(values), "<u2").astype(np.int64)))
+        for p in need:
+            if len(p) > LONG:
+                del one[p], two[p]
+        return out
+
     def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """A's and B's ids of each text; None where there are none."""
         out = []
-        for text, a, b in zip(texts, self.a.encode(texts), self.b.encode(texts)):
+        for text, (a, b) in zip(texts, self.encoded(texts)):
             raw = b" " + text.encode("utf-8", "surrogatepass")
             good = text and b is not None and self.size_a[a].sum() == len(raw)
             if good and not self.a.lossless:
@@ -199,7 +221,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     words = list(map(tool.names.__getitem__, ids.tolist()))
                     cut, upto = np.concatenate([[0], np.cumsum(n_links[rows])]), 0
                     for k, i in enumerate(rows):
-                        links[i] = keys[cut[k]:cut[k + 1]].tobytes()
+                        links[i] = keys[cut[k]:cut[k + 1]].astype(tool.key).tobytes()
                         size = int(n_a[i] + n_b[i])
                         digests[i] = hashlib.sha256("".join(words[upto:upto + size])[:-1].encode()).hexdigest()
                         upto += size
@@ -209,11 +231,12 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     path = f"{checkpoint_dir(docs.sparkSession)}/alignment-{uuid.uuid4().hex}"
-    rows.mapInArrow(run, DIGEST).write.option("compression", "zstd").parquet(path)
+    # small row groups: their buffers stand beside two tokenizers' caches on an executor
+    rows.mapInArrow(run, DIGEST).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     return docs.sparkSession.read.schema(DIGEST).parquet(path)
 
 
-def pair_counts(found: DataFrame, wide: int) -> DataFrame:
+def pair_counts(found: DataFrame, wide: int, key: type) -> DataFrame:
     """(key, n, best): how many links of the corpus hold each pair of ids, and whether no pair of its B id has more."""
     def run(batches: Batches) -> Batches:
         keys, counts, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), []
@@ -228,7 +251,7 @@ def pair_counts(found: DataFrame, wide: int) -> DataFrame:
         size = 0
         for batch in batches:
             for raw in batch.column("links").to_pylist():
-                waiting.append(np.frombuffer(raw, np.int64))
+                waiting.append(np.frombuffer(raw, key).astype(np.int64))
                 size += len(waiting[-1])
                 if size > 1 << 21:
                     keys, counts = added()
@@ -257,7 +280,7 @@ def frequent(pairs: DataFrame, most: int) -> tuple[int, DataFrame]:
     return least, pairs.filter(F.col("n") >= least)
 
 
-def scored(found: DataFrame, pairs: DataFrame, most: int = TABLE) -> DataFrame:
+def scored(found: DataFrame, pairs: DataFrame, key: type, most: int = TABLE) -> DataFrame:
     """`found` with n_best and count_sum in place of the links."""
     least, top = frequent(pairs, most)
     rows = top.orderBy("key").toArrow()  # bounded: `most` rows of 17 bytes
@@ -268,7 +291,7 @@ def scored(found: DataFrame, pairs: DataFrame, most: int = TABLE) -> DataFrame:
         for batch in batches:
             n_best, total, rest = [], [], []
             for raw in batch.column("links").to_pylist():
-                links = np.frombuffer(raw, np.int64)
+                links = np.frombuffer(raw, key).astype(np.int64)
                 at = np.searchsorted(keys, links)
                 hit = np.zeros(len(links), bool) if not len(keys) else keys[np.minimum(at, len(keys) - 1)] == links
                 n_best.append(int(best[at[hit]].sum()))
@@ -294,8 +317,9 @@ def scored(found: DataFrame, pairs: DataFrame, most: int = TABLE) -> DataFrame:
 def align(docs: DataFrame, path_a: str, path_b: str, most: int = TABLE) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     found = aligned(docs, path_a, path_b)
-    pairs = pair_counts(found, len(SideB(path_b).bytes))
-    return scored(found, pairs, most).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+    tool = Aligner(path_a, path_b)
+    pairs = pair_counts(found, tool.wide, tool.key)
+    return scored(found, pairs, tool.key, most).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
                                              "groups_sha256")
 
 
