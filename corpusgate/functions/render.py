@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusgate import constants as K
-from corpusgate.functions.text import col, nullif_empty, ustrip
+from corpusgate.functions.text import col, float_text, nullif_empty, ustrip
 
 
 class TemplateError(ValueError):
@@ -28,11 +28,13 @@ def render_column(column: str) -> Column:
 
 def _value_text(c: Column, dtype: T.DataType | None) -> Column:
     """How `str()` prints a value inside `str.format`: null is 'None',
-    booleans 'True'/'False'; strings and integers print as themselves."""
+    booleans 'True'/'False', floats their shortest digits; strings and integers print as themselves."""
     if isinstance(dtype, T.BooleanType):
         text = F.when(c, F.lit("True")).when(~c, F.lit("False"))
     elif isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
         raise TemplateError("nested columns cannot be rendered into text")
+    elif isinstance(dtype, (T.DoubleType, T.FloatType)):
+        text = float_text(c)
     else:
         text = c.cast("string")
     return F.coalesce(text, F.lit("None"))
@@ -82,7 +84,7 @@ def row_values_map(schema: T.StructType, columns: list[str] | None = None) -> Co
             continue
         c = F.col(f"`{f.name}`")
         text = F.when(c, F.lit("True")).when(~c, F.lit("False")) if isinstance(f.dataType, T.BooleanType) \
-            else c.cast("string")
+            else float_text(c) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c.cast("string")
         entries += [F.lit(f.name), text]
     return F.create_map(*entries) if entries else F.create_map().cast("map<string,string>")
 

@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 import string
+import sys
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,23 +23,41 @@ def ustrip(c) -> Column:
     return F.regexp_replace(col(c), STRIP_PATTERN, "")
 
 
-# Characters that Python's `repr` writes as escapes (Latin-1 part; the rest of Unicode is printed as it is).
-_ESCAPES = {chr(i): f"\\x{i:02x}" for i in (*range(32), *range(127, 161), 173)} | {
-    "\t": "\\t", "\n": "\\n", "\r": "\\r", "\\": "\\\\"}
+@cache
+def unprintable() -> str:
+    """The code points that Python's `repr` escapes, as the ranges of a character class: `str.isprintable` is the rule."""
+    ranges, start = [], None
+    for cp in range(sys.maxunicode + 2):
+        hidden = cp <= sys.maxunicode and not 0xD800 <= cp < 0xE000 and not chr(cp).isprintable()
+        if hidden and start is None:
+            start = cp
+        elif not hidden and start is not None:
+            ranges.append((start, cp - 1))
+            start = None
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
 
 
 def quoted(c) -> Column:
     """Python `repr` of a string: in single quotes, or in double quotes if it
-    holds a single and no double quote; backslashes and control characters
-    escaped."""
+    holds a single and no double quote; backslashes and whatever is not
+    printable escaped."""
     x = col(c)
-    marks = F.create_map(*[F.lit(v) for pair in _ESCAPES.items() for v in pair])
     double = x.contains("'") & ~x.contains('"')
     quote = F.when(double, F.lit('"')).otherwise(F.lit("'"))
-    body = F.array_join(F.transform(F.split(x, ""), lambda ch: F.coalesce(
-        F.when((ch == "'") & ~double, F.lit("\\'")), F.try_element_at(marks, ch), ch)), "")
+
+    def escaped(ch: Column) -> Column:
+        code = F.ascii(ch)
+        return (F.when((ch == "'") & ~double, F.lit("\\'")).when(ch == "\\", F.lit("\\\\"))
+                .when(ch == "\t", F.lit("\\t")).when(ch == "\n", F.lit("\\n")).when(ch == "\r", F.lit("\\r"))
+                .when(ch.rlike("^[ -~]") | ~ch.rlike(f"[{unprintable()}]"), ch)
+                .when(code < 0x100, F.concat(F.lit("\\x"), F.lpad(F.lower(F.hex(code)), 2, "0")))
+                .when(code < 0x10000, F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0")))
+                .otherwise(F.concat(F.lit("\\U"), F.lpad(F.lower(F.hex(code)), 8, "0"))))
+
+    body = F.array_join(F.transform(F.split(x, ""), escaped), "")
     plain = F.concat(F.lit("'"), x, F.lit("'"))
-    return F.when(x.rlike("['\\\\\\x00-\\x1f\\x7f-\\xa0\\xad]"), F.concat(quote, body, quote)).otherwise(plain)
+    # almost every text is printable ASCII without quotes and backslashes
+    return F.when(x.rlike(r"^[ !#-&(-\[\]-~]*\z"), plain).otherwise(F.concat(quote, body, quote))
 
 
 def percent(c) -> Column:
@@ -50,19 +70,106 @@ def thousands(c) -> Column:
     return F.format_number(col(c), 0)
 
 
+def _digits(x: Column) -> tuple[Column, Column]:
+    """(digits, point) of a positive finite double: the fewest decimal digits that give it back, without zeros at
+    either end, and where its decimal point stands (0: before the first digit).
+
+    Java's text may hold a digit or two too many; a digit goes while the shorter number, rounded down or up, is
+    still the same double."""
+    text = x.cast("string")
+    mantissa, power = F.split(text, "E")[0], F.coalesce(F.get(F.split(text, "E"), F.lit(1)).cast("int"), F.lit(0))
+    whole = F.split(mantissa, r"\.")[0]
+    raw = F.concat(whole, F.coalesce(F.get(F.split(mantissa, r"\."), F.lit(1)), F.lit("")))
+    lead = F.regexp_replace(raw, "^0+", "")
+    found = F.struct(F.regexp_replace(lead, "0+$", "").alias("d"),
+                     (F.length(whole) + power - (F.length(raw) - F.length(lead))).alias("p"))
+
+    def shorter(s: Column) -> Column:
+        n = F.length(s["d"])
+        cut, power = F.substring(s["d"], F.lit(1), n - 1).cast("decimal(20,0)"), s["p"] - n + 1
+
+        def as_found(number: Column) -> Column:
+            t = number.cast("string")
+            return F.when((n > 1) & (F.concat(t, F.lit("E"), power.cast("string")).cast("double") == x), F.struct(
+                F.regexp_replace(t, "0+$", "").alias("d"), (F.length(t) + power).alias("p")))
+
+        down, up = as_found(cut), as_found(cut + 1)
+        # where the digit that goes is a 5, a whole number itself tells to which side it was rounded
+        middle = s["d"].cast("decimal(38,0)") * F.rpad(F.lit("1"), F.greatest(s["p"] - n, F.lit(0)) + 1, "0").cast("decimal(38,0)")
+        low = (x < 9e18) & (x >= 1e15) & (F.substring(s["d"], -1, 1) == "5") & (x.try_cast("bigint").cast("decimal(38,0)") < middle)
+        return F.when((F.substring(s["d"], -1, 1) >= "5") & ~F.coalesce(low, F.lit(False)), F.coalesce(up, down, s)) \
+            .otherwise(F.coalesce(down, up, s))
+
+    # a fold evaluates each step once, where nested expressions would repeat one another
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(3)), found, lambda s, _: shorter(s))
+    return found["d"], found["p"]
+
+
+def _scientific(digits: Column, point: Column) -> Column:
+    power = point - 1
+    rest = F.substring(digits, F.lit(2), F.length(digits))
+    return F.concat(F.substring(digits, 1, 1), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(F.lit("")),
+                    F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
+                    F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(power).cast("string"))
+
+
+def _signed(x: Column, zero: str, positive: Column) -> Column:
+    minus = F.when((x < 0) | (x.cast("string") == "-0.0"), F.lit("-")).otherwise(F.lit(""))
+    return (F.when(F.isnan(x), F.lit("nan")).when(F.abs(x) == float("inf"), F.concat(minus, F.lit("inf")))
+            .when(x == 0, F.concat(minus, F.lit(zero))).otherwise(F.concat(minus, positive)))
+
+
+def float_text(c) -> Column:
+    """Python `str` of a float: the shortest digits that give it back, with an exponent below 1e-4 and from 1e16."""
+    x = col(c).cast("double")
+    found = F.struct(*[v.alias(k) for v, k in zip(_digits(F.abs(x)), "dp")])
+
+    def text(s: Column) -> Column:
+        d, p = s["d"], s["p"]
+        n = F.length(d)
+        return (F.when((p < -3) | (p > 16), _scientific(d, p))
+                .when(p <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -p), d))
+                .when(p >= n, F.concat(d, F.repeat(F.lit("0"), p - n), F.lit(".0")))
+                .otherwise(F.concat(F.substring(d, F.lit(1), p), F.lit("."), F.substring(d, p + 1, n))))
+
+    return F.when(x.isNotNull(), _signed(x, "0.0", F.transform(F.array(found), text)[0]))
+
+
 def fmt_g(c) -> Column:
-    """Python `f"{x:g}"` for values in [1e-4, 1e6): six significant digits,
-    half-even, trailing zeros dropped. Outside that range the double's own
-    text is used (documented difference)."""
+    """Python `f"{x:g}"`: six significant digits, trailing zeros dropped; with an exponent below 1e-4 and from 1e6.
+    Whether a 5 in the seventh and last digit rounds up is decided on the double itself within [1e-4, 1e6), and
+    to even elsewhere."""
     x = col(c).cast("double")
-    scale = F.lit(5) - F.floor(F.log10(F.abs(x)))
-    text = None
-    for d in range(0, 10):  # bround takes a literal scale: one branch per scale
-        s = F.bround(x, d).cast("decimal(38,10)").cast("string")
-        s = F.regexp_replace(F.regexp_replace(s, r"0+$", ""), r"\.$", "")
-        text = F.when(scale == d, s) if text is None else text.when(scale == d, s)
-    in_range = (F.abs(x) >= 1e-4) & (F.abs(x) < 1e6)
-    return F.when(x == 0, F.lit("0")).when(in_range, text).otherwise(x.cast("string"))
+    y = F.abs(x)
+    found = F.struct(*[v.alias(k) for v, k in zip(_digits(y), "dp")])
+    near = (y >= 1e-4) & (y < 1e6)
+    two = (F.lit(53) - F.floor(F.log2(y))).cast("int")
+
+    def above(s: Column) -> Column:
+        """Whether the double lies above its own seven digits (null: on them): y 2^k and the digits as whole numbers."""
+        whole = F.round(y * F.pow(F.lit(2.0), two), 0).cast("bigint").cast("decimal(20,0)")
+        tens = F.rpad(F.lit("1"), F.greatest(F.length(s["d"]) - s["p"], F.lit(0)) + 1, "0").cast("decimal(18,0)")
+        half = F.least(two, F.lit(40))
+        twos = (F.pow(F.lit(2.0), half).cast("bigint").cast("decimal(14,0)")
+                * F.pow(F.lit(2.0), two - half).cast("bigint").cast("decimal(10,0)"))
+        exact, digits = whole * tens, twos * F.substring(s["d"], 1, 7).cast("decimal(7,0)")
+        return F.when(exact > digits, True).when(exact < digits, False)
+
+    def text(s: Column) -> Column:
+        n = F.length(s["d"])
+        head = F.substring(s["d"], 1, 6).cast("decimal(20,0)")
+        tail = F.rpad(F.substring(s["d"], F.lit(7), n), 12, "0")
+        up = (tail > "500000000000") | ((tail == "500000000000") & F.coalesce(F.when(near, above(s)), head % 2 == 1))
+        rounded = F.when(n <= 6, s["d"]).otherwise((head + F.when(up, 1).otherwise(0)).cast("string"))
+        p = s["p"] + F.when(n > 6, F.length(rounded) - 6).otherwise(0)
+        d = F.regexp_replace(rounded, "0+$", "")
+        k = F.length(d)
+        return (F.when((p < -3) | (p > 6), _scientific(d, p))
+                .when(p <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -p), d))
+                .when(p >= k, F.concat(d, F.repeat(F.lit("0"), p - k)))
+                .otherwise(F.concat(F.substring(d, F.lit(1), p), F.lit("."), F.substring(d, p + 1, k))))
+
+    return F.when(x.isNotNull(), _signed(x, "0", F.transform(F.array(found), text)[0]))
 
 
 def truncate_chars(c, n: int, mark: str = "…") -> Column:

@@ -1,31 +1,26 @@
 """Benchmark-item contamination (RA3): which training rows contain a
-benchmark item's text verbatim.
-
-Exact containment, found without comparing every item with every row:
-
-* Split texts into tokens on whitespace. If item t = w1 … wk occurs inside
-  row d, every *interior* token w2 … w(k-1) is a whole token of d (it has
-  whitespace on both sides). So each item with k ≥ 3 needs only rows that
-  hold one chosen interior token — its anchor.
-* The anchor is the item's interior token that the fewest rows contain.
-  Pass 1 explodes row tokens (a codegen'd generator, deduplicated per row),
-  keeps those in the items' interior vocabulary (a broadcast semi-join;
-  benchmarks are small, size-checked) and counts rows per token — an
-  aggregate whose output is the vocabulary. Pass 2 keeps rows holding an
-  anchor token: (row, item) candidates.
-* Each candidate pair is verified with `contains` on the full texts, so the
-  anchor choice changes only the work, never the answer.
-* Items of one or two tokens have no interior token; they are matched by
-  `contains` against every row, joined with the (size-checked) broadcast of
-  those few items.
+benchmark item's text verbatim, and which share its word n-grams.
+
+Exact containment reads the rows' texts once: the items become an Aho–Corasick
+automaton that finds all of them, of any length, in one walk over a text. The
+items are read in blocks of at most `BLOCK_BYTES` of text (one item at least);
+a block is broadcast, each worker builds its automaton once, and with several
+blocks each one's hits are written and the block dropped before the next. No
+row is ever paired with an item that it does not contain.
 """
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgate.functions.joins import sized
+from corpusgate.functions.workers import held
 
+BLOCK_BYTES = 2 << 20  # a worker's automaton has a node of some 40 bytes per character
 TOKEN_SPLIT = r"\s+"
 
 
@@ -33,11 +28,6 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, TOKEN_SPLIT), lambda t: t != "")
 
 
-def _row_tokens(rows: DataFrame, row_id: str, row_text: str) -> DataFrame:
-    return rows.select(F.col(row_id).alias("row_id"),
-                       F.explode(F.array_distinct(F.split(F.col(row_text), TOKEN_SPLIT))).alias("token"))
-
-
 def ngram_overlap(items: DataFrame, rows: DataFrame, n: int = 8, item_id: str = "item_id", item_text: str = "text",
                   row_id: str = "doc_id", row_text: str = "text") -> DataFrame:
     """(item_id, row_id, shared, total): how many of an item's distinct word
@@ -63,33 +53,66 @@ def ngram_overlap(items: DataFrame, rows: DataFrame, n: int = 8, item_id: str =
                                                 "shared", "total")
 
 
+def blocks_of(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """(n, item_text) rows in blocks of at most `block_bytes` of text, one at a time."""
+    block, size = [], 0
+    for n, text in items.select("n", "item_text").toLocalIterator():
+        if block and size + 4 * len(text) > block_bytes:
+            yield block
+            block, size = [], 0
+        block.append((n, text))
+        size += 4 * len(text)
+    if block:
+        yield block
+
+
+def automaton(block: list[tuple[int, str]]):
+    """Every text of the block, with the numbers of the items that have it."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for n, text in block:
+        if not found.exists(text):
+            found.add_word(text, [])
+        found.get(text).append(n)
+    found.make_automaton()
+    return found
+
+
 def contamination(items: DataFrame, rows: DataFrame, item_id: str = "item_id", item_text: str = "text",
-                  row_id: str = "doc_id", row_text: str = "text") -> DataFrame:
+                  row_id: str = "doc_id", row_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(item_id, row_id) for every row whose text contains the item's text.
 
     An item without any token (null, empty, white space only) is contained in
-    nothing: it would match every row and say nothing about any."""
+    nothing: it would match every row and say nothing about any. Repeated items
+    and repeated rows each give their own pairs."""
     it = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item_text"))
-    it = it.withColumn("tk", tokens(F.col("item_text"))).withColumn("k", F.size("tk")).where(F.col("k") > 0)
-    interior = (it.where(F.col("k") >= 3)
-                .select("item_id", F.explode(F.slice("tk", 2, F.col("k") - 2)).alias("token")).distinct())
-    vocab = sized(interior.select("token").distinct(), "item-tokens")
-    # pass 1: rows per interior token
-    freq = (_row_tokens(rows, row_id, row_text).join(vocab, "token", "left_semi")
-            .groupBy("token").agg(F.count(F.lit(1)).alias("df")))
-    scored = interior.join(freq, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    anchors = sized(scored.groupBy("item_id").agg(F.min(F.struct("df", "token")).alias("a"))
-                    .select("item_id", F.col("a.token").alias("token")), "anchors")
-    # pass 2: rows holding an anchor token
-    candidates = (_row_tokens(rows, row_id, row_text).join(anchors, "token")
-                  .select("row_id", "item_id").distinct())
-    text_rows = rows.select(F.col(row_id).alias("row_id"), F.col(row_text).alias("row_text"))
-    texts = sized(it.select("item_id", "item_text", "k"), "item-texts")
-    out = (text_rows.join(sized(candidates, "candidates"), "row_id").join(texts.drop("k"), "item_id")
-           .where(F.col("row_text").contains(F.col("item_text"))).select("item_id", "row_id"))
-    short_items = texts.where(F.col("k") < 3).select("item_id", "item_text")
-    if not short_items.isEmpty():
-        # one or two tokens have no interior: such an item is looked for as text, row by row
-        out = out.unionByName(text_rows.join(short_items, F.col("row_text").contains(F.col("item_text")))
-                              .select("item_id", "row_id"))
-    return out.select(F.col("item_id").alias(item_id), F.col("row_id").alias(row_id))
+    it = sized(it.where(F.size(tokens(F.col("item_text"))) > 0).withColumn("n", F.monotonically_increasing_id()), "items")
+    texts = rows.select(F.col(row_id).alias("row_id"), F.col(row_text).alias("row_text"))
+    ddl = f"row_id {texts.schema['row_id'].dataType.simpleString()}, n bigint"
+    sc = rows.sparkSession.sparkContext
+    blocks = blocks_of(it, block_bytes)
+    block, following = next(blocks, []), next(blocks, None)
+    several, hits = following is not None, None
+    while block is not None:
+        blob, token = sc.broadcast(block), uuid.uuid4().hex
+
+        def scan(batches, blob=blob, token=token):
+            for batch in batches:
+                found = held("items", token, lambda: automaton(blob.value))
+                at, numbers = [], []
+                for i, text in enumerate(batch.column("row_text").to_pylist()):
+                    if text and len(found):
+                        here = {n for _, owners in found.iter(text) for n in owners}
+                        at += [i] * len(here)
+                        numbers += here
+                yield pa.RecordBatch.from_arrays([batch.column("row_id").take(pa.array(at, pa.int64())),
+                                                  pa.array(numbers, pa.int64())], ["row_id", "n"])
+
+        each = texts.mapInArrow(scan, ddl)
+        if several:
+            each = sized(each, "item-hits")
+            blob.destroy()
+        hits = each if hits is None else hits.unionByName(each)
+        block, following = following, next(blocks, None) if several else None
+    return hits.join(it.select("n", "item_id"), "n").select(F.col("item_id").alias(item_id), F.col("row_id").alias(row_id))

@@ -1,7 +1,11 @@
-"""Quoting of names, and finding a manifest by name."""
+"""Quoting of names, numbers as text, and finding a manifest by name."""
+import math
+import random
+import struct
+
 import pytest
 
-from corpusgate.functions.text import quoted
+from corpusgate.functions.text import float_text, fmt_g, quoted
 from corpusgate.operators.names import find_manifests
 
 NAMES = ["plain", "", "it's", 'say "it"', 'it\'s "it"', "back\\slash", "two\nlines", "a\tb\r", "\x00\x1b\x7f", "\x85\xa0\xad", "é 東京",
@@ -13,6 +17,32 @@ def test_names_are_quoted_as_python_does(spark):
     assert [tuple(r) for r in df.select("n", quoted("n")).collect()] == [(n, repr(n)) for n in NAMES]
 
 
+def test_every_code_point_is_quoted_as_python_does(spark):
+    points = [cp for cp in range(0x110000) if not 0xD800 <= cp < 0xE000]
+    rows = spark.createDataFrame([(i, "".join(map(chr, points[i:i + 64]))) for i in range(0, len(points), 64)], "i int, n string")
+    wrong = [r.i for r in rows.repartition(16).select("i", "n", quoted("n").alias("q")).collect() if r.q != repr(r.n)]
+    assert wrong == []
+
+
+def doubles():
+    rng = random.Random(17)
+    some = [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(6000)]
+    some += [rng.uniform(-10, 10) for _ in range(1000)] + [round(rng.uniform(0, 1000), rng.randrange(6)) for _ in range(1000)]
+    some += [rng.randrange(1, 1000) * 10.0 ** rng.randrange(-20, 25) for _ in range(1000)]
+    some += [s * 10.0 ** e for e in range(-30, 31) for s in (1, -1, 9.999995, 1.0000005, 1.5, 2)]
+    return some + [0.0, -0.0, 5e-324, 2e-3, 2e23, 1e16, 1e15, 9999999999999998.0, 123456.5, 999999.5, 0.1 + 0.2, 2.2250738585072014e-308,
+                   1.7976931348623157e308, math.inf, -math.inf, math.nan, 5e-5, 0.0001, 0.00001, 1e5, 1e6]
+
+
+def test_numbers_print_as_in_python(spark):
+    df = spark.createDataFrame([(x,) for x in doubles()] + [(None,)], "x double").repartition(8)
+    rows = df.select("x", float_text("x").alias("s"), fmt_g("x").alias("g")).collect()
+    assert [(r.x, r.s) for r in rows if r.x is not None and r.s != str(r.x)] == []
+    tie = lambda x: 0 < abs(x) < 1e-300 or not 1e-4 <= abs(x) < 1e6 and repr(x).split("e")[0].replace(".", "").strip("-0")[6:] == "5"
+    assert [(r.x, r.g) for r in rows if r.x is not None and not tie(r.x) and r.g != f"{r.x:g}"] == []
+    assert [(r.s, r.g) for r in rows if r.x is None] == [(None, None)]
+
+
 @pytest.mark.parametrize("name,path", [
     ("exp_a", "examples/zoe/exp_a.yaml"),            # examples come before proposals
     ("exp_b", "proposals/bob/exp_b.yaml"),           # `bob` before `bob-x`, though `-` sorts before `/`
