@@ -62,7 +62,8 @@ def passed(df: DataFrame, n: int, keys: list, run: Callable, ddl: str, name: str
         if whole is not None:
             yield run(whole)
 
-    cut = df.repartitionByRange(parts(df, n), *keys).sortWithinPartitions(*keys)
+    pieces = parts(df, n)
+    cut = (df.repartitionByRange(pieces, *keys) if pieces > 1 else df.repartition(1)).sortWithinPartitions(*keys)
     return staged(cut.withColumn("part", F.spark_partition_id()).mapInArrow(each, ddl), name)
 
 
