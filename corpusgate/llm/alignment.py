@@ -43,7 +43,7 @@ from corpusgate.session import checkpoint_dir
 
 MODEL = "piece_bpe_32k.model"
 TABLE = 1 << 20  # pairs whose counts are broadcast: 17 bytes each
-CACHE = 500_000  # pieces remembered by one worker
+CACHE = 200_000  # pieces remembered by one worker; more cost as much in slow look-ups as they save
 CHUNK = 256      # pieces encoded by one call
 GROUP = 32       # texts aligned together
 SPACE = "▁"
@@ -145,19 +145,20 @@ class Aligner:
             two.clear()
         cut = [t.replace("\n", " \n").split(" ") if self.b.cuts and t[:1] != " " and "  " not in t and safe(" " + t) else None
                for t in texts]
-        need = {p for parts in cut if parts for p in parts}
-        need.difference_update(two)
-        need.discard("")
-        self.a.pieces.learn(need | {""} if "" not in one else need)
-        self.b.learn(list(need))
+        # the group's own pieces in small tables: each is looked up once among all that the worker remembers
+        here = list(set().union(*[parts for parts in cut if parts]))
+        need = [p for p, v in zip(here, map(one.get, here)) if v is None]
+        self.a.pieces.learn(set(need))
+        self.b.learn([p for p in need if p])
         two[""] = np.array([self.b.space], "<u2").tobytes()
+        get_a, get_b = (dict(zip(here, map(known.__getitem__, here))).__getitem__ for known in (one, two))
         out = []
         for text, parts in zip(texts, cut):
             if parts is None:
                 out.append((self.a.whole(text), self.b.whole(text)))
                 continue
-            values = list(map(two.__getitem__, parts))
-            out.append((np.frombuffer(b"".join(map(one.__getitem__, parts)), self.a.kind).astype(np.int64),
+            values = list(map(get_b, parts))
+            out.append((np.frombuffer(b"".join(map(get_a, parts)), self.a.kind).astype(np.int64),
                         self.b.whole(text) if None in values else np.frombuffer(b"".join(values), "<u2").astype(np.int64)))
         for p in need:
             if len(p) > LONG:
