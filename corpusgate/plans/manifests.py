@@ -1,6 +1,8 @@
 """Manifest-rule queries over the derived manifest fixtures."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusgate.functions.render import source_subject
@@ -10,7 +12,9 @@ from corpusgate import constants as K
 from corpusgate.operators.changes import layout_problems
 from corpusgate.operators.names import duplicate_names, find_manifests, taken_names
 from corpusgate.sources.fixtures import fixture
-from corpusgate.sources.manifests import fixture_manifests
+from corpusgate.session import checkpoint_dir
+from corpusgate.sources.listing import scan_manifest_files, write_files
+from corpusgate.sources.manifests import fixture_documents, fixture_manifests, manifest_problems
 
 
 def _nested(spark, sf_dir):
@@ -128,13 +132,25 @@ def q_manifest_scan(spark, sf_dir):
     """SC6 + MV1 + MV28: the fixture manifests written out as documents,
     decoded again and checked from the raw text — the same problems as the
     nested path must come out."""
-    from corpusgate.sources.manifests import fixture_documents, manifest_problems
-
     probs = manifest_problems(fixture_documents(spark, sf_dir))
     return probs.select("manifest_id", F.posexplode("problems").alias("seq", "problem")).select(
         "manifest_id", (F.col("seq") + 1).alias("seq"), "problem")
 
 
+def q_manifest_files(spark, sf_dir):
+    """SC5, SC6, MV1, MV2: a tree of manifest files, JSON and YAML, written out, listed (names that start with
+    `.` or `_` too), decoded and checked; and the whole numbers that were read."""
+    root = f"{checkpoint_dir(spark)}/tree-{uuid.uuid4().hex}/proposals"
+    write_files(fixture(spark, sf_dir, "fx_tree"), root)
+    found = manifest_problems(scan_manifest_files(spark, [root, root + "-none"]))
+    number = lambda c: c.cast("string")
+    yaml_error = F.transform("problems", lambda p: F.regexp_replace(p, "(not valid YAML — )[\\s\\S]*", "$1…"))
+    return found.select("root", "folder", "file", F.array_join(yaml_error, "\n").alias("problems"),
+                        number(F.col("m.suggested_training.steps")).alias("steps"),
+                        number(F.col("m.suggested_training.batch_size")).alias("batch_size"),
+                        number(F.get("m.benchmarks", F.lit(0))["num_fewshot"]).alias("num_fewshot"))
+
+
 def q_find_manifest(spark, sf_dir):
     """SO3: task names, and some paths given directly, against the files of
     both roots (every third manifest also lies in `examples`)."""
@@ -158,6 +174,7 @@ def q_problem_reports(spark, sf_dir):
 QUERIES = {
     "problem_reports": q_problem_reports,
     "manifest_scan": q_manifest_scan,
+    "manifest_files": q_manifest_files,
     "find_manifest": q_find_manifest,
     "source_rules": q_source_rules,
     "weight_sum": q_weight_sum,

@@ -277,3 +277,31 @@ lines as (
 select manifest_id, '### Proposal file check' || chr(10) || chr(10) || '❌ **The proposal file has problems:**'
   || chr(10) || chr(10) || string_agg('- ' || problem, chr(10) order by sec, item, sub, loc, msg) || chr(10) as markdown
 from lines group by manifest_id"""
+
+ODD = {  # oddity of `fx_tree` -> what the checks say about it
+    1: "notes: Extra inputs are not permitted", 2: "data.dataset_sources.0.sha: Extra inputs are not permitted",
+    3: "benchmarks.0.scorer: Extra inputs are not permitted", 4: "proposer.mail: Extra inputs are not permitted",
+    6: "data.dataset_sources.0.weight: Input should be a valid number, unable to parse string as a number",
+    7: "data.dataset_sources.0.weight: Input should be a valid number", 8: "title: Input should be a valid string",
+    9: "title: Input should be a valid string",
+    11: "data.sequence_length: Input should be a valid integer, got a number with a fractional part",
+    12: "benchmarks.0.num_fewshot: Input should be a valid integer, unable to parse string as an integer",
+    14: "benchmarks.0.higher_is_better: Input should be a valid boolean, unable to interpret input",
+    16: "benchmarks.0.higher_is_better: Input should be a valid boolean, unable to interpret input",
+    19: "suggested_training.steps: Input should be greater than 0",
+    20: "benchmarks.0.dataset: Input should be a valid dictionary or instance of HubSplit",
+    21: "proposer: Input should be a valid dictionary or instance of Proposer",
+    22: "data.dataset_sources: Input should be a valid list", 23: "data: Field required",
+    25: "not valid YAML — …", 26: "benchmarks.0.harness: Input should be 'lm_eval' or 'eval_loss'"}
+
+ORACLES["manifest_files"] = cte("fx_tree") + """,
+w as (select *, folder || '/' || stem || '.yaml: ' as label, case odd """ + "".join(
+    f"when {k} then '{v.replace(chr(39), chr(39) * 2)}' " for k, v in ODD.items()) + """
+  when 24 then stem || '.yaml: expected a mapping at the top level' end as wrong from fx_tree)
+select 'proposals' as root, folder, file, case when wrong is not null then label || wrong
+    when stem <> name then label || 'the file must be named after the proposal''s name (' || name || '.yaml)' else '' end as problems,
+  case odd when 17 then '99999999999' when 18 then '123456789012345678901234' when 19 then '-99999999999' when 24 then null when 25 then null
+    else '2000' end as steps,
+  case odd when 27 then '1' when 24 then null when 25 then null else '512' end as batch_size,
+  case odd when 12 then null when 13 then '99999999999' when 24 then null when 25 then null else '5' end as num_fewshot
+from w where file like '%.yaml' and folder not like '.%'"""

@@ -107,6 +107,43 @@ select pr_id, concat('user', cast(pr_id % 40 as string)) as author,
        else 'CONTRIBUTOR' end as association
 from (select distinct cast(floor(event_id / 3) as bigint) as pr_id from events
       union all select cast(1000000000 + c_custkey as bigint) as pr_id from customer) x
+""",
+    # manifest files with one oddity each (`odd`), as JSON or as block YAML
+    "fx_tree": """
+select id, odd, folder, name, file, concat(folder, '/', file) as path, regexp_replace(file, '[.][^.]*$', '') as stem,
+  case when odd = 24 then concat('- a', chr(10), '- b', chr(10)) when odd = 25 then concat('name: [a', chr(10), 'title: x', chr(10))
+  when id % 2 = 0 then concat('{"name": "', name, '", "title": ', title, ', "proposer": ', proposer, ', "description": "', about,
+    '", ', case when odd = 23 then '' else concat('"data": {"dataset_sources": ', case when odd = 22 then '{"a": 1}' else concat(
+      '[{"path": "org/corpus", "weight": ', weight, ', "text_column": "text"', case when odd = 2 then ', "sha": 1' else '' end, '}]') end,
+    ', "sequence_length": ', seq, '}, ') end, '"benchmarks": [{"name": "b", "harness": ', harness, ', "task": "t", "num_fewshot": ', shots,
+    ', "metric": "acc", "higher_is_better": ', higher, ', "dataset": ', dataset, case when odd = 3 then ', "scorer": "x"' else '' end,
+    '}], "hypothesis": "', about, '", "evidence": "none known", "suggested_training": {"steps": ', steps, ', "batch_size": ', batch,
+    '}, "contamination": "', about, '"', case when odd = 1 then ', "notes": "x"' else '' end, '}')
+  else concat('# a manifest as people write it', chr(10), 'name: ', name, chr(10), 'title: ', title, chr(10), 'proposer: ', proposer, chr(10),
+    'description: >-', chr(10), '  ', about, chr(10), '  and more', chr(10),
+    case when odd = 23 then '' else concat('data:', chr(10), '  dataset_sources:', chr(10), case when odd = 22 then concat('    a: 1', chr(10))
+      else concat('  - path: org/corpus', chr(10), '    weight: ', weight, chr(10), '    text_column: text', chr(10),
+        case when odd = 2 then concat('    sha: 1', chr(10)) else '' end) end, '  sequence_length: ', seq, chr(10)) end,
+    'benchmarks:', chr(10), '- name: b', chr(10), '  harness: ', harness, chr(10), '  task: t', chr(10), '  num_fewshot: ', shots, chr(10),
+    '  metric: acc', chr(10), '  higher_is_better: ', higher, chr(10), '  dataset: ', dataset, chr(10),
+    case when odd = 3 then concat('  scorer: x', chr(10)) else '' end, 'hypothesis: |', chr(10), '  ', about, chr(10),
+    'evidence: none known', chr(10), 'suggested_training:', chr(10), '  steps: ', steps, chr(10), '  batch_size: ', batch, chr(10),
+    'contamination: "', about, '"', chr(10), case when odd = 1 then concat('notes: x', chr(10)) else '' end) end as text
+from (select id, odd, folder, name, 'Each file of this tree has one oddity at most.' as about,
+  case when id % 17 = 0 then concat(name, '.yml') when id % 9 = 0 then concat('.', name, '.yaml') when id % 9 = 1 then concat('_', name, '.yaml')
+       else concat(name, '.yaml') end as file,
+  case odd when 8 then '12345' when 9 then 'null' else '"Expert on trees"' end as title,
+  case odd when 4 then concat('{"github": "', lower(folder), '", "mail": "x"}') when 21 then '["a"]' else concat('{"github": "', lower(folder), '"}') end as proposer,
+  case odd when 5 then '"1.0"' when 6 then '"heavy"' when 7 then '[1]' else '1.0' end as weight,
+  case odd when 10 then '"2048"' when 11 then '2048.5' else '2048' end as seq,
+  case odd when 12 then '"five"' when 13 then '99999999999' else '5' end as shots,
+  case odd when 14 then '"maybe"' when 15 then '"yes"' when 16 then '2' else 'true' end as higher,
+  case odd when 17 then '99999999999' when 18 then '123456789012345678901234' when 19 then '-99999999999' else '2000' end as steps,
+  case odd when 27 then 'true' else '512' end as batch, case odd when 26 then '7' else '"lm_eval"' end as harness,
+  case odd when 20 then '"org/exam"' else '{"path": "org/exam", "split": "test"}' end as dataset
+from (select c_custkey as id, c_custkey % 28 as odd, concat('exp_t', cast(c_custkey as string)) as name,
+  concat(case when c_custkey % 31 = 0 then '.' when c_custkey % 29 = 0 then '_' else '' end, 'User', cast(c_custkey % 40 as string)) as folder
+  from customer) a) b
 """,
     "fx_store": """
 select doc_id, text, lang, source, n_chars, coalesce(source, 'src0') as dataset,
@@ -134,6 +171,7 @@ FIXTURE_TABLES = {
     "fx_tasks": ("part",),
     "fx_changes": ("events",),
     "fx_prs": ("events", "customer"),
+    "fx_tree": ("customer",),
     "fx_store": ("documents",),
     "fx_pairs": ("conversations",),
 }

@@ -7,8 +7,9 @@ were read from:
     name, title STRING, proposer STRUCT<github, contact>, description STRING,
     data STRUCT<dataset_sources ARRAY<source>, sequence_length INT>,
     n_sources INT, benchmarks ARRAY<benchmark>, n_benchmarks INT,
-    hypothesis, evidence STRING, suggested_training STRUCT<steps INT, batch_size INT>,
-    contamination STRING
+    hypothesis, evidence STRING, suggested_training STRUCT<steps, batch_size>, contamination STRING
+
+Whole numbers are DECIMAL(38,0), so no value that a manifest names is altered.
 
 `n_sources` / `n_benchmarks` are the list lengths as written. A list longer
 than its limit is only ever reported by its length, so the adapter collects
@@ -18,7 +19,6 @@ larger than the rule allows is gathered into one row.
 from __future__ import annotations
 
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,13 +29,13 @@ from corpusgate.sources.yaml_decode import read_batches
 SOURCE_TYPE = ("struct<pos:int,path:string,name:string,split:string,weight:double,text_column:string,"
                "text_template:string,revision:string,license:string>")
 DATASET_TYPE = "struct<path:string,name:string,split:string>"
-BENCHMARK_TYPE = (f"struct<pos:int,name:string,harness:string,task:string,num_fewshot:int,metric:string,"
+BENCHMARK_TYPE = (f"struct<pos:int,name:string,harness:string,task:string,num_fewshot:decimal(38,0),metric:string,"
                   f"higher_is_better:boolean,dataset:{DATASET_TYPE},why:string>")
 MANIFEST_FIELDS = (
     "name:string,title:string,proposer:struct<github:string,contact:string>,description:string,"
     f"data:struct<dataset_sources:array<{SOURCE_TYPE}>,sequence_length:int>,"
     f"benchmarks:array<{BENCHMARK_TYPE}>,hypothesis:string,evidence:string,"
-    "suggested_training:struct<steps:int,batch_size:int>,contamination:string"
+    "suggested_training:struct<steps:decimal(38,0),batch_size:decimal(38,0)>,contamination:string"
 )
 ERROR_LIST = "array<struct<sec:int,item:int,sub:int,loc:string,msg:string>>"
 
@@ -57,15 +57,15 @@ def nest_fixture(manifests: DataFrame, sources: DataFrame, benchmarks: DataFrame
         "pos", "path", "name", F.coalesce("split", F.lit(K.DEFAULT_SPLIT)).alias("split"), "weight",
         "text_column", "text_template", "revision", F.lit(None).cast("string").alias("license")])
     bench = _bounded_items(benchmarks, "manifest_id", K.MAX_BENCHMARKS, [
-        "pos", "name", "harness", "task", "num_fewshot", "metric", "higher_is_better",
-        F.struct(F.col("ds_path").alias("path"), F.col("ds_name").alias("name"),
+        "pos", "name", "harness", "task", F.col("num_fewshot").cast("decimal(38,0)").alias("num_fewshot"), "metric",
+        "higher_is_better", F.struct(F.col("ds_path").alias("path"), F.col("ds_name").alias("name"),
                  F.col("ds_split").alias("split")).alias("dataset"),
         F.lit(None).cast("string").alias("why")])
     src = src.select("manifest_id", F.col("n").alias("n_sources"), F.col("items").alias("sources"))
     bench = bench.select("manifest_id", F.col("n").alias("n_benchmarks"), F.col("items").alias("benchmarks"))
     m = manifests.join(src, "manifest_id", "left").join(bench, "manifest_id", "left")
     suggested = F.when(F.col("steps").isNotNull() | F.col("batch_size").isNotNull(),
-                       F.struct(F.col("steps"), F.col("batch_size")))
+                       F.struct(*[F.col(c).cast("decimal(38,0)").alias(c) for c in ("steps", "batch_size")]))
     return m.select(
         "manifest_id", "folder", "file_stem", "name", "title",
         F.struct(F.col("github"), F.lit(None).cast("string").alias("contact")).alias("proposer"),
@@ -88,42 +88,7 @@ def fixture_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Manifest files (SC5, SC6)
-
-def scan_manifest_files(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """SC5: every `<login>/<name>.yaml` directly two levels under each root:
-    root, folder, file, file_stem, path, content (bytes).
-
-    Folders starting with '.' are skipped. Spark's readers never list files
-    whose own name starts with '.' or '_'; where such files count, pass
-    `decode_manifests` a table of (folder, file_stem, path, content) that some
-    other listing has made.
-    """
-    frames = []
-    for root in roots:
-        root = root.rstrip("/")
-        for folder in ("[!._]*", "_*"):  # a glob that names them reaches folders starting with '_'
-            try:
-                df = spark.read.format("binaryFile").load(f"{root}/{folder}/*.yaml")
-            except AnalysisException as exc:
-                if exc.getCondition() == "PATH_NOT_FOUND":  # nothing there: nothing listed
-                    continue
-                raise
-            frames.append(df.select(
-                F.lit(root.rsplit("/", 1)[-1]).alias("root"),
-                F.regexp_extract(F.col("path"), r"([^/]+)/[^/]+$", 1).alias("folder"),
-                F.regexp_extract(F.col("path"), r"([^/]+)$", 1).alias("file"),
-                F.regexp_extract(F.col("path"), r"([^/]+)\.yaml$", 1).alias("file_stem"),
-                F.col("path"), F.col("content")))
-    if not frames:
-        return spark.createDataFrame([], "root string, folder string, file string, file_stem string, "
-                                         "path string, content binary")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    # a file that is just `.yaml` has no suffix
-    return out.where(F.col("file_stem") != "")
-
+# Manifest files (SC6; `sources.listing` lists them, SC5)
 
 def decode_manifests(files: DataFrame) -> DataFrame:
     """SC6, MV1, MV2: files(path, folder, file_stem, content or text) → the nested

@@ -30,6 +30,8 @@ TOP = {"name": ("str", None), "title": ("str", None), "proposer": ("Proposer", N
 SECTIONS = {"name": 1, "title": 2, "proposer": 3, "description": 4, "data": 5, "benchmarks": 6, "hypothesis": 7,
             "evidence": 8, "suggested_training": 9, "contamination": 10}
 
+DIGITS = 38  # of a whole number that a manifest can hold
+
 # --- fixed values: the library's wording --------------------------------------
 EXTRA = "Extra inputs are not permitted"
 REQUIRED = "Field required"
@@ -38,6 +40,7 @@ NUMBER = "Input should be a valid number"
 NUMBER_TEXT = "Input should be a valid number, unable to parse string as a number"
 INTEGER = "Input should be a valid integer"
 INTEGER_TEXT = "Input should be a valid integer, unable to parse string as an integer"
+INTEGER_SIZE = f"Input should be a valid integer, of at most {DIGITS} digits"  # our own limit, not the library's
 INTEGER_PART = "Input should be a valid integer, got a number with a fractional part"
 FINITE = "Input should be a finite number"
 BOOLEAN = "Input should be a valid boolean"
@@ -51,7 +54,6 @@ FALSE_TEXTS = ("0", "off", "f", "false", "n", "no")
 
 _WHOLE = re.compile(r"[+-]?[0-9]+(?:\.0*)?\Z")
 _NUMBER = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\Z|[+-]?(?:inf|infinity|nan)\Z", re.I)
-_INT_MAX = (1 << 31) - 1
 
 
 def convert(kind: str, value):
@@ -87,7 +89,8 @@ def convert(kind: str, value):
                 return None, INTEGER_TEXT
         elif not isinstance(value, int):
             return None, INTEGER
-        return max(-_INT_MAX, min(_INT_MAX, int(value))), None
+        value = int(value)
+        return (value, None) if abs(value) < 10 ** DIGITS else (None, INTEGER_SIZE)
     if isinstance(value, bool):
         return value, None
     if isinstance(value, (int, float)):
@@ -175,8 +178,8 @@ class Reader:
             data = doc["data"]
             found = self.fields(data, DATA, s["data"], 1000, "data.")
             length = found["sequence_length"]
-            # a wrong type is reported already; 4096 keeps the rule silent
-            m["data"]["sequence_length"] = 4096 if length is None else length
+            # a wrong type is reported already; 4096 keeps the rule silent. No other number of any size is allowed
+            m["data"]["sequence_length"] = 4096 if length is None else length if abs(length) < 1 << 31 else 0
             if "dataset_sources" in data:
                 m["data"]["dataset_sources"], n_sources = self.items(
                     data["dataset_sources"], SOURCE, "DatasetSource", s["data"], "data.dataset_sources")
@@ -222,7 +225,7 @@ def read_manifest(content: bytes | str, file: str) -> dict:
 
 
 def _struct(declared: dict, **more: pa.DataType) -> pa.DataType:
-    kinds = {"str": pa.string(), "choice": pa.string(), "float": pa.float64(), "int": pa.int32(), "bool": pa.bool_()}
+    kinds = {"str": pa.string(), "choice": pa.string(), "float": pa.float64(), "int": pa.decimal128(DIGITS), "bool": pa.bool_()}
     return pa.struct([*((k, t) for k, t in more.items() if k == "pos"),
                       *((k, more.get(k) or kinds[kind.rstrip("?")]) for k, (kind, _) in declared.items())])
 

@@ -1,7 +1,8 @@
 """File scan, decode and the sinks."""
 import json
 
-from corpusgate.sources.manifests import manifest_problems, scan_manifest_files
+from corpusgate.sources.listing import scan_manifest_files, write_files
+from corpusgate.sources.manifests import manifest_problems
 from corpusgate.sources.sinks import write_reports
 
 from tests.test_rules import manifest
@@ -10,18 +11,29 @@ from tests.test_rules import manifest
 def test_scan_lists_manifests_two_levels_down(spark, tmp_path):
     root = tmp_path / "proposals"
     for place in ("marta/exp_tide_tables.yaml", "marta/exp_draft.yaml", "_bente/exp_tide_tables.yaml", "marta/notes.md",
-                  "marta/deep/exp_x.yaml", ".marta/exp_x.yaml", "exp_x.yaml", "marta/.yaml"):
+                  "marta/deep/exp_x.yaml", ".marta/exp_x.yaml", "exp_x.yaml", "marta/.yaml", "marta/.x.yaml",
+                  "marta/_b.yaml", "marta/no_suffix"):
         file = root / place
         file.parent.mkdir(parents=True, exist_ok=True)
         file.write_text(json.dumps(manifest()))
     files = scan_manifest_files(spark, [str(root), str(tmp_path / "missing")])
     listed = {f"{r.folder}/{r.file}" for r in files.select("folder", "file").collect()}
-    assert listed == {"marta/exp_tide_tables.yaml", "marta/exp_draft.yaml", "_bente/exp_tide_tables.yaml"}
+    assert listed == {"marta/exp_tide_tables.yaml", "marta/exp_draft.yaml", "_bente/exp_tide_tables.yaml", "marta/.x.yaml",
+                      "marta/_b.yaml"}
     found = {f"{r.folder}/{r.file}": r.problems for r in manifest_problems(files).collect()}
     assert found["marta/exp_tide_tables.yaml"] == []
     assert all(found[x] for x in listed - {"marta/exp_tide_tables.yaml"})
 
 
+def test_many_folders_are_listed_by_many_tasks(spark, tmp_path):
+    names = [f"u{i % 40}/exp_{i}.yaml" for i in range(200)] + [".hid/exp_1.yaml"]
+    write_files(spark.createDataFrame([(n, f"name: {n}") for n in names], "path string, text string"), str(tmp_path / "p"))
+    files = scan_manifest_files(spark, [f"file://{tmp_path}/p"], folders=3)
+    assert files.rdd.getNumPartitions() == 14
+    assert {(f"{r.folder}/{r.file}", bytes(r.content).decode()) for r in files.collect()} == {(n, f"name: {n}") for n in names[:-1]}
+    assert scan_manifest_files(spark, [str(tmp_path / "missing")]).collect() == []
+
+
 def test_reports_are_few_files_and_append(spark, tmp_path):
     out = str(tmp_path / "out")
     df = spark.createDataFrame([(i, f"# report {i}\n") for i in range(50)], "pr_id long, markdown string")
