@@ -5,7 +5,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-from corpusgate.session import checkpoint_dir
+from corpusgate.session import scratch_dir
 
 
 def sized(df: DataFrame, name: str) -> DataFrame:
@@ -16,7 +16,7 @@ def sized(df: DataFrame, name: str) -> DataFrame:
     `spark.sql.autoBroadcastJoinThreshold`; above it the join shuffles on its
     keys. Nothing is cached on executors, and what follows neither recomputes
     the table nor depends on the executors that made it."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

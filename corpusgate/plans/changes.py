@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpusgate.operators import changes as CH
-from corpusgate.session import checkpoint_dir
+from corpusgate.session import scratch_dir
 from corpusgate.sources.fixtures import cte, fixture
 from corpusgate.sources.sinks import write_reports
 
@@ -44,7 +44,7 @@ def q_change_log_parse(spark, sf_dir):
 
 def q_written_reports(spark, sf_dir):
     """SC8: pull-request reports written, more appended, and read back."""
-    path = f"{checkpoint_dir(spark)}/reports-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/reports-{uuid.uuid4().hex}"
     reports = q_pr_reports(spark, sf_dir)
     write_reports(reports.where("violations > 0"), path, "pr_id")
     write_reports(reports.where("violations = 0"), path, "pr_id", mode="append")

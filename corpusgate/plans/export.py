@@ -12,7 +12,7 @@ from corpusgate.operators.mixture import weighted_mixture
 from corpusgate.plans.datacheck import valid_manifests
 from corpusgate.plans.datacheck_sql import _VALID
 from corpusgate.plans.manifests_sql import BASE as MANIFEST_BASE
-from corpusgate.session import checkpoint_dir
+from corpusgate.session import scratch_dir
 from corpusgate.sources.sinks import write_configs
 from corpusgate.sources.tables import table
 
@@ -84,7 +84,7 @@ def q_ngram_contamination(spark, sf_dir):
 
 def q_written_configs(spark, sf_dir):
     """SC9: configuration documents written, and read back."""
-    path = f"{checkpoint_dir(spark)}/configs-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/configs-{uuid.uuid4().hex}"
     write_configs(X.export_documents(_valid_nested(spark, sf_dir), F.lit(GROUP_ID)), path)
     back = spark.read.schema("name string, document string, config string").json(f"{path}/configs")
     at = lambda p, kind: F.get_json_object("config", p).cast(kind)

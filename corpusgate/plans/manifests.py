@@ -12,7 +12,7 @@ from corpusgate import constants as K
 from corpusgate.operators.changes import layout_problems
 from corpusgate.operators.names import duplicate_names, find_manifests, taken_names
 from corpusgate.sources.fixtures import fixture
-from corpusgate.session import checkpoint_dir
+from corpusgate.session import scratch_dir
 from corpusgate.sources.listing import scan_manifest_files, write_files
 from corpusgate.sources.manifests import fixture_documents, fixture_manifests, manifest_problems
 
@@ -140,7 +140,7 @@ def q_manifest_scan(spark, sf_dir):
 def q_manifest_files(spark, sf_dir):
     """SC5, SC6, MV1, MV2: a tree of manifest files, JSON and YAML, written out, listed (names that start with
     `.` or `_` too), decoded and checked; and the whole numbers that were read."""
-    root = f"{checkpoint_dir(spark)}/tree-{uuid.uuid4().hex}/proposals"
+    root = f"{scratch_dir(spark)}/tree-{uuid.uuid4().hex}/proposals"
     write_files(fixture(spark, sf_dir, "fx_tree"), root)
     found = manifest_problems(scan_manifest_files(spark, [root, root + "-none"]))
     number = lambda c: c.cast("string")

@@ -37,3 +37,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="corpusgate-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(local)
     return spark.sparkContext.getCheckpointDir()
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """This session's own folder in the checkpoint folder; it goes when the session's JVM ends."""
+    path = f"{checkpoint_dir(spark)}/corpusgate-{spark.sparkContext.applicationId}"
+    if path not in _KNOWN:
+        _KNOWN.add(path)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(place)
+        system.deleteOnExit(place)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder below `scratch_dir`."""
+    if not path.startswith(f"{scratch_dir(spark)}/"):
+        raise ValueError(f"{path} is not this session's")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+_KNOWN: set[str] = set()

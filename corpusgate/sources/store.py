@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusgate.session import checkpoint_dir
+from corpusgate.session import scratch_dir
 
 EMPTY = "default_"
 _OPEN: dict[tuple, tuple[str, StructType]] = {}
@@ -24,7 +24,7 @@ def ingest(rows: DataFrame, partitions: list[str]) -> tuple[str, StructType]:
     """`rows` written as Parquet, partitioned by the text columns `partitions`: where, and with what columns."""
     spark = rows.sparkSession
     rows = rows.withColumns({p: F.coalesce(F.nullif(F.col(p).cast("string"), F.lit("")), F.lit(EMPTY)) for p in partitions})
-    path = f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/store-{uuid.uuid4().hex}"
     rows.write.partitionBy(*partitions).parquet(path)
     data = [f for f in rows.schema.fields if f.name not in partitions]
     return path, StructType([*data, *[rows.schema[p] for p in partitions]])  # given when read, so that '01' stays text

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from corpusgate import constants as K
 from corpusgate.operators.profile import over_window, prefix_key, usable
-from corpusgate.session import checkpoint_dir
+from corpusgate.session import scratch_dir
 
 
 def stream_eval_gate(rows: DataFrame, source: str = "source", text: str = "text",
@@ -51,7 +51,7 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, output_mode:
     what it wrote, read back as a batch DataFrame; in update mode the last
     values of each of `keys`. Output and checkpoint
     live under the session's shared checkpoint folder."""
-    base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:8]}"
+    base = f"{scratch_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:8]}"
     if output_mode == "append":
         q = (stream.writeStream.format(fmt).option("path", f"{base}/out")
              .option("checkpointLocation", f"{base}/ckpt").outputMode("append").trigger(availableNow=True).start())
