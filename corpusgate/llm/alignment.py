@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from corpusgate.llm.common import Batches, share, staged, table, texts_of, worker_cache
 from corpusgate.llm.token_counts import TOKENIZER, tokenizer_path
 from corpusgate.llm.tokens import LONG, Pieces, safe
-from corpusgate.session import checkpoint_dir
+from corpusgate.session import scratch_dir
 
 MODEL = "piece_bpe_32k.model"
 TABLE = 1 << 20  # pairs whose counts are broadcast: 17 bytes each
@@ -231,7 +231,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                      pa.array(digests, pa.string()), pa.array(links, pa.binary())], schema=kind)
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    path = f"{checkpoint_dir(docs.sparkSession)}/alignment-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(docs.sparkSession)}/alignment-{uuid.uuid4().hex}"
     # small row groups: their buffers stand beside two tokenizers' caches on an executor
     rows.mapInArrow(run, DIGEST).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     return docs.sparkSession.read.schema(DIGEST).parquet(path)

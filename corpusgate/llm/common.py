@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpusgate
-from corpusgate.session import checkpoint_dir
+from corpusgate.session import remove, scratch_dir
 
 # Task functions travel inside the job, so executors need no installed copy of the package.
 cloudpickle.register_pickle_by_value(corpusgate)
@@ -28,12 +28,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """`df` written once into the shared checkpoint folder and read back: later jobs
+    """`df` written once into the session's part of the shared checkpoint folder and read back: later jobs
     neither recompute it nor depend on the executors that made it."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def unstaged(df: DataFrame) -> None:
+    """Remove a staged table that nothing reads any more."""
+    remove(df.sparkSession, df.staged_path)
 
 
 def spare(docs: DataFrame, name: str) -> str:

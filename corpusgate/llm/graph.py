@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgate.llm.common import staged
+from corpusgate.llm.common import staged, unstaged
 
 
 def _stamp(edges: DataFrame) -> tuple:
@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
                  .unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        now = staged(small, "star")
+        last, now = now, staged(small, "star")
+        unstaged(last)
         before, stamp = stamp, _stamp(now)
         if stamp == before:
             break

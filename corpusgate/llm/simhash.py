@@ -123,7 +123,8 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "row")
     heads = (found.join(classes(found, radius), "fp").groupBy("root").agg(F.min(order)["row"].alias("head"))
              .select("head"))
-    return numbered.join(staged(heads, "heads"), F.col(row) == F.col("head"), "left_semi").drop(row)
+    # as many heads as classes: by size Spark would send them whole to every executor on small inputs only
+    return numbered.join(staged(heads, "heads").hint("merge"), F.col(row) == F.col("head"), "left_semi").drop(row)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from corpusgate.llm.common import Batches, table, texts_of, worker_cache
 from corpusgate.llm.token_counts import tokenizer_path
 from corpusgate.llm.tokens import Pieces
-from corpusgate.session import checkpoint_dir
+from corpusgate.session import scratch_dir
 
 SHARD = 1 << 18  # tokens; small enough that a plane and its ids stay in a core's cache
 END = 2
@@ -214,6 +214,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op3_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{checkpoint_dir(spark)}/wavelet-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/wavelet-{uuid.uuid4().hex}"
     write(table(spark, sf_dir, "documents"), path, tokenizer_path())
     return read(spark, path)
