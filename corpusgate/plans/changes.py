@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from corpusgate.operators import changes as CH
 from corpusgate.session import scratch_dir
 from corpusgate.sources.fixtures import cte, fixture
-from corpusgate.sources.sinks import write_reports
+from corpusgate.functions.joins import sized
+from corpusgate.sources.sinks import append_batch, read_batches, write_reports
 
 # The trusted list as a workflow would pass it.
 TRUSTED = " user7,\nUser13 "
@@ -51,8 +52,21 @@ def q_written_reports(spark, sf_dir):
     return spark.read.schema("pr_id string, markdown string").json(path)
 
 
+def q_appended_reports(spark, sf_dir):
+    """SC8: pull-request reports appended in three batches, each of them twice, beside a batch that broke off
+    before its commit record; what readers see."""
+    path = f"{scratch_dir(spark)}/batches-{uuid.uuid4().hex}"
+    reports = sized(q_pr_reports(spark, sf_dir).select("pr_id", "markdown"), "reports")
+    for _ in range(2):
+        for k in range(3):
+            append_batch(reports.where(F.col("pr_id") % 3 == k), path, f"b{k}")
+    reports.write.json(f"{path}/data/batch=broken")
+    return read_batches(spark, path, "pr_id bigint, markdown string")
+
+
 QUERIES = {
     "written_reports": q_written_reports,
+    "appended_reports": q_appended_reports,
     "pr_violations": q_pr_violations,
     "pr_reports": q_pr_reports,
     "layout_problems": q_layout_problems,
@@ -124,4 +138,5 @@ from r where len(list_filter(rel, lambda q: starts_with(q, '.'))) = 0
 select pr_id, seq, status, path, old_path from fx_changes""",
 }
 
+ORACLES["appended_reports"] = f"select pr_id, markdown, 'b' || (pr_id % 3) as batch from ({ORACLES['pr_reports']}) r"
 ORACLES["written_reports"] = f"select cast(pr_id as varchar) as pr_id, markdown from ({ORACLES['pr_reports']}) r"

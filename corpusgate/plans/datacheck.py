@@ -109,6 +109,14 @@ def q_benchmark_verdicts(spark, sf_dir):
     return _explode(checked_benchmarks(spark, sf_dir), ["manifest_id", "pos", "subject"])
 
 
+def q_benchmark_verdicts_unverified(spark, sf_dir):
+    """JO5 where no task registry is installed: tasks pass, and the verdict says that they were not verified."""
+    found = D.check_benchmarks(fixture(spark, sf_dir, "fx_benchmarks"), catalog(spark, sf_dir),
+                               fixture(spark, sf_dir, "fx_loads"), fixture(spark, sf_dir, "fx_splits"),
+                               corpora(spark, sf_dir), None, TIMEOUT)
+    return _explode(found, ["manifest_id", "pos", "subject"])
+
+
 def valid_manifests(spark, sf_dir) -> DataFrame:
     """Manifests with no offline problem — only these get a data check —
     with their nested manifest struct.
@@ -196,6 +204,7 @@ QUERIES = {
     "load_error_findings": q_load_error_findings,
     "source_findings": q_source_findings,
     "benchmark_verdicts": q_benchmark_verdicts,
+    "benchmark_verdicts_unverified": q_benchmark_verdicts_unverified,
     "proposal_report": q_proposal_report,
 }
 

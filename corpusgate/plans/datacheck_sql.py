@@ -206,7 +206,23 @@ src_find as (
   from src_s where stats_ok and not (short_share > 0.5) and not (dup_share > 0.3))"""
 
 
-def _bench_chain(b_table: str) -> str:
+_TASKS = f"""  union all
+  select manifest_id, pos, 'benchmark ' || name, 6, 'error', 'lm-eval has no task ' || {repr_none("task")}
+    || '. If it is a custom task, say so in the PR and include its YAML; the owner will review it.'
+  from b_go where go and harness = 'lm_eval' and not task_known
+  union all
+  select manifest_id, pos, 'benchmark ' || name, 6, 'ok', ds_path || ' / ' || ds_split
+    || ' is readable and lm-eval knows ' || {repr_none("task")} from b_go
+  where go and harness = 'lm_eval' and task_known
+"""
+
+_NO_REGISTRY = f"""  union all
+  select manifest_id, pos, 'benchmark ' || name, 6, 'ok', ds_path || ' / ' || ds_split || ' is readable (lm-eval task '
+    || {repr_none("task")} || ' not verified: lm-eval is not installed)' from b_go where go and harness = 'lm_eval'
+"""
+
+
+def _bench_chain(b_table: str, registry: bool = True) -> str:
     return f"""
 hub_b as ({_hub_rows(b_table, "t.ds_path", None, False)}),
 b_s as (
@@ -232,15 +248,7 @@ b_find as (
   union all
   select manifest_id, pos, 'benchmark ' || name, 5, 'error', 'split ' || {q("ds_split")} || ' of ' || ds_path
     || ' is empty' from b_s where proceed and status = 'ok' and corpus_rows = 0
-  union all
-  select manifest_id, pos, 'benchmark ' || name, 6, 'error', 'lm-eval has no task ' || {repr_none("task")}
-    || '. If it is a custom task, say so in the PR and include its YAML; the owner will review it.'
-  from b_go where go and harness = 'lm_eval' and not task_known
-  union all
-  select manifest_id, pos, 'benchmark ' || name, 6, 'ok', ds_path || ' / ' || ds_split
-    || ' is readable and lm-eval knows ' || {repr_none("task")} from b_go
-  where go and harness = 'lm_eval' and task_known
-  union all
+{_TASKS if registry else _NO_REGISTRY}  union all
   select manifest_id, pos, 'benchmark ' || name, 6, 'ok', ds_path || ' / ' || ds_split
     || ' is readable for a held-out loss' from b_go where go and harness <> 'lm_eval')"""
 
@@ -264,6 +272,8 @@ where l.status in ('timeout', 'error')""",
                        "select manifest_id, pos, subject, ord, level, message from src_find",
     "benchmark_verdicts": f"with {FX_ALL}, {COMMON}, {_bench_chain('fx_benchmarks')}\n"
                           "select manifest_id, pos, subject, ord, level, message from b_find",
+    "benchmark_verdicts_unverified": f"with {FX_ALL}, {COMMON}, {_bench_chain('fx_benchmarks', False)}\n"
+                                     "select manifest_id, pos, subject, ord, level, message from b_find",
 }
 
 _VALID = """,

@@ -73,6 +73,16 @@ def q_weighted_mixture(spark, sf_dir):
         F.col("source").alias("lang"), F.col("row_id").alias("doc_id"))
 
 
+def q_weighted_mixture_total(spark, sf_dir):
+    """RA1 with a given total, three quarters of all rows: more than the weights alone can draw from some
+    languages, so the others give more."""
+    docs = table(spark, sf_dir, "documents")
+    weights = spark.createDataFrame(MIX_WEIGHTS, "source string, weight double")
+    total = docs.where(F.col("lang").isin([s for s, _ in MIX_WEIGHTS])).count() * 3 // 4
+    return weighted_mixture(docs, "lang", "doc_id", weights, seed=MIX_SEED, total=total).select(
+        F.col("source").alias("lang"), F.col("row_id").alias("doc_id"))
+
+
 def q_contamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
@@ -88,10 +98,22 @@ def q_written_configs(spark, sf_dir):
     write_configs(X.export_documents(_valid_nested(spark, sf_dir), F.lit(GROUP_ID)), path)
     back = spark.read.schema("name string, document string, config string").json(f"{path}/configs")
     at = lambda p, kind: F.get_json_object("config", p).cast(kind)
-    return back.select("name", at("$.group_id", "int").alias("group_id"),
-                       at("$.data.sequence_length", "int").alias("sequence_length"),
-                       F.json_array_length(F.get_json_object("config", "$.data.dataset_sources")).alias("n_sources"),
-                       F.col("document").startswith(F.concat(F.lit("# "), "name")).alias("headed"))
+    sources = F.from_json(F.get_json_object("config", "$.data.dataset_sources"),
+                          "array<struct<path: string, name: string, split: string, weight: double, text_column: string, "
+                          "text_template: string>>")
+    line = lambda s: F.concat_ws("|", s["path"], F.coalesce(s["name"], F.lit("-")), s["split"],
+                                 F.round(s["weight"] * 1e6).cast("bigint"), F.coalesce(s["text_column"], F.lit("-")),
+                                 F.coalesce(s["text_template"], F.lit("-")))
+    pins = F.from_json(F.get_json_object("config", "$.data.eval_source_revision_pin"), "map<string,string>")
+    pin = F.array_join(F.array_sort(F.transform(F.map_entries(pins), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return back.select(
+        "name", at("$.group_id", "int").alias("group_id"), at("$.data.sequence_length", "int").alias("sequence_length"),
+        F.array_join(F.transform(sources, line), "\n").alias("sources"), F.coalesce(pin, F.lit("")).alias("pins"),
+        F.concat_ws(",", *[at(f"$.data.{k}", "string") for k in ("per_device_train_batch_size", "batch_size",
+                                                                  "eval_source_seeded_shard_pick", "eval_source_skip_max")])
+        .alias("constants"),
+        F.expr("substring(document, 1, length(document) - length(config) - 1)").alias("header"),
+        F.col("document").endswith(F.concat("config", F.lit("\n"))).alias("whole"))
 
 
 QUERIES = {
@@ -102,6 +124,7 @@ QUERIES = {
     "task_header": q_task_header,
     "export_contract": q_export_contract,
     "weighted_mixture": q_weighted_mixture,
+    "weighted_mixture_total": q_weighted_mixture_total,
     "contamination": q_contamination,
 }
 
@@ -118,9 +141,6 @@ dg as (select distinct doc_id, array_to_string(w[k:k + 7], ' ') as g
 t as (select item_id, count(*) as total from ig group by item_id)
 select item_id, doc_id, count(*) as shared, any_value(total) as total from ig join dg using (g) join t using (item_id)
 group by item_id, doc_id""",
-    "written_configs": _V + f"""
-select m.name, {GROUP_ID} as group_id, m.sequence_length, cast(m.n_sources as integer) as n_sources, true as headed
-from m where m.manifest_id in (select manifest_id from valid)""",
     "task_config": _V + """
 select s.manifest_id, s.pos, s.path, case when coalesce(s.name, '') <> '' then s.name end as name, s.split, s.weight,
   case when coalesce(s.text_column, '') <> '' then s.text_column end as text_column,
@@ -157,6 +177,27 @@ b as (select j.*, mn.mix_n, cast(floor(weight * mix_n) as bigint) as base, weigh
       from j, mn),
 d as (select b.*, mix_n - sum(base) over () as deficit, row_number() over (order by rem desc, source) as rk from b),
 q as (select source, base + case when rk <= deficit and base + 1 <= n then 1 else 0 end as quota from d),
+r as (select lang, doc_id, row_number() over (partition by lang order by md5('{MIX_SEED}:' || cast(doc_id as varchar)), doc_id) as rn
+      from documents)
+select r.lang, r.doc_id from r join q on q.source = r.lang where r.rn <= q.quota""",
+    "weighted_mixture_total": f"""
+with recursive w as (select * from (values {", ".join(f"('{s}', {w:.1f})" for s, w in MIX_WEIGHTS)}) t(source, weight)),
+c as (select lang as source, count(*) as n from documents group by lang),
+j as (select c.source, c.n, w.weight from c join w using (source)),
+tot as (select cast(sum(n) * 3 // 4 as bigint) as total from j),
+-- pour by weight; who would overflow is filled, and the rest is poured again, until none overflows
+pour as (select 0 as step, source, n, weight, false as done, cast(n as double) as share, tot.total as rest_n, 1e0 as rest_w from j, tot
+  union all
+  select step + 1, source, n, weight, done or over, case when done or over then cast(n as double) else want end,
+    cast(total - sum(case when done or over then n else 0 end) over () as bigint),
+    sum(case when done or over then 0 else weight end) over ()
+  from (select p.*, tot.total, p.weight * p.rest_n / p.rest_w as want, not p.done and p.weight * p.rest_n / p.rest_w > p.n as over
+        from pour p, tot where p.step < 8 and p.rest_w > 0) x),
+last as (select * from pour where step = (select max(step) from pour)),
+b as (select source, n, least(share, cast(n as double)) as share, floor(least(share, cast(n as double))) as base from last),
+d as (select b.*, total - sum(base) over () as deficit,
+        row_number() over (order by case when base < n then 0 else 1 end, share - base desc, source) as rk from b, tot),
+q as (select source, cast(base + case when rk <= deficit and base < n then 1 else 0 end as bigint) as quota from d),
 r as (select lang, doc_id, row_number() over (partition by lang order by md5('{MIX_SEED}:' || cast(doc_id as varchar)), doc_id) as rn
       from documents)
 select r.lang, r.doc_id from r join q on q.source = r.lang where r.rn <= q.quota""",
@@ -185,3 +226,17 @@ from doc""",
     "contamination": """
 select b.item_id, d.doc_id from benchmark b join documents d on contains(d.text, b.text)""",
 }
+
+_HEADER = ORACLES["task_header"][len(_V):]
+ORACLES["written_configs"] = _V + _HEADER.replace("select m.manifest_id, '# '", ", hd as (select m.manifest_id, '# '", 1) + f""")
+select m.name, {GROUP_ID} as group_id, m.sequence_length, sl.lines as sources, coalesce(pn.lines, '') as pins,
+  '1,4,false,1000000' as constants, hd.header, true as whole
+from m join hd using (manifest_id)
+join (select manifest_id, string_agg(path || '|' || coalesce(nullif(name, ''), '-') || '|' || split || '|'
+        || cast(cast(round(weight * 1e6) as bigint) as varchar) || '|' || coalesce(nullif(text_column, ''), '-') || '|'
+        || case when coalesce(text_column, '') = '' then text_template else '-' end, chr(10) order by pos) as lines
+      from fx_sources group by manifest_id) sl using (manifest_id)
+left join (select manifest_id, string_agg(path || '=' || revision, ',' order by path || '=' || revision) as lines
+      from (select manifest_id, path, arg_max(revision, pos) as revision from fx_sources
+            where coalesce(revision, '') <> '' group by manifest_id, path) p group by manifest_id) pn using (manifest_id)
+where m.manifest_id in (select manifest_id from valid)"""

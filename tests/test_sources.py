@@ -1,9 +1,11 @@
 """File scan, decode and the sinks."""
 import json
 
+import pytest
+
 from corpusgate.sources.listing import scan_manifest_files, write_files
 from corpusgate.sources.manifests import manifest_problems
-from corpusgate.sources.sinks import write_reports
+from corpusgate.sources.sinks import append_batch, committed, read_batches, write_reports
 
 from tests.test_rules import manifest
 
@@ -54,3 +56,20 @@ def test_one_text_file_per_key_on_request(spark, tmp_path):
     df = spark.createDataFrame([(1, "# a\n"), (2, "# b\n")], "pr_id long, markdown string")
     write_reports(df, str(tmp_path / "out"), "pr_id", per_key=True)
     assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == ["pr_id=1", "pr_id=2"]
+
+
+def test_a_batch_appended_again_adds_nothing(spark, tmp_path):
+    out, schema = str(tmp_path / "out"), "pr_id long, markdown string"
+    df = spark.createDataFrame([(i, f"# {i}\n") for i in range(30)], schema)
+    assert committed(spark, out).collect() == []
+    assert append_batch(df.limit(10), out, "one") and append_batch(df, out, "two") and append_batch(df.limit(0), out, "none")
+    assert not append_batch(df, out, "one") and not append_batch(df, out, "two") and not append_batch(df, out, "none")
+    df.write.json(f"{out}/data/batch=broken")  # a run that broke off before its record
+    got = read_batches(spark, out, schema)
+    assert {r.batch: r["count"] for r in got.groupBy("batch").count().collect()} == {"one": 10, "two": 30}
+    assert append_batch(df.limit(3), out, "broken")  # written anew, in whole
+    assert read_batches(spark, out, schema).where("batch = 'broken'").count() == 3
+    assert {(r.batch, r.rows) for r in committed(spark, out).collect()} == {("one", 10), ("two", 30), ("none", 0), ("broken", 3)}
+    for bad in ("", "a/b", "a=b"):
+        with pytest.raises(ValueError):
+            append_batch(df, out, bad)
