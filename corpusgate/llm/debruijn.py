@@ -1,9 +1,14 @@
-"""Operator 5: substring dedup on a De Bruijn graph of token k-mers, partitioned by minimizers.
+"""Operator 5: substring dedup by repeated token k-mers, partitioned by minimizers.
 
-Every run of `k` consecutive words of a document is an edge of the graph, named
+Every run of `k` consecutive words of a document is an edge (a token k-mer), named
 by a 128-bit hash of its words. A word goes if an edge that covers it also
 starts in a document with a smaller doc_id.
 
+This is the k-mer part of a De Bruijn compaction with another rule for what is one
+path: edges are put together where they follow each other in a document and in the
+source of their first occurrence, instead of along nodes of in- and out-degree one.
+Both give the same covered words; this one needs no join over all repeated nodes.
+
 Only edges that can repeat are shuffled. An edge's anchor is the smallest hash
 among its runs of `ANCHOR` words, so equal edges have equal anchors and
 neighbouring edges mostly share one (a super-k-mer).
@@ -17,10 +22,12 @@ neighbouring edges mostly share one (a super-k-mer).
    documents share costs one row per chunk and edge.
 3. The reducer finds the first document and place of every edge (its source
    coordinates) and compacts edges that follow each other, in the document and in
-   the source alike, into nonbranching paths.
-4. Paths meet at their document by a join on it; paths that follow each other
-   there and in their source are one path again, a long repeated span, which its
-   source coordinates vouch for place by place. The words under the spans go.
+   the source alike, into paths. Edges decided inside a chunk are compacted before
+   they are sent and dealt by their document.
+4. Paths of a document are put in order by a window on it; those that follow each
+   other there and in their source are one path again, a long repeated span, which
+   its source coordinates vouch for place by place (the words themselves are not
+   compared once more). The words under the spans go.
 
 Cases: null and empty texts, and texts of fewer than k words, keep all words;
 rows equal in doc_id and text are one document and get equal rows; rows with
@@ -311,9 +318,14 @@ def paths(docs: DataFrame, k: int, buckets: int) -> DataFrame:
                 gone = first < own_id[doc]  # decided here: an earlier document of this chunk has the edge
                 if gone.any():
                     d = doc[gone]
-                    out.append(dict(zip(shipped.names, [
-                        int(d[0]) % buckets, True, b"", b"",
-                        *raw(d.astype(np.uint32), place[gone].astype(np.uint32), own_id, own_mark, first[gone], where[gone])])))
+                    path = compact(own_id[d], own_mark[d], place[gone], first[gone], where[gone])
+                    c = {n: path.column(n).to_numpy() for n in path.schema.names}
+                    b = (mix(c["id"].view(np.uint64) ^ mix(c["mark"].view(np.uint64))) >> np.uint64(33)).astype(np.int64) * buckets >> 31
+                    order = np.argsort(b, kind="stable")
+                    for bucket, x, y in slices(b[order]):
+                        e = order[x:y]
+                        out.append(dict(zip(shipped.names, [bucket, True, b"", b"", *raw(
+                            c["n"][e], c["start"][e], c["id"][e], c["mark"][e], c["source_id"][e], c["source_start"][e])])))
                 rest = np.flatnonzero(~gone)
                 b = (anchor[rest] >> np.uint64(33)).astype(np.int64) * buckets >> 31
                 order = np.argsort(b, kind="stable")  # within a bucket edges stay in the order of the text
@@ -330,12 +342,13 @@ def paths(docs: DataFrame, k: int, buckets: int) -> DataFrame:
         entries = []
         for batch in batches:
             for row in batch.to_pylist():
-                d, place = np.frombuffer(row["doc"], np.uint32), np.frombuffer(row["place"], np.uint32).astype(np.int64)
-                ids, marks = np.frombuffer(row["ids"], np.int64)[d], np.frombuffer(row["marks"], np.int64)[d]
-                if row["path"]:
-                    yield compact(ids, marks, place, np.frombuffer(row["source_ids"], np.int64),
-                                  np.frombuffer(row["source_places"], np.int64))
+                if row["path"]:  # compacted where it was decided: `doc` holds the lengths
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row[c], t), f) for (c, t), f in zip(
+                        (("ids", np.int64), ("marks", np.int64), ("place", np.int32), ("doc", np.int32),
+                         ("source_ids", np.int64), ("source_places", np.int32)), _PATH.types)], schema=_PATH)
                 else:
+                    d, place = np.frombuffer(row["doc"], np.uint32), np.frombuffer(row["place"], np.uint32).astype(np.int64)
+                    ids, marks = np.frombuffer(row["ids"], np.int64)[d], np.frombuffer(row["marks"], np.int64)[d]
                     entries.append((np.frombuffer(row["h1"], np.uint64), np.frombuffer(row["h2"], np.uint64), ids, marks, place))
         if entries:
             h1, h2, ids, marks, place = (np.concatenate(c) for c in zip(*entries))
