@@ -57,7 +57,7 @@ def edited(seed, n, longest=60, edits=4):
     return rows
 
 
-@pytest.mark.parametrize("seed,percent,tile", [(1, 90, 2000), (2, 90, 5), (3, 70, 7), (4, 100, 5)])
+@pytest.mark.parametrize("seed,percent,tile", [(2, 90, 5), (3, 70, 7), (4, 100, 5)])
 def test_edited_texts_at_any_bound(spark, monkeypatch, seed, percent, tile):
     monkeypatch.setattr(jaccard, "TILE", tile)
     rows = edited(seed, 220)
