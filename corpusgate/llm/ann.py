@@ -195,7 +195,7 @@ def search(base: DataFrame, queries: DataFrame, k: int = K, centroids: int = CEN
 
     def pack(rows: pa.Table) -> pa.Table:
         ids = rows.column("ids").combine_chunks()
-        return pa.table({"cell": rows.column("cell")[:1].cast(pa.int32()),
+        return pa.table({"cell": rows.column("cell")[:1].cast(pa.int32()), "cut": rows.column("cut")[:1].cast(pa.int64()),
                          "ids": pa.array([ids.to_pylist()], pa.list_(pa.list_(pa.int64()))),
                          "block": pa.array([matrix(rows.column("v").combine_chunks()).tobytes()], pa.binary())})
 
@@ -206,16 +206,18 @@ def search(base: DataFrame, queries: DataFrame, k: int = K, centroids: int = CEN
                          "qs": pa.array([b"".join(rows.column("q").to_pylist())], pa.binary())})
 
     # cells of many vectors or queries are cut by a hash into pieces of about BLOCK
-    pieces = F.array(*[F.lit(int(max(1, -(-c // BLOCK)))) for c in counts])
+    pieces = F.array(*[F.lit(int(max(1, -(-c // BLOCK)))).cast("long") for c in counts])
     cut = F.pmod(F.xxhash64("v"), F.element_at(pieces, F.col("cell") + 1))
     blocks = (index.withColumn("cut", cut).groupBy("cell", "cut")
-              .applyInArrow(pack, "cell int, ids array<array<bigint>>, block binary"))
+              .applyInArrow(pack, "cell int, cut bigint, ids array<array<bigint>>, block binary"))
     # rows of one vec_id with different vectors are told apart by a staged number
     asked = staged(usable(queries, known.shape[1]).withColumn("ask", F.monotonically_increasing_id()), "queries")
     n_cuts = max(1, asked.count() // BLOCK)
+    # each block of a cell is a key of its own, to which every batch of the cell goes
     batches_ = (asked.mapInArrow(visits, "cell int, query bigint, ask bigint, q binary")
-                .withColumn("cut", F.pmod(F.xxhash64("ask"), F.lit(n_cuts)))
-                .groupBy("cell", "cut").applyInArrow(gather, "cell int, queries array<bigint>, asks array<bigint>, qs binary"))
+                .withColumn("part", F.pmod(F.xxhash64("ask"), F.lit(n_cuts)))
+                .groupBy("cell", "part").applyInArrow(gather, "cell int, queries array<bigint>, asks array<bigint>, qs binary")
+                .withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.element_at(pieces, F.col("cell") + 1) - 1))))
 
     def rank(batches: Batches) -> Batches:
         best: dict[tuple[int, int], list] = {}
@@ -250,7 +252,7 @@ def search(base: DataFrame, queries: DataFrame, k: int = K, centroids: int = CEN
                                            "ask": pa.array([r[3] for r in rows], pa.int64())})
 
     # Spark takes the batches to be as small as the staged queries and would broadcast them
-    found = blocks.join(batches_.hint("merge"), "cell").mapInArrow(rank, "query_id bigint, vec_id bigint, score double, ask bigint")
+    found = blocks.join(batches_.hint("merge"), ["cell", "cut"]).mapInArrow(rank, "query_id bigint, vec_id bigint, score double, ask bigint")
     place = F.row_number().over(Window.partitionBy("query_id", "ask").orderBy("score", "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

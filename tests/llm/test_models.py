@@ -40,6 +40,44 @@ def test_language_model_of_odd_rows(spark):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
+def test_scores_are_the_plain_sum_over_classes(spark, monkeypatch):
+    """Class after class and word within class, token by token, from the classes that the model chose."""
+    kept = {}
+    for name in ("most_frequent", "cluster", "classes_of_others"):
+        def noted(*a, real=getattr(brown, name), name=name):
+            kept[name] = real(*a)
+            return kept[name]
+        monkeypatch.setattr(brown, name, noted)
+    rows = [(r.doc_id, r.text) for r in small(spark).limit(60).collect()] + [(900 + i, t) for i, (_, t, *_) in enumerate(odd_rows())]
+    held = lambda i: crc(i) % 10 == 0
+    got = brown.score(spark.createDataFrame(rows, "doc_id long, text string"),
+                      F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, size=40, n_classes=5).collect()
+    texts = {i: words(lower(t)) for i, t in rows}
+    count = Counter(w for i, ws in texts.items() if not held(i) for w in ws)
+    of = {w.decode(): int(c) for w, c in zip(kept["most_frequent"], kept["cluster"][0])}
+    of |= {bytes(r.word).decode(): r["class"] for r in kept["classes_of_others"].collect()}
+    assert {w for w, n in count.items() if n >= brown.MIN_COUNT} <= set(of) and len(kept["most_frequent"]) == 40
+    rest, end = 5, 6
+    path = {i: [end] + [of.get(w, rest) for w in ws] + [end] for i, ws in texts.items()}
+    follow = np.zeros((7, 7))
+    for i, p in path.items():
+        for a, b in zip(p, p[1:]):
+            follow[a, b] += not held(i)
+    mass = Counter()
+    for w, n in count.items():
+        mass[of.get(w, rest)] += n
+    rare = [n for n in count.values() if n < brown.MIN_COUNT]
+    d = brown.DELTA
+    for r in got:
+        total = 0.0
+        for a, b in zip(path[r.doc_id], path[r.doc_id][1:]):
+            share = (follow[:, b].sum() + 1) / (follow.sum() + 7)
+            total += math.log10((follow[a, b] + brown.ALPHA * share) / (follow[a].sum() + brown.ALPHA))
+        for w in texts[r.doc_id]:
+            total += math.log10(count[w] / mass[of[w]]) if w in of else math.log10((count[w] + d) / (sum(rare) + d * (len(rare) + 1)))
+        assert math.isclose(r.score, total, rel_tol=1e-9), r.doc_id
+
+
 def test_language_model_without_rows_or_training_rows(spark):
     assert brown.score(spark.createDataFrame([], EMPTY), F.lit(False)).collect() == []
     [row] = brown.score(spark.createDataFrame([(1, "some words")], "doc_id long, text string"), F.lit(True)).collect()
