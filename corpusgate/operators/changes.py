@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgate import constants as K
+from corpusgate.functions.ordered import joined, step
 from corpusgate.functions.text import message, ustrip
 
 
@@ -96,13 +97,11 @@ def pr_violations(changes: DataFrame, trusted: str, prs: DataFrame | None = None
                         (F.col("first") % 2).cast("int").alias("first_side"), "message"))
     sub = bound.where(submits(F.col("status"), F.col("path"), F.col("author")))
     counted = sub.groupBy("pr_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    many = (sub.join(counted.select("pr_id", "n"), "pr_id")
-            .groupBy("pr_id", "n")
-            .agg(F.array_sort(F.collect_list(F.struct("seq", "path"))).alias("subs"))
+    many = (joined(sub.join(counted.select("pr_id", "n"), "pr_id"), ["pr_id", "n"], step("seq"), ["seq", "path"], "path", ", ",
+                   "paths")
             .select("pr_id", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("first_seq"),
                     F.lit(None).cast("int").alias("first_side"),
-                    message(K.MSG_MANY_PROPOSALS, n=F.col("n"),
-                            paths=F.array_join(F.transform("subs", lambda s: s["path"]), ", ")).alias("message")))
+                    message(K.MSG_MANY_PROPOSALS, n=F.col("n"), paths=F.col("paths")).alias("message")))
     found = per_path.unionByName(many)
     if prs is None:
         return found
@@ -118,9 +117,11 @@ def pr_reports(changes: DataFrame, violations: DataFrame, trusted: str, guide_hi
     """RE2: one Markdown report per PR (maintainer / clean / violations)."""
     prs = known(changes if prs is None else prs).groupBy("pr_id").agg(
         F.min("author").alias("author"), F.min("association").alias("association"))
-    per = violations.groupBy("pr_id").agg(
-        F.array_sort(F.collect_list(F.struct("kind", "first_seq", "first_side", "message"))).alias("v"))
-    joined = prs.join(per, "pr_id", "left")
+    lines = violations.withColumn("line", F.concat(F.lit("- "), F.col("message"))).withColumn(
+        "at", F.when(F.col("kind") == 0, F.coalesce("first_seq", F.lit(0))))  # the count of proposals comes last
+    per = (joined(lines, ["pr_id"], step("at"), ["kind", "first_seq", "first_side", "message"], "line", "\n", "lines")
+           .join(violations.groupBy("pr_id").agg(F.count(F.lit(1)).cast("int").alias("n")), "pr_id"))
+    found = prs.join(per, "pr_id", "left")
     author, assoc = F.col("author"), F.col("association")
     on_list = F.array_contains(trusted_logins(trusted), F.lower(author))
     head = F.lit(f"{K.SUBMISSION_TITLE}\n\n")
@@ -129,11 +130,10 @@ def pr_reports(changes: DataFrame, violations: DataFrame, trusted: str, guide_hi
                      F.lit("\n"))
     clean = F.concat(head, message(K.SUBMISSION_CLEAN, author=author), F.lit("\n"))
     bad = F.concat(head, F.lit(K.SUBMISSION_BAD + "\n\n"),
-                   F.array_join(F.transform(F.col("v"), lambda x: F.concat(F.lit("- "), x["message"])), "\n"),
-                   F.lit("\n\n"), message(K.SUBMISSION_FOOTER, author=author, hint=guide_hint), F.lit("\n"))
+                   F.col("lines"), F.lit("\n\n"), message(K.SUBMISSION_FOOTER, author=author, hint=guide_hint), F.lit("\n"))
     maintainer = is_maintainer(author, assoc, trusted)
-    n = F.when(F.col("v").isNull(), F.lit(0)).otherwise(F.size(F.col("v")))
-    return joined.select(
+    n = F.coalesce("n", F.lit(0))
+    return found.select(
         "pr_id", "author",
         F.when(maintainer, F.lit(0)).otherwise(n).cast("int").alias("violations"),
         F.when(maintainer, maint).when(n == 0, clean).otherwise(bad).alias("markdown"))

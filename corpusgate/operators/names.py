@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgate import constants as K
+from corpusgate.functions.ordered import joined
 from corpusgate.functions.text import message
 from corpusgate.operators.rules import name_ok, name_taken
 
@@ -36,12 +37,14 @@ def find_manifests(names: DataFrame, files: DataFrame, name: str = "name") -> Da
 def duplicate_names(manifests: DataFrame, folder: str = "folder", stem: str = "file_stem") -> DataFrame:
     """MV27: a file stem used by more than one file, owners listed in path
     order. Files are distinct (folder, stem) paths; the count runs first as a
-    plain aggregate, and only stems that repeat gather their owners — one
-    folder name per file of that stem, which is what the message prints."""
+    plain aggregate. The owners of stems that repeat are put in order by ranges
+    of (stem, folder): a range's owners are joined into one piece, and a stem's
+    pieces into the line that the message prints."""
     files = manifests.select(F.col(folder).alias("folder"), F.col(stem).alias("stem")).distinct()
     repeated = files.groupBy("stem").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("stem")
-    owners = (files.join(repeated, "stem", "left_semi")
-              .groupBy("stem").agg(F.array_join(F.array_sort(F.collect_list("folder")), ", ").alias("owners")))
+    ranged = files.join(repeated, "stem", "left_semi").repartitionByRange("stem", "folder")
+    owners = joined(ranged.withColumn("range", F.spark_partition_id()), ["stem"], F.col("range"), ["folder"], "folder", ", ",
+                    "owners")
     return owners.select(
         F.lit("duplicate").alias("kind"), F.col("stem").alias("key"),
         message(K.MSG_TWO_OWNERS, name=F.col("stem"), owners=F.col("owners")).alias("message"))

@@ -6,7 +6,8 @@ import struct
 import pytest
 
 from corpusgate.functions.text import float_text, fmt_g, quoted
-from corpusgate.operators.names import find_manifests
+from corpusgate.functions.ordered import joined, step
+from corpusgate.operators.names import duplicate_names, find_manifests
 
 NAMES = ["plain", "", "it's", 'say "it"', 'it\'s "it"', "back\\slash", "two\nlines", "a\tb\r", "\x00\x1b\x7f", "\x85\xa0\xad", "é 東京",
          "'", "\\'"]
@@ -54,3 +55,24 @@ def test_a_name_finds_the_first_file_in_path_order(spark, name, path):
                                    ("proposals", "bob", "exp_b")], "root string, folder string, file_stem string")
     found = find_manifests(spark.createDataFrame([(name,)], "name string"), files).collect()
     assert [r.path for r in found] == ([path] if path else [])
+
+
+def test_a_stem_with_very_many_owners_meets_as_a_few_pieces(spark):
+    n = 40_000
+    files = spark.range(n).selectExpr("concat('u', lpad(id, 6, '0')) as folder", "'exp_hot' as file_stem").unionByName(
+        spark.createDataFrame([("b", "exp_x"), ("a", "exp_x"), ("a", "exp_x"), ("c", "exp_one")], "folder string, file_stem string"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.key: r.message for r in duplicate_names(files).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert set(got) == {"exp_hot", "exp_x"} and "(a, b)" in got["exp_x"]
+    assert ", ".join(f"u{i:06d}" for i in range(n)) in got["exp_hot"]
+
+
+def test_pieces_keep_the_order_and_bound_what_meets(spark):
+    rows = spark.range(25_000).selectExpr("id % 2 as k", "id as seq", "concat('t', id) as t").unionByName(
+        spark.createDataFrame([(0, None, "last")], "k long, seq long, t string"))
+    got = {r.k: r.out for r in joined(rows, ["k"], step("seq"), ["seq"], "t", "|", "out").collect()}
+    assert got == {k: "|".join([f"t{i}" for i in range(k, 25_000, 2)] + ["last"] * (k == 0)) for k in (0, 1)}
+    assert rows.groupBy("k", step("seq").alias("b")).count().agg({"count": "max"}).first()[0] <= 500
