@@ -93,12 +93,12 @@ def profile(requests: DataFrame, corpora: Corpora) -> DataFrame:
     """JO7 + AG6 for every request (k_..., text_column, text_template, seq_len), distinct.
 
     Returns the requests with rows (null: none), non_text, median_chars and the short, dup and long shares.
-    A request without column and template asks for the row count alone. The renderings are written first, so
+    A request without column and template asks for the row count alone. The renderings are written before, so
     their bytes decide how they are joined; the scan reads only the columns that some rendering uses (their
     number is bounded by the schema)."""
     keys = corpora.keys
     what = [*corpora.asked, "text_column", "text_template"]
-    req = sized(requests.select(*what, "seq_len").distinct(), "requests")
+    req = requests.select(*what, "seq_len").distinct()
     renderings = sized(req.select(*what).distinct().withColumn("rid", F.monotonically_increasing_id()), "renderings")
     used = {r[0] for r in renderings.select(F.explode(columns_used(F.col("text_column"), F.col("text_template"))))
             .distinct().filter(F.col("col").isin(corpora.columns)).collect()}
@@ -127,14 +127,27 @@ def profile(requests: DataFrame, corpora: Corpora) -> DataFrame:
     return null_safe_join(windows, out, ["rid", "seq_len"], "left").drop("rid")
 
 
+def row_counts(requests: DataFrame, corpora: Corpora) -> DataFrame:
+    """(k_..., rows) of the corpora that requests name and that have rows, from the key columns alone."""
+    keys, asked = corpora.keys, corpora.asked
+    wanted = requests.select(*asked).distinct()
+    wanted = (wanted.withColumn("w_added", F.col(asked[-1])) if corpora.visible is None
+              else wanted.join(corpora.visible.withColumnRenamed("added", "w_added"), asked[-1]))
+    sizes = corpora.rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
+    on = [F.col(k) == F.col(a) for k, a in zip(keys, [*asked[:-1], "w_added"])]
+    rows = F.sum("size") if corpora.sample_rows is None else F.least(F.sum("size"), F.lit(corpora.sample_rows))
+    return sizes.join(wanted, on).groupBy(*asked).agg(rows.alias("rows"))
+
+
 def histograms(texts: DataFrame, windows: DataFrame) -> DataFrame:
     """AG6 per (rid, seq_len) of `windows` from rendered `texts` (rid, text, bad).
 
-    The only exchange that carries row-level volume holds (rid, length, prefix key, bad, n); the counts and the
-    length histogram both aggregate it, and the medians and the shares over every window the histogram."""
+    The only exchange that carries row-level volume holds (rid, length, prefix key, bad, n). Its result is written,
+    so the corpora are read once whatever is asked of it: the counts and the length histogram both aggregate it,
+    and the medians and the shares over every window the histogram."""
     length = F.coalesce(F.length("text"), F.lit(0))
-    base = (texts.select("rid", "bad", length.alias("len"), F.when(P.usable("text"), P.prefix_key("text")).alias("pk"))
-            .groupBy("rid", "bad", "len", "pk").agg(F.count(F.lit(1)).alias("n")))
+    base = sized(texts.select("rid", "bad", length.alias("len"), F.when(P.usable("text"), P.prefix_key("text")).alias("pk"))
+                 .groupBy("rid", "bad", "len", "pk").agg(F.count(F.lit(1)).alias("n")), "lengths")
     counts = base.groupBy("rid").agg(
         F.sum("n").alias("rows"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("non_text"),
         F.sum(F.when(F.col("len") >= K.MIN_TEXT_CHARS, F.col("n")).otherwise(0)).alias("usable"),
@@ -316,8 +329,13 @@ def check(sources: DataFrame | None, benchmarks: DataFrame | None, catalog: Data
         bench = corpora.named(bench, "ds_path", "ds_name", "ds_split", F.lit(None).cast("string"))
         nothing = [F.lit(None).cast(t).alias(c) for c, t in zip(asked[-3:], ("string", "string", "int"))]
         requests.append(bench.select(*corpora.asked, *nothing))
-    every = requests[0] if len(requests) == 1 else requests[0].unionByName(requests[1])
-    stats = sized(profile(every.distinct(), corpora), "stats")
+    if specs is None:
+        counts = row_counts(requests[0], corpora)
+    elif bench is None:
+        stats = profile(requests[0], corpora)
+    else:
+        stats = sized(profile(requests[0].unionByName(requests[1]), corpora), "stats")
+        counts = stats.where(" and ".join(f"{c} is null" for c in asked[-3:])).select(*corpora.asked, "rows")
     if specs is not None:
         found = stats.select(*corpora.asked, *[F.col(c).alias(f"q_{c}") for c in asked[-3:]], *STATS)
         specs = null_safe_join(specs, found, [*corpora.asked, *[f"q_{c}" for c in asked[-3:]]], "left")
@@ -325,9 +343,7 @@ def check(sources: DataFrame | None, benchmarks: DataFrame | None, catalog: Data
             *SPEC, "findings", "stats_ok", "rows", "median_chars", "short_share", "dup_share", "long_share")
         specs = null_safe_join(sources, verdicts, SPEC, "left")
     if bench is not None:
-        rows = stats.where(" and ".join(f"{c} is null" for c in asked[-3:])).select(
-            *corpora.asked, F.col("rows").alias("corpus_rows"))
-        bench = null_safe_join(bench, rows, corpora.asked, "left").drop(*corpora.asked)
+        bench = null_safe_join(bench, counts.withColumnRenamed("rows", "corpus_rows"), corpora.asked, "left").drop(*corpora.asked)
         if tasks is not None:
             t = tasks.select(F.col("task").alias("t_task"), F.lit(True).alias("task_known")).distinct()
             bench = bench.join(t, bench.task == t.t_task, "left").drop("t_task")
