@@ -23,7 +23,7 @@ from corpusgate.plans.manifests import _ruled
 from corpusgate.functions.joins import sized
 from corpusgate.sources import store
 from corpusgate.sources.fixtures import fixture
-from corpusgate.sources.tables import table
+from corpusgate.sources.tables import corpus, table, with_file_ordinal
 
 SAMPLE_ROWS = K.DEFAULT_SAMPLE_ROWS
 TIMEOUT = 60.0
@@ -48,6 +48,16 @@ def corpora(spark, sf_dir) -> D.Corpora:
     return D.Corpora(rows, ["dataset", *PARTITIONS], corpus_key, docs.schema, "doc_id", visible=visible)
 
 
+def q_corpus_scan(spark, sf_dir):
+    """SC1: one config and split opened as a corpus of its own (its partitions alone are read), with the ordinals
+    that files give their rows."""
+    path, _ = store.located(spark, "documents", sf_dir, lambda: fixture(spark, sf_dir, "fx_store"), PARTITIONS)
+    rows = with_file_ordinal(corpus(spark, path, partition_filters={"config": "default", "split": "validation"}))
+    return rows.groupBy("dataset", "added").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.col("n_chars").cast("long")).alias("chars"),
+        F.count_distinct("ord").alias("ordinals"))
+
+
 def catalog(spark, sf_dir) -> DataFrame:
     return fixture(spark, sf_dir, "fx_catalog").select(
         "path", "revision", "http_status", "detail", "disabled", "gated", F.split("sibling_list", ",").alias("siblings"))
@@ -197,6 +207,7 @@ def q_nontext_missing(spark, sf_dir):
 
 
 QUERIES = {
+    "corpus_scan": q_corpus_scan,
     "nontext_missing": q_nontext_missing,
     "check_outcome": q_check_outcome,
     "console_lines": q_console_lines,

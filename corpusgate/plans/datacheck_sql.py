@@ -258,6 +258,9 @@ SRC_ALL = f"""src_all as (select s.*, m.sequence_length as seq_len, {SUBJECT_S}
   from fx_sources s join fx_manifests m using (manifest_id))"""
 
 ORACLES = {
+    "corpus_scan": f"""with {_fx("fx_store")}
+select dataset, added, count(*) as rows, cast(sum(n_chars) as bigint) as chars, count(*) as ordinals
+from fx_store where config = 'default' and split = 'validation' group by dataset, added""",
     "hub_entry_findings": f"with {FX_ALL}, {COMMON}, {SRC_ALL},\n"
                           f"hub_s as ({_hub_rows('src_all', 't.path', 't.revision', True)})\n"
                           "select manifest_id, pos, subject, ord, level, message from hub_s",

@@ -30,10 +30,17 @@ def ingest(rows: DataFrame, partitions: list[str]) -> tuple[str, StructType]:
     return path, StructType([*data, *[rows.schema[p] for p in partitions]])  # given when read, so that '01' stays text
 
 
-def opened(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame], partitions: list[str]) -> DataFrame:
-    """The store `name` of the input folder `source`: `make()` is ingested at its first use in a session."""
+def located(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame],
+            partitions: list[str]) -> tuple[str, StructType]:
+    """Folder and columns of the store `name` of the input folder `source`: `make()` is ingested at its first use in
+    a session."""
     key = (spark.sparkContext.applicationId, name, source)
     if key not in _OPEN:
         _OPEN[key] = ingest(make(), partitions)
-    path, schema = _OPEN[key]
+    return _OPEN[key]
+
+
+def opened(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame], partitions: list[str]) -> DataFrame:
+    """The rows of the store."""
+    path, schema = located(spark, name, source, make, partitions)
     return spark.read.schema(schema).parquet(path)
