@@ -10,9 +10,9 @@ from corpusgate.streaming.gate import run_to_table, stream_eval_gate, stream_row
 
 def _document_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "documents").schema
-    # a file stream reads a directory: the table's file is picked by name
+    # a pattern, as the table may be one file or a folder of part files: a plain path has to be a folder
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-            .option("pathGlobFilter", "documents.parquet").parquet(sf_dir.rstrip("/")))
+            .parquet(f"{sf_dir.rstrip('/')}/documents.parque[t]"))
 
 
 def q_stream_eval_gate(spark, sf_dir):

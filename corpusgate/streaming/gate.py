@@ -56,7 +56,7 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, output_mode:
         q = (stream.writeStream.format(fmt).option("path", f"{base}/out")
              .option("checkpointLocation", f"{base}/ckpt").outputMode("append").trigger(availableNow=True).start())
         q.awaitTermination()
-        return spark.read.format(fmt).load(f"{base}/out")
+        return spark.read.schema(stream.schema).format(fmt).load(f"{base}/out")
 
     def write_batch(batch: DataFrame, epoch: int) -> None:  # update mode: keep each epoch's changed rows
         batch.withColumn("__epoch", F.lit(epoch)).write.mode("append").format(fmt).save(f"{base}/out")

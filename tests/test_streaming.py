@@ -1,6 +1,8 @@
 """Streaming gate and running counts over a directory of parquet files."""
+import pytest
 from pyspark.sql import functions as F
 
+from corpusgate.plans.streams import QUERIES
 from corpusgate.streaming.gate import run_to_table, stream_eval_gate, stream_row_counts
 
 LONG = "x" * 300
@@ -23,3 +25,23 @@ def test_stream_gate_and_counts(spark, tmp_path):
                                  .parquet(str(tmp_path / "in"))), "t_counts", output_mode="update").collect()}
     total = {r.source: (r["count"], None) for r in written.groupBy("source").count().collect()}
     assert {k: v[0] for k, v in counts.items()} == {k: v[0] for k, v in total.items()}
+
+
+def _documents(spark, tmp_path, folder: bool) -> str:
+    """A `documents` table as one file, or as a folder of part files, beside another table."""
+    rows = [(i, f"{i % 7:05d} {LONG}" if i % 5 else "short", "ab"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    if folder:
+        df.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    else:
+        df.toPandas().to_parquet(tmp_path / "documents.parquet")
+    df.limit(1).write.parquet(str(tmp_path / "documents2.parquet"))
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("folder", [True, False])
+def test_gate_query_reads_a_table_of_any_layout(spark, tmp_path, folder):
+    path = _documents(spark, tmp_path, folder)
+    expected = (spark.read.parquet(f"{path}/documents.parquet").where("length(text) >= 200").groupBy("source")
+                .agg(F.count_distinct("text").alias("kept")).collect())
+    assert sorted(QUERIES["stream_eval_gate"](spark, path).collect()) == sorted(expected)
