@@ -45,3 +45,12 @@ def test_gate_query_reads_a_table_of_any_layout(spark, tmp_path, folder):
     expected = (spark.read.parquet(f"{path}/documents.parquet").where("length(text) >= 200").groupBy("source")
                 .agg(F.count_distinct("text").alias("kept")).collect())
     assert sorted(QUERIES["stream_eval_gate"](spark, path).collect()) == sorted(expected)
+
+
+@pytest.mark.parametrize("folder", [True, False])
+def test_count_query_reads_a_table_of_any_layout(spark, tmp_path, folder):
+    path = _documents(spark, tmp_path, folder)
+    expected = spark.read.parquet(f"{path}/documents.parquet").groupBy("source").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.length("text") >= 200).alias("usable_rows"),
+        F.lit(0).cast("long").alias("long_rows")).collect()
+    assert sorted(QUERIES["stream_row_counts"](spark, path).collect()) == sorted(expected)
