@@ -90,20 +90,21 @@ def fixture_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Manifest files (SC6; `sources.listing` lists them, SC5)
 
-def decode_manifests(files: DataFrame) -> DataFrame:
+def decode_manifests(files: DataFrame, deal: bool = True) -> DataFrame:
     """SC6, MV1, MV2: files(path, folder, file_stem, content or text) → the nested
     manifest `m`, list lengths, `type_errors` and `load_problems`.
 
     The helper reads each file once; its typed struct is what every rule sees.
-    Decoding is Python work, so the small file table is dealt over all cores."""
+    Decoding is Python work, so a small file table is dealt over all cores; `deal=False` spares the shuffle
+    of all contents where `files` lies in as many parts already."""
     if "content" not in files.columns:
         files = files.withColumn("content", F.encode("text", "UTF-8")).drop("text")
     keep = [c for c in files.columns if c != "content"]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields if f.name != "content")
     typed = (f"load_problem string, n_sources int, n_benchmarks int, type_errors {ERROR_LIST}, "
              f"m struct<{MANIFEST_FIELDS}>")
-    decoded = files.repartition(files.sparkSession.sparkContext.defaultParallelism).mapInArrow(
-        read_batches, f"{kept}, {typed}")
+    dealt = files.repartition(files.sparkSession.sparkContext.defaultParallelism) if deal else files
+    decoded = dealt.mapInArrow(read_batches, f"{kept}, {typed}")
     label = F.concat(F.col("folder"), F.lit("/"), F.col("file_stem"), F.lit(".yaml: "))
     mid = [] if "manifest_id" in keep else [F.xxhash64("path").alias("manifest_id")]
     none = F.array().cast("array<string>")
@@ -113,12 +114,12 @@ def decode_manifests(files: DataFrame) -> DataFrame:
         F.coalesce("type_errors", F.array().cast(ERROR_LIST)).alias("type_errors"), "n_sources", "n_benchmarks", "m")
 
 
-def manifest_problems(files: DataFrame) -> DataFrame:
+def manifest_problems(files: DataFrame, deal: bool = True) -> DataFrame:
     """MV28 for files: decode, evaluate every rule, and label the problems.
     A file that does not load reports only its load problem."""
     from corpusgate.operators.rules import with_rule_columns
 
-    d = with_rule_columns(decode_manifests(files), extra="type_errors")
+    d = with_rule_columns(decode_manifests(files, deal), extra="type_errors")
     return d.withColumn("problems", F.when(F.size("load_problems") > 0, F.col("load_problems"))
                         .otherwise(F.col("problems")))
 
