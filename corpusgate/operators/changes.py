@@ -7,7 +7,8 @@ path, old_path)`, one row per changed file, `seq` its order in the PR.
 Plan: each change is exploded into its paths (old path first), each path
 classified by Column expressions, and per PR the *distinct* messages are
 kept with the position they were first seen — `groupBy(pr, message)` with
-`min(seq, side)`. The result carries that order key instead of a dense
+`min(seq, side)`. Rows are dealt over partitions by their number before they are
+grouped, so a task holds equally many however long the log is. The result carries that order key instead of a dense
 rank, so no window has to hold a whole pull request in one task.
 """
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgate import constants as K
+from corpusgate.functions.joins import parts_of
 from corpusgate.functions.ordered import joined, step
 from corpusgate.functions.text import message, ustrip
 
@@ -81,6 +83,7 @@ def pr_violations(changes: DataFrame, trusted: str, prs: DataFrame | None = None
 
     Output: pr_id, kind (0 path, 1 count), first_seq, first_side, message.
     Sorting by (kind, first_seq, first_side) gives the report order."""
+    parts = parts_of(changes) if prs is None else parts_of(changes, prs)
     changes = known(changes)
     bound = changes.where(~is_maintainer(F.col("author"), F.col("association"), trusted))
     paths = bound.select(
@@ -90,37 +93,43 @@ def pr_violations(changes: DataFrame, trusted: str, prs: DataFrame | None = None
                           lambda x: F.coalesce(x["p"], F.lit("")) != "")))
     why = paths.select("pr_id", "seq", "side", own_proposal_problem(F.col("p"), F.col("author")).alias("message"))
     # first sighting as one bigint (seq * 2 + side): a fixed-width min, so the
-    # aggregate stays a codegen HashAggregate with map-side combine
+    # aggregate stays a codegen HashAggregate
     per_path = (why.where(F.col("message").isNotNull())
-                .groupBy("pr_id", "message").agg(F.min(F.col("seq").cast("bigint") * 2 + F.col("side")).alias("first"))
+                .select("pr_id", "message", (F.col("seq").cast("bigint") * 2 + F.col("side")).alias("first"))
+                .repartition(parts, "pr_id", "message")
+                .groupBy("pr_id", "message").agg(F.min("first").alias("first"))
                 .select("pr_id", F.lit(0).alias("kind"), F.floor(F.col("first") / 2).cast("int").alias("first_seq"),
                         (F.col("first") % 2).cast("int").alias("first_side"), "message"))
-    sub = bound.where(submits(F.col("status"), F.col("path"), F.col("author")))
-    counted = sub.groupBy("pr_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    many = (joined(sub.join(counted.select("pr_id", "n"), "pr_id"), ["pr_id", "n"], step("seq"), ["seq", "path"], "path", ", ",
-                   "paths")
+    sub = bound.where(submits(F.col("status"), F.col("path"), F.col("author"))).select("pr_id", "seq", "path")
+    many = (joined(sub, ["pr_id"], step("seq"), ["seq", "path"], "path", ", ", "paths", parts, "n")
+            .where((F.col("n") > 1) & F.col("pr_id").isNotNull())
             .select("pr_id", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("first_seq"),
                     F.lit(None).cast("int").alias("first_side"),
                     message(K.MSG_MANY_PROPOSALS, n=F.col("n"), paths=F.col("paths")).alias("message")))
     found = per_path.unionByName(many)
     if prs is None:
         return found
-    bare = (known(prs).where(~is_maintainer(F.col("author"), F.col("association"), trusted))
-            .join(changes.select("pr_id").distinct(), "pr_id", "left_anti"))
+    named = known(prs).select("pr_id", (~is_maintainer(F.col("author"), F.col("association"), trusted)).alias("bound"),
+                              F.lit(False).alias("changes"))
+    changed = changes.select("pr_id", F.lit(False).alias("bound"), F.lit(True).alias("changes"))
+    bare = (named.unionByName(changed).repartition(parts, "pr_id")
+            .groupBy("pr_id").agg(F.max("bound").alias("bound"), F.max("changes").alias("changes"))
+            .where(F.col("bound") & (F.col("pr_id").isNull() | ~F.col("changes"))))
     return found.unionByName(bare.select(
         "pr_id", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("first_seq"),
-        F.lit(None).cast("int").alias("first_side"), F.lit(K.MSG_NO_FILES).alias("message")).distinct())
+        F.lit(None).cast("int").alias("first_side"), F.lit(K.MSG_NO_FILES).alias("message")))
 
 
 def pr_reports(changes: DataFrame, violations: DataFrame, trusted: str, guide_hint: str = "",
                prs: DataFrame | None = None) -> DataFrame:
     """RE2: one Markdown report per PR (maintainer / clean / violations)."""
-    prs = known(changes if prs is None else prs).groupBy("pr_id").agg(
-        F.min("author").alias("author"), F.min("association").alias("association"))
+    parts = parts_of(changes) if prs is None else parts_of(changes, prs)
+    # different rows first: a pull request of very many rows is then no long sort
+    prs = (known(changes if prs is None else prs).select("pr_id", "author", "association").repartition(parts, "pr_id")
+           .distinct().groupBy("pr_id").agg(F.min("author").alias("author"), F.min("association").alias("association")))
     lines = violations.withColumn("line", F.concat(F.lit("- "), F.col("message"))).withColumn(
         "at", F.when(F.col("kind") == 0, F.coalesce("first_seq", F.lit(0))))  # the count of proposals comes last
-    per = (joined(lines, ["pr_id"], step("at"), ["kind", "first_seq", "first_side", "message"], "line", "\n", "lines")
-           .join(violations.groupBy("pr_id").agg(F.count(F.lit(1)).cast("int").alias("n")), "pr_id"))
+    per = joined(lines, ["pr_id"], step("at"), ["kind", "first_seq", "first_side", "message"], "line", "\n", "lines", parts, "n")
     found = prs.join(per, "pr_id", "left")
     author, assoc = F.col("author"), F.col("association")
     on_list = F.array_contains(trusted_logins(trusted), F.lower(author))

@@ -17,11 +17,11 @@ TRUSTED_SQL = "('user7', 'user13')"
 
 
 def q_pr_violations(spark, sf_dir):
-    return CH.pr_violations(fixture(spark, sf_dir, "fx_changes"), TRUSTED, fixture(spark, sf_dir, "fx_prs"))
+    return CH.pr_violations(fixture(spark, sf_dir, "fx_changes"), TRUSTED, sized(fixture(spark, sf_dir, "fx_prs"), "prs"))
 
 
 def q_pr_reports(spark, sf_dir):
-    changes, prs = fixture(spark, sf_dir, "fx_changes"), fixture(spark, sf_dir, "fx_prs")
+    changes, prs = fixture(spark, sf_dir, "fx_changes"), sized(fixture(spark, sf_dir, "fx_prs"), "prs")
     return CH.pr_reports(changes, CH.pr_violations(changes, TRUSTED, prs), TRUSTED, prs=prs)
 
 

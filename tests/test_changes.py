@@ -4,7 +4,9 @@ One table of pull requests, one job; the expected messages are built here from
 the rules, path by path.
 """
 import pytest
+from pyspark.sql import functions as F
 
+from corpusgate.functions import joins
 from corpusgate.operators.changes import layout_problems, parse_name_status, pr_reports, pr_violations
 
 LOG = ("pr_id long, seq int, author string, association string, status string, path string, old_path string")
@@ -105,3 +107,15 @@ def test_layout_lists_what_does_not_belong(spark):
     files = spark.createDataFrame([(f"proposals/{p}",) for p in belongs + stray] + [("elsewhere/a.txt",)], "path string")
     got = {r.file: r.problem for r in layout_problems(files).collect()}
     assert got == {f"proposals/{p}": f"proposals/{p}: only <github-login>/<task-name>.yaml files belong here" for p in stray}
+
+
+def test_partitions_grow_with_the_rows(spark, monkeypatch):
+    """What one task holds is bounded by the rows of a partition, whatever the session's number of partitions."""
+    monkeypatch.setattr(joins, "PART_ROWS", 10)
+    log = spark.createDataFrame([(i // 3, i % 3, "nora", "NONE", "A", f"f{i}", None) for i in range(300)], LOG)
+    prs = spark.createDataFrame([(i, "nora", "NONE") for i in range(120)], PRS)
+    found = pr_violations(log, TRUSTED, prs)
+    reports = pr_reports(log, found, TRUSTED, prs=prs)
+    assert reports.groupBy(F.spark_partition_id()).count().count() > 20
+    assert found.groupBy(F.spark_partition_id()).count().count() > 40
+    assert reports.where("violations = 3").count() == 100 and reports.where("violations = 1").count() == 20
