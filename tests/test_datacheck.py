@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from corpusgate.operators import datacheck as D
+from corpusgate.plans import datacheck as plans
 
 LONG = "x" * 300
 CAT = "path string, http_status int, disabled boolean, gated string, siblings array<string>"
@@ -245,3 +246,36 @@ def test_histograms_serve_every_window_from_one_table(spark):
     got = {(r.rid, r.seq_len): tuple(r)[2:] for r in D.histograms(texts, windows).collect()}
     assert got == {(0, 1024): (4, 0, 150, 0.5, 0.0, 0.25), (0, 2048): (4, 0, 150, 0.5, 0.0, 0.0),
                    (0, 64): (4, 0, 150, 0.5, 0.0, 0.5), (1, None): (2, 1, 1, 1.0, 0.0, 0.0)}
+
+
+def test_statistics_are_written_so_that_their_bytes_decide_the_join(spark):
+    src, cat = spark.createDataFrame([source("org/a")], SRC), spark.createDataFrame([ok_entry("org/a")], CAT)
+    corp = corpus(spark, {"org/a": good()})
+    out = D.check_sources(src, cat, spark.createDataFrame([], LOADS), None,
+                          D.Corpora(corp, ["ds"], lambda path, *_: {"ds": path}, corp.schema, "ord"))
+    assert any("/stats-" in f for f in out.inputFiles())
+
+
+def test_sources_are_written_once_for_specs_and_verdicts(spark, tmp_path):
+    tables = {
+        "lineitem": ([(1, 5, 1, 1, 2.0, 3.0, "N", "O", "1997-01-01")], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
+                     "l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate string"),
+        "orders": ([(1, 1, "O", "1-URGENT")], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string"),
+        "part": ([(5, 1)], "p_partkey long, p_size int"),
+        "documents": ([(1, LONG, "en", "src5", 300)], "doc_id long, text string, lang string, source string, n_chars long")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = plans.checked_sources(spark, str(tmp_path))
+    assert any("/sources-" in f for f in out.inputFiles()) and not any("lineitem" in f for f in out.inputFiles())
+    assert [(r.manifest_id, r.pos, r.subject) for r in out.collect()] == [(1, 1, "org/corpus-5 / train")]
+
+
+def test_findings_stand_in_the_plan_once(spark):
+    """A filter on their list, put before its rows are made, would compute them a second time."""
+    one = F.array(F.struct(F.lit(1).alias("ord"), F.lit("error").alias("level"),
+                           F.concat(F.lit("marker "), F.col("id").cast("string")).alias("message")))
+    findings = F.when(F.col("id") == 0, F.slice(one, 1, 0)).when(F.col("id") > 1, one)  # empty, null, one
+    out = plans._explode(spark.range(4).select("id", findings.alias("findings")), ["id"])
+    assert [tuple(r) for r in out.orderBy("id").collect()] == [(2, 1, "error", "marker 2"), (3, 1, "error", "marker 3")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(" not in plan
