@@ -9,10 +9,11 @@ from corpusgate.streaming.gate import run_to_table, stream_eval_gate, stream_row
 
 
 def _document_stream(spark, sf_dir):
-    schema = table(spark, sf_dir, "documents").schema
-    # a pattern, as the table may be one file or a folder of part files: a plain path has to be a folder
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-            .parquet(f"{sf_dir.rstrip('/')}/documents.parque[t]"))
+    docs, path = table(spark, sf_dir, "documents"), f"{sf_dir.rstrip('/')}/documents.parquet"
+    # the table is a folder of part files, or one file: then a pattern, as a plain path has to be a folder
+    if [f.rsplit("/", 1)[-1] for f in docs.inputFiles()] == ["documents.parquet"]:
+        path = f"{path[:-1]}[t]"
+    return spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def q_stream_eval_gate(spark, sf_dir):

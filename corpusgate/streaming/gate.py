@@ -12,7 +12,8 @@ stateful operators are provided:
 * `stream_row_counts` — running rows / usable / over-window counts per
   source (a streaming aggregation, update mode).
 
-Sinks are files under the shared checkpoint folder, never the driver.
+Sinks are files under the shared checkpoint folder, never the driver;
+running values are read from the checkpoint's state.
 """
 from __future__ import annotations
 
@@ -20,6 +21,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusgate import constants as K
 from corpusgate.operators.profile import over_window, prefix_key, usable
@@ -50,22 +52,28 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, output_mode:
     """Run a streaming DataFrame over everything available now and return
     what it wrote, read back as a batch DataFrame; in update mode the last
     values of each of `keys`. Output and checkpoint
-    live under the session's shared checkpoint folder."""
+    live under the session's shared checkpoint folder.
+
+    File sinks only append. In update mode `stream` is an aggregation whose
+    state is its result (counts, minima, maxima): its last values are read from
+    the checkpoint by Spark's state reader. So no batch calls back into the
+    driver's Python, which would take a server there."""
     base = f"{scratch_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:8]}"
+    to = stream.writeStream.option("checkpointLocation", f"{base}/ckpt").outputMode(output_mode).trigger(availableNow=True)
     if output_mode == "append":
-        q = (stream.writeStream.format(fmt).option("path", f"{base}/out")
-             .option("checkpointLocation", f"{base}/ckpt").outputMode("append").trigger(availableNow=True).start())
-        q.awaitTermination()
+        to.format(fmt).option("path", f"{base}/out").start().awaitTermination()
         return spark.read.schema(stream.schema).format(fmt).load(f"{base}/out")
 
-    def write_batch(batch: DataFrame, epoch: int) -> None:  # update mode: keep each epoch's changed rows
-        batch.withColumn("__epoch", F.lit(epoch)).write.mode("append").format(fmt).save(f"{base}/out")
-
-    q = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", f"{base}/ckpt")
-         .outputMode(output_mode).trigger(availableNow=True).start())
+    q = to.format("noop").start()
     q.awaitTermination()
-    out = spark.read.format(fmt).load(f"{base}/out")
-    # per key, the values of the last epoch that changed them
-    values = [c for c in out.columns if c not in ("__epoch", *keys)]
-    latest = out.groupBy(*keys).agg(F.max_by(F.struct(*values), "__epoch").alias("v"))
-    return latest.select(*keys, "v.*")
+    if q.lastProgress is None:  # no file, no batch, no state
+        return spark.createDataFrame([], stream.schema)
+    state = spark.read.format("statestore").load(f"{base}/ckpt")
+    kinds = {f.name: f.dataType for f in stream.schema}
+    parts = {"key": list(keys), "value": [c for c in kinds if c not in keys]}
+    for part, columns in parts.items():
+        if [f.dataType for f in state.schema[part].dataType] != [kinds[c] for c in columns]:
+            raise ValueError(f"the state of {name} is not its result: {state.schema.simpleString()}")
+        # a cast goes by place: all counts of a state have the same name
+        state = state.withColumn(part, F.col(part).cast(T.StructType([T.StructField(c, kinds[c]) for c in columns])))
+    return state.select("key.*", "value.*").select(*stream.columns)

@@ -54,3 +54,21 @@ def test_count_query_reads_a_table_of_any_layout(spark, tmp_path, folder):
         F.count(F.lit(1)).alias("rows"), F.count_if(F.length("text") >= 200).alias("usable_rows"),
         F.lit(0).cast("long").alias("long_rows")).collect()
     assert sorted(QUERIES["stream_row_counts"](spark, path).collect()) == sorted(expected)
+
+
+def test_counts_need_no_server_in_the_driver(spark, tmp_path, monkeypatch):
+    def refused(*_):
+        raise OSError("no port may be opened")
+
+    monkeypatch.setattr("pyspark.java_gateway.ensure_callback_server_started", refused)
+    path = _documents(spark, tmp_path, folder=True)
+    spark.createDataFrame([(99, None, None), (100, "y" * 5000, None)], "doc_id long, text string, source string") \
+        .write.mode("append").parquet(f"{path}/documents.parquet")
+    got = {r.source: tuple(r)[1:] for r in QUERIES["stream_row_counts"](spark, path).collect()}
+    assert got == {"a": (30, 24, 0), "b": (30, 24, 0), None: (2, 1, 1)}
+
+
+def test_counts_of_no_rows(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["stream_row_counts"](spark, str(tmp_path))
+    assert got.columns == ["source", "rows", "usable_rows", "long_rows"] and got.collect() == []
