@@ -7,6 +7,13 @@ library cuts at all those places too, except inside a run of three or more white
 space characters or of two or more at the end of a text: texts with such a run
 go to the library whole. Special strings are split off first, as the library
 does by default. So the ids are the library's own.
+
+New pieces go to the library many to a call. In a byte-level vocabulary only tokens
+at the beginning of a piece begin with a space, so they show where each piece's ids
+are; other vocabularies get a line end between the pieces.
+
+The cache has two generations: a full young one becomes the old one, whose pieces
+come back when they are met again. So frequent pieces stay, whatever else is met.
 """
 from __future__ import annotations
 
@@ -17,17 +24,18 @@ from array import array
 import numpy as np
 
 LONG = 48        # longer pieces are encoded but not remembered
-CACHE = 800_000  # pieces remembered by one worker
+CACHE = 1_600_000  # pieces remembered by one worker, in both generations: about 170 bytes each
 CHUNK = 256      # pieces encoded by one call
 _RUN = re.compile(r"\s\s\s|\s\s\Z")
 _SPACE = re.compile(r"\s")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+_OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_LEAD = "Ġ"      # how byte-level vocabularies write a space
 _PAIRS = ("  ", "\n\n", " \n", "\n ")
 
 
 def safe(text: str) -> bool:
     """Whether every space and line end of the text is a place where the library cuts."""
-    return not (any(p in text for p in _PAIRS) or _OTHER_SPACE.search(text)) or not _RUN.search(text)
+    return not any(p in text for p in (*_PAIRS, *_OTHER_SPACES)) or not _RUN.search(text)
 
 
 class Pieces:
@@ -45,10 +53,25 @@ class Pieces:
         line = self.lib.encode("\n", add_special_tokens=False).ids
         # a line end that stands alone must be one token to serve as a border between pieces
         self.border = line[0] if len(line) == 1 else None
+        self.leads = self.lead_tokens()
         self.code = "H" if self.lib.get_vocab_size() < 1 << 16 else "I"
         self.width = 2 if self.code == "H" else 4
         self.lengths_only, self.limit = lengths_only, limit
         self.cache: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+
+    def lead_tokens(self) -> np.ndarray | None:
+        """For each id 1 if its token has a space as its first byte alone, 2 if elsewhere, else 0.
+        None if the vocabulary does not write a space as byte-level ones do."""
+        special = set(self.special.values())
+        tokens = {t: i for t, i in self.lib.get_vocab().items() if i not in special}
+        if self.lib.encode(" ", add_special_tokens=False).ids != [tokens.get(_LEAD)] or any(" " in t for t in self.special):
+            return None
+        leads = np.zeros(1 + max([*tokens.values(), *special]), np.uint8)
+        for t, i in tokens.items():
+            if _LEAD in t:
+                leads[i] = 2 if _LEAD in t[1:] else 1
+        return leads
 
     def value(self, ids) -> object:
         return len(ids) if self.lengths_only else array(self.code, ids).tobytes()
@@ -82,9 +105,16 @@ class Pieces:
     def learn_joined(self, part: list[str], mark: str, skip: int) -> bool:
         """skip: 1 if the line end is only a border, 0 if it is the piece's own first token.
         False if the borders do not show (a special string or the like): then nothing is learned."""
-        text = "".join(mark + p for p in part) + "\nx"
+        spaced = skip and self.leads is not None
+        text = " " + " ".join(part) if spaced else "".join(mark + p for p in part) + "\nx"
         ids = np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids)
-        cuts = np.flatnonzero(ids == self.border)
+        if spaced:
+            leads = self.leads[ids]
+            if 2 in leads:
+                return False
+            cuts, skip = np.append(np.flatnonzero(leads), len(ids)), 0
+        else:
+            cuts = np.flatnonzero(ids == self.border)
         if len(cuts) != len(part) + 1:
             return False
         if self.lengths_only:
@@ -97,8 +127,8 @@ class Pieces:
 
     def encode(self, texts: list[str], known: dict[str, object] | None = None) -> list[list]:
         """For each text the values of its pieces, in order. `known` (the first tier) is asked before the cache."""
-        if len(self.cache) > self.limit:
-            self.cache.clear()
+        if len(self.cache) > self.limit // 2:
+            self.old, self.cache = self.cache, {}
         out: list[list | None] = []
         words: list[str] = []
         for text in texts:
@@ -122,7 +152,9 @@ class Pieces:
         if known and need:
             need = need.difference(cache)
         if need:
-            self.learn(need)
+            again = need & self.old.keys()
+            self.cache.update((p, self.old[p]) for p in again)
+            self.learn(need - again)
         for i in missing:
             got[i] = cache[words[i]]
         at = 0

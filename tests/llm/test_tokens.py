@@ -118,3 +118,30 @@ def test_the_query_reads_every_document(spark, library):
     rows = [(r.doc_id, r.text) for r in small(spark).collect()]
     got = sorted((tuple(r) for r in wavelet.op3_wavelet_files(spark, SMALL).collect()), key=lambda r: r[1])
     assert got == placed(rows, library)
+
+
+ODD_PIECES = ["sea", "Sea,", "Ġ", "aĠĠb", "'s", "''s", "don't", "᠎", "a᠎", "​", "<|endoftext|", "a﻿b", "東京", "12,5", "é"]
+
+
+@pytest.mark.parametrize("leads", [True, False])
+def test_pieces_learned_together_are_the_library_s(library, leads):
+    pieces = Pieces(PATH)
+    assert pieces.leads is not None
+    pieces.leads = pieces.leads if leads else None
+    alone = []
+    pieces.piece = lambda p: alone.append(p) or Pieces.piece(pieces, p)
+    pieces.learn(set(ODD_PIECES))
+    assert alone == []
+    for p in ODD_PIECES:
+        assert np.frombuffer(pieces.cache[p], np.uint16).tolist() == library(" " + p), repr(p)
+
+
+def test_frequent_pieces_outlive_a_full_cache(library):
+    pieces, learned = Pieces(PATH, limit=100), []
+    pieces.learn = lambda new: learned.extend(new) or Pieces.learn(pieces, new)
+    for a in range(20):
+        text = " sea " + " ".join(f"w{i}" for i in range(a * 30, a * 30 + 30))
+        [values] = pieces.encode([text])
+        assert np.frombuffer(b"".join(values), np.uint16).tolist() == library(text)
+        assert len(pieces.cache) + len(pieces.old) <= 100 + 2 * 31
+    assert learned.count("sea") == 1 and len(learned) == 1 + 20 * 30
