@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from corpusgate.llm.common import Batches, share, staged, table, texts_of, worker_cache
 from corpusgate.llm.token_counts import TOKENIZER, tokenizer_path
-from corpusgate.llm.tokens import LONG, Pieces, safe
+from corpusgate.llm.tokens import LONG, Pieces, byte_of_letter, safe
 from corpusgate.session import scratch_dir
 
 MODEL = "piece_bpe_32k.model"
@@ -51,14 +51,6 @@ DIGEST = ("rid bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n
           "links binary")
 
 
-def byte_of_letter() -> dict[str, int]:
-    """The byte for which each letter of a byte-level vocabulary stands: printable bytes for themselves,
-    the others, in order, for the code points from 256."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class SideA:
     """Token ids of space + text, special strings as plain text."""
 

@@ -36,14 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgate.llm.common import Batches, table, texts_of, worker_cache
+from corpusgate.llm.common import Batches, table, worker_cache
 from corpusgate.llm.token_counts import tokenizer_path
 from corpusgate.llm.tokens import Pieces
 from corpusgate.session import scratch_dir
 
 SHARD = 1 << 18  # tokens; small enough that a plane and its ids stay in a core's cache
 END = 2
-GROUP = 64   # texts encoded together
 BLOCK = 512  # bits of a rank block
 HEAD = 128   # characters of a text that help to range documents
 LAYOUT = ("part int, shard int, start bigint, n_tokens bigint, doc_ids array<bigint>, doc_tokens array<bigint>, "
@@ -55,7 +54,7 @@ def build(ids: np.ndarray, bits: int) -> tuple[list[int], list[bytes], list[byte
     """Zero counts, packed planes and rank directories of a wavelet matrix, highest plane first."""
     zeros, planes, ranks = [], [], []
     for plane in range(bits - 1, -1, -1):
-        one = (ids >> plane & 1).astype(bool)
+        one = (ids & ids.dtype.type(1 << plane)) != 0
         packed = np.packbits(one)
         zeros.append(int(len(ids) - np.count_nonzero(one)))
         planes.append(packed.tobytes())
@@ -65,7 +64,9 @@ def build(ids: np.ndarray, bits: int) -> tuple[list[int], list[bytes], list[byte
 
 
 def directory(packed: np.ndarray) -> bytes:
-    per = np.add.reduceat(_ONES[packed], np.arange(0, len(packed), BLOCK // 8), dtype=np.uint32) if len(packed) else []
+    words = np.zeros(-(-len(packed) // (BLOCK // 8)) * (BLOCK // 8), np.uint8)
+    words[:len(packed)] = packed
+    per = np.bitwise_count(words.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint32)
     return np.concatenate([[0], np.cumsum(per)]).astype("<u4").tobytes()
 
 
@@ -137,12 +138,13 @@ class Matrix:
 
     def decode(self) -> np.ndarray:
         """All ids, from the last plane up: each plane says which side an id came from."""
-        ids = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        ids = np.zeros(self.n, kind)
         for up, (packed, zeros) in enumerate(zip(self.planes[::-1], self.zeros[::-1])):
             one = np.unpackbits(packed, count=self.n).view(bool)
             before = np.empty_like(ids)
             before[np.flatnonzero(~one)] = ids[:zeros]
-            before[np.flatnonzero(one)] = ids[zeros:] | np.uint32(1 << up)
+            before[np.flatnonzero(one)] = ids[zeros:] | kind(1 << up)
             ids = before
         return ids
 
@@ -163,18 +165,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, shard: int
                 "zeros": zeros, "planes": planes, "ranks": ranks}], schema)
 
         for batch in batches:
-            texts, ids = texts_of(batch), batch.column("doc_id").to_pylist()
             place = batch.column("part")[0].as_py() if len(batch) else place
-            for a in range(0, len(texts), GROUP):
-                for doc_id, values in zip(ids[a:a + GROUP], pieces.encode(texts[a:a + GROUP])):
-                    raw = b"".join([*values, tail])
-                    parts.append(raw)
-                    names.append(doc_id)
-                    sizes.append(len(raw) // np.dtype(kind).itemsize)
-                    total += sizes[-1]
-                    if total >= shard:
-                        yield close()
-                        names, sizes, parts, start, total, number = [], [], [], start + total, 0, number + 1
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), pieces.column(batch.column("text"))):
+                parts += [ids, tail]
+                names.append(doc_id)
+                sizes.append((len(ids) + len(tail)) // len(tail))
+                total += sizes[-1]
+                if total >= shard:
+                    yield close()
+                    names, sizes, parts, start, total, number = [], [], [], start + total, 0, number + 1
         if names:
             yield close()
 

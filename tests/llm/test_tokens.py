@@ -2,10 +2,11 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from corpusgate.llm import token_counts, wavelet
+from corpusgate.llm import token_counts, tokens, wavelet
 from corpusgate.llm.tokens import Pieces
 from tests.llm.tables import CLASH, EMPTY, SMALL, odd, odd_rows, small
 
@@ -145,3 +146,37 @@ def test_frequent_pieces_outlive_a_full_cache(library):
         assert np.frombuffer(b"".join(values), np.uint16).tolist() == library(text)
         assert len(pieces.cache) + len(pieces.old) <= 100 + 2 * 31
     assert learned.count("sea") == 1 and len(learned) == 1 + 20 * 30
+
+
+WORDS = ["sea", "Sea.", "sea,,", "l'été.", "Ærø!", "a.b", "×", "ǅx", "東京.", "it's", "''", "$$$", "x" * 60 + ".", "y" * 10 + "." * 9, "12."]
+
+
+@pytest.mark.parametrize("lengths_only", [True, False])
+def test_words_learned_by_the_model_are_the_library_s(library, lengths_only):
+    pieces, joined = Pieces(PATH, lengths_only), []
+    pieces.learn_joined = lambda part, *a: joined.extend(part) or Pieces.learn_joined(pieces, part, *a)
+    pieces.learn({*WORDS, *("\n" + w for w in WORDS), "", "\n"})
+    assert not {"sea", "Sea.", "sea,,", "Ærø!", "\nSea."} & set(joined)
+    for p, value in pieces.cache.items():
+        ids = library(p if p[:1] == "\n" else " " + p)
+        assert (value if lengths_only else np.frombuffer(value, np.uint16).tolist()) == (len(ids) if lengths_only else ids), repr(p)
+
+
+@pytest.mark.parametrize("size", [1, 300, 1 << 22])
+def test_a_column_gives_the_library_s_ids(library, monkeypatch, size):
+    monkeypatch.setattr(tokens, "BYTES", size)
+    rng = np.random.default_rng(2)
+    parts = [*WORDS, "\n", " ", " ", " ", "  ", "\n\n\n", "\t", "\u00a0", "<|endoftext|>"]
+    texts = [None, "", " ", "\n", *["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(300)], None]
+    pieces = Pieces(PATH, limit=50)
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["cut off", *texts], kind).slice(1)
+        assert [np.frombuffer(raw, np.uint16).tolist() for raw in pieces.column(column)] == list(map(library, texts))
+    assert list(pieces.column(pa.array([], pa.string()))) == []
+
+
+def test_a_column_looks_each_distinct_piece_up_once():
+    pieces, asked = Pieces(PATH), []
+    pieces.values = lambda new: asked.extend(new) or Pieces.values(pieces, new)
+    list(pieces.column(pa.array(["the sea the sea", "a sea\nthe sea"] * 50)))
+    assert sorted(asked) == ["\nthe", "sea", "the"]
