@@ -4,6 +4,13 @@ A is a byte-level BPE (tokenizers library), B a sentencepiece model. A sees one
 space and the text, B the text, before which it puts a space itself. Special
 strings in texts are plain text. Every token is a byte range.
 
+Texts are cut before spaces and line ends (tokens.py says why that gives A's own ids).
+A and B both end a token there, so no group and no link reaches over a cut: each distinct
+piece of some megabytes of texts is aligned once, and a text's groups and links are those
+of its pieces, one after the other. For B cutting does because none of its pieces holds a
+space behind another character or a line end beside one; that is checked on the
+vocabulary, and texts with several spaces in a row or one in front are aligned whole.
+
 All tokens of both sides are sorted by start (lexsort); with the running maximum
 of the ends, a group breaks where a start reaches it, that is where A and B both
 end a token. A and B both tile the text without gaps, so two tokens overlap in
@@ -14,12 +21,6 @@ own, one shuffle adds up the tasks'. Of all pairs at most `TABLE`, the most
 frequent, are broadcast with their counts; links of other pairs, which are rare
 by that, go to their counts through a join on the pair.
 
-Texts are cut before spaces and line ends and each piece is encoded once per
-worker (tokens.py says why that gives A's own ids). For B it does because none of
-its pieces holds a space behind another character or a line end beside one; that
-is checked on the vocabulary, and texts with several spaces in a row or one in
-front go to the library whole.
-
 Cases: a null or empty text, or one whose A or B bytes differ from space + text
 (where B's normaliser changes it, or the text holds U+2581), has no tokens:
 zeros, no groups; repeated rows and rows with one doc_id each get their own row;
@@ -30,22 +31,25 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgate.llm.common import Batches, share, staged, table, texts_of, worker_cache
+from corpusgate.llm.common import Batches, share, staged, table, worker_cache
 from corpusgate.llm.token_counts import TOKENIZER, tokenizer_path
-from corpusgate.llm.tokens import LONG, Pieces, byte_of_letter, safe
+from corpusgate.llm.tokens import ASIDE, LONG, Pieces, byte_of_letter, cuts, laid_out, safe, slices, words_of
 from corpusgate.session import scratch_dir
 
 MODEL = "piece_bpe_32k.model"
 TABLE = 1 << 20  # pairs whose counts are broadcast: 17 bytes each
-CACHE = 200_000  # pieces remembered by one worker; more cost as much in slow look-ups as they save
+CACHE = 400_000  # pieces remembered by one worker
 CHUNK = 256      # pieces encoded by one call
-GROUP = 32       # texts aligned together
+BYTES = 2 << 20  # of texts cut at once
+BLOCK = 1 << 17  # A's tokens aligned together
 SPACE = "▁"
 DIGEST = ("rid bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, "
           "links binary")
@@ -55,7 +59,7 @@ class SideA:
     """Token ids of space + text, special strings as plain text."""
 
     def __init__(self, path: str):
-        self.pieces = Pieces(path, limit=1 << 62)  # its cache is cleared together with B's
+        self.pieces = Pieces(path)  # its cache is renewed together with B's
         self.pieces.lib.encode_special_tokens = True
         self.pieces.split = re.compile(r"(?!)")
         self.pieces.simple = True
@@ -69,7 +73,7 @@ class SideA:
         self.lossless = lib.normalizer is None
 
     def whole(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(self.pieces.encode([" " + text])[0]), self.kind).astype(np.int64)
+        return np.frombuffer(self.pieces.whole(" " + text), self.kind).astype(np.int64)
 
 
 class SideB:
@@ -125,53 +129,74 @@ class Aligner:
         self.size_b = np.array([len(x) for x in self.b.bytes], np.int64)
         self.wide = len(self.size_b)
         self.key = np.uint32 if len(self.size_a) * self.wide < 1 << 32 else np.int64  # of a linked pair of ids
+        self.old: tuple[dict, dict] = {}, {}  # the older generation of both caches
         # what is printed after an id: a comma, or the mark that ends its side
         self.names = ([f"{i}{m}" for i in range(len(self.size_a)) for m in ",|"]
                       + [f"{i}{m}" for i in range(self.wide) for m in ",;"])
 
-    def encoded(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray | None]]:
-        """A's and B's ids of each text. Both sides are cut at the same places and remember the same pieces."""
+    def learned(self, pieces: list[str]) -> list[tuple[bytes, bytes | None]]:
+        """A's and B's ids of distinct pieces. Both sides remember the same pieces."""
+        if len(self.a.pieces.cache) > CACHE // 2:
+            self.old, self.a.pieces.cache, self.b.cache = (self.a.pieces.cache, self.b.cache), {}, {}
         one, two = self.a.pieces.cache, self.b.cache
-        if max(len(one), len(two)) > CACHE:
-            one.clear()
-            two.clear()
-        cut = [t.replace("\n", " \n").split(" ") if self.b.cuts and t[:1] != " " and "  " not in t and safe(" " + t) else None
-               for t in texts]
-        # the group's own pieces in small tables: each is looked up once among all that the worker remembers
-        here = list(set().union(*[parts for parts in cut if parts]))
-        need = [p for p, v in zip(here, map(one.get, here)) if v is None]
-        self.a.pieces.learn(set(need))
+        new = [p for p, v in zip(pieces, map(one.get, pieces)) if v is None]
+        again = [p for p, v in zip(new, map(self.old[0].get, new)) if v is not None]
+        for young, old in zip((one, two), self.old):
+            young.update(zip(again, map(old.__getitem__, again)))
+        need = list(set(new).difference(again))
+        self.a.pieces.learn(need)
         self.b.learn([p for p in need if p])
         two[""] = np.array([self.b.space], "<u2").tobytes()
-        get_a, get_b = (dict(zip(here, map(known.__getitem__, here))).__getitem__ for known in (one, two))
-        out = []
-        for text, parts in zip(texts, cut):
-            if parts is None:
-                out.append((self.a.whole(text), self.b.whole(text)))
-                continue
-            values = list(map(get_b, parts))
-            out.append((np.frombuffer(b"".join(map(get_a, parts)), self.a.kind).astype(np.int64),
-                        self.b.whole(text) if None in values else np.frombuffer(b"".join(values), "<u2").astype(np.int64)))
+        found = list(zip(map(one.__getitem__, pieces), map(two.__getitem__, pieces)))
         for p in need:
             if len(p) > LONG:
                 del one[p], two[p]
-        return out
+        return found
+
+    def runs(self, texts: pa.Array) -> tuple[list[tuple[bytes, bytes | None]], np.ndarray, np.ndarray]:
+        """Units (distinct pieces, and texts that must stay whole) with A's and B's ids, the units of all texts one
+        after the other, and where each text's begin (and the end)."""
+        odd = np.zeros(len(texts), bool)
+        whole = self.b.cuts and self.a.lossless
+        for i in pc.indices_nonzero(pc.match_substring_regex(texts, r"\A[ \n]|" + ASIDE)).to_pylist() if whole else range(len(texts)):
+            t = texts[i].as_py()
+            odd[i] = not (whole and t[:1] != " " and "  " not in t and safe(" " + t))
+        cut = cuts(texts.filter(pa.array(~odd)))
+        units = self.learned(words_of(cut.pieces))
+        differ = np.array([b is None for _, b in units], bool)
+        lengths = np.diff(cut.starts)
+        places = cut.places
+        if differ.any():  # B may take such a piece otherwise beside others: these texts stay whole too
+            more = np.logical_or.reduceat(differ[places], cut.starts[:-1])
+            odd[~odd] = more
+            places, lengths = places[np.repeat(~more, lengths)], lengths[~more]
+        sizes = np.ones(len(texts), np.int64)
+        sizes[~odd] = lengths
+        at = np.zeros(sizes.sum(), np.int64)
+        at[np.repeat(~odd, sizes)] = places
+        at[np.repeat(odd, sizes)] = np.arange(len(units), len(units) + odd.sum())
+        for i in np.flatnonzero(odd).tolist():
+            text = texts[i].as_py()
+            a, b = self.a.whole(text), self.b.whole(text)
+            if not self.a.lossless and b"".join([self.a.bytes[x] for x in a.tolist()]) != b" " + text.encode("utf-8", "surrogatepass"):
+                b = None
+            units.append((a.astype(self.a.kind).tobytes(), None if b is None else b.astype("<u2").tobytes()))
+        return units, at, np.concatenate([[0], np.cumsum(sizes)])
 
     def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """A's and B's ids of each text; None where there are none."""
-        out = []
-        for text, (a, b) in zip(texts, self.encoded(texts)):
-            raw = b" " + text.encode("utf-8", "surrogatepass")
-            good = text and b is not None and self.size_a[a].sum() == len(raw)
-            if good and not self.a.lossless:
-                good = b"".join([self.a.bytes[i] for i in a.tolist()]) == raw
-            out.append((a, b) if good else None)
+        units, at, starts = self.runs(pa.array(texts, pa.large_string()))
+        good, out = self.units(units).good, []
+        for text, x, y in zip(texts, starts.tolist(), starts[1:].tolist()):
+            own = at[x:y].tolist()
+            a, b = (np.frombuffer(b"".join([units[i][side] or b"" for i in own]), kind).astype(np.int64)
+                    for side, kind in ((0, self.a.kind), (1, "<u2")))
+            out.append((a, b) if text and good[own].all() else None)
         return out
 
-    def align(self, pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Over texts one after the other: link keys, the text of each link, the text of each group, and the places
-        in `names` of all tokens, group by group and A before B."""
-        a, b = (np.concatenate([p[side] for p in pairs]) for side in (0, 1))
+    def align(self, a: np.ndarray, b: np.ndarray, unit_of_a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Over units (pieces or whole texts) one after the other: link keys, the unit of each link, the unit of each
+        group, and the places in `names` of all tokens, group by group and A before B."""
         ends = np.concatenate([np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])])
         starts = ends - np.concatenate([self.size_a[a], self.size_b[b]])
         order = np.lexsort((starts,))  # stable: of equal starts A's comes first
@@ -180,14 +205,66 @@ class Aligner:
         group = np.cumsum(fresh) - 1
         last = np.concatenate([start[1:] != start[:-1], [True]])
         at_a, at_b = np.cumsum(~side_b)[last] - 1, np.cumsum(side_b)[last] - 1
-        text_of_a = np.repeat(np.arange(len(pairs)), [len(p[0]) for p in pairs])
         keys = a[at_a] * self.wide + b[at_b]
         first = np.flatnonzero(fresh)  # A's token comes first in a group: both begin there
         printed = np.argsort(group * 2 + side_b, kind="stable")
         place, token = (group * 2 + side_b)[printed], order[printed]
         closes = np.concatenate([place[1:] != place[:-1], [True]])
         ids = np.concatenate([a * 2, b * 2 + 2 * len(self.size_a)])[token] + closes
-        return keys, text_of_a[at_a], text_of_a[order[first]], ids
+        return keys, unit_of_a[at_a], unit_of_a[order[first]], ids
+
+    def units(self, pairs: list[tuple[bytes, bytes | None]]) -> "Units":
+        """Each pair (A's and B's ids, as the sides keep them) aligned; not good where there is none for B or the bytes differ."""
+        a, b = np.frombuffer(b"".join([p[0] for p in pairs]), self.a.kind), np.frombuffer(b"".join([p[1] or b"" for p in pairs]), "<u2")
+        a, b = a.astype(np.int64), b.astype(np.int64)
+        n_a = np.array([len(p[0]) for p in pairs], np.int64) // np.dtype(self.a.kind).itemsize
+        n_b = np.array([len(p[1] or b"") for p in pairs], np.int64) // 2
+        over_a, over_b = (np.concatenate([[0], np.cumsum(n)]) for n in (n_a, n_b))
+        size_a, size_b = (np.diff(np.concatenate([[0], np.cumsum(size[ids])])[over]) for size, ids, over in
+                          ((self.size_a, a, over_a), (self.size_b, b, over_b)))
+        good = (size_a == size_b) & (size_b > 0)
+        if not good.all():
+            a, b, n_a, n_b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)], n_a * good, n_b * good
+            over_a, over_b = (np.concatenate([[0], np.cumsum(n)]) for n in (n_a, n_b))
+        n_groups, n_links = np.zeros((2, len(pairs)), np.int64)
+        keys, texts = [np.zeros(0, self.key)], []
+        blocks = [0, *(np.flatnonzero(np.diff(over_a[:-1] // BLOCK)) + 1).tolist(), len(pairs)]
+        for x, y in zip(blocks, blocks[1:]):
+            part = slice(over_a[x], over_a[y])
+            if part.stop > part.start:
+                found, of_link, of_group, ids = self.align(
+                    a[part], b[over_b[x]:over_b[y]], np.repeat(np.arange(y - x), n_a[x:y]))
+                keys.append(found.astype(self.key))
+                n_links[x:y], n_groups[x:y] = (np.bincount(of, minlength=y - x) for of in (of_link, of_group))
+                words = list(map(self.names.__getitem__, ids.tolist()))
+                ends = (over_a[x:y + 1] + over_b[x:y + 1] - over_a[x] - over_b[x]).tolist()
+                texts += ["".join(words[u:v]) for u, v in zip(ends, ends[1:])]
+            else:
+                texts += [""] * (y - x)
+        return Units(good, np.stack([n_a, n_b, n_groups, n_links]), np.concatenate(keys), texts)
+
+    def digests(self, texts: pa.Array) -> tuple[np.ndarray, list[str], list[bytes]]:
+        """For each text n_a, n_b, n_groups, n_links; the digest of its groups; the keys of its links."""
+        units, at, starts = self.runs(texts)
+        found = self.units(units)
+        kept = np.logical_and.reduceat(found.good[at], starts[:-1]) & (pc.binary_length(texts).to_numpy() > 0)
+        counts = np.add.reduceat(found.counts[:, at], starts[:-1], axis=1) * kept
+        raw, ends = laid_out(found.keys, found.counts[3], at, starts)
+        digests, links, text_of, kept = [], [], found.texts.__getitem__, kept.tolist()
+        for k, x, y, u, v in zip(kept, starts.tolist(), starts[1:].tolist(), ends, ends[1:]):
+            groups = "".join(map(text_of, at[x:y].tolist()))[:-1] if k else ""
+            digests.append(hashlib.sha256(groups.encode()).hexdigest() if k else "")
+            links.append(raw[u:v] if k else b"")
+        return counts, digests, links
+
+
+class Units(NamedTuple):
+    """Aligned pieces and whole texts."""
+
+    good: np.ndarray    # whether A's and B's bytes are the same
+    counts: np.ndarray  # n_a, n_b, n_groups, n_links of each
+    keys: np.ndarray    # of all links, unit by unit
+    texts: list[str]    # the groups of each, a mark behind the last
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -199,27 +276,12 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches: Batches) -> Batches:
         tool = worker_cache(key, lambda: Aligner(path_a, path_b))
         for batch in batches:
-            for at in range(0, len(batch), GROUP):
-                part = batch.slice(at, GROUP)
-                found = tool.tokens(texts_of(part))
-                rows = [i for i, f in enumerate(found) if f is not None]
-                n, (n_a, n_b, n_groups, n_links) = len(part), np.zeros((4, len(part)), np.int64)
-                digests, links = [""] * n, [b""] * n
-                if rows:
-                    pairs = [found[i] for i in rows]
-                    keys, of_link, of_group, ids = tool.align(pairs)
-                    n_a[rows], n_b[rows] = [len(a) for a, _ in pairs], [len(b) for _, b in pairs]
-                    n_links[rows] = np.bincount(of_link, minlength=len(rows))
-                    n_groups[rows] = np.bincount(of_group, minlength=len(rows))
-                    words = list(map(tool.names.__getitem__, ids.tolist()))
-                    cut, upto = np.concatenate([[0], np.cumsum(n_links[rows])]), 0
-                    for k, i in enumerate(rows):
-                        links[i] = keys[cut[k]:cut[k + 1]].astype(tool.key).tobytes()
-                        size = int(n_a[i] + n_b[i])
-                        digests[i] = hashlib.sha256("".join(words[upto:upto + size])[:-1].encode()).hexdigest()
-                        upto += size
+            at = 0
+            for texts in slices(batch.column("text").cast(pa.large_string()).fill_null(""), BYTES):
+                part, at = batch.slice(at, len(texts)), at + len(texts)
+                counts, digests, links = tool.digests(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("rid"), part.column("doc_id"), *map(pa.array, (n_a, n_b, n_groups, n_links)),
+                    [part.column("rid"), part.column("doc_id"), *map(pa.array, counts),
                      pa.array(digests, pa.string()), pa.array(links, pa.binary())], schema=kind)
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")

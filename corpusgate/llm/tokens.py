@@ -47,7 +47,7 @@ _LEAD = "Ġ"      # how byte-level vocabularies write a space
 _PAIRS = ("  ", "\n\n", " \n", "\n ")
 
 
-_ASIDE = "[ \n][ \n]|[" + "".join(f"\\x{{{ord(c):x}}}" for c in _OTHER_SPACES) + "]"  # in every text that is not safe
+ASIDE = "[ \n][ \n]|[" + "".join(f"\\x{{{ord(c):x}}}" for c in _OTHER_SPACES) + "]"  # in every text that is not safe
 
 
 def safe(text: str) -> bool:
@@ -75,7 +75,7 @@ class Pieces:
         self.simple = all(not (t.lstrip or t.rstrip or t.single_word or t.normalized) for t in added.values())
         self.special = {t.content: i for i, t in added.items()}
         self.split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        self.aside = "|".join([_ASIDE, *map(re.escape, self.special)])
+        self.aside = "|".join([ASIDE, *map(re.escape, self.special)])
         line = self.lib.encode("\n", add_special_tokens=False).ids
         # a line end that stands alone must be one token to serve as a border between pieces
         self.border = line[0] if len(line) == 1 else None

@@ -3,6 +3,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -95,3 +96,35 @@ def test_the_query_aligns_every_document(spark, libraries):
     for want in expected(short, libraries):
         r = got[want[0]]
         assert (r.n_a, r.n_b, r.n_groups, r.n_links, r.groups_sha256) == (*want[1:5], want[7])
+
+
+def test_pieces_of_texts_that_stay_whole_are_met_again(libraries):
+    tool = alignment.Aligner(A, B)
+    for texts in (["two  zzyzx"], ["a zzyzx"]):
+        for text, got in zip(texts, tool.tokens(texts)):
+            a, b = libraries(text)
+            assert (got[0].tolist(), got[1].tolist()) == ([x[0] for x in a], [y[0] for y in b])
+
+
+def test_each_distinct_piece_is_aligned_once(libraries):
+    tool, seen = alignment.Aligner(A, B), []
+    tool.align = lambda a, b, unit: seen.append(len(np.unique(unit))) or alignment.Aligner.align(tool, a, b, unit)
+    counts, digests, links = tool.digests(pa.array(["the sea the sea", "a sea\nthe sea"] * 50, pa.large_string()))
+    assert seen == [4]  # the, sea, a, and the with a line end
+    assert len(set(digests)) == 2 and len({raw for raw in links}) == 2 and counts[:, 0].tolist() == counts[:, 98].tolist()
+
+
+@pytest.mark.parametrize("cache, block", [(1 << 20, 1 << 17), (20, 1), (3, 5)])
+def test_digests_through_small_caches_and_blocks(libraries, monkeypatch, cache, block):
+    monkeypatch.setattr(alignment, "CACHE", cache)
+    monkeypatch.setattr(alignment, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    parts = ["sea", "Sea,", "é", "ﬁ", "東京", "\n", " ", " ", " ", "  ", "\t", "▁", "<|endoftext|>", "x" * 60, "12."]
+    texts = ["", *["".join(rng.choice(parts, rng.integers(0, 25))) for _ in range(120)]]
+    tool = alignment.Aligner(A, B)
+    for at in range(0, len(texts), 30):
+        counts, digests, links = tool.digests(pa.array(texts[at:at + 30], pa.large_string()))
+        for i in range(len(digests)):
+            [row] = expected([(0, texts[at + i])], libraries)
+            assert (*counts[:, i].tolist(), digests[i]) == (*row[1:5], row[7]), repr(texts[at + i])
+            assert len(links[i]) == 4 * row[4]
