@@ -6,7 +6,7 @@ strings in texts are plain text. Every token is a byte range.
 
 Texts are cut before spaces and line ends (tokens.py says why that gives A's own ids).
 A and B both end a token there, so no group and no link reaches over a cut: each distinct
-piece of some megabytes of texts is aligned once, and a text's groups and links are those
+piece of about a megabyte of texts is aligned once, and a text's groups and links are those
 of its pieces, one after the other. For B cutting does because none of its pieces holds a
 space behind another character or a line end beside one; that is checked on the
 vocabulary, and texts with several spaces in a row or one in front are aligned whole.
@@ -48,7 +48,7 @@ MODEL = "piece_bpe_32k.model"
 TABLE = 1 << 20  # pairs whose counts are broadcast: 17 bytes each
 CACHE = 400_000  # pieces remembered by one worker
 CHUNK = 256      # pieces encoded by one call
-BYTES = 2 << 20  # of texts cut at once
+BYTES = 1 << 20  # of texts cut at once
 BLOCK = 1 << 17  # A's tokens aligned together
 SPACE = "▁"
 DIGEST = ("rid bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, "
@@ -283,6 +283,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column("rid"), part.column("doc_id"), *map(pa.array, counts),
                      pa.array(digests, pa.string()), pa.array(links, pa.binary())], schema=kind)
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     path = f"{scratch_dir(docs.sparkSession)}/alignment-{uuid.uuid4().hex}"

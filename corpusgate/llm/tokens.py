@@ -15,7 +15,7 @@ are; other vocabularies get a line end between the pieces.
 Where the library cuts texts as GPT-2 does, a run of Latin letters is one pre-token and
 the punctuation behind it another. Pieces of just these go straight to the library's model.
 
-`column` cuts a whole Arrow column at once: each distinct piece of some megabytes of
+`column` cuts a whole Arrow column at once: each distinct piece of about a megabyte of
 texts is looked up once, and the ids are laid out by numpy.
 
 The cache has two generations: a full young one becomes the old one, whose pieces
@@ -34,9 +34,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 LONG = 48        # longer pieces are encoded but not remembered
-CACHE = 1_200_000  # pieces remembered by one worker, in both generations: about 170 bytes each
+CACHE = 1_000_000  # pieces remembered by one worker, in both generations: about 170 bytes each
 CHUNK = 256      # pieces encoded by one call
-BYTES = 4 << 20  # of texts cut at once
+BYTES = 1 << 20  # of texts cut at once
 _RUN = re.compile(r"\s\s\s|\s\s\Z")
 _SPACE = re.compile(r"\s")
 _OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
@@ -254,6 +254,7 @@ class Pieces:
         """The ids of each text of a column, as bytes; null is the empty text."""
         for part in slices(texts.cast(pa.large_string()).fill_null(""), BYTES):
             yield from self.part(part)
+        pa.default_memory_pool().release_unused()  # two workers stand beside an executor's heap
 
     def part(self, texts: pa.Array) -> list[bytes]:
         odd = {}
