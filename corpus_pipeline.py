@@ -41,11 +41,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each document as often as the mix of sources takes it."""
     return mixing.mixed(docs)
 
+REMEMBERED = 300_000  # pieces of one worker: the other stages' workers and heap are still there
+
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode into wavelet-matrix files and read back where each document's tokens lie."""
     path = f"{scratch_dir(spark)}/wavelet-{uuid.uuid4().hex}"
-    wavelet.write(docs.select(F.col("doc_id"), F.col("text")), path, tokenizer_path())
+    wavelet.write(docs.select(F.col("doc_id"), F.col("text")), path, tokenizer_path(), remembered=REMEMBERED)
     return wavelet.read(spark, path)
 
 

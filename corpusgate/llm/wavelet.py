@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from corpusgate.llm.common import Batches, table, worker_cache
 from corpusgate.llm.token_counts import tokenizer_path
-from corpusgate.llm.tokens import Pieces
+from corpusgate.llm.tokens import CACHE, Pieces
 from corpusgate.session import scratch_dir
 
 SHARD = 1 << 18  # tokens; small enough that a plane and its ids stay in a core's cache
@@ -149,10 +149,11 @@ class Matrix:
         return ids
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, shard: int = SHARD) -> None:
-    """Encode `docs` (doc_id, text) in ascending doc_id order into wavelet-matrix files under `path`."""
+def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, shard: int = SHARD, remembered: int = CACHE) -> None:
+    """Encode `docs` (doc_id, text) in ascending doc_id order into wavelet-matrix files under `path`.
+    remembered: pieces that each worker keeps with their ids; fewer take less memory and more time."""
     def run(batches: Batches) -> Batches:
-        pieces = worker_cache(f"pieces_{tokenizer}", lambda: Pieces(tokenizer))
+        pieces = worker_cache(f"pieces_{tokenizer}_{remembered}", lambda: Pieces(tokenizer, limit=remembered))
         kind = np.uint16 if pieces.code == "H" else np.uint32
         tail = np.array([end], kind).tobytes()
         bits = max(1, int(max(pieces.lib.get_vocab_size() - 1, end)).bit_length())
